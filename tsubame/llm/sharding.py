@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tsubame.llm.draws import communication_matrix
 from tsubame.session import cut, table
 
 SHARDS = 16
@@ -31,10 +32,6 @@ def _sizes(total: int, shards: int) -> list[int]:
     return [total // shards + (i < total % shards) for i in range(shards)]
 
 
-def _lookup(rows: list[list[int]]) -> Column:
-    return F.lit(np.asarray(rows, dtype=np.int64).ravel())
-
-
 def assign(rows: DataFrame, key: Column, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """``rows`` with ``shard`` and ``slot``; shard sizes differ by one at most.
 
@@ -48,7 +45,7 @@ def assign(rows: DataFrame, key: Column, shards: int = SHARDS, seed: int = SEED)
     block = F.pmod(F.xxhash64(F.lit(seed), "_k"), F.lit(blocks)).cast("int")
     counts = dict(keyed.groupBy(block.alias("b")).count().collect())
     margins = [counts.get(b, 0) for b in range(blocks)]
-    drawn = communication(margins, _sizes(total, shards), seed)
+    drawn = communication_matrix(np.random.default_rng(seed), margins, _sizes(total, shards))
     limits = np.cumsum(drawn, axis=1)
     ends = spark.createDataFrame([(b, limits[b].tolist()) for b in range(blocks)], "_b int, _ends array<bigint>")
     # First permutation, within blocks; the matrix row then deals the block out.
@@ -81,12 +78,6 @@ def assign(rows: DataFrame, key: Column, shards: int = SHARDS, seed: int = SEED)
     )
 
 
-def communication(rows: list[int], cols: list[int], seed: int) -> list[list[int]]:
-    from tsubame.llm.draws import communication_matrix
-
-    return communication_matrix(np.random.default_rng(seed), rows, cols)
-
-
 def shard_documents(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """Every row's doc_id, size, text_crc32, law, shard, slot and grown_shard."""
     rows = docs.select(
