@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tsubame.llm import sharding
+from tsubame.llm import mixing, sharding
 
 QUERIES = {
+    "op7_mixing": mixing.op7_mixing,
     "op4_sharding": sharding.op4_sharding,
 }
 
