@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from tsubame.llm import mixing, ngram_join, sharding
+from tsubame.llm import decontaminate, mixing, ngram_join, sharding
 
 QUERIES = {
     "op5_ngram_join": ngram_join.op5_ngram_join,
+    "op9_decontaminate": decontaminate.op9_decontaminate,
     "op7_mixing": mixing.op7_mixing,
     "op4_sharding": sharding.op4_sharding,
 }
 
 ORACLES: dict[str, str] = {
     "op5_ngram_join": ngram_join.ORACLE,
+    "op9_decontaminate": decontaminate.ORACLE,
 }
