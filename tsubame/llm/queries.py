@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from tsubame.llm import decontaminate, mixing, ngram_join, sharding
+from tsubame.llm import decontaminate, mixing, ngram_join, sharding, topk, url_filter
 
 QUERIES = {
+    "op10_topk": topk.op10_topk,
+    "op2_url_filter": url_filter.op2_url_filter,
     "op5_ngram_join": ngram_join.op5_ngram_join,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op7_mixing": mixing.op7_mixing,
@@ -12,6 +14,8 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op10_topk": topk.ORACLE,
+    "op2_url_filter": url_filter.ORACLE,
     "op5_ngram_join": ngram_join.ORACLE,
     "op9_decontaminate": decontaminate.ORACLE,
 }
