@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tsubame.llm import decontaminate, mixing, ngram_join, sharding, topk, url_filter
+from tsubame.llm import decontaminate, mixing, ngram_join, quality, sharding, topk, url_filter
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
     "op10_topk": topk.op10_topk,
     "op2_url_filter": url_filter.op2_url_filter,
     "op5_ngram_join": ngram_join.op5_ngram_join,
