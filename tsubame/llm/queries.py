@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tsubame.llm import decontaminate, mixing, ngram_join, quality, sharding, topk, url_filter
+from tsubame.llm import decontaminate, mixing, ngram_join, quality, sharding, suffix_dedup, topk, url_filter
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -10,6 +10,7 @@ QUERIES = {
     "op2_url_filter": url_filter.op2_url_filter,
     "op5_ngram_join": ngram_join.op5_ngram_join,
     "op9_decontaminate": decontaminate.op9_decontaminate,
+    "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
     "op7_mixing": mixing.op7_mixing,
     "op4_sharding": sharding.op4_sharding,
 }
