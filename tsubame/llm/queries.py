@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tsubame.llm import decontaminate, html_text, mixing, ngram_join, quality, sharding, suffix_dedup, topk, url_filter
+from tsubame.llm import decontaminate, html_text, line_dedup, mixing, ngram_join, quality, sharding, suffix_dedup, topk, url_filter
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op10_topk": topk.op10_topk,
     "op2_url_filter": url_filter.op2_url_filter,
+    "op3_line_dedup": line_dedup.op3_line_dedup,
     "op5_ngram_join": ngram_join.op5_ngram_join,
     "op8_html_text": html_text.op8_html_text,
     "op9_decontaminate": decontaminate.op9_decontaminate,
