@@ -2,5 +2,387 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tsubame.functions import charclass, readings, segment
+from tsubame.operators import compare as cmp
+from tsubame.operators import lattice as lat
+from tsubame.operators.analyzer import Analyzer, in_memory
+from tsubame.operators.kernel import unknown_templates
+from tsubame.operators.unknown import unknown_tokens
+from tsubame.plans import fixtures as fx
+from tsubame.plans import oracles as sql
+from tsubame.session import table
+from tsubame.sources import convert, text
+from tsubame.sources.definitions import lexicon_rows
+from tsubame.streaming.tokens import line_stream, run_available
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+JA, LA = fx.entries(fx.JAPANESE), fx.entries(fx.LATIN)
+UNKNOWN = unknown_templates(charclass.Classifier.default(), [])
+DOC, ITEM, TXT = ["doc_id"], ["item_id"], ["id"]
+
+
+def query(oracle: str | None = None) -> Callable:
+    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return register
+
+
+def japanese(spark: SparkSession) -> Analyzer:
+    return Analyzer(in_memory(spark, JA))
+
+
+def latin_lexicon(spark: SparkSession):  # noqa: ANN201
+    return in_memory(spark, LA, (fx.SIZE, fx.SIZE, fx.LATIN_MATRIX))
+
+
+def latin(spark: SparkSession) -> Analyzer:
+    return Analyzer(latin_lexicon(spark))
+
+
+def texts(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(fx.TEXTS)), "id int, text string")
+
+
+def segments_of(df: DataFrame, keys: list[str]) -> DataFrame:
+    return segment.split_sentences(df, "text", keys)
+
+
+# Segmentation and character classes.
+SEGS = "WITH " + sql.segments("documents", "doc_id")
+
+
+@query(f"{SEGS} SELECT doc_id, seg_idx, seg FROM segs")
+def sentence_split(spark: SparkSession, sf: str) -> DataFrame:
+    return segments_of(table(spark, sf, "documents"), DOC)
+
+
+@query(f"""{SEGS} SELECT doc_id, seg_idx, CAST(e - strlen(seg) AS BIGINT) AS "start", CAST(e AS BIGINT) AS "end"
+FROM (SELECT *, sum(strlen(seg)) OVER (PARTITION BY doc_id ORDER BY seg_idx) AS e FROM segs)""")
+def sentence_offsets(spark: SparkSession, sf: str) -> DataFrame:
+    return segment.with_offsets(segments_of(table(spark, sf, "documents"), DOC), DOC).select("doc_id", "seg_idx", "start", "end")
+
+
+@query(f"""SELECT lang, {sql.type_case("ch")} AS type, count(*) AS n
+FROM (SELECT lang, unnest(string_split(text, '')) AS ch FROM documents) WHERE ch <> '' GROUP BY 1, 2""")
+def char_class_hist(spark: SparkSession, sf: str) -> DataFrame:
+    chars = table(spark, sf, "documents").select("lang", F.explode(F.split("text", "")).alias("ch")).where("ch <> ''")
+    # Counted by character first: the types of a few hundred characters are cheap.
+    chars = chars.groupBy("lang", "ch").agg(F.count("*").alias("n"))
+    return chars.groupBy("lang", charclass.Classifier.default().column(F.col("ch")).alias("type")).agg(F.sum("n").alias("n"))
+
+
+@query(f"""WITH {sql.segments("benchmark", "item_id")}, {sql.lattice("item_id", [], UNKNOWN)}
+SELECT item_id, seg_idx, CAST(p AS INTEGER) AS p, type, CAST(run_end AS INTEGER) AS run_end FROM run""")
+def char_runs(spark: SparkSession, sf: str) -> DataFrame:
+    segs = segments_of(table(spark, sf, "benchmark"), ITEM)
+    return lat.char_runs(segs, ["item_id", "seg_idx"]).select("item_id", "seg_idx", "p", "type", "run_end")
+
+
+UNK_TOKENS = f"{SEGS}, {sql.runs('doc_id')}"
+
+
+@query(f"{UNK_TOKENS} SELECT * FROM toks")
+def unk_tokenize(spark: SparkSession, sf: str) -> DataFrame:
+    return unknown_tokens(table(spark, sf, "documents"), "text", DOC, Analyzer(in_memory(spark)))
+
+
+@query(f"SELECT doc_id, array_to_string(flatten(list_transform(regexp_extract_all(text, '{sql.SPLIT}'), lambda s: regexp_extract_all(s, '{sql.RUNS}'))), ' ') AS output FROM documents")
+def unk_wakachi(spark: SparkSession, sf: str) -> DataFrame:
+    runs = F.transform(segment.sentences(F.col("text")), lambda s: F.regexp_extract_all(s, F.lit(sql.RUNS), F.lit(0)))
+    return table(spark, sf, "documents").select("doc_id", F.array_join(F.flatten(runs), " ").alias("output"))
+
+
+# Candidates and the best path.
+LATTICE = f"WITH {sql.segments('benchmark', 'item_id')}, {sql.lattice('item_id', LA, UNKNOWN)}"
+BEST = f"{LATTICE}, {sql.best_path('item_id', fx.LATIN_MATRIX)}"
+
+
+@query(f"{LATTICE} SELECT item_id, seg_idx, CAST(p AS INTEGER) AS p, CAST(length(surface) AS INTEGER) AS len, CAST(entry_id AS INTEGER) AS entry_id FROM hit")
+def prefix_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    keys = ["item_id", "seg_idx"]
+    return lat.prefix_matches(lat.characters(segments_of(table(spark, sf, "benchmark"), ITEM), keys), latin_lexicon(spark), keys)
+
+
+@query(f"""{LATTICE} SELECT item_id, seg_idx, start AS "start", "end", CAST(unk AS INTEGER) AS unk, CAST(entry_id AS INTEGER) AS entry_id, CAST(left_id AS INTEGER) AS left_id,
+CAST(right_id AS INTEGER) AS right_id, CAST(word_cost AS INTEGER) AS word_cost, type FROM nodes""")
+def lattice_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    return lat.lattice(segments_of(table(spark, sf, "benchmark"), ITEM), latin_lexicon(spark), UNKNOWN, ["item_id", "seg_idx"])
+
+
+@query(f"""SELECT CAST(p_size % 8 AS INTEGER) AS right_id, CAST(p_partkey % 8 AS INTEGER) AS left_id, p_partkey, CAST(coalesce(c, 0) AS INTEGER) AS cost FROM part
+LEFT JOIN {fx.values([(*k, v) for k, v in fx.LATIN_MATRIX.items()])} AS m(r, l, c) ON p_size % 8 = r AND p_partkey % 8 = l""")
+def conn_cost_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    pairs = table(spark, sf, "part").select((F.col("p_size") % 8).cast("int").alias("right_id"), (F.col("p_partkey") % 8).cast("int").alias("left_id"), "p_partkey")
+    return lat.connection_costs(pairs, latin_lexicon(spark).matrix)
+
+
+TOKEN_COLUMNS = 'tok_idx, surface, "start", "end", pos, base_form, reading, pronunciation, word_cost, is_known'
+SEG_TOKENS = f"""read AS (SELECT *, regexp_matches(surface, '^[A-Za-z]+$') AS alpha, lag(surface) OVER w AS ps, lag(pos) OVER w AS pp FROM toks WINDOW w AS (PARTITION BY {{key}}, seg_idx ORDER BY tok_idx)),
+spoken AS (SELECT * EXCLUDE (reading, pronunciation), CASE WHEN alpha THEN spelt ELSE reading END AS reading, CASE WHEN alpha THEN spelt ELSE pronunciation END AS pronunciation
+  FROM (SELECT *, CASE WHEN alpha THEN coalesce(CASE WHEN starts_with(pp, '{readings.NUMBER_POS}') OR regexp_matches(ps, '{readings.NUMBER}') THEN
+    CASE WHEN length(surface) = 1 THEN ({sql.literal_map(readings.UNIT_LETTERS)})[upper(surface)] ELSE ({sql.literal_map(readings.UNITS)})[surface] END END,
+    array_to_string(list_transform(string_split(upper(surface), ''), lambda c: ({sql.literal_map(readings.LETTERS)})[c]), '')) END AS spelt FROM read)),
+placed AS (SELECT {{key}}, seg_idx, CAST(coalesce(sum(strlen(seg)) OVER (PARTITION BY {{key}} ORDER BY seg_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS base FROM segs),
+tokens AS (SELECT {{key}}, CAST(row_number() OVER (PARTITION BY {{key}} ORDER BY seg_idx, tok_idx) - 1 AS INTEGER) AS tok_idx, surface, start + base AS "start", "end" + base AS "end", pos, base_form, reading, pronunciation, word_cost, is_known
+  FROM spoken JOIN placed USING ({{key}}, seg_idx))"""
+LATIN_TOKENS = f"{BEST}, {sql.path_tokens('item_id')}, {SEG_TOKENS.replace('{key}', 'item_id')}"
+JA_TOKENS = f"""WITH {sql.texts(fx.TEXTS)}, {sql.segments("src", "id")}, {sql.lattice("id", JA, UNKNOWN)}, {sql.best_path("id", {})}, {sql.path_tokens("id")}, {SEG_TOKENS.replace('{key}', 'id')}"""
+
+
+@query(f"{LATIN_TOKENS} SELECT item_id, {TOKEN_COLUMNS} FROM tokens")
+def viterbi_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    return latin(spark).tokenize(table(spark, sf, "benchmark").select("item_id", "text"))
+
+
+@query(f"{BEST} SELECT item_id, seg_idx, total, path FROM best")
+def viterbi_cost(spark: SparkSession, sf: str) -> DataFrame:
+    keys, lex = ["item_id", "seg_idx"], latin_lexicon(spark)
+    nodes = lat.lattice(segments_of(table(spark, sf, "benchmark"), ITEM), lex, UNKNOWN, keys)
+    found = lat.decode(nodes, lex.matrix, keys)
+    path = F.array_join(F.transform("path", lambda x: F.concat_ws("-", x["start"], x["end"], x["unk"], x["entry_id"])), " ")
+    return found.select(*keys, "total", path.alias("path"))
+
+
+@query(f"{JA_TOKENS} SELECT id, {TOKEN_COLUMNS} FROM tokens")
+def viterbi_japanese(spark: SparkSession, sf: str) -> DataFrame:
+    return japanese(spark).tokenize(texts(spark))
+
+
+@query()
+def tokenize_documents(spark: SparkSession, sf: str) -> DataFrame:
+    t = latin(spark).tokenize_batch(table(spark, sf, "documents").select("doc_id", "text")).drop("text")
+    known = F.size(F.filter("tokens", lambda x: x["is_known"]))
+    cost = F.aggregate("tokens", F.lit(0).cast("long"), lambda a, x: a + x["word_cost"])
+    return t.select("doc_id", F.size("tokens").alias("n_tokens"), known.alias("n_known"), cost.alias("word_costs"))
+
+
+# Readings.
+@query(f"{JA_TOKENS} SELECT id, tok_idx, surface, CASE WHEN reading <> '' THEN reading END AS reading FROM tokens WHERE regexp_matches(surface, '^[A-Za-z]+$')")
+def contextual_readings(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql.window import Window
+
+    segs = segments_of(texts(spark), TXT)
+    t = japanese(spark).tokenize(segs, "seg", ["id", "seg_idx"])
+    w = Window.partitionBy("id", "seg_idx").orderBy("tok_idx")
+    spoken = readings.contextual(F.col("surface"), F.lag("surface").over(w), F.lag("pos").over(w))
+    t = t.withColumn("spoken", spoken)
+    all_ = Window.partitionBy("id").orderBy("seg_idx", "tok_idx")
+    return t.withColumn("tok_idx", (F.row_number().over(all_) - 1).cast("int")).where("spoken is not null").select("id", "tok_idx", "surface", F.col("spoken").alias("reading"))
+
+
+@query(f"SELECT n_name AS name, array_to_string(list_transform(list_filter(string_split(upper(n_name), ''), lambda c: ({sql.literal_map(readings.LETTERS)})[c] IS NOT NULL), lambda c: ({sql.literal_map(readings.LETTERS)})[c]), '') AS reading FROM nation")
+def spell_out(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "nation").select(F.col("n_name").alias("name"), readings.spell_out(F.col("n_name")).alias("reading"))
+
+
+_UNIT_NAMES = [*readings.UNITS, *readings.UNIT_LETTERS, *(x.lower() for x in readings.UNIT_LETTERS), "KM", "Q", ""]
+
+
+@query(f"SELECT u AS surface, CASE WHEN length(u) = 1 THEN ({sql.literal_map(readings.UNIT_LETTERS)})[upper(u)] ELSE ({sql.literal_map(readings.UNITS)})[u] END AS reading FROM {fx.values([(u,) for u in _UNIT_NAMES])} AS v(u)")
+def unit_readings(spark: SparkSession, sf: str) -> DataFrame:
+    units = spark.createDataFrame([(u,) for u in _UNIT_NAMES], "surface string")
+    return units.select("surface", readings.unit_reading(F.col("surface")).alias("reading"))
+
+
+@query(f"{UNK_TOKENS} SELECT surface, count(*) AS n FROM toks WHERE regexp_matches(surface, '{readings.NUMBER}') GROUP BY 1")
+def number_like(spark: SparkSession, sf: str) -> DataFrame:
+    t = unknown_tokens(table(spark, sf, "documents"), "text", DOC)
+    return t.where(readings.is_number_like(F.col("surface"), F.lit(""))).groupBy("surface").agg(F.count("*").alias("n"))
+
+
+# Renderings.
+_LINE = "surface || chr(9) || pos || CASE WHEN base_form <> '' THEN ',' || base_form ELSE '' END || CASE WHEN reading <> '' THEN ',' || reading ELSE '' END || CASE WHEN pronunciation <> '' THEN ',' || pronunciation ELSE '' END || chr(10)"
+
+
+@query(f"{LATIN_TOKENS} SELECT item_id, string_agg({_LINE}, '' ORDER BY tok_idx) || 'EOS' || chr(10) AS output FROM tokens GROUP BY item_id")
+def fmt_mecab(spark: SparkSession, sf: str) -> DataFrame:
+    return latin(spark).to_mecab(table(spark, sf, "benchmark").select("item_id", "text")).select("item_id", "output")
+
+
+@query(f"{JA_TOKENS} SELECT id, string_agg(surface, ' ' ORDER BY tok_idx) AS output FROM tokens GROUP BY id")
+def fmt_wakachi(spark: SparkSession, sf: str) -> DataFrame:
+    return japanese(spark).wakachi(texts(spark)).select("id", "output")
+
+
+@query(f"{JA_TOKENS} SELECT id, tok_idx, surface, \"start\", \"end\", pos, base_form, reading, is_known FROM tokens")
+def fmt_json(spark: SparkSession, sf: str) -> DataFrame:
+    out = japanese(spark).rendered(texts(spark), fmt="json")
+    fields = "base_form string, end bigint, is_known boolean, pos string, reading string, start bigint, surface string"
+    parsed = out.select("id", F.posexplode(F.from_json("output", f"array<struct<{fields.replace(' ', ':').replace(',:', ',')}>>")).alias("tok_idx", "t"))
+    return parsed.select("id", "tok_idx", "t.*")
+
+
+# Batches, lines, lexicon life cycle.
+@query(f"""WITH c AS (SELECT conv_id, turn, flatten(list_transform(regexp_extract_all(text, '{sql.SPLIT}'), lambda s: regexp_extract_all(s, '{sql.RUNS}'))) AS t FROM conversations)
+SELECT conv_id, turn, CAST(len(t) AS INTEGER) AS n_tokens, array_to_string(t, '|') AS tokens FROM c""")
+def batch_conversations(spark: SparkSession, sf: str) -> DataFrame:
+    t = Analyzer(in_memory(spark)).tokenize_batch(table(spark, sf, "conversations").select("conv_id", "turn", "text"))
+    return t.select("conv_id", "turn", F.size("tokens").alias("n_tokens"), F.array_join(F.transform("tokens", lambda x: x["surface"]), "|").alias("tokens"))
+
+
+@query("""SELECT text, count(*) AS n FROM (SELECT trim(unnest(string_split(text, chr(10))), ' ' || chr(9) || chr(13)) AS text FROM documents) WHERE text <> '' GROUP BY 1""")
+def lines_trimmed(spark: SparkSession, sf: str) -> DataFrame:
+    lines = table(spark, sf, "documents").select(F.explode(F.split("text", "\n")).alias("value"))
+    return text.lines(lines).groupBy("text").agg(F.count("*").alias("n"))
+
+
+_CSV = '猫,3,3,3500,名詞,一般,*,*,*,*,猫,ネコ,ネコ\n"a,b",1,2,-5,x,y\n犬,3,3,10,名詞,一般,*,*,*,*,,イヌ,イヌ\nq,0,0,0,p\n'
+_ROWS = [
+    (0, "猫", 3, 3, 3500, "名詞,一般,*,*", "猫", "ネコ", "ネコ"),
+    (1, "a,b", 1, 2, -5, "x,y", "a,b", "", ""),
+    (2, "犬", 3, 3, 10, "名詞,一般,*,*", "", "イヌ", "イヌ"),
+    (3, "q", 0, 0, 0, "p", "q", "", ""),
+]
+_LEX = "entry_id, surface, left_id, right_id, CAST(cost AS SMALLINT) AS cost, pos, base_form, reading, pronunciation"
+_LEX_NAMES = "entry_id, surface, left_id, right_id, cost, pos, base_form, reading, pronunciation"
+
+
+@query(f"SELECT {_LEX} FROM {fx.values(_ROWS)} AS v({_LEX_NAMES})")
+def lexicon_csv_fields(spark: SparkSession, sf: str) -> DataFrame:
+    return in_memory(spark, lexicon_rows(_CSV)).entries
+
+
+_MERGED = [(i, *r) for i, r in enumerate([*JA, *[x[1:] for x in _ROWS]])]
+
+
+@query(f"SELECT {_LEX} FROM {fx.values(_MERGED)} AS v({_LEX_NAMES})")
+def lexicon_merge(spark: SparkSession, sf: str) -> DataFrame:
+    return in_memory(spark, JA).merged(in_memory(spark, lexicon_rows(_CSV))).entries
+
+
+_BROKEN = [("雨", 1, 1, 0, "名詞", "雨", "アメ", "ame"), ("雪", 1, 1, 0, "名詞", "雪", "ゆき", "yuki"), ("風", 1, 1, 0, "名詞", "風", "カゼ", "カゼ"), ("火", 1, 1, 0, "名詞", "火", "ヒ", "")]
+
+
+@query("SELECT * FROM (VALUES ('雨', 'アメ', 'アメ'), ('雪', 'ゆき', 'yuki'), ('風', 'カゼ', 'カゼ'), ('火', 'ヒ', '')) AS v(surface, reading, pronunciation)")
+def lexicon_repair(spark: SparkSession, sf: str) -> DataFrame:
+    return in_memory(spark, _BROKEN).repaired()[0].entries.select("surface", "reading", "pronunciation")
+
+
+_STRINGS = f"SELECT surface AS s FROM l UNION SELECT pos FROM l UNION SELECT base_form FROM l UNION SELECT reading FROM l UNION SELECT pronunciation FROM l UNION SELECT * FROM {fx.values([(c[0],) for c in charclass.DEFAULT_CLASSES])}"
+
+
+@query(f"""WITH l AS (SELECT * FROM {fx.values([(i, *r) for i, r in enumerate(JA)])} AS v({_LEX_NAMES}))
+SELECT (SELECT count(*) FROM l) AS entries, (SELECT count(*) FROM ({_STRINGS})) AS strings, (SELECT count(*) FROM (SELECT DISTINCT pos, base_form, reading, pronunciation FROM l)) AS features""")
+def lexicon_info(spark: SparkSession, sf: str) -> DataFrame:
+    return in_memory(spark, JA).info().select("entries", "strings", "features")
+
+
+# Conversions.
+_UNIDIC = [["猫", "1", "2", "30", "名詞", "普通名詞", "一般", "*", "", "", "ネコ", "猫", "x", "ネコ"], ["短", "1"], ["犬", "1", "2", "3", "a", "b", "c", "d", "e", "f", "ReadIng", "LeMma", "z", "PrOn", "extra"]]
+
+
+@query("""SELECT * FROM (VALUES ('猫|1|2|30|名詞|普通名詞|一般|*|||猫|ネコ|ネコ'), ('短|1'), ('犬|1|2|3|a|b|c|d|e|f|LeMma|ReadIng|PrOn')) AS v(fields)""")
+def unidic_convert(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.createDataFrame([(r,) for r in _UNIDIC], "f array<string>")
+    return convert.from_unidic(rows).select(F.array_join("f", "|").alias("fields"))
+
+
+_SUDACHI = [
+    ["東", "1", "1", "5", "東", "名詞", "普通名詞", "一般", "*", "", "*", "ヒガシ", "東"],
+    ["x", "-1", "1", "5", "x", "名詞", "普通名詞", "一般", "*", "*", "*", "エ", "x"],
+    ["　", "1", "1", "5", "x", "空白", "*", "*", "*", "*", "*", "", "x"],
+    ["走", "7", "8", "-9", "*", "動詞", "非自立可能", "", "*", "*", "*", "*", "走"],
+    ["短", "1", "1"],
+    ["変", "2", "2", "0", "", "外来", "謎", "*", "*", "*", "*", "ヘン", "変"],
+]
+_SUDACHI_OUT = [
+    ("東", "1", "1", "5", "名詞", "普通名詞", "一般", "*", "*", "*", "東", "ヒガシ", "ヒガシ"),
+    ("走", "7", "8", "-9", "動詞", "非自立可能", "*", "*", "*", "*", "走", "", ""),
+    ("変", "2", "2", "0", "外来", "謎", "*", "*", "*", "*", "変", "ヘン", "ヘン"),
+]
+
+
+def _sudachi(spark: SparkSession) -> DataFrame:
+    return convert.from_sudachi(spark.createDataFrame([(r,) for r in _SUDACHI], "f array<string>"))
+
+
+@query(f"SELECT * FROM {fx.values(_SUDACHI_OUT)} AS v({', '.join(convert.FIELDS)})")
+def sudachi_convert(spark: SparkSession, sf: str) -> DataFrame:
+    return _sudachi(spark)
+
+
+_POS = f"{fx.values([(k, v[0], v[1]) for k, v in convert.POS_MAP.items()])} AS m(k, pos, id)"
+
+
+@query(f"""WITH s AS (SELECT * FROM {fx.values(_SUDACHI_OUT)} AS v({", ".join(convert.FIELDS)})), m AS (SELECT * FROM {_POS}),
+k AS (SELECT *, list_transform([4, 3, 2, 1], lambda n: array_to_string(list_filter([pos1, pos2, pos3, pos4][1:n], lambda x: x <> '*'), ',')) AS ks FROM s),
+b AS (SELECT k.*, m.pos, m.id, row_number() OVER (PARTITION BY surface ORDER BY list_position(ks, m.k)) AS rn FROM k JOIN m ON list_contains(ks, m.k))
+SELECT surface, CAST(id AS VARCHAR) AS left_id, CAST(id AS VARCHAR) AS right_id, cost, string_split(pos, ',')[1] AS pos1, string_split(pos, ',')[2] AS pos2, string_split(pos, ',')[3] AS pos3, string_split(pos, ',')[4] AS pos4,
+conj_type, conj_form, base_form, reading, pronunciation FROM b WHERE rn = 1""")
+def pos_remap(spark: SparkSession, sf: str) -> DataFrame:
+    return convert.remap_pos(_sudachi(spark))
+
+
+@query("SELECT '外来,謎,*,*' AS pos, CAST(1 AS BIGINT) AS n")
+def pos_unmapped(spark: SparkSession, sf: str) -> DataFrame:
+    return convert.unmapped_pos(_sudachi(spark))
+
+
+# Comparison, invariants, statistics.
+@query(f"""{LATIN_TOKENS}, plain AS (SELECT item_id, s AS seg_idx, unnest(range(1, len(t) + 1)) AS i, t, b FROM (SELECT item_id, seg_idx AS s, regexp_extract_all(seg, '{sql.RUNS}') AS t, base AS b FROM segs JOIN placed USING (item_id, seg_idx))),
+r AS (SELECT item_id, CAST(b + strlen(array_to_string(t[1:i - 1], '')) AS BIGINT) AS "start", CAST(b + strlen(array_to_string(t[1:i], '')) AS BIGINT) AS "end" FROM plain)
+SELECT item_id, "start", "end", CASE WHEN x.l AND y.r THEN 'both' WHEN x.l THEN 'left_only' ELSE 'right_only' END AS status
+FROM (SELECT item_id, "start", "end", true AS l FROM tokens) x FULL JOIN (SELECT *, true AS r FROM r) y USING (item_id, "start", "end")""")
+def compare_lexicons(spark: SparkSession, sf: str) -> DataFrame:
+    bench = table(spark, sf, "benchmark").select("item_id", "text")
+    return cmp.compare(bench, latin(spark), Analyzer(in_memory(spark)), "text", ITEM).select("item_id", "start", "end", "status")
+
+
+@query("SELECT 'documents' AS source, CAST(0 AS BIGINT) AS violations UNION ALL SELECT 'conversations', 0 UNION ALL SELECT 'pages', 0")
+def coverage_invariant(spark: SparkSession, sf: str) -> DataFrame:
+    """Surfaces join to the text, and offsets leave no gap."""
+    a, out = latin(spark), None
+    for name, column in (("documents", "text"), ("conversations", "text"), ("pages", "html")):
+        t = a.tokenize_batch(table(spark, sf, name).select(F.col(column).alias("text")))
+        joined = F.array_join(F.transform("tokens", lambda x: x["surface"]), "") == F.col("text")
+        gap_free = F.aggregate("tokens", F.lit(0).cast("long"), lambda at, x: F.when(x["start"] == at, x["end"]).otherwise(-1)) == F.octet_length("text")
+        one = t.select(F.lit(name).alias("source"), (~(joined & gap_free)).cast("long").alias("bad")).groupBy("source").agg(F.sum("bad").alias("violations"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"{SEGS.replace('doc_id', 'doc_id, lang')}, t AS (SELECT lang, doc_id, seg, unnest(regexp_extract_all(seg, '{sql.RUNS}')) AS surface FROM segs) SELECT lang, count(*) AS n_tokens, count(DISTINCT surface) AS n_types, CAST(max(length(surface)) AS INTEGER) AS longest FROM t GROUP BY lang")
+def token_stats_by_lang(spark: SparkSession, sf: str) -> DataFrame:
+    t = unknown_tokens(table(spark, sf, "documents"), "text", ["doc_id", "lang"])
+    return t.groupBy("lang").agg(F.count("*").alias("n_tokens"), F.countDistinct("surface").alias("n_types"), F.max(F.char_length("surface")).alias("longest"))
+
+
+@query(f"{LATIN_TOKENS} SELECT pos, is_known, count(*) AS n FROM tokens GROUP BY 1, 2")
+def pos_counts(spark: SparkSession, sf: str) -> DataFrame:
+    t = latin(spark).tokenize(table(spark, sf, "benchmark").select("item_id", "text"))
+    return t.groupBy("pos", "is_known").agg(F.count("*").alias("n"))
+
+
+@query(f"{LATIN_TOKENS} SELECT item_id, {TOKEN_COLUMNS} FROM tokens")
+def sql_table_function(spark: SparkSession, sf: str) -> DataFrame:
+    latin(spark).register()
+    table(spark, sf, "benchmark").createOrReplaceTempView("tsubame_items")
+    return spark.sql("SELECT item_id, t.* FROM tsubame_items, LATERAL tokens(text) t")
+
+
+@query()
+def stream_equals_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows that a stream of the lines and a batch over them do not share; none is right."""
+    from tsubame.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    base = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+    table(spark, sf, "benchmark").select(F.regexp_replace("text", "\n", " ").alias("value")).write.text(f"{base}/in")
+    a = latin(spark)
+    run_available(line_stream(a, f"{base}/in"), f"{base}/out", f"{base}/state").awaitTermination()
+    batch = a.tokenize_batch(text.read_lines(spark, f"{base}/in"))
+    digest = lambda df: df.select("text", F.to_json("tokens").alias("tokens"))
+    streamed = digest(spark.read.parquet(f"{base}/out"))
+    return digest(batch).exceptAll(streamed).union(streamed.exceptAll(digest(batch))).agg(F.count("*").alias("differences"))
