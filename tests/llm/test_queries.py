@@ -1,0 +1,44 @@
+import os
+
+import duckdb
+import pytest
+
+import corpus_pipeline
+from tsubame.llm import queries
+from tsubame.session import table
+
+SF = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+
+
+def rows(columns, data):
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    return sorted(tuple(str(r[i]) for i in order) for r in data)
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_equals_sql(spark, name):
+    duck = duckdb.connect()
+    for f in os.listdir(SF):
+        duck.execute(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{SF}/{f}'")
+    df = queries.QUERIES[name](spark, SF)
+    found = duck.execute(queries.ORACLES[name])
+    columns = [x[0] for x in found.description]
+    assert rows(df.columns, df.collect()) == rows(columns, found.fetchall())
+
+
+def test_pipeline(spark):
+    docs = table(spark, SF, "documents")
+    columns, total, kept = docs.columns, docs.count(), None
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF).cache()
+        if name != "sharding":
+            assert docs.columns == columns
+        if name == "benchmark decontamination":
+            kept = {r[0] for r in docs.select("doc_id").collect()}
+            assert 0 < len(kept) < total
+    out = docs.select("doc_id", "shard", "slot").collect()
+    assert {r["doc_id"] for r in out} <= kept
+    for s in range(16):
+        mine = sorted(r["slot"] for r in out if r["shard"] == s)
+        assert mine == list(range(len(mine)))
