@@ -8,7 +8,7 @@ import numpy as np
 class Booster:
     """Complete trees of one depth, so that prediction is a few gathers for each level."""
 
-    def __init__(self, rounds: int = 25, depth: int = 4, rate: float = 0.3, bins: int = 32, ridge: float = 1.0) -> None:
+    def __init__(self, rounds: int = 30, depth: int = 4, rate: float = 0.3, bins: int = 24, ridge: float = 1.0) -> None:
         self.rounds, self.depth, self.rate, self.bins, self.ridge = rounds, depth, rate, bins, ridge
         self.trees: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
 

@@ -26,7 +26,7 @@ from tsubame.llm.dom import RAW, Page
 from tsubame.session import arrow_rows, table
 
 ABOVE, IN, OUT = 0, 1, 2
-TRAIN_PAGES = 500
+TRAIN_PAGES = 700
 SEED = 8
 PAGE_ROWS = 256
 
@@ -138,7 +138,7 @@ class Generator:
                 self.out.append(f"<p><b>{self.words(1, 40)}<br>")
                 self.labels.append(IN)
                 self.out.append(f"<p>{self.words(1, 60)}</p>")
-            elif u < 0.72:
+            elif u < 0.70:
                 self.paragraph(IN)
             elif u < 0.78:
                 self.el(r.choice(["h2", "h3"]), IN, self.words(1, 8))
@@ -150,13 +150,13 @@ class Generator:
             elif u < 0.90:
                 row = lambda: self.el("tr", IN, lambda: [self.el("td", IN, self.words(1, 5)) for _ in range(r.randint(1, 4))])
                 self.el("table", IN, lambda: [row() for _ in range(r.randint(1, 5))])
-            elif u < 0.93:
+            elif u < 0.92:
                 self.el("div", IN, lambda: [self.paragraph(IN) for _ in range(r.randint(1, 3))])
-            elif u < 0.95:
+            elif u < 0.93:
                 self.el("pre", IN, self.words(3, 40))
             else:
-                self.boilerplate(r.choice(["ad", "ad", "form", "aside", "notice", "nav"]))
-        if r.random() < 0.1:
+                self.boilerplate(r.choice(["ad", "ad", "form", "aside", "aside", "notice", "nav", "header"]))
+        if r.random() < 0.25:
             self.boilerplate(r.choice(["comments", "footer"]))
 
     def page(self) -> tuple[str, list[int]]:
