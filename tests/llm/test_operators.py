@@ -42,7 +42,9 @@ def texts():
 # Components.
 
 
-def test_components(spark):
+@pytest.mark.parametrize("most", [500_000, 40])
+def test_components(spark, monkeypatch, most):
+    monkeypatch.setattr(graph, "LOCAL_EDGES", most)
     rng = random.Random(2)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(500 + i, 501 + i) for i in range(40)] + [(900, 900 + i) for i in range(80)]
     up = {}
@@ -411,3 +413,16 @@ def test_top_k_equals_brute_force(spark):
     few = topk.top_k(df.where("vec_id in (50, 51)"), F.col("vec_id") % 50 == 0).collect()
     assert [(r["query_id"], r["rank"], r["vec_id"]) for r in few] == [(50, 1, 51)]
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_sketches_bound_the_difference(spark):
+    rng = np.random.default_rng(21)
+    sets = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in (1, 300, 500, 512, 513, 640, 1000, 1024, 1025, 1280)]
+    sets += [np.unique(np.concatenate([s[: len(s) * 9 // 10], rng.integers(0, 2**63, 30).astype(np.uint64)])) for s in sets]
+    group = ngram_join.Sketches([ngram_join.sketch(s) for s in sets])
+    pairs = [(i, j) for i in range(len(sets)) for j in range(len(sets)) if 100 * min(len(sets[i]), len(sets[j])) >= 80 * max(len(sets[i]), len(sets[j]))]
+    rows = spark.createDataFrame([(i, j, ngram_join.sketch(sets[i]).tolist(), ngram_join.sketch(sets[j]).tolist()) for i, j in pairs], "i int, j int, sx array<long>, sy array<long>")
+    for i, j, d in rows.select("i", "j", ngram_join.apart("sx", "sy")).collect():
+        true = len(np.setxor1d(sets[i], sets[j]))
+        assert d <= true and (d >= 0.6 * true or true > 0.6 * (len(sets[i]) + len(sets[j])))
+        assert d == group.apart(i, np.array([j]))[0]

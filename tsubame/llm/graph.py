@@ -1,7 +1,9 @@
 """Connected components of an edge table by distributed union-find.
 
 Every partition first contracts its own edges to stars (bounded memory, no shuffle of
-whole groups); then large-star and small-star steps alternate until nothing changes.
+whole groups); the stars are packed into tasks of ``LOCAL_EDGES`` and contracted again;
+then large-star and small-star steps alternate until nothing changes. Where one task
+held all stars, nothing is left to do after it.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 from tsubame.session import cut
 
 # Edges that a partition contracts at a time.
-LOCAL_EDGES = 1_000_000
+LOCAL_EDGES = 500_000
 
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,7 +64,9 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     def state(x: DataFrame) -> tuple:
         return tuple(x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    now = state(e)
+    tasks = e.count() // LOCAL_EDGES + 1
+    e = cut(e.coalesce(tasks).mapInArrow(_contract, "u long, v long"))
+    now = state(e) if tasks > 1 else (0,)
     while now[0]:
         # Large-star: all larger neighbours go to the smallest one around.
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -8,7 +8,8 @@ only the first line (smallest doc_id, then line number) stays in its document.
 ``BANDS`` bands of ``ROWS`` minima find a pair of similarity 0.8 with a probability of
 0.997, and more similar ones almost surely; each candidate pair is then verified on
 the exact sets. Bands travel packed, by key range; where very many lines meet in a
-band they are first paired with one of them, and then across components only.
+band they are first paired with one of them, then with a few, and then across
+components only.
 
 Defined cases: blank lines are never removed; a form shorter than ``K`` is one
 shingle; a null text counts as empty; lines of rows that share a doc_id and number
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tsubame.llm import textvec as tv
 from tsubame.llm.graph import components
-from tsubame.llm.ngram_join import _ENTRY, BLOCK, _across, _meet, similar
+from tsubame.llm.ngram_join import _cross_pairs, _meet, _pivot_pairs, similar
 from tsubame.session import BROADCAST_ROWS, arrow_rows, cut, shuffle_partitions, table
 
 K = 8
@@ -36,9 +37,12 @@ PERCENT = 80
 ENTRIES_PER_BUCKET = 500_000
 ENTRIES_PER_FLUSH = 2_000_000
 CHUNK_CHARS = 1 << 18
+SEEN_LINES = 500_000
 TEXT_ROWS = 1_024
 PAIR_ROWS = 1_024
 
+_BAND = np.dtype([("s", "<u4"), ("f", "<i8")])
+
 
 def forms(text: str | None) -> list[str]:
     """The form of each line; blank lines give an empty one."""
@@ -47,18 +51,20 @@ def forms(text: str | None) -> list[str]:
 
 def line_shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all K-character shingles of non-empty lines, and each line's first."""
-    size = np.array([len(x) for x in lines])
-    at = np.concatenate([[0], np.cumsum(size)])
-    v = tv.mix(np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(tv.U) + tv.U(1))
+    size = np.fromiter(map(len, lines), np.int64, len(lines))
+    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+    # K - 1 zeros behind each line: no shingle reaches into the next one.
+    start = np.cumsum(size) - size + (K - 1) * np.arange(len(lines))
+    v = np.zeros(len(codes) + (K - 1) * len(lines), dtype=tv.U)
+    v[np.arange(len(codes)) + np.repeat((K - 1) * np.arange(len(lines)), size)] = tv.mix(codes.astype(tv.U) + tv.U(1))
     n = np.maximum(size - K + 1, 1)
     begin = np.concatenate([[0], np.cumsum(n)])
-    line = np.repeat(np.arange(len(lines)), n)
-    pos = at[line] + np.arange(begin[-1]) - begin[line]
-    total = np.zeros(len(line), dtype=tv.U)
-    for j in range(K):
-        here = pos + j
-        total += np.where(here < at[line + 1], v[np.minimum(here, len(v) - 1)], tv.U(0)) * tv.odd(j)
-    return tv.mix(total), begin
+    last = len(v) - K + 1
+    total = v[:last] * tv.odd(0)
+    for j in range(1, K):
+        total += v[j : last + j] * tv.odd(j)
+    at = np.arange(begin[-1]) + np.repeat(start - begin[:-1], n)
+    return tv.mix(total[at]), begin
 
 
 def line_ids(lines: list[str]) -> np.ndarray:
@@ -73,12 +79,12 @@ def band_keys(lines: list[str]) -> np.ndarray:
     """(lines x BANDS) keys of the banded minima."""
     x, begin = line_shingles(lines)
     x = (x >> tv.U(32)).astype(np.uint32)
-    keys = np.empty((len(lines), BANDS), dtype=tv.U)
+    keys, mixed = np.empty((len(lines), BANDS), dtype=tv.U), np.empty_like(x)
     for b in range(BANDS):
         key = np.full(len(lines), b + 1, dtype=tv.U)
         for r in range(ROWS):
-            a = np.uint32(int(tv.odd(1_000 + b * ROWS + r)) >> 32 | 1)
-            low = np.minimum.reduceat(x * a ^ np.uint32(int(tv.odd(5_000 + b * ROWS + r)) & 0xFFFFFFFF), begin[:-1])
+            np.multiply(x, np.uint32(int(tv.odd(1_000 + b * ROWS + r)) >> 32 | 1), out=mixed)
+            low = np.minimum.reduceat(mixed, begin[:-1])
             key = tv.mix(key * tv.odd(3) + low.astype(tv.U))
         keys[:, b] = key
     return keys
@@ -115,8 +121,8 @@ def _bands(buckets: int) -> Callable:
 
     def flush(kept: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         keys = np.concatenate([k for k, _ in kept]).ravel()
-        e = np.empty(len(keys), _ENTRY)
-        e["s"], e["f"], e["n"], e["p"] = keys & tv.U(0xFFFFFFFF), np.repeat(np.concatenate([f for _, f in kept]), BANDS), 1, 0
+        e = np.empty(len(keys), _BAND)
+        e["s"], e["f"] = keys & tv.U(0xFFFFFFFF), np.repeat(np.concatenate([f for _, f in kept]), BANDS)
         b = ((keys >> tv.U(32)) % tv.U(buckets)).astype(np.int32)
         order = np.argsort(b, kind="stable")
         b, e = b[order], e[order]
@@ -134,7 +140,7 @@ def _bands(buckets: int) -> Callable:
                     if x and (key := hash(x)) not in seen:
                         seen.add(key)
                         fresh.append(x)
-            if len(seen) > ENTRIES_PER_FLUSH:
+            if len(seen) > SEEN_LINES:
                 seen.clear()
             for part in _chunks(fresh):
                 kept.append((band_keys(part), line_ids(part)))
@@ -202,18 +208,19 @@ def line_components(docs: DataFrame, occurrences: DataFrame) -> DataFrame:
     buckets = max(shuffle_partitions(spark), total // ENTRIES_PER_BUCKET + 1)
     arrow_rows(spark, TEXT_ROWS)
     dealt = docs.select("text").mapInArrow(_bands(buckets), "bucket int, blob binary")
-    met = cut(dealt.groupBy("bucket").applyInArrow(_meet(PERCENT), "run long, fx long, nx long, px int, fy long, ny long"))
+    met = cut(dealt.groupBy("bucket").applyInArrow(_meet(PERCENT, _BAND), "run long, fx long, nx long, px int, fy long, ny long"))
     links = cut(_linked(docs, met.where("run is null")))
     comp = cut(components(links))
-    late = met.where("run is not null").select("run", "fx", "nx", "px")
-    late = cut(late.join(comp, F.col("fx") == F.col("id"), "left").select("run", "fx", "nx", "px", F.coalesce("component", "fx").alias("lab")))
-    split = cut(late.groupBy("run").agg(F.min("lab").alias("lo"), F.max("lab").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("run", F.ceil(F.col("m") / BLOCK).alias("nb")))
-    if split.head(1):
-        left = late.join(split, "run").withColumn("blk", F.pmod(F.xxhash64("fx"), F.col("nb")))
-        left = left.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
-        left = left.withColumns({"i": F.least("blk", "other"), "j": F.greatest("blk", "other")}).drop("other", "nb")
-        more = left.groupBy("run", "i", "j").applyInArrow(_across(PERCENT), "fx long, fy long")
-        comp = cut(components(cut(links.union(_linked(docs, more)))))
+    late = cut(met.where("run is not null").select("run", "fx", "nx", "px"))
+    for pair_up in (_pivot_pairs, _cross_pairs) if late.head(1) else ():
+        labelled = late.join(comp, F.col("fx") == F.col("id"), "left").select("run", "fx", "nx", "px", F.coalesce("component", "fx").alias("lab"))
+        mixed = labelled.groupBy("run").agg(F.min("lab").alias("lo"), F.max("lab").alias("hi"), F.count("*").alias("m")).where("lo <> hi")
+        mixed = cut(mixed.select("run", "m"))
+        if not mixed.head(1):
+            break
+        more = pair_up(labelled.join(mixed, "run"), PERCENT)
+        links = cut(links.union(_linked(docs, more)))
+        comp = cut(components(links))
     return comp.select(F.col("id").alias("h"), "component")
 
 

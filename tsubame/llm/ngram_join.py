@@ -8,8 +8,11 @@
    first n - ceil(t * n) + 1 shingles, so only these are dealt out, in packed blocks
    by shingle range.
 3. Sets that meet on a shingle become a candidate pair if the length filter and the
-   positional filter let them. Where very many meet, each is first paired with one of
-   them only; after linking, the rest of the group is compared across components.
+   positional filter let them. Where more than ``PAIR_ALL`` meet, each is first paired
+   with one of them only, after linking with ``PIVOTS`` members of other components,
+   and after linking again with every member of another component that is left.
+   Candidates then pass a bitmap filter: each set has a sketch of parities, and two sets
+   differ in as many elements at least as their sketches in bits.
 4. Each candidate pair is verified once on whole texts: suffix filter, then the exact
    intersection. Linked classes are united by distributed union-find.
 
@@ -25,7 +28,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tsubame.llm import textvec as tv
@@ -35,13 +38,15 @@ from tsubame.session import BROADCAST_ROWS, arrow_rows, cut, shuffle_partitions,
 K = 5
 PERCENT = 80
 FREQUENT = 100_000
-PAIR_ALL = 32
+PAIR_ALL = 8
+PIVOTS = 8
 ENTRIES_PER_BUCKET = 400_000
 ENTRIES_PER_FLUSH = 1_000_000
 BLOCK = 1_000
 TEXT_ROWS = 1_024
 PAIR_ROWS = 128
 SUFFIX_RANGES = 16
+SKETCH_BITS = (1 << 10, 1 << 17)
 
 
 def overlap(nx: np.ndarray, ny: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -62,8 +67,56 @@ def fingerprint(s: np.ndarray) -> int:
     return int(tv.mix(np.array([np.sum(tv.mix(s + tv.U(0x1234567)), dtype=tv.U) + tv.U(len(s))], dtype=tv.U)).view(np.int64)[0])
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Parity of the number of elements by their low hash bits, packed into words.
+
+    Two to four bits an element, a power of two, so sets of similar size have sketches
+    of one size, or of twice the size: xor of its halves turns it into the smaller one.
+    """
+    bits = min(SKETCH_BITS[1], max(SKETCH_BITS[0], 2 << max(0, len(s) - 1).bit_length()))
+    odd = np.bincount((s & tv.U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def apart(sx: str, sy: str) -> Column:
+    """Least number of elements in which two sets with these sketches differ."""
+    half = lambda s: F.floor(F.size(s) / 2).cast("int")
+    fold = lambda s: F.zip_with(F.slice(s, F.lit(1), half(s)), F.slice(s, half(s) + 1, half(s)), lambda a, b: a.bitwiseXOR(b))
+    x = F.when(F.size(sx) > F.size(sy), fold(sx)).otherwise(F.col(sx))
+    y = F.when(F.size(sy) > F.size(sx), fold(sy)).otherwise(F.col(sy))
+    bits = F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b)))
+    return F.aggregate(bits, F.lit(0), lambda t, v: t + F.coalesce(v, F.lit(0)))
+
+
+class Sketches:
+    """Sketches of the members of a group, compared one with many."""
+
+    def __init__(self, rows: list[np.ndarray]) -> None:
+        self.size = np.array([len(r) for r in rows])
+        self.level: dict[int, np.ndarray] = {}
+        for n in np.unique(self.size):
+            for m in (n, n // 2):
+                self.level.setdefault(int(m), np.zeros((len(rows), m), np.int64))
+        for i, r in enumerate(rows):
+            m = len(r) // 2
+            self.level[len(r)][i] = r
+            self.level[m][i] = r[:m] ^ r[m:]
+
+    def apart(self, a: int, b: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(b), np.int64)
+        low = np.minimum(self.size[b], self.size[a])
+        fits = np.maximum(self.size[b], self.size[a]) <= 2 * low
+        for n in np.unique(low[fits]):
+            at = fits & (low == n)
+            m = self.level[int(n)]
+            # Unsigned: of a signed value numpy counts the bits of its magnitude.
+            out[at] = np.bitwise_count((m[b[at]] ^ m[a]).view(np.uint64)).sum(axis=1)
+        return out
+
+
 def _stats(k: int) -> Callable:
-    schema = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64())])
+    kinds = [("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64()), ("sketch", pa.list_(pa.int64()))]
+    schema = pa.schema(kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tv.Tables()
@@ -73,12 +126,12 @@ def _stats(k: int) -> Callable:
                 n = np.array([len(s) for s in sets], np.int64)
                 fp = np.array([fingerprint(s) for s in sets], np.int64)
                 kind = pa.array(np.zeros(len(sets), np.int32))
-                yield pa.record_batch([kind, ids.slice(i, len(sets)).cast(pa.int64()), pa.array(n), pa.array(fp)], schema=schema)
+                yield pa.record_batch([kind, ids.slice(i, len(sets)).cast(pa.int64()), pa.array(n), pa.array(fp), pa.array([sketch(s) for s in sets], kinds[4][1])], schema=schema)
                 seen, count = np.unique(np.concatenate(sets), return_counts=True)
                 often = count >= 3
                 if often.any():
                     m = int(often.sum())
-                    yield pa.record_batch([pa.array(np.ones(m, np.int32)), pa.array(seen[often].view(np.int64)), pa.array(count[often].astype(np.int64)), pa.nulls(m, pa.int64())], schema=schema)
+                    yield pa.record_batch([pa.array(np.ones(m, np.int32)), pa.array(seen[often].view(np.int64)), pa.array(count[often].astype(np.int64)), pa.nulls(m, pa.int64()), pa.nulls(m, kinds[4][1])], schema=schema)
 
     return run
 
@@ -147,10 +200,16 @@ def _may_link(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
 _MET = pa.schema([("run", pa.int64()), ("fx", pa.int64()), ("nx", pa.int64()), ("px", pa.int32()), ("fy", pa.int64()), ("ny", pa.int64())])
 
 
-def _meet(percent: int) -> Callable:
+def _meet(percent: int, stored: np.dtype = _ENTRY) -> Callable:
+    """Candidate pairs and large groups of a bucket; ``stored`` may lack size and place."""
+
     def run(group: pa.Table) -> pa.Table:
         bucket = group.column("bucket")[0].as_py()
-        e = np.frombuffer(b"".join(group.column("blob").to_pylist()), _ENTRY)
+        raw = np.frombuffer(b"".join(group.column("blob").to_pylist()), stored)
+        e = np.zeros(len(raw), _ENTRY)
+        e["n"] = 1
+        for name in stored.names:
+            e[name] = raw[name]
         order = np.lexsort((e["f"], e["s"]))
         e = e[order]
         new = np.ones(len(e), bool)
@@ -203,6 +262,9 @@ def _across(percent: int) -> Callable:
 
     def run(group: pa.Table) -> pa.Table:
         g = {c: group.column(c).to_numpy() for c in ("fx", "nx", "px", "lab", "i", "j", "blk")}
+        bits = None
+        if "sketch" in group.column_names:
+            bits = Sketches([np.array(x, np.int64) for x in group.column("sketch").to_pylist()])
         e = np.empty(len(g["fx"]), _ENTRY)
         e["s"], e["f"], e["n"], e["p"] = 0, g["fx"], g["nx"], g["px"]
         left, right = np.flatnonzero(g["blk"] == g["i"]), np.flatnonzero(g["blk"] == g["j"])
@@ -210,6 +272,9 @@ def _across(percent: int) -> Callable:
         for a in left:
             b = right[(g["lab"][right] != g["lab"][a]) & ((g["fx"][right] > g["fx"][a]) | (g["i"][0] != g["j"][0]))]
             b = b[_may_link(np.broadcast_to(e[a], len(b)), e[b], percent)]
+            if bits is not None and len(b):
+                n = g["nx"][a] + g["nx"][b]
+                b = b[bits.apart(int(a), b) <= n - 2 * overlap(n, 0, percent)]
             xs.append(np.full(len(b), e["f"][a], np.int64))
             ys.append(e["f"][b].astype(np.int64))
         return pa.Table.from_arrays([pa.array(np.concatenate(xs)), pa.array(np.concatenate(ys))], schema=schema)
@@ -252,14 +317,40 @@ def _verify(k: int, percent: int) -> Callable:
 def _linked(docs: DataFrame, reps: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """Verified (u, v) of candidate fingerprint pairs, as representative doc_ids."""
     spark = docs.sparkSession
-    ends = lambda s: reps.select(F.col("fp").alias("f" + s), F.col("rep").alias(s))
-    pairs = cut(pairs.select("fx", "fy").distinct().join(ends("x"), "fx").join(ends("y"), "fy").where("x is not null and y is not null"))
+    ends = lambda s: reps.select(F.col("fp").alias("f" + s), F.col("rep").alias(s), F.col("n").alias("n" + s), F.col("sketch").alias("s" + s))
+    pairs = pairs.select("fx", "fy").distinct().join(ends("x"), "fx").join(ends("y"), "fy").where("x is not null and y is not null")
+    need = F.ceil(percent * (F.col("nx") + F.col("ny")) / (100 + percent) - 1e-9)
+    pairs = cut(pairs.where(apart("sx", "sy") <= F.col("nx") + F.col("ny") - 2 * need).select("x", "y", "fx", "fy"))
     need = cut(pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y")).distinct())
     few = F.broadcast(need) if need.count() <= BROADCAST_ROWS else need
     texts = docs.select("doc_id", "text").join(few, "doc_id", "left_semi")
     side = lambda s: texts.select(F.col("doc_id").alias(s), F.col("text").alias("t" + s))
     arrow_rows(spark, PAIR_ROWS)
-    return pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", "fx", "fy", "tx", "ty").mapInArrow(_verify(k, percent), "u long, v long")
+    # Always by sorted merge, so the plan is one and the same at every size.
+    met = pairs.hint("merge").join(side("x"), "x").hint("merge").join(side("y"), "y")
+    return met.select("x", "y", "fx", "fy", "tx", "ty").mapInArrow(_verify(k, percent), "u long, v long")
+
+
+def _labels(reps: DataFrame, comp: DataFrame) -> DataFrame:
+    """(fp, lab): the component of each class so far."""
+    return reps.join(comp, reps["rep"] == comp["id"], "left").select("fp", F.coalesce("component", "rep").alias("lab"))
+
+
+def _pivot_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """Each member with a few members of its group, the same for all, of other components."""
+    picks = [F.min(F.struct(F.xxhash64(F.lit(i), "fx"), F.col("fx"), F.col("nx"), F.col("lab"))).alias(f"p{i}") for i in range(PIVOTS)]
+    pivots = members.groupBy("run").agg(*picks).select("run", F.array(*[f"p{i}" for i in range(PIVOTS)]).alias("ps"))
+    met = members.join(pivots, "run").select("fx", "nx", "lab", F.explode("ps").alias("p")).where("lab <> p.lab")
+    close = 100 * F.least("nx", "p.nx") >= percent * F.greatest("nx", "p.nx")
+    return met.where(close).select(F.least("fx", "p.fx").alias("fx"), F.greatest("fx", "p.fx").alias("fy"))
+
+
+def _cross_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """All pairs of a group whose components differ, in blocks of bounded size."""
+    left = members.withColumn("nb", F.ceil(F.col("m") / BLOCK)).withColumn("blk", F.pmod(F.xxhash64("fx"), F.col("nb")))
+    left = left.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
+    left = left.withColumns({"i": F.least("blk", "other"), "j": F.greatest("blk", "other")}).select("run", "i", "j", "blk", "fx", "nx", "px", "lab", *[c for c in members.columns if c == "sketch"])
+    return left.groupBy("run", "i", "j").applyInArrow(_across(percent), "fx long, fy long")
 
 
 def join_components(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
@@ -267,9 +358,10 @@ def join_components(docs: DataFrame, k: int = K, percent: int = PERCENT) -> Data
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     arrow_rows(spark, TEXT_ROWS)
-    seen = cut(docs.mapInArrow(_stats(k), "kind int, a long, b long, c long"))
-    rows = seen.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), F.col("c").alias("fp"))
-    reps = cut(rows.where("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    seen = cut(docs.mapInArrow(_stats(k), "kind int, a long, b long, c long, sketch array<long>"))
+    rows = seen.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), F.col("c").alias("fp"), "sketch")
+    reps = rows.where("n_shingles > 0").groupBy("fp", F.col("n_shingles").alias("n"))
+    reps = cut(reps.agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")))
     often = seen.where("kind = 1").groupBy("a").agg(F.sum("b").alias("df")).where("df >= 10").orderBy(F.desc("df"), "a").limit(FREQUENT).collect()
     hot = np.array([r["a"] for r in often], np.int64).view(tv.U)
     by = np.argsort(hot)
@@ -280,19 +372,21 @@ def join_components(docs: DataFrame, k: int = K, percent: int = PERCENT) -> Data
     met = cut(dealt.groupBy("bucket").applyInArrow(_meet(percent), "run long, fx long, nx long, px int, fy long, ny long"))
     links = cut(_linked(docs, reps, met.where("run is null"), k, percent))
     comp = cut(components(links))
-    label = reps.join(comp, reps["rep"] == comp["id"], "left").select("fp", F.coalesce("component", "rep").alias("lab"))
-    # What the large groups still have to compare: members of different components.
-    late = met.where("run is not null").select("run", "fx", "nx", "px").join(label, F.col("fx") == F.col("fp"))
-    late = cut(late.select("run", "fx", "nx", "px", "lab"))
-    split = cut(late.groupBy("run").agg(F.min("lab").alias("lo"), F.max("lab").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("run", F.ceil(F.col("m") / BLOCK).alias("nb")))
-    if split.head(1):
-        left = late.join(split, "run").withColumn("blk", F.pmod(F.xxhash64("fx"), F.col("nb")))
-        left = left.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
-        left = left.withColumns({"i": F.least("blk", "other"), "j": F.greatest("blk", "other")}).drop("other", "nb")
-        more = left.groupBy("run", "i", "j").applyInArrow(_across(percent), "fx long, fy long")
-        more = _linked(docs, reps, more, k, percent)
-        comp = cut(components(cut(links.union(more))))
-        label = reps.join(comp, reps["rep"] == comp["id"], "left").select("fp", F.coalesce("component", "rep").alias("lab"))
+    late = cut(met.where("run is not null").select("run", "fx", "nx", "px"))
+    for pair_up in (_pivot_pairs, _cross_pairs) if late.head(1) else ():
+        label = _labels(reps, comp)
+        labelled = late.join(label, F.col("fx") == F.col("fp")).select("run", "fx", "nx", "px", "lab")
+        mixed = labelled.groupBy("run").agg(F.min("lab").alias("lo"), F.max("lab").alias("hi"), F.count("*").alias("m")).where("lo <> hi")
+        mixed = cut(mixed.select("run", "m"))
+        if not mixed.head(1):
+            break
+        members = labelled.join(mixed, "run")
+        if pair_up is _cross_pairs:
+            members = members.join(reps.select(F.col("fp").alias("fx"), "sketch"), "fx")
+        more = pair_up(members, percent)
+        links = cut(links.union(_linked(docs, reps, more, k, percent)))
+        comp = cut(components(links))
+    label = _labels(reps, comp)
     out = rows.join(label, "fp", "left")
     alone = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("lab"))
     return out.select("doc_id", "n_shingles", alone.alias("component_id"))
