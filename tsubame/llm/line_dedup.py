@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tsubame.llm import textvec as tv
 from tsubame.llm.graph import components
-from tsubame.llm.ngram_join import _cross_pairs, _meet, _pivot_pairs, similar
+from tsubame.llm.ngram_join import _cross_pairs, _meet, _pivot_pairs, similar, sketch
 from tsubame.session import BROADCAST_ROWS, arrow_rows, cut, shuffle_partitions, table
 
 K = 8
@@ -184,18 +184,33 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([b.column(0).filter(ok), b.column(1).filter(ok)], ["u", "v"])
 
 
-def _linked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    spark = docs.sparkSession
-    pairs = cut(pairs.select("fx", "fy").distinct())
-    need = cut(pairs.select(F.col("fx").alias("h")).union(pairs.select("fy")).distinct())
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        if not b.num_rows:
+            continue
+        x, at = line_shingles(b.column(1).to_pylist())
+        sets = [np.unique(x[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
+        n = pa.array([len(v) for v in sets], pa.int64())
+        yield pa.record_batch([b.column(0), n, pa.array([sketch(v) for v in sets], pa.list_(pa.int64()))], ["fx", "nx", "sketch"])
+
+
+def _forms_of(docs: DataFrame, need: DataFrame) -> DataFrame:
+    """(h, form) of the forms in ``need``, once each."""
     wanted = None
     if need.count() <= BROADCAST_ROWS:
         wanted = np.sort(np.array([r[0] for r in need.collect()], np.int64))
-    arrow_rows(spark, TEXT_ROWS)
+    arrow_rows(docs.sparkSession, TEXT_ROWS)
     texts = docs.select("text").mapInArrow(_texts(wanted), "h long, form string")
     if wanted is None:
         texts = texts.join(need, "h", "left_semi")
-    texts = cut(texts.groupBy("h").agg(F.first("form").alias("form")))
+    return cut(texts.groupBy("h").agg(F.first("form").alias("form")))
+
+
+def _linked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    spark = docs.sparkSession
+    pairs = cut(pairs.select("fx", "fy").distinct())
+    need = cut(pairs.select(F.col("fx").alias("h")).union(pairs.select("fy")).distinct())
+    texts = _forms_of(docs, need)
     side = lambda s: texts.select(F.col("h").alias("f" + s), F.col("form").alias("t" + s))
     arrow_rows(spark, PAIR_ROWS)
     return pairs.join(side("x"), "fx").join(side("y"), "fy").select("fx", "fy", "tx", "ty").mapInArrow(_verify, "u long, v long")
@@ -218,7 +233,13 @@ def line_components(docs: DataFrame, occurrences: DataFrame) -> DataFrame:
         mixed = cut(mixed.select("run", "m"))
         if not mixed.head(1):
             break
-        more = pair_up(labelled.join(mixed, "run"), PERCENT)
+        members = labelled.join(mixed, "run")
+        if pair_up is _cross_pairs:
+            # Sizes and parity sketches keep all but likely pairs of a group from being made.
+            forms_ = _forms_of(docs, cut(members.select(F.col("fx").alias("h")).distinct()))
+            known = forms_.mapInArrow(_sketched, "fx long, nx long, sketch array<long>")
+            members = members.drop("nx").join(known, "fx")
+        more = pair_up(members, PERCENT)
         links = cut(links.union(_linked(docs, more)))
         comp = cut(components(links))
     return comp.select(F.col("id").alias("h"), "component")
