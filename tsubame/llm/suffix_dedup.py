@@ -11,10 +11,10 @@ A byte is removed if it lies in a string of ``LENGTH`` bytes that also starts ea
    Segments whose anchor occurs once cannot repeat and end here.
 3. What is left are different segments around one anchor. Their bytes meet in buckets,
    in shards of bounded size. Each shard gets its suffix order and its transform; the
-   transforms are merged by interleave refinement: round h turns the order by the
-   first h - 1 symbols into that by the first h, moving only source numbers by the
-   preceding symbol, and a border between neighbours appears in the round that equals
-   their common prefix. After LENGTH rounds the intervals without a border are the
+   transforms are merged by interleave refinement: each round turns the order by the
+   first h symbols into that by the first h + 2, moving only source numbers by the
+   preceding pair of symbols, and a border between neighbours appears in the round of
+   their common prefix. After LENGTH / 2 rounds the intervals without a border are the
    repeated strings, and all but their first windows go.
    An anchor with more than ``GROUP_SEGMENTS`` different segments deals its windows out
    one by one, by their own hash, so no bucket holds a hot anchor.
@@ -43,7 +43,8 @@ GRAM = 40
 GROUP_SEGMENTS = 4_096
 BYTES_PER_BUCKET = 12_000_000
 ENTRIES_PER_FLUSH = 1_000_000
-SHARD_BYTES = 1 << 20
+MERGE_BYTES = 1 << 19
+SHARD_BYTES = 1 << 17
 TEXT_ROWS = 1_024
 LAST = np.iinfo(np.int64).max
 
@@ -211,7 +212,8 @@ class Shard:
             key = (key << 9) | np.roll(symbols, -j)
         depth = 7
         while True:
-            order = np.argsort(key, kind="stable")
+            # Suffixes that agree to this depth may stand in any order.
+            order = np.argsort(key)
             if depth >= LENGTH:
                 break
             step = np.ones(n, np.int64)
@@ -223,31 +225,36 @@ class Shard:
             key = rank * (n + 1) + np.roll(rank, -depth)
             depth *= 2
         self.order = order
-        self.before = symbols[order - 1].astype(np.uint16)
+        # The transform by pairs: the two symbols before each suffix.
+        self.before = (symbols[order - 2] << 9) | symbols[order - 1]
 
 
-def interleave(shards: list[Shard], rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Merged order of all shards' suffixes by their first ``rounds`` symbols.
+def interleave(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Merged order of all shards' suffixes by their first ``depth`` symbols, two a round.
 
     Returns, rank by rank, the number of the suffix (shard by shard, in shard order)
     and its interval; suffixes share an interval if the first symbols are equal.
     """
     sizes = [len(s.order) for s in shards]
     n = sum(sizes)
-    source = np.repeat(np.arange(len(shards)), sizes).astype(np.uint16)
-    before = np.concatenate([s.before for s in shards])
+    narrow = np.uint8 if len(shards) < 256 else np.uint16
     # z: source at each rank; suffix k of a source is the k-th occurrence of it.
-    z, border = source.copy(), np.zeros(n, bool)
+    z = np.repeat(np.arange(len(shards)), sizes).astype(narrow)
+    before = np.concatenate([s.before for s in shards])
+    # Only the order of pairs counts: renumbered, nearly always in two bytes.
+    used, before = np.unique(before, return_inverse=True)
+    before = before.astype(np.uint16 if len(used) <= 65_536 else np.uint32)
+    border = np.zeros(n, bool)
     border[0] = True
-    ids = np.empty(n, np.int64)
-    for _ in range(rounds):
-        ids[np.argsort(z, kind="stable")] = np.arange(n)
+    ids, ranks = np.empty(n, np.int32), np.arange(n, dtype=np.int32)
+    for _ in range(depth // 2):
+        ids[np.argsort(z, kind="stable")] = ranks
         symbol = before[ids]
         to = np.argsort(symbol, kind="stable")
-        interval = np.cumsum(border)[to]
+        interval = np.cumsum(border, dtype=np.int32)[to]
         symbol, z = symbol[to], z[to]
         border[1:] = (symbol[1:] != symbol[:-1]) | (interval[1:] != interval[:-1])
-    ids[np.argsort(z, kind="stable")] = np.arange(n)
+    ids[np.argsort(z, kind="stable")] = ranks
     return ids, np.cumsum(border)
 
 
@@ -310,6 +317,18 @@ def joined(d: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _parts(heads: np.ndarray, body: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The segments dealt by anchor into parts of about MERGE_BYTES, each merged alone."""
+    size = heads["n"].astype(np.int64) + LENGTH - 1
+    start = np.cumsum(size) - size
+    part = tv.mix(heads["g"]) % tv.U(max(1, -(-len(body) // MERGE_BYTES)))
+    order = np.argsort(part, kind="stable")
+    for mine in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+        n = size[mine]
+        at = np.arange(n.sum()) + np.repeat(start[mine] - (np.cumsum(n) - n), n)
+        yield heads[mine], body[at]
+
+
 def _merge(buckets: int) -> Callable:
     def run(group: pa.Table) -> pa.Table:
         kind = group.column("kind").to_numpy()
@@ -322,7 +341,7 @@ def _merge(buckets: int) -> Callable:
                 heads.append(np.frombuffer(raw[4:end], _HEAD))
                 bodies.append(np.frombuffer(raw, np.uint8, offset=end))
         if heads:
-            found.append(repeated(np.concatenate(heads), np.concatenate(bodies)))
+            found += [repeated(h, b) for h, b in _parts(np.concatenate(heads), np.concatenate(bodies))]
         each = np.frombuffer(b"".join(x.as_py() for k, x in zip(kind, group.column("blob"), strict=True) if k == 3), _HEAD)
         if len(each):
             found.append(_later(each["g"], each["d"], each["s"].astype(np.int64)))
