@@ -63,6 +63,21 @@ def test_components(spark, monkeypatch, most):
     assert graph.components(df.limit(0)).count() == 0
 
 
+def test_components_with_more_nodes_than_edges(spark, monkeypatch):
+    monkeypatch.setattr(graph, "LOCAL_EDGES", 250)
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(batch)
+    spark.conf.set(batch, "10")
+    try:
+        # 200 edges and 300 nodes: 9 -> 1 and 9 -> 5 in different partitions.
+        pairs = [(9 + 10 * i, 1 + 10 * i) for i in range(100)] + [(9 + 10 * i, 5 + 10 * i) for i in range(100)]
+        df = spark.createDataFrame(spark.sparkContext.parallelize(pairs, 2), "u long, v long")
+        got = {r["id"]: r["component"] for r in graph.components(df).collect()}
+    finally:
+        spark.conf.set(batch, old)
+    assert got == {x + 10 * i: 1 + 10 * i for i in range(100) for x in (1, 5, 9)}
+
+
 # 1. Quality.
 
 

@@ -1,9 +1,9 @@
 """Connected components of an edge table by distributed union-find.
 
 Every partition first contracts its own edges to stars (bounded memory, no shuffle of
-whole groups); the stars are packed into tasks of ``LOCAL_EDGES`` and contracted again;
+whole groups); the stars are packed into tasks of ``LOCAL_EDGES`` nodes and contracted again;
 then large-star and small-star steps alternate until nothing changes. Where one task
-held all stars, nothing is left to do after it.
+held all stars and could not fill its forest, nothing is left to do after it.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tsubame.session import cut
 
-# Edges that a partition contracts at a time.
+# Nodes that a partition holds at a time; n edges have 2 n nodes at most.
 LOCAL_EDGES = 500_000
 
 
@@ -64,7 +64,8 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     def state(x: DataFrame) -> tuple:
         return tuple(x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    tasks = e.count() // LOCAL_EDGES + 1
+    # One task is the last word only if it never hands out its forest halfway.
+    tasks = 2 * e.count() // LOCAL_EDGES + 1
     e = cut(e.coalesce(tasks).mapInArrow(_contract, "u long, v long"))
     now = state(e) if tasks > 1 else (0,)
     while now[0]:
