@@ -400,6 +400,18 @@ def test_leaks_equal_brute_force(spark):
     assert decontaminate.leaks(docs_of(spark, texts).limit(0), bench).count() == 0
 
 
+def test_texts_shorter_than_the_item_leak(spark):
+    rng = random.Random(13)
+    items = [[f"v{i}x{j}" for j in range(n)] for i, n in enumerate((54, 104, 29, 204))]
+    cuts = [(i, n) for i, w in enumerate(items) for m in [len(w) - 4] for n in {4 + -(-m * p // 100) for p in (79, 80, 82, 85, 88, 89, 95)}]
+    texts = [" ".join(items[i][at : at + n]) for i, n in cuts for at in (0, rng.randint(0, len(items[i]) - n))]
+    want = {(d, i): (n - 4) / (len(items[i]) - 4) for d, (i, n) in enumerate([c for c in cuts for _ in "ab"]) if 10 * (n - 4) >= 8 * (len(items[i]) - 4)}
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    rows = decontaminate.leaks(docs_of(spark, texts), bench).collect()
+    assert {(r["doc_id"], r["item_id"]): round(r["similarity"], 9) for r in rows} == {k: round(v, 9) for k, v in want.items()}
+    assert all(r["start_word"] == 0 and r["n_words"] == len(texts[r["doc_id"]].split()) for r in rows)
+
+
 def test_simhash(spark):
     rng = random.Random(11)
     hs = [rng.getrandbits(64) - (1 << 63) for _ in range(21)]

@@ -3,9 +3,10 @@
 A window of an item's length is a leak if its weighted 5-word shingles (weight: how
 often they occur) have sum(min) / sum(max) of 0.8 or more with the item's.
 
-1. Every text's shingles meet the items' shingles. A leak shares at least 8/9 of an
-   item's, so (text, item) pairs with fewer places in common are left; every place of
-   the others fixes a window.
+1. Every text's shingles meet the items' shingles. A leak shares at least 4/9 of all
+   shingles of window and item (8/9 of an item's, if the text is not shorter), so
+   (text, item) pairs with fewer places in common are left; every place of the others
+   fixes a window.
 2. Each such window gets a 64-bit SimHash. Fingerprints within ``RADIUS`` bits agree
    on one of ``RADIUS + 1`` blocks at least, so an index on (item length, block,
    value) finds all of them.
@@ -98,8 +99,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = K) -> DataFrame:
     length = F.least("len", "n")
     start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("ipos"), F.col("n") - F.col("len")))
     shape = F.struct(start.alias("start"), length.alias("wl"), F.col("len"), F.col("k"))
-    near = hits.groupBy("doc_id", "key", "item_id", "m").agg(F.size(F.collect_set("pos")).alias("places"), F.collect_set(shape).alias("ws"))
-    near = near.where(9 * F.col("places") >= 8 * F.col("m"))
+    both = (F.col("m") + length - F.col("k") + 1).alias("both")
+    near = hits.groupBy("doc_id", "key", "item_id", both).agg(F.size(F.collect_set("pos")).alias("places"), F.collect_set(shape).alias("ws"))
+    near = near.where(9 * F.col("places") >= 4 * F.col("both"))
     near = cut(near.groupBy("doc_id", "key").agg(F.array_distinct(F.flatten(F.collect_list("ws"))).alias("ws")))
     same = (F.col("r.doc_id").eqNullSafe(F.col("n.doc_id"))) & (F.col("r.key") == F.col("n.key"))
     windows = rows.alias("r").join(_small(near).alias("n"), same).select("r.doc_id", "r.key", "hw", "ws").dropDuplicates(["doc_id", "key"])
