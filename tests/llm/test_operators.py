@@ -313,6 +313,21 @@ def test_mixing(spark):
     assert mixing.plan(docs.limit(0)).count() == 0 and mixing.mix(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [500, 60])
+def test_mixing_fills_up_beside_a_giant(spark, monkeypatch, block):
+    monkeypatch.setattr(mixing, "DOCS_PER_BLOCK", block)
+    giants = [(-1 - i, "w " * 4_500, f"s{i}") for i in range(12)]
+    docs = spark.createDataFrame([(i, "w " * (1 + i // 12 % 40), f"s{i % 12}") for i in range(12 * 300)] + giants, "doc_id long, text string, source string")
+    by = {}
+    for r in mixing.plan(docs).collect():
+        by.setdefault(r["doc_id"] % 12 if r["doc_id"] >= 0 else -1 - r["doc_id"], []).append(r)
+    for rows in by.values():
+        missed = rows[0]["target"] - sum(r["taken"] for r in rows)
+        whole = rows[0]["target"] // rows[0]["source_size"]
+        assert all(r["size"] > missed for r in rows if len(r["shards"]) == whole)
+        assert missed > -max(r["size"] for r in rows) / 2
+
+
 def test_split_tree():
     leaves = mixing.split_tree(np.random.default_rng(1), [7, 0, 33, 8], 16)
     assert np.sum(leaves, axis=0).tolist() == [7, 0, 33, 8] and {sum(x) for x in leaves} == {3}

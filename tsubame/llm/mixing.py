@@ -2,10 +2,11 @@
 
 Each source's documents are dealt into blocks by a hash, and the blocks are put in a
 random order. A target of t words takes the whole source floor(t / size) times and
-the rest as a prefix of its blocks; in the one block where the prefix ends, single
-documents are taken in random order while they fit, then the one that comes closest
-to what is left, if it helps. The drawn blocks of all sources are divided among the
-output shards by a tree: each node gives one half of its shards a multivariate
+the rest from its blocks in order: a block that fits goes whole, of another one every
+document that still fits when its turn comes in a random order, until no document of
+the source fits. Then the document of those looked at singly that comes closest to
+what is left goes too, if it helps. The drawn blocks of all sources are divided among
+the output shards by a tree: each node gives one half of its shards a multivariate
 hypergeometric share of every source's blocks, so shards get disjoint runs of blocks
 as a uniform shuffle would give. Documents are never cut.
 
@@ -21,6 +22,8 @@ reserved.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -105,6 +108,39 @@ def mix(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, **rules: object
     return drawn.withColumn("_mix_shard", F.explode("_mix_shards")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+def _order(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed + 1), "_mix_key")
+
+
+def _fitted(narrow: DataFrame, edge: list[tuple[int, int, float]], seed: int) -> DataFrame:
+    """The documents of one block a source, in random order, each with whether it fits in what is left of the quota."""
+    quota = F.broadcast(narrow.sparkSession.createDataFrame(edge, "_mix_no int, _mix_block int, _mix_quota double"))
+    unit = narrow.join(quota, ["_mix_no", "_mix_block"]).groupBy("_mix_no", "_mix_key", "_mix_quota").agg(F.sum("_mix_size").alias("unit"))
+    docs = F.array_sort(F.collect_list(F.struct(_order(seed).alias("at"), F.col("_mix_key").alias("key"), "unit"))).alias("docs")
+    none = F.array().cast("array<struct<_mix_key:bigint,_mix_unit:bigint,_mix_fits:boolean>>")
+
+    def step(acc: Column, d: Column) -> Column:
+        fits = d["unit"] <= acc["left"]
+        one = F.struct(d["key"].alias("_mix_key"), d["unit"].alias("_mix_unit"), fits.alias("_mix_fits"))
+        return F.struct(F.when(fits, acc["left"] - d["unit"]).otherwise(acc["left"]).alias("left"), F.concat(acc["out"], F.array(one)).alias("out"))
+
+    out = F.aggregate("docs", F.struct(F.col("_mix_quota").alias("left"), none.alias("out")), step, lambda acc: acc["out"])
+    return cut(unit.groupBy("_mix_no", "_mix_quota").agg(docs).select("_mix_no", F.inline(out)))
+
+
+def _chosen(spark: SparkSession, tried: list[DataFrame], rest: list[float], seed: int) -> DataFrame:
+    """Those that fit, and of the others the one closest to what is left of each source, if it helps."""
+    if not tried:
+        return spark.createDataFrame([], "_mix_no int, _mix_key bigint, _mix_chosen boolean")
+    left = spark.createDataFrame(list(enumerate(rest)), "_mix_no int, _mix_left double")
+    unit = reduce(DataFrame.unionByName, tried).join(_bounded(left, len(rest)), "_mix_no")
+    gap = F.abs(F.col("_mix_unit") - F.col("_mix_left"))
+    closest = F.row_number().over(Window.partitionBy("_mix_no").orderBy("_mix_fits", gap, _order(seed), "_mix_key"))
+    unit = unit.withColumn("_mix_rank", closest)
+    chosen = unit.where(F.col("_mix_fits") | ((F.col("_mix_rank") == 1) & (gap < F.col("_mix_left"))))
+    return chosen.select("_mix_no", "_mix_key", F.lit(True).alias("_mix_chosen"))
+
+
 def _draw(rows: DataFrame, narrow: DataFrame, shards: int, seed: int, rules: dict) -> DataFrame:
     """``rows`` with _mix_total, _mix_target and _mix_shards, one shard for each copy."""
     spark = rows.sparkSession
@@ -122,20 +158,35 @@ def _draw(rows: DataFrame, narrow: DataFrame, shards: int, seed: int, rules: dic
         return df.join(sources, "_mix_source").withColumn("_mix_block", _block(F.col("_mix_blocks"), seed))
 
     narrow = cut(placed(narrow))
-    load = {(r[0], r[1]): r[2] for r in narrow.groupBy("_mix_no", "_mix_block").agg(F.sum("_mix_size")).collect()}
-    runs, border = [], {}
+    least = F.min(F.when(F.col("_mix_size") > 0, F.col("_mix_size")))
+    load = {(r[0], r[1]): (r[2], r[3]) for r in narrow.groupBy("_mix_no", "_mix_block").agg(F.sum("_mix_size"), least).collect()}
+    runs, rest, ahead, parts, tried = [], [], [], set(), []
     for i in range(len(found)):
         order = np.random.default_rng((seed, i)).permutation(blocks[i]).tolist()
-        passes, rest = (0, 0.0) if words[i] == 0 else divmod(want[i], words[i])
-        drawn = order * int(passes)
-        for b in order if rest > 0 else ():
-            if load.get((i, b), 0) > rest:
-                border[i] = (b, rest)
-                drawn.append(b)
-                break
-            rest -= load.get((i, b), 0)
-            drawn.append(b)
-        runs.append(drawn)
+        passes, left = (0, 0.0) if words[i] == 0 else divmod(want[i], words[i])
+        runs.append(order * int(passes))
+        rest.append(left)
+        ahead.append(iter(order if left > 0 else ()))
+    waiting = range(len(found))
+    while waiting:
+        edge = []
+        for i in waiting:
+            for b in ahead[i]:
+                size, smallest = load.get((i, b), (0, None))
+                if size <= rest[i]:
+                    rest[i] -= size
+                    runs[i].append(b)
+                elif i not in parts or smallest <= rest[i]:
+                    # A source's first block that does not fit is looked into in any case.
+                    parts |= {i, (i, b)}
+                    runs[i].append(b)
+                    edge.append((i, b, rest[i]))
+                    break
+        waiting = [i for i, _, _ in edge]
+        if edge:
+            tried.append(_fitted(narrow, edge, seed))
+            for r in tried[-1].where("_mix_fits").groupBy("_mix_no").agg(F.sum("_mix_unit")).collect():
+                rest[r[0]] -= r[1]
     copies: dict[tuple[int, int], list[int]] = {}
     at = [0] * len(runs)
     for shard, share in enumerate(split_tree(np.random.default_rng(seed), [len(r) for r in runs], shards)):
@@ -145,28 +196,12 @@ def _draw(rows: DataFrame, narrow: DataFrame, shards: int, seed: int, rules: dic
             at[i] += n
     table_ = []
     for (i, b), to in copies.items():
-        last, quota = None, None
-        if i in border and border[i][0] == b:
-            last, quota = to[-1], border[i][1]
-            to = to[:-1]
-        table_.append((i, b, to, last, quota))
-    drawn = F.broadcast(spark.createDataFrame(table_, "_mix_no int, _mix_block int, _mix_to array<int>, _mix_last int, _mix_quota double"))
-    # Where a source's prefix ends inside a block: which of its documents still go.
-    edge = narrow.join(drawn.where("_mix_quota is not null"), ["_mix_no", "_mix_block"])
-    unit = edge.groupBy("_mix_no", "_mix_key", "_mix_quota").agg(F.sum("_mix_size").alias("_mix_unit"))
-    order = [F.xxhash64(F.lit(seed + 1), "_mix_key"), F.col("_mix_key")]
-    running = Window.partitionBy("_mix_no").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("_mix_no")
-    unit = unit.withColumn("_mix_sum", F.sum("_mix_unit").over(running))
-    unit = unit.withColumn("_mix_fits", F.col("_mix_sum") <= F.col("_mix_quota"))
-    unit = unit.withColumn("_mix_left", F.col("_mix_quota") - F.coalesce(F.max(F.when(F.col("_mix_fits"), F.col("_mix_sum"))).over(whole), F.lit(0)))
-    gap = F.abs(F.col("_mix_unit") - F.col("_mix_left"))
-    closest = F.row_number().over(Window.partitionBy("_mix_no").orderBy(F.col("_mix_fits"), gap, *order))
-    unit = unit.withColumn("_mix_rank", closest)
-    chosen = unit.where(F.col("_mix_fits") | ((F.col("_mix_rank") == 1) & (gap < F.col("_mix_left"))))
-    chosen = cut(chosen.select("_mix_no", "_mix_key", F.lit(True).alias("_mix_chosen")))
+        last = to[-1] if (i, b) in parts else None
+        table_.append((i, b, to[:-1] if last is not None else to, last))
+    drawn = F.broadcast(spark.createDataFrame(table_, "_mix_no int, _mix_block int, _mix_to array<int>, _mix_last int"))
+    chosen = cut(_chosen(spark, tried, rest, seed))
     out = placed(rows).join(drawn, ["_mix_no", "_mix_block"], "left").join(_bounded(chosen, chosen.count()), ["_mix_no", "_mix_key"], "left")
-    last = F.when(F.col("_mix_chosen") & F.col("_mix_quota").isNotNull(), F.array("_mix_last")).otherwise(F.array().cast("array<int>"))
+    last = F.when(F.col("_mix_chosen") & F.col("_mix_last").isNotNull(), F.array("_mix_last")).otherwise(F.array().cast("array<int>"))
     return out.withColumn("_mix_shards", F.concat(F.coalesce("_mix_to", F.array().cast("array<int>")), last))
 
 
