@@ -6,10 +6,10 @@ those at the ends. Equal forms are one; different forms link when their sets of
 only the first line (smallest doc_id, then line number) stays in its document.
 
 ``BANDS`` bands of ``ROWS`` minima find a pair of similarity 0.8 with a probability of
-0.997, and more similar ones almost surely; each candidate pair is then verified on
+0.998, and more similar ones almost surely; each candidate pair is then verified on
 the exact sets. Bands travel packed, by key range; where very many lines meet in a
 band they are first paired with one of them, then with a few, and then across
-components only.
+components only. Texts of candidates are read again at their first places.
 
 Defined cases: blank lines are never removed; a form shorter than ``K`` is one
 shingle; a null text counts as empty; lines of rows that share a doc_id and number
@@ -23,20 +23,23 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tsubame.llm import textvec as tv
 from tsubame.llm.graph import components
 from tsubame.llm.ngram_join import _cross_pairs, _meet, _pivot_pairs, similar, sketch
-from tsubame.session import BROADCAST_ROWS, arrow_rows, cut, shuffle_partitions, table
+from tsubame.session import arrow_rows, cut, shuffle_partitions, table
 
 K = 8
-BANDS, ROWS = 32, 8
+BANDS, ROWS = 16, 5
+# Lines of LONG shingles have a binned signature, those below SHORT a permuted one.
+LONG, SHORT = 160, 200
 PERCENT = 80
 ENTRIES_PER_BUCKET = 500_000
 ENTRIES_PER_FLUSH = 2_000_000
-CHUNK_CHARS = 1 << 18
+CHUNK_CHARS = 1 << 17
 SEEN_LINES = 500_000
 TEXT_ROWS = 1_024
 PAIR_ROWS = 1_024
@@ -44,9 +47,16 @@ PAIR_ROWS = 1_024
 _BAND = np.dtype([("s", "<u4"), ("f", "<i8")])
 
 
+# White space that, like two spaces in a row, a form cannot hold.
+_OTHER_SPACE = ["  ", *(chr(c) for c in range(0x110000) if chr(c).isspace() and chr(c) not in " \n")]
+
+
 def forms(text: str | None) -> list[str]:
     """The form of each line; blank lines give an empty one."""
-    return [" ".join(x.lower().split()) for x in (text or "").split("\n")]
+    lines = (text or "").lower().split("\n")
+    if any(x in text for x in _OTHER_SPACE) if text else False:
+        return [" ".join(x.split()) for x in lines]
+    return [x.strip() for x in lines]
 
 
 def line_shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -69,25 +79,85 @@ def line_shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def line_ids(lines: list[str]) -> np.ndarray:
     """64-bit hash of each form."""
-    t = tv.Tables()
-    raw = [x.encode("utf-8", "surrogatepass") for x in lines]
-    end = np.cumsum([len(x) for x in raw])
-    return tv.span_hash(t.byte[np.frombuffer(b"".join(raw), np.uint8)], end - [len(x) for x in raw], end, t).view(np.int64)
-
-
-def band_keys(lines: list[str]) -> np.ndarray:
-    """(lines x BANDS) keys of the banded minima."""
-    x, begin = line_shingles(lines)
-    x = (x >> tv.U(32)).astype(np.uint32)
-    keys, mixed = np.empty((len(lines), BANDS), dtype=tv.U), np.empty_like(x)
-    for b in range(BANDS):
-        key = np.full(len(lines), b + 1, dtype=tv.U)
+    one = xxhash.xxh3_64_intdigest
+    return np.array([one(x.encode("utf-8", "surrogatepass")) for x in lines], tv.U).view(np.int64)
+
+
+def _shingle_words(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """32-bit hashes at all places of the lines with K - 1 zeros behind each; sizes, shingles a line."""
+    gap = "\0" * (K - 1)
+    x = np.frombuffer((gap.join(lines) + gap).encode("utf-32-le", "surrogatepass"), np.uint32)
+    # Pairs of neighbours, then pairs of pairs, and so on up to K symbols (a power of two).
+    step, i = 1, 0
+    while step < K:
+        x = x[:-step] * _MULTIPLIERS[i] + x[step:] * _MULTIPLIERS[i + 1]
+        step, i = 2 * step, i + 2
+    x = np.append(x, np.zeros(K - 1, np.uint32))
+    for shift, m in ((16, 0x7FEB352D), (15, 0x846CA68B)):
+        x ^= x >> np.uint32(shift)
+        x *= np.uint32(m)
+    x ^= x >> np.uint32(16)
+    size = np.fromiter(map(len, lines), np.int64, len(lines))
+    return x, size, np.maximum(size - K + 1, 1)
+
+
+_MULTIPLIERS = [np.uint32(int(tv.odd(900 + i)) >> 32 | 1) for i in range(6)]
+# Where a bin without a shingle borrows its minimum: the t-th other bin tried.
+_BORROW = np.stack([np.random.default_rng(t).permutation(BANDS * ROWS) for t in range(64)])
+_VOID = np.uint32(0xFFFFFFFF)
+
+
+def _minima(x: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Minima of BANDS * ROWS permutations, for short lines."""
+    out, mixed = np.empty((len(begin), BANDS * ROWS), np.uint32), np.empty_like(x)
+    for i in range(BANDS * ROWS):
+        np.multiply(x, np.uint32(int(tv.odd(1_000 + i)) >> 32 | 1), out=mixed)
+        out[:, i] = np.minimum.reduceat(mixed, begin)
+    return out
+
+
+def _binned_minima(x: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """Minima of the bins of one permutation, empty bins filled from others, for long lines."""
+    bins = BANDS * ROWS
+    at = row * bins + ((x.astype(np.uint64) * np.uint64(bins)) >> np.uint64(32)).astype(np.int64)
+    out = np.full((rows + 1) * bins, _VOID, np.uint32)
+    np.minimum.at(out, at, x * np.uint32(0x9E3779B1))
+    out = out.reshape(-1, bins)[:rows]
+    full = out.copy()
+    for t in range(len(_BORROW)):
+        i, j = np.nonzero(out == _VOID)
+        if not len(i):
+            break
+        out[i, j] = full[i, _BORROW[t][j]]
+    return out
+
+
+def band_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(line number, BANDS keys) of each signature.
+
+    Short lines have minima of many permutations, long ones bins of one; lines in
+    between have both signatures, so lines of similar size share a kind.
+    """
+    x, size, n = _shingle_words(lines)
+    inside = np.repeat(np.tile([True, False], len(lines)), np.stack([n, size + K - 1 - n], axis=1).ravel())
+    number, kinds = np.flatnonzero(n < SHORT), []
+    line = np.repeat(np.arange(len(lines)), size + K - 1)
+    if len(number):
+        small = x[inside & (n < SHORT)[line]]
+        kinds.append((number, 1, _minima(small, np.cumsum(n[number]) - n[number])))
+    many = np.flatnonzero(n >= LONG)
+    if len(many):
+        to = np.full(len(lines), len(many))
+        to[many] = np.arange(len(many))
+        kinds.append((many, 1_000, _binned_minima(x, np.where(inside, to[line], len(many)), len(many))))
+    numbers, keys = [], []
+    for number, seed, low in kinds:
+        key = np.tile((np.arange(BANDS) + seed).astype(tv.U), (len(number), 1))
         for r in range(ROWS):
-            np.multiply(x, np.uint32(int(tv.odd(1_000 + b * ROWS + r)) >> 32 | 1), out=mixed)
-            low = np.minimum.reduceat(mixed, begin[:-1])
-            key = tv.mix(key * tv.odd(3) + low.astype(tv.U))
-        keys[:, b] = key
-    return keys
+            key = tv.mix(key * tv.odd(3) + low[:, r::ROWS].astype(tv.U))
+        numbers.append(number)
+        keys.append(key)
+    return np.concatenate(numbers), np.concatenate(keys)
 
 
 def _chunks(lines: list[str]) -> Iterator[list[str]]:
@@ -143,8 +213,9 @@ def _bands(buckets: int) -> Callable:
             if len(seen) > SEEN_LINES:
                 seen.clear()
             for part in _chunks(fresh):
-                kept.append((band_keys(part), line_ids(part)))
-                held += len(part) * BANDS
+                number, keys = band_keys(part)
+                kept.append((keys, line_ids(part)[number]))
+                held += keys.size
                 if held >= ENTRIES_PER_FLUSH:
                     yield flush(kept)
                     kept, held = [], 0
@@ -154,22 +225,18 @@ def _bands(buckets: int) -> Callable:
     return run
 
 
-def _texts(wanted: np.ndarray | None) -> Callable:
-    """(form, text) of the wanted forms, or of all; once for each task at least."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lines = list({x for text in b.column(0).to_pylist() for x in forms(text) if x})
-            if not lines:
-                continue
-            ids = line_ids(lines)
-            keep = np.arange(len(ids))
-            if wanted is not None:
-                j = np.minimum(np.searchsorted(wanted, ids), max(0, len(wanted) - 1))
-                keep = np.flatnonzero(wanted[j] == ids) if len(wanted) else keep[:0]
-            yield pa.record_batch([pa.array(ids[keep]), pa.array([lines[i] for i in keep], pa.string())], ["h", "form"])
-
-    return run
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(form, text) of the wanted lines of each document; what is not the form asked for is left out."""
+    for b in batches:
+        ids, lines = [], []
+        for text, want in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            own = forms(text)
+            for w in want:
+                if w["line"] < len(own) and own[w["line"]]:
+                    ids.append(w["h"])
+                    lines.append(own[w["line"]])
+        ok = pa.array(line_ids(lines) == np.array(ids, np.int64), pa.bool_())
+        yield pa.record_batch([pa.array(ids, pa.int64()).filter(ok), pa.array(lines, pa.string()).filter(ok)], ["h", "form"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +246,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = []
         for c in (2, 3):
             x, at = line_shingles(b.column(c).to_pylist())
-            sets.append([np.unique(x[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)])
+            sets.append([tv.distinct(x[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)])
         ok = pa.array([similar(x, y, PERCENT) for x, y in zip(*sets, strict=True)], pa.bool_())
         yield pa.record_batch([b.column(0).filter(ok), b.column(1).filter(ok)], ["u", "v"])
 
@@ -189,42 +256,41 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not b.num_rows:
             continue
         x, at = line_shingles(b.column(1).to_pylist())
-        sets = [np.unique(x[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
+        sets = [tv.distinct(x[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
         n = pa.array([len(v) for v in sets], pa.int64())
         yield pa.record_batch([b.column(0), n, pa.array([sketch(v) for v in sets], pa.list_(pa.int64()))], ["fx", "nx", "sketch"])
 
 
-def _forms_of(docs: DataFrame, need: DataFrame) -> DataFrame:
-    """(h, form) of the forms in ``need``, once each."""
-    wanted = None
-    if need.count() <= BROADCAST_ROWS:
-        wanted = np.sort(np.array([r[0] for r in need.collect()], np.int64))
+def _forms_of(docs: DataFrame, first: DataFrame, need: DataFrame) -> DataFrame:
+    """(h, form) of the forms in ``need``, once each, read where ``first`` has seen them."""
+    at = need.join(first, "h").groupBy("at.doc_id").agg(F.collect_list(F.struct("at.line", "h")).alias("want"))
     arrow_rows(docs.sparkSession, TEXT_ROWS)
-    texts = docs.select("text").mapInArrow(_texts(wanted), "h long, form string")
-    if wanted is None:
-        texts = texts.join(need, "h", "left_semi")
+    texts = docs.join(at, "doc_id").select("text", "want").mapInArrow(_texts, "h long, form string")
     return cut(texts.groupBy("h").agg(F.first("form").alias("form")))
 
 
-def _linked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def _linked(docs: DataFrame, first: DataFrame, pairs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     pairs = cut(pairs.select("fx", "fy").distinct())
-    need = cut(pairs.select(F.col("fx").alias("h")).union(pairs.select("fy")).distinct())
-    texts = _forms_of(docs, need)
+    need = pairs.select(F.col("fx").alias("h")).union(pairs.select("fy")).distinct()
+    texts = _forms_of(docs, first, need)
     side = lambda s: texts.select(F.col("h").alias("f" + s), F.col("form").alias("t" + s))
     arrow_rows(spark, PAIR_ROWS)
     return pairs.join(side("x"), "fx").join(side("y"), "fy").select("fx", "fy", "tx", "ty").mapInArrow(_verify, "u long, v long")
 
 
-def line_components(docs: DataFrame, occurrences: DataFrame) -> DataFrame:
-    """(h, component) of every form that is linked to another one."""
+def line_components(docs: DataFrame, first: DataFrame) -> DataFrame:
+    """(h, component) of every form that is linked to another one.
+
+    ``first`` has (h, at): the place (doc_id, line) where each form stands first.
+    """
     spark = docs.sparkSession
-    total = occurrences.count() * BANDS
+    total = first.count() * BANDS
     buckets = max(shuffle_partitions(spark), total // ENTRIES_PER_BUCKET + 1)
     arrow_rows(spark, TEXT_ROWS)
     dealt = docs.select("text").mapInArrow(_bands(buckets), "bucket int, blob binary")
     met = cut(dealt.groupBy("bucket").applyInArrow(_meet(PERCENT, _BAND), "run long, fx long, nx long, px int, fy long, ny long"))
-    links = cut(_linked(docs, met.where("run is null")))
+    links = cut(_linked(docs, first, met.where("run is null")))
     comp = cut(components(links))
     late = cut(met.where("run is not null").select("run", "fx", "nx", "px"))
     for pair_up in (_pivot_pairs, _cross_pairs) if late.head(1) else ():
@@ -236,11 +302,11 @@ def line_components(docs: DataFrame, occurrences: DataFrame) -> DataFrame:
         members = labelled.join(mixed, "run")
         if pair_up is _cross_pairs:
             # Sizes and parity sketches keep all but likely pairs of a group from being made.
-            forms_ = _forms_of(docs, cut(members.select(F.col("fx").alias("h")).distinct()))
+            forms_ = _forms_of(docs, first, cut(members.select(F.col("fx").alias("h")).distinct()))
             known = forms_.mapInArrow(_sketched, "fx long, nx long, sketch array<long>")
             members = members.drop("nx").join(known, "fx")
         more = pair_up(members, PERCENT)
-        links = cut(links.union(_linked(docs, more)))
+        links = cut(links.union(_linked(docs, first, more)))
         comp = cut(components(links))
     return comp.select(F.col("id").alias("h"), "component")
 
@@ -251,10 +317,10 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     arrow_rows(spark, TEXT_ROWS)
     lines = cut(docs.where("doc_id is not null").mapInArrow(_occurrences, "h long, doc_id long, line int"))
-    comp = line_components(docs, lines)
     at = F.struct("doc_id", "line")
-    first = lines.groupBy("h").agg(F.min(at).alias("at")).join(comp, "h", "left").withColumn("label", F.coalesce("component", "h"))
-    first = cut(first)
+    first = cut(lines.groupBy("h").agg(F.min(at).alias("at")))
+    comp = line_components(docs, first)
+    first = cut(first.join(comp, "h", "left").withColumn("label", F.coalesce("component", "h")))
     best = first.groupBy("label").agg(F.min("at").alias("best"))
     keep = first.join(best, "label").select("h", "best")
     gone = lines.join(keep, "h").where(at != F.col("best")).groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("gone"))

@@ -60,7 +60,7 @@ def distinct_sets(col: pa.Array, k: int, t: tv.Tables) -> Iterator[tuple[int, li
         words, first = tv.word_hashes(data, at, t)
         sh, begin = tv.shingles(words, first, k)
         b = begin.tolist()
-        yield i, [np.unique(sh[p:q]) for p, q in zip(b[:-1], b[1:], strict=True)]
+        yield i, [tv.distinct(sh[p:q]) for p, q in zip(b[:-1], b[1:], strict=True)]
 
 
 def fingerprint(s: np.ndarray) -> int:

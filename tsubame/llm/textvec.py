@@ -1,18 +1,21 @@
 """Words and shingles of many texts at once, as numpy arrays over UTF-8 bytes.
 
 Words are maximal runs of bytes other than space, tab, newline, vertical tab, form
-feed and carriage return, after lower-casing A-Z. Hashes are 64-bit: a polynomial of
-random byte values, then mixed. A null text has no words.
+feed and carriage return, after lower-casing A-Z. A word's 64-bit hash is the mixed sum
+of a random value for each (place, byte); ``span_hash``, for spans that overlap, is a
+polynomial of random byte values, then mixed. A null text has no words.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 2 << 20
+PLACES = 64
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _M1, _M2 = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
@@ -28,10 +31,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+@cache
 def odd(i: int) -> np.uint64:
     return U(int(mix(np.array([i + 1], dtype=U) * U(_BASE))[0]) | 1)
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; far cheaper than numpy's hashing ``unique``."""
+    x = np.sort(x)
+    keep = np.ones(len(x), bool)
+    keep[1:] = x[1:] != x[:-1]
+    return x[keep]
+
+
 class Tables:
     """Byte values and powers, grown to the longest chunk seen by this worker."""
 
@@ -40,6 +52,9 @@ class Tables:
         fold = np.arange(256)
         fold[65:91] += 32
         self.folded = self.byte[fold]
+        # One value for each place in a word and byte; places from PLACES - 1 on are mixed in.
+        self.placed = mix((np.arange(PLACES << 8, dtype=U) + U(1_000)) * U(_BASE))
+        self.placed_folded = self.placed.reshape(PLACES, 256)[:, fold].ravel()
         self.space = np.zeros(256, dtype=bool)
         self.space[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
         self.power = self.inverse = np.ones(1, dtype=U)
@@ -105,7 +120,22 @@ def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, t: Table
 def word_hashes(data: np.ndarray, at: np.ndarray, t: Tables, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, and each text's first word (with the end)."""
     starts, ends, first = word_bounds(data, at, t)
-    return span_hash((t.folded if fold else t.byte)[data], starts, ends, t), first
+    return _word_hash(data, starts, ends, t.placed_folded if fold else t.placed), first
+
+
+def _word_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, placed: np.ndarray) -> np.ndarray:
+    """Hash of each of these spans, which do not overlap and stand in order."""
+    size = ends - starts
+    begin = np.cumsum(size) - size
+    place = np.arange(size.sum()) - np.repeat(begin, size)
+    byte = data[place + np.repeat(starts, size)]
+    value = placed[(np.minimum(place, PLACES - 1) << 8) | byte]
+    far = np.flatnonzero(place >= PLACES)
+    if len(far):
+        value[far] = mix(value[far] + place[far].astype(U) * U(_BASE))
+    total = np.zeros(len(value) + 1, dtype=U)
+    np.cumsum(value, out=total[1:])
+    return mix(total[begin + size] - total[begin] + size.astype(U))
 
 
 def shingles(words: np.ndarray, first: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
