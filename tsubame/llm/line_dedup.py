@@ -269,14 +269,12 @@ def _forms_of(docs: DataFrame, first: DataFrame, need: DataFrame) -> DataFrame:
     return cut(texts.groupBy("h").agg(F.first("form").alias("form")))
 
 
-def _linked(docs: DataFrame, first: DataFrame, pairs: DataFrame) -> DataFrame:
-    spark = docs.sparkSession
-    pairs = cut(pairs.select("fx", "fy").distinct())
-    need = pairs.select(F.col("fx").alias("h")).union(pairs.select("fy")).distinct()
-    texts = _forms_of(docs, first, need)
-    side = lambda s: texts.select(F.col("h").alias("f" + s), F.col("form").alias("t" + s))
-    arrow_rows(spark, PAIR_ROWS)
-    return pairs.join(side("x"), "fx").join(side("y"), "fy").select("fx", "fy", "tx", "ty").mapInArrow(_verify, "u long, v long")
+def _linked(forms_: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Verified (u, v) of candidate pairs, given the text of each form."""
+    side = lambda s: forms_.select(F.col("h").alias("f" + s), F.col("form").alias("t" + s))
+    met = pairs.select("fx", "fy").distinct().join(side("x"), "fx").join(side("y"), "fy").select("fx", "fy", "tx", "ty")
+    arrow_rows(pairs.sparkSession, PAIR_ROWS)
+    return met.mapInArrow(_verify, "u long, v long")
 
 
 def line_components(docs: DataFrame, first: DataFrame) -> DataFrame:
@@ -290,9 +288,11 @@ def line_components(docs: DataFrame, first: DataFrame) -> DataFrame:
     arrow_rows(spark, TEXT_ROWS)
     dealt = docs.select("text").mapInArrow(_bands(buckets), "bucket int, blob binary")
     met = cut(dealt.groupBy("bucket").applyInArrow(_meet(PERCENT, _BAND), "run long, fx long, nx long, px int, fy long, ny long"))
-    links = cut(_linked(docs, first, met.where("run is null")))
+    # Texts of all that met another form are read once, for this and the later rounds.
+    forms_ = _forms_of(docs, first, met.select(F.col("fx").alias("h")).union(met.where("fy is not null").select("fy")).distinct())
+    links = cut(_linked(forms_, met.where("run is null")))
     comp = cut(components(links))
-    late = cut(met.where("run is not null").select("run", "fx", "nx", "px"))
+    late = met.where("run is not null").select("run", "fx", "nx", "px")
     for pair_up in (_pivot_pairs, _cross_pairs) if late.head(1) else ():
         labelled = late.join(comp, F.col("fx") == F.col("id"), "left").select("run", "fx", "nx", "px", F.coalesce("component", "fx").alias("lab"))
         mixed = labelled.groupBy("run").agg(F.min("lab").alias("lo"), F.max("lab").alias("hi"), F.count("*").alias("m")).where("lo <> hi")
@@ -302,11 +302,11 @@ def line_components(docs: DataFrame, first: DataFrame) -> DataFrame:
         members = labelled.join(mixed, "run")
         if pair_up is _cross_pairs:
             # Sizes and parity sketches keep all but likely pairs of a group from being made.
-            forms_ = _forms_of(docs, first, cut(members.select(F.col("fx").alias("h")).distinct()))
-            known = forms_.mapInArrow(_sketched, "fx long, nx long, sketch array<long>")
+            known = forms_.join(members.select(F.col("fx").alias("h")).distinct(), "h", "left_semi").select("h", "form")
+            known = known.mapInArrow(_sketched, "fx long, nx long, sketch array<long>")
             members = members.drop("nx").join(known, "fx")
         more = pair_up(members, PERCENT)
-        links = cut(links.union(_linked(docs, first, more)))
+        links = cut(links.union(_linked(forms_, more)))
         comp = cut(components(links))
     return comp.select(F.col("id").alias("h"), "component")
 
