@@ -1,9 +1,11 @@
 import numpy as np
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tsubame.functions import segment
 from tsubame.functions.charclass import Classifier
+from tsubame.operators import entries, unknown
 from tsubame.operators import lattice as lat
 from tsubame.operators.analyzer import Analyzer, in_memory
 from tsubame.operators.kernel import Kernel, unknown_templates
@@ -62,8 +64,8 @@ def cheapest(k, seg):
 
 def test_fixture_results():
     want = {
-        "私は猫です": "私 は 猫 です", "東京都に住んでいる": "東京都 に 住ん で いる", "私はDOGです": "私 は DOG? です", "ABCDEFG": "ABCDEFG?",
-        "猫🐱": "猫 🐱?", "漢字列": "漢? 字列?", "あいう": "あ? いう?", "カタカナ": "カタ? カナ?", "   ": "   ?", "": "", "１1": "１? 1?",
+        "犬も山へ行く": "犬 も 山 へ 行く", "大学生と学生を見た": "大学生 と 学生 を 見 た", "犬はCATを見る": "犬 は? CAT? を 見る", "QRSTU": "QRSTU?",
+        "山🌋": "山 🌋?", "静寂夜": "静? 寂夜?", "かきくけこ": "か? きく? けこ?", "テレビ": "テ? レビ?", "    ": "    ?", "": "", "１1": "１? 1?",
     }
     for text, tokens in want.items():
         assert " ".join(shown(JA, text)) == tokens, text
@@ -101,6 +103,38 @@ def test_first_template_counts_and_flat_defaults():
     assert kernel([], unk=[("NUMERIC", 0, 0, 3, "n")]).tokens("１")[0][3] == "n"
 
 
+def test_entries_are_found_by_prefix_in_both_ways(monkeypatch):
+    words = ["a", "ab", "abc", "abc", "b", "ba", "日", "日本", "日本語", "本", "🌋", "a日"]
+    e = entries.Entries.of([(w, i, i, i, "p", w, "", "") for i, w in enumerate(words)])
+    for few in (entries.FEW, 0):
+        monkeypatch.setattr(entries, "FEW", few)
+        for text in ("abcab日本語本🌋a日", "ba", "a", "x日本"):
+            for p in range(len(text)):
+                got = [(n, int(e.ids[r])) for n, lo, hi in e.at(text, p) for r in range(lo, hi)]
+                assert got == sorted((len(w), i) for i, w in enumerate(words) if text.startswith(w, p))
+
+
+def test_pieces_are_cut_where_no_entry_crosses():
+    k = kernel([("b c", 0, 0, 1, "p", "b c", "", ""), ("見る", 0, 0, 1, "p", "見る", "", "")])
+    assert k.pieces("ab cd  e") == ["ab cd", "  ", "e"]
+    assert k.pieces("見るx山るy") == ["見る", "x", "山", "る", "y"]
+    assert "".join(k.pieces("a1!あア漢 é")) == "a1!あア漢 é" and len(k.pieces("a1!あア漢 é")) == 8
+
+
+def test_results_do_not_depend_on_what_is_remembered():
+    once = [kernel(fx.entries(fx.LATIN), np.array([[(r * 5 + c * 3) % 7 * 100 for c in range(6)] for r in range(6)])).tokens(t) for t in fx.TEXTS + ["the one in the other on"]]
+    k = kernel(fx.entries(fx.LATIN), np.array([[(r * 5 + c * 3) % 7 * 100 for c in range(6)] for r in range(6)]))
+    for _ in range(2):
+        assert [k.tokens(t) for t in fx.TEXTS + ["the one in the other on"]] == once
+
+
+@settings(max_examples=40, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.text("aあアー漢語1 。é🌋", max_size=14))
+def test_unknown_surfaces_equal_the_kernel(spark, text):
+    got = spark.createDataFrame([(text,)], "t string").select(unknown.text_surfaces(F.col("t"))).first()[0]
+    assert got == [t[0] for t in kernel([]).tokens(text)]
+
+
 def test_long_run_is_linear():
     assert len(kernel([]).tokens("a" * 40_000)) == 1
 
@@ -133,12 +167,12 @@ def test_relational_decoder_equals_kernel(spark):
 
 def test_analyzer_surfaces(spark):
     a = Analyzer(in_memory(spark, fx.entries(fx.JAPANESE)))
-    df = spark.createDataFrame([(1, "私は猫です"), (2, ""), (3, None)], "id int, text string")
+    df = spark.createDataFrame([(1, "犬も山へ行く"), (2, ""), (3, None)], "id int, text string")
     rows = {r["id"]: r["tokens"] for r in a.tokenize_batch(df).collect()}
-    assert [t["surface"] for t in rows[1]] == ["私", "は", "猫", "です"] and rows[2] == [] and rows[3] is None
-    assert [t.surface for t in a.tokens_of("猫です")] == ["猫", "です"]
+    assert [t["surface"] for t in rows[1]] == ["犬", "も", "山", "へ", "行く"] and rows[2] == [] and rows[3] is None
+    assert [t.surface for t in a.tokens_of("山を見た")] == ["山", "を", "見", "た"]
     assert a.clone_for_worker() is a and a.prewarm() is a
-    assert a.wakachi(df).where("id = 1").first()["output"] == "私 は 猫 です"
+    assert a.wakachi(df).where("id = 1").first()["output"] == "犬 も 山 へ 行く"
     assert a.to_mecab(df).where("id = 2").first()["output"] == "EOS\n"
     one, eight = (a.tokenize(df.repartition(n)).orderBy("id", "tok_idx").collect() for n in (1, 8))
     assert one == eight
@@ -146,8 +180,8 @@ def test_analyzer_surfaces(spark):
 
 def test_sql_functions(spark):
     Analyzer(in_memory(spark, fx.entries(fx.JAPANESE))).register()
-    assert [r[0] for r in spark.sql("SELECT t.surface FROM VALUES ('猫です') v(x), LATERAL tokens(x) t ORDER BY tok_idx").collect()] == ["猫", "です"]
-    assert spark.sql("SELECT size(tokenize('猫です'))").first()[0] == 2
+    assert [r[0] for r in spark.sql("SELECT t.surface FROM VALUES ('山を見た') v(x), LATERAL tokens(x) t ORDER BY tok_idx").collect()] == ["山", "を", "見", "た"]
+    assert spark.sql("SELECT size(tokenize('山を見た'))").first()[0] == 4
 
 
 def test_matrix_is_used_in_both_ways(spark):

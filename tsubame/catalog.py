@@ -13,7 +13,7 @@ from tsubame.operators import compare as cmp
 from tsubame.operators import lattice as lat
 from tsubame.operators.analyzer import Analyzer, in_memory
 from tsubame.operators.kernel import unknown_templates
-from tsubame.operators.unknown import unknown_tokens
+from tsubame.operators.unknown import text_surfaces, unknown_tokens
 from tsubame.plans import fixtures as fx
 from tsubame.plans import oracles as sql
 from tsubame.session import table
@@ -83,7 +83,7 @@ def char_class_hist(spark: SparkSession, sf: str) -> DataFrame:
     return chars.groupBy("lang", charclass.Classifier.default().column(F.col("ch")).alias("type")).agg(F.sum("n").alias("n"))
 
 
-@query(f"""WITH {sql.segments("benchmark", "item_id")}, {sql.lattice("item_id", [], UNKNOWN)}
+@query(f"""WITH {sql.segments("benchmark", "item_id")}, {sql.lattice("item_id", [])}
 SELECT item_id, seg_idx, CAST(p AS INTEGER) AS p, type, CAST(run_end AS INTEGER) AS run_end FROM run""")
 def char_runs(spark: SparkSession, sf: str) -> DataFrame:
     segs = segments_of(table(spark, sf, "benchmark"), ITEM)
@@ -95,17 +95,21 @@ UNK_TOKENS = f"{SEGS}, {sql.runs('doc_id')}"
 
 @query(f"{UNK_TOKENS} SELECT * FROM toks")
 def unk_tokenize(spark: SparkSession, sf: str) -> DataFrame:
-    return unknown_tokens(table(spark, sf, "documents"), "text", DOC, Analyzer(in_memory(spark)))
+    return unknown_tokens(table(spark, sf, "documents"), "text", DOC)
 
 
-@query(f"SELECT doc_id, array_to_string(flatten(list_transform(regexp_extract_all(text, '{sql.SPLIT}'), lambda s: regexp_extract_all(s, '{sql.RUNS}'))), ' ') AS output FROM documents")
+@query(f"SELECT doc_id, array_to_string(flatten(list_transform(regexp_extract_all(text, '{sql.SPLIT}'), lambda s: {sql.surfaces('s')})), ' ') AS output FROM documents")
 def unk_wakachi(spark: SparkSession, sf: str) -> DataFrame:
-    runs = F.transform(segment.sentences(F.col("text")), lambda s: F.regexp_extract_all(s, F.lit(sql.RUNS), F.lit(0)))
-    return table(spark, sf, "documents").select("doc_id", F.array_join(F.flatten(runs), " ").alias("output"))
+    return table(spark, sf, "documents").select("doc_id", F.array_join(text_surfaces(F.col("text")), " ").alias("output"))
+
+
+@query(f"""WITH {sql.texts(fx.TEXTS)}, {sql.segments("src", "id")}, {sql.runs("id")} SELECT * FROM toks""")
+def unk_japanese(spark: SparkSession, sf: str) -> DataFrame:
+    return unknown_tokens(texts(spark), "text", TXT)
 
 
 # Candidates and the best path.
-LATTICE = f"WITH {sql.segments('benchmark', 'item_id')}, {sql.lattice('item_id', LA, UNKNOWN)}"
+LATTICE = f"WITH {sql.segments('benchmark', 'item_id')}, {sql.lattice('item_id', LA)}"
 BEST = f"{LATTICE}, {sql.best_path('item_id', fx.LATIN_MATRIX)}"
 
 
@@ -138,7 +142,7 @@ placed AS (SELECT {{key}}, seg_idx, CAST(coalesce(sum(strlen(seg)) OVER (PARTITI
 tokens AS (SELECT {{key}}, CAST(row_number() OVER (PARTITION BY {{key}} ORDER BY seg_idx, tok_idx) - 1 AS INTEGER) AS tok_idx, surface, start + base AS "start", "end" + base AS "end", pos, base_form, reading, pronunciation, word_cost, is_known
   FROM spoken JOIN placed USING ({{key}}, seg_idx))"""
 LATIN_TOKENS = f"{BEST}, {sql.path_tokens('item_id')}, {SEG_TOKENS.replace('{key}', 'item_id')}"
-JA_TOKENS = f"""WITH {sql.texts(fx.TEXTS)}, {sql.segments("src", "id")}, {sql.lattice("id", JA, UNKNOWN)}, {sql.best_path("id", {})}, {sql.path_tokens("id")}, {SEG_TOKENS.replace('{key}', 'id')}"""
+JA_TOKENS = f"""WITH {sql.texts(fx.TEXTS)}, {sql.segments("src", "id")}, {sql.lattice("id", JA)}, {sql.best_path("id", {})}, {sql.path_tokens("id")}, {SEG_TOKENS.replace('{key}', 'id')}"""
 
 
 @query(f"{LATIN_TOKENS} SELECT item_id, {TOKEN_COLUMNS} FROM tokens")
@@ -225,7 +229,7 @@ def fmt_json(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # Batches, lines, lexicon life cycle.
-@query(f"""WITH c AS (SELECT conv_id, turn, flatten(list_transform(regexp_extract_all(text, '{sql.SPLIT}'), lambda s: regexp_extract_all(s, '{sql.RUNS}'))) AS t FROM conversations)
+@query(f"""WITH c AS (SELECT conv_id, turn, flatten(list_transform(regexp_extract_all(text, '{sql.SPLIT}'), lambda s: {sql.surfaces('s')})) AS t FROM conversations)
 SELECT conv_id, turn, CAST(len(t) AS INTEGER) AS n_tokens, array_to_string(t, '|') AS tokens FROM c""")
 def batch_conversations(spark: SparkSession, sf: str) -> DataFrame:
     t = Analyzer(in_memory(spark)).tokenize_batch(table(spark, sf, "conversations").select("conv_id", "turn", "text"))
@@ -331,7 +335,7 @@ def pos_unmapped(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # Comparison, invariants, statistics.
-@query(f"""{LATIN_TOKENS}, plain AS (SELECT item_id, s AS seg_idx, unnest(range(1, len(t) + 1)) AS i, t, b FROM (SELECT item_id, seg_idx AS s, regexp_extract_all(seg, '{sql.RUNS}') AS t, base AS b FROM segs JOIN placed USING (item_id, seg_idx))),
+@query(f"""{LATIN_TOKENS}, plain AS (SELECT item_id, s AS seg_idx, unnest(range(1, len(t) + 1)) AS i, t, b FROM (SELECT item_id, seg_idx AS s, {sql.surfaces('seg')} AS t, base AS b FROM segs JOIN placed USING (item_id, seg_idx))),
 r AS (SELECT item_id, CAST(b + strlen(array_to_string(t[1:i - 1], '')) AS BIGINT) AS "start", CAST(b + strlen(array_to_string(t[1:i], '')) AS BIGINT) AS "end" FROM plain)
 SELECT item_id, "start", "end", CASE WHEN x.l AND y.r THEN 'both' WHEN x.l THEN 'left_only' ELSE 'right_only' END AS status
 FROM (SELECT item_id, "start", "end", true AS l FROM tokens) x FULL JOIN (SELECT *, true AS r FROM r) y USING (item_id, "start", "end")""")
@@ -353,7 +357,7 @@ def coverage_invariant(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
-@query(f"{SEGS.replace('doc_id', 'doc_id, lang')}, t AS (SELECT lang, doc_id, seg, unnest(regexp_extract_all(seg, '{sql.RUNS}')) AS surface FROM segs) SELECT lang, count(*) AS n_tokens, count(DISTINCT surface) AS n_types, CAST(max(length(surface)) AS INTEGER) AS longest FROM t GROUP BY lang")
+@query(f"{SEGS.replace('doc_id', 'doc_id, lang')}, t AS (SELECT lang, doc_id, seg, unnest({sql.surfaces('seg')}) AS surface FROM segs) SELECT lang, count(*) AS n_tokens, count(DISTINCT surface) AS n_types, CAST(max(length(surface)) AS INTEGER) AS longest FROM t GROUP BY lang")
 def token_stats_by_lang(spark: SparkSession, sf: str) -> DataFrame:
     t = unknown_tokens(table(spark, sf, "documents"), "text", ["doc_id", "lang"])
     return t.groupBy("lang").agg(F.count("*").alias("n_tokens"), F.countDistinct("surface").alias("n_types"), F.max(F.char_length("surface")).alias("longest"))

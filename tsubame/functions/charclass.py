@@ -99,9 +99,7 @@ class Classifier:
 
     def types(self, text: str) -> list[int]:
         """Index in TYPES of each character."""
-        table = self.intervals()
-        starts = [t[0] for t in table]
-        known: dict[str, int] = {}
+        table, starts, known = self._table()
         out = []
         for ch in text:
             k = known.get(ch)
@@ -112,6 +110,14 @@ class Classifier:
             out.append(k)
         return out
 
+    def _table(self) -> tuple[list[tuple[int, int, str]], list[int], dict[str, int]]:
+        """Intervals, their starts, and the types of the characters seen so far."""
+        found = self.__dict__.get("_known")
+        if found is None:
+            table = self.intervals()
+            found = self._known = (table, [t[0] for t in table], {})
+        return found
+
     def settings(self, kind: str) -> tuple[bool, bool, int]:
         """(invoke, group, length); a class that is not defined groups without limit."""
         return self.classes.get(class_of_type(kind), (False, True, 0))
@@ -126,7 +132,18 @@ class Classifier:
         return F.lit("DEFAULT") if out is None else out.otherwise("DEFAULT")
 
 
-def run_ends(types: list[int]) -> list[int]:
+def run_pattern(intervals: list[tuple[int, int, str]]) -> str:
+    """Regular expression (of Python) of a maximal run of characters of one type."""
+
+    def inside(kinds: list[str]) -> str:
+        return "".join(rf"\U{a:08X}-\U{b:08X}" for a, b, k in intervals if k in kinds)
+
+    named = [k for k in TYPES if k != "DEFAULT" and inside([k])]
+    rest = f"[^{inside(named)}]+" if named else r"[\s\S]+"
+    return "|".join([*(f"[{inside([k])}]+" for k in sorted(named, key=["ALPHA", "SPACE", *TYPES].index)), rest])
+
+
+def run_ends(types: list[int] | bytes) -> list[int]:
     """End of the same-type run at each position, in one pass from the right."""
     n = len(types)
     out = [n] * n

@@ -31,11 +31,15 @@ _NUMBER = re.compile(NUMBER[:-1] + r"\Z")
 _ALPHA = re.compile(r"[A-Za-z]+\Z")
 
 
+def is_number(surface: str, pos: str) -> bool:
+    return pos.startswith(NUMBER_POS) or bool(_NUMBER.match(surface))
+
+
 def in_context(surface: str, before: tuple[str, str] | None) -> str | None:
     """Reading of an all-letters token after (surface, pos) ``before``; else None."""
     if not _ALPHA.match(surface):
         return None
-    if before and (before[1].startswith(NUMBER_POS) or _NUMBER.match(before[0])):
+    if before and is_number(*before):
         unit = UNIT_LETTERS.get(surface.upper()) if len(surface) == 1 else UNITS.get(surface)
         if unit:
             return unit

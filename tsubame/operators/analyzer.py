@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tsubame import schema
 from tsubame.functions.render import render
+from tsubame.operators.entries import COLUMNS, Entries
 from tsubame.operators.kernel import Kernel, unknown_templates
 from tsubame.sources.lexicon import Lexicon, LexiconBuilder
 
@@ -16,14 +17,17 @@ FIELDS = ["surface", "start", "end", "pos", "base_form", "reading", "pronunciati
 
 
 def kernel_of(lexicon: Lexicon, unk_defaults: str = "by_class") -> Kernel:
-    """Gathers a lexicon for decoding. A lexicon is bounded: ids are 16-bit numbers."""
-    entries = [tuple(r) for r in lexicon.entries.orderBy("entry_id").select("surface", "left_id", "right_id", "cost", "pos", "base_form", "reading", "pronunciation").collect()]
-    costs = lexicon.matrix.collect()
+    """Gathers a lexicon for decoding: entries as one Arrow file that executors map, costs dense.
+
+    Entries pass the driver in columns, in as many bytes as the file has; ids are 16-bit
+    numbers, so the costs have 8 GB at most and some megabytes in known lexicons.
+    """
+    entries = Entries.shared(lexicon.spark, lexicon.entries.select(*COLUMNS).orderBy("surface", "entry_id").toArrow())
+    costs = lexicon.matrix.select("right_id", "left_id", "cost").toArrow()
+    right, left, cost = (costs.column(i).to_numpy() for i in range(3))
     # Rows are right ids; the flat layout has as many cells as the header says.
-    rows = max([lexicon.right_size, *(r[0] + 1 for r in costs)])
-    matrix = np.zeros((rows, max([lexicon.left_size, *(r[1] + 1 for r in costs)])), np.int16)
-    for r, k, v in costs:
-        matrix[r, k] = v
+    matrix = np.zeros((max(lexicon.right_size, right.max(initial=-1) + 1), max(lexicon.left_size, left.max(initial=-1) + 1)), np.int16)
+    matrix[right, left] = cost
     unk = [tuple(r) for r in lexicon.unk.orderBy("ord").select("class", "left_id", "right_id", "cost", "pos").collect()]
     classifier = lexicon.classifier()
     return Kernel(entries, matrix, classifier, unknown_templates(classifier, unk, unk_defaults))

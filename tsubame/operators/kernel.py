@@ -1,16 +1,23 @@
-"""The decoder: candidates and minimum-cost path of whole segments, for Arrow batches."""
+"""The decoder: candidates and minimum-cost path of whole segments, for Arrow batches.
+
+A segment is cut into pieces where no candidate crosses: between runs of one character
+type, unless an entry spans the border. What a piece does depends on its text and on the
+states before it only (for each right_id the cheapest way there, costs relative to the
+best), so each (state, piece) is decoded once and then looked up; the path is read back
+piece by piece. Tokens are numbers of templates, which numpy turns into Arrow columns.
+"""
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 
-from tsubame.functions.charclass import TYPES, Classifier, class_of_type, group_ends, run_ends
-from tsubame.functions.readings import in_context
+from tsubame.functions.charclass import TYPES, Classifier, class_of_type, group_ends, run_ends, run_pattern
+from tsubame.functions.readings import in_context, is_number
 from tsubame.functions.segment import PATTERN
+from tsubame.operators.entries import Entries
 
 # Cost and part of speech of unknown words whose class has no template.
 UNKNOWN_BY_TYPE = {
@@ -25,7 +32,8 @@ UNKNOWN_BY_TYPE = {
     "DEFAULT": (10000, "名詞,サ変接続,*,*"),
 }
 UNKNOWN_FLAT = (10000, "名詞,一般,*,*")
-MEMO_SEGMENTS, MEMO_CHARS = 20_000, 400
+# Bounds of what a worker remembers: pieces decoded, their length, token templates.
+MEMO_PIECES, MEMO_CHARS, MEMO_TEMPLATES = 300_000, 64, 500_000
 
 TOKEN_TYPE = pa.struct([
     ("surface", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("pos", pa.string()), ("base_form", pa.string()),
@@ -48,137 +56,288 @@ def unknown_templates(classifier: Classifier, unk: list[tuple], mode: str = "by_
     return out
 
 
-@dataclass
+class State:
+    """What can stand before a piece: (right_id, cost) in the order in which ties are decided."""
+
+    __slots__ = ("after", "shapes", "ways")
+
+    def __init__(self, ways: tuple[tuple[int, int], ...]) -> None:
+        self.ways = ways
+        self.after: dict[str, Step] = {}
+        self.shapes: dict[tuple, tuple] = {}
+
+
+class Step:
+    """One decoded piece: cost added, state behind it, and for each way there the way before and the nodes."""
+
+    __slots__ = ("back", "cost", "piece", "state", "templates")
+
+    def __init__(self, piece: str, cost: int, state: State, back: list[tuple[int, list[tuple]]]) -> None:
+        self.piece, self.cost, self.state, self.back = piece, cost, state, back
+        self.templates: list[list[int] | None] = [None] * len(back)
+
+
+class Templates:
+    """Distinct tokens seen, as columns; a token is the number of its template."""
+
+    def __init__(self) -> None:
+        self.number: dict[tuple, int] = {}
+        self.rows: list[tuple] = []
+        self.after_number: list[int] = []
+        self.numeric: list[bool] = []
+
+    def add(self, row: tuple, numeric: bool) -> int:
+        k = self.number.get(row)
+        if k is None:
+            k = self.number[row] = len(self.rows)
+            self.rows.append(row)
+            self.after_number.append(k)
+            self.numeric.append(numeric)
+        return k
+
+
 class Kernel:
-    """All that decoding needs, in one object that is broadcast once."""
-
-    entries: list[tuple]
-    matrix: np.ndarray
-    classifier: Classifier
-    unknown: list[tuple]
-    index: dict[str, list[int]] = field(default_factory=dict)
-    lengths: dict[str, list[int]] = field(default_factory=dict)
-
-    def __post_init__(self) -> None:
-        found: dict[str, set[int]] = {}
-        for i, e in enumerate(self.entries):
-            self.index.setdefault(e[0], []).append(i)
-            found.setdefault(e[0][0], set()).add(len(e[0]))
-        self.lengths = {c: sorted(n) for c, n in found.items()}
+    """All that decoding needs, in one object that is broadcast once; entries lie in a shared file."""
+
+    def __init__(self, entries: Entries | list[tuple], matrix: np.ndarray, classifier: Classifier, unknown: list[tuple]) -> None:
+        self.entries = entries if isinstance(entries, Entries) else Entries.of(entries)
+        self.matrix, self.classifier, self.unknown = matrix, classifier, unknown
+        self._ready()
+        # First characters of entries that hold more than one run.
+        self.crossing: set[str] = set()
+        for ch, (lo, hi) in self.entries.heads.items():
+            if any(len(self.runs.findall(self.entries.surface(r))) > 1 for r in range(lo, hi)):
+                self.crossing.add(ch)
+
+    def __getstate__(self) -> tuple:
+        return self.entries, self.matrix, self.classifier, self.unknown, self.crossing
+
+    def __setstate__(self, state: tuple) -> None:
+        self.entries, self.matrix, self.classifier, self.unknown, self.crossing = state
+        self._ready()
+
+    def _ready(self) -> None:
         self.split = re.compile(PATTERN)
-        self.memo: dict[str, list] = {}
+        self.runs = re.compile(run_pattern(self.classifier.intervals()))
+        self.costs: dict[int, list[int]] = {}
+        self.to_lefts: dict[int, np.ndarray] = {}
+        self.left_ids = sorted({0, *(u[3] for u in self.unknown), *np.unique(self.entries.left).tolist()})
+        self._forget()
+
+    def _forget(self) -> None:
+        self.states: dict[tuple, State] = {}
+        self.pieces_known = 0
+        self.templates = Templates()
+        self.begin = self._state(((0, 0),))
+
+    def _state(self, ways: tuple) -> State:
+        s = self.states.get(ways)
+        if s is None:
+            s = self.states[ways] = State(ways)
+        return s
 
     def connection(self, right_id: int, left_id: int) -> int:
-        m = self.matrix
-        return int(m[right_id, left_id]) if right_id < m.shape[0] and left_id < m.shape[1] else 0
+        row = self.costs.get(right_id)
+        if row is None:
+            row = self.costs[right_id] = self.matrix[right_id].tolist() if right_id < self.matrix.shape[0] else []
+        return row[left_id] if left_id < len(row) else 0
 
-    def candidates(self, seg: str) -> list[tuple]:
-        """(start, end, unknown, entry number or type, left_id, right_id, cost) nodes.
+    def _shape(self, seg: str) -> tuple[bytes, tuple]:
+        """What decides the nodes of a segment: types, and (start, length, rows) of its entries."""
+        e = self.entries
+        return bytes(self.classifier.types(seg)), tuple([(p, *m) for p, ch in enumerate(seg) if ch in e.heads for m in e.at(seg, p)])
 
-        The order is that of starts; at one start known words before unknown ones.
-        """
-        types = self.classifier.types(seg)
+    def _nodes(self, shape: tuple[bytes, tuple]) -> list[list[tuple]]:
+        """For each start, (start, end, unknown, entry number or type, left_id, right_id, cost, row) nodes."""
+        types, matches = shape
         ends = run_ends(types)
-        out = []
-        for p, ch in enumerate(seg):
-            known = False
-            for n in self.lengths.get(ch, ()):
-                for i in self.index.get(seg[p : p + n], ()) if p + n <= len(seg) else ():
-                    e = self.entries[i]
-                    out.append((p, p + n, 0, i, e[1], e[2], e[3]))
-                    known = True
-            invoke, group, length, left, right, cost, _ = self.unknown[types[p]]
-            if invoke or not known:
+        e, out = self.entries, []
+        known: list[list[tuple]] = [[] for _ in types]
+        for p, n, lo, hi in matches:
+            known[p] += [(p, p + n, 0, int(e.ids[r]), int(e.left[r]), int(e.right[r]), int(e.cost[r]), r) for r in range(lo, hi)]
+        for p, kind in enumerate(types):
+            here = known[p]
+            invoke, group, length, left, right, cost, _ = self.unknown[kind]
+            if invoke or not here:
                 reach = group_ends(p, ends[p], group, length)
                 if p + 1 not in reach:
                     reach.append(p + 1)
-                out += [(p, e, 1, types[p], left, right, cost) for e in reach]
+                here += [(p, x, 1, kind, left, right, cost, kind) for x in reach]
+            out.append(here)
         return out
 
-    def path(self, seg: str) -> tuple[int, list[tuple]]:
-        """Total cost and nodes of the best path; ties go to the first predecessor.
+    def candidates(self, seg: str) -> list[tuple]:
+        """(start, end, unknown, entry number or type, left_id, right_id, cost) nodes.
 
-        Predecessors that end at one place are ordered by (start, unknown, entry); of
-        those with one right_id only the first cheapest can win, so only it is kept.
+        The order is that of starts; at one start known words before unknown ones.
         """
-        n = len(seg)
-        # best[p]: right_id -> (total, start, unknown, entry, node, predecessor state)
-        best: list[dict[int, tuple]] = [{} for _ in range(n + 1)]
-        best[0][0] = (0, -1, 0, 0, None, None)
-        by_start: list[list[tuple]] = [[] for _ in range(n)]
-        for node in self.candidates(seg):
-            by_start[node[0]].append(node)
-
-        def first_cheapest(p: int, left_id: int) -> tuple | None:
-            low = None
-            for right_id, s in best[p].items():
-                key = (s[0] + self.connection(right_id, left_id), s[1], s[2], s[3])
-                if low is None or key < low[0]:
-                    low = (key, s)
-            return low
+        return [node[:7] for here in self._nodes(self._shape(seg)) for node in here]
 
+    def pieces(self, seg: str) -> list[str]:
+        """The segment, cut at the borders of runs that no entry spans."""
+        runs = self.runs.findall(seg)
+        if not self.crossing or len(runs) < 2 or self.crossing.isdisjoint(seg):
+            return runs
+        reach, p, out, begin = 0, 0, [], 0
+        for run in runs:
+            if p and reach <= p:
+                out.append(seg[begin:p])
+                begin = p
+            for i, ch in enumerate(run, p):
+                if ch in self.crossing and (found := self.entries.at(seg, i)):
+                    reach = max(reach, i + found[-1][0])
+            p += len(run)
+        return [*out, seg[begin:]]
+
+    def _decode(self, state: State, piece: str) -> Step:
+        """Best ways through a piece; ties go to the first predecessor by (start, unknown, entry).
+
+        Of predecessors that end at one place with one right_id only the first cheapest
+        can win, so only it is kept. Pieces of one shape share the result.
+        """
+        shape = self._shape(piece)
+        known = state.shapes.get(shape)
+        if known:
+            return Step(piece, *known)
+        n = len(piece)
+        # best[p]: right_id -> (total, start, unknown, entry, node, state before or way before)
+        best: list[dict[int, tuple]] = [{} for _ in range(n + 1)]
+        nodes, connection = self._nodes(shape), self.connection
         for p in range(n):
-            if not best[p]:
+            if p and not best[p]:
                 continue
-            memo: dict[int, tuple | None] = {}
-            for node in by_start[p]:
+            memo: dict[int, tuple] = {}
+            for node in nodes[p]:
                 left = node[4]
                 if left not in memo:
-                    memo[left] = first_cheapest(p, left)
-                (total, *_), before = memo[left]
-                state = (total + node[6], node[0], node[2], node[3], node, before)
+                    if p:
+                        low = min([(s[0] + connection(r, left), s[1], s[2], s[3], r) for r, s in best[p].items()])
+                        memo[left] = (low[0], best[p][low[4]])
+                    else:
+                        memo[left] = min([(c + connection(r, left), i) for i, (r, c) in enumerate(state.ways)])
+                total, before = memo[left]
+                total += node[6]
                 old = best[node[1]].get(node[5])
-                if old is None or state[:4] < old[:4]:
-                    best[node[1]][node[5]] = state
-        low = first_cheapest(n, 0)
-        if low is None:
-            return 0, []
-        total, state, out = low[0][0], low[1], []
-        while state[4] is not None:
-            out.append(state[4])
-            state = state[5]
-        return total, out[::-1]
-
-    def segment(self, seg: str) -> list[tuple]:
-        """Tokens of a segment with byte offsets from its start, readings included."""
-        if seg in self.memo:
-            return self.memo[seg]
-        out, at, before = [], 0, None
-        for a, b, unknown, i, _, _, cost in self.path(seg)[1]:
-            surface = seg[a:b]
-            if unknown:
-                pos, base, reading, pron = self.unknown[i][6], surface, "", ""
-            else:
-                pos, base, reading, pron = self.entries[i][4:8]
-            spoken = in_context(surface, before)
-            if spoken is not None:
-                reading = pron = spoken
-            end = at + len(surface.encode())
-            out.append((surface, at, end, pos, base, reading, pron, cost, not unknown))
-            at, before = end, (surface, pos)
-        if len(seg) <= MEMO_CHARS:
-            if len(self.memo) >= MEMO_SEGMENTS:
-                self.memo.clear()
-            self.memo[seg] = out
-        return out
+                if old is None or (total, node[0], node[2], node[3]) < old[:4]:
+                    best[node[1]][node[5]] = (total, node[0], node[2], node[3], node, before)
+        last = sorted(best[n].items(), key=lambda x: x[1][1:4])
+        base = min(s[0] for _, s in last)
+        if len(last) > 1:
+            # A way that no left_id prefers (the first cheapest counts) never wins.
+            costs = np.stack([self._lefts(r) + (s[0] - base) for r, s in last])
+            last = [last[i] for i in sorted(set(costs.argmin(axis=0).tolist()))]
+        back = []
+        for _, s in last:
+            path = []
+            while True:
+                path.append(s[4])
+                if s[1] == 0:
+                    break
+                s = s[5]
+            back.append((s[5], path[::-1]))
+        found = (base, self._state(tuple((r, s[0] - base) for r, s in last)), back)
+        if n <= MEMO_CHARS:
+            state.shapes[shape] = found
+        return Step(piece, *found)
 
-    def tokens(self, text: str) -> list[tuple]:
-        """Tokens of a text, sentence by sentence, with byte offsets in the text."""
-        out, base = [], 0
+    def _lefts(self, right_id: int) -> np.ndarray:
+        """Costs from a right_id to every left_id that a node can have."""
+        row = self.to_lefts.get(right_id)
+        if row is None:
+            row = self.to_lefts[right_id] = np.array([self.connection(right_id, x) for x in self.left_ids], np.int64)
+        return row
+
+    def _template(self, piece: str, node: tuple) -> int:
+        a, b, unknown, _, _, _, cost, row = node
+        surface = piece[a:b]
+        pos, base, reading, pron = (self.unknown[row][6], surface, "", "") if unknown else self.entries.feature(row)
+        t, size, numeric = self.templates, len(surface.encode()), is_number(surface, pos)
+        spoken = in_context(surface, None)
+        if spoken is None:
+            return t.add((surface, size, pos, base, reading, pron, cost, not unknown), numeric)
+        k = t.add((surface, size, pos, base, spoken, spoken, cost, not unknown), numeric)
+        unit = in_context(surface, ("0", ""))
+        if unit != spoken:
+            t.after_number[k] = t.add((surface, size, pos, base, unit, unit, cost, not unknown), numeric)
+        return k
+
+    def _through(self, seg: str) -> tuple[int, list[Step], int]:
+        """Total cost, the steps of the pieces, and the way that is best at the end."""
+        state, steps, total = self.begin, [], 0
+        for piece in self.pieces(seg):
+            step = state.after.get(piece)
+            if step is None:
+                step = self._decode(state, piece)
+                if len(piece) <= MEMO_CHARS:
+                    state.after[piece] = step
+                    self.pieces_known += 1
+            steps.append(step)
+            total += step.cost
+            state = step.state
+        ways = state.ways
+        if len(ways) == 1:
+            return total + ways[0][1] + self.connection(ways[0][0], 0), steps, 0
+        low, way = min([(c + self.connection(r, 0), i) for i, (r, c) in enumerate(ways)])
+        return total + low, steps, way
+
+    def path(self, seg: str) -> tuple[int, list[tuple]]:
+        """Total cost and nodes of the best path of a segment."""
+        total, steps, way = self._through(seg)
+        parts = []
+        for step in reversed(steps):
+            way, nodes = step.back[way]
+            parts.append(nodes)
+        out, at = [], 0
+        for nodes in reversed(parts):
+            out += [(a + at, b + at, *rest) for a, b, *rest, _ in nodes]
+            at = out[-1][1]
+        return (total if steps else 0), out
+
+    def _numbers(self, text: str, out: list[int], begins: list[int]) -> None:
+        """Appends the template numbers of a text's tokens, and where its segments begin."""
         for seg in self.split.findall(text):
-            out += [(t[0], t[1] + base, t[2] + base, *t[3:]) for t in self.segment(seg)]
-            base += len(seg.encode())
-        return out
+            begins.append(len(out))
+            _, steps, way = self._through(seg)
+            parts = []
+            for step in reversed(steps):
+                known = step.templates[way]
+                if known is None:
+                    known = step.templates[way] = [self._template(step.piece, x) for x in step.back[way][1]]
+                parts.append(known)
+                way = step.back[way][0]
+            for x in reversed(parts):
+                out += x
 
     def token_array(self, texts: pa.Array) -> pa.Array:
         """Token lists of many texts; null for null."""
-        offsets, valid, flat = [0], [], []
+        if self.pieces_known > MEMO_PIECES or len(self.templates.rows) > MEMO_TEMPLATES:
+            self._forget()
+        numbers: list[int] = []
+        begins: list[int] = []
+        offsets, valid = [0], []
         for text in texts.to_pylist():
             valid.append(text is not None)
             if text:
-                flat += self.tokens(text)
-            offsets.append(len(flat))
-        cols = list(zip(*flat, strict=True)) if flat else [()] * len(TOKEN_TYPE)
-        items = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(cols, TOKEN_TYPE, strict=True)], fields=list(TOKEN_TYPE))
+                self._numbers(text, numbers, begins)
+            offsets.append(len(numbers))
+        t, k = self.templates, np.array(numbers, np.int64)
+        if len(k):
+            # A token behind a number in its segment takes its reading as a unit.
+            behind = np.zeros(len(k), bool)
+            behind[1:] = np.array(t.numeric)[k[:-1]]
+            behind[begins] = False
+            k = np.where(behind, np.array(t.after_number)[k], k)
+        used, k = np.unique(k, return_inverse=True)
+        cols = list(zip(*[t.rows[i] for i in used.tolist()], strict=True)) if len(used) else [()] * 8
+        size = np.array(cols[1], np.int64)[k]
+        total = np.concatenate([[0], np.cumsum(size)])
+        first = np.repeat(total[np.array(offsets[:-1], np.int64)], np.diff(offsets))
+        at = pa.array(k, pa.int32())
+        fields = [pa.array(cols[i], f.type).take(at) for i, f in ((0, TOKEN_TYPE[0]), *zip(range(2, 8), list(TOKEN_TYPE)[3:], strict=True))]
+        items = pa.StructArray.from_arrays([fields[0], pa.array(total[:-1] - first), pa.array(total[1:] - first), *fields[1:]], fields=list(TOKEN_TYPE))
         starts = pa.array([o if ok else None for o, ok in zip(offsets, [*valid, True], strict=True)], pa.int32())
         return pa.ListArray.from_arrays(starts, items)
+
+    def tokens(self, text: str) -> list[tuple]:
+        """Tokens of a text, sentence by sentence, with byte offsets in the text."""
+        return [tuple(t.values()) for t in self.token_array(pa.array([text], pa.string()))[0].as_py()]

@@ -1,20 +1,21 @@
-"""Tokenisation without a lexicon, as one regular expression where that is exact.
+"""Tokenisation without a lexicon, inside code generation.
 
-With no entries and no costs the best path of text whose classes group without limit
-is the sequence of its maximal same-type runs. Texts with limited classes (kana,
-kanji) take the decoder instead.
+With no entries and no costs a path never crosses a border between types. Runs of
+classes without a length limit stay whole. Runs of limited classes (kana, kanji: two
+characters at most) need the fewest tokens, and ties go to the earliest start, so they
+are cut into pairs from the right, and an odd run begins with a single character.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tsubame.functions.charclass import DEFAULT_INTERVALS
-from tsubame.functions.segment import split_sentences
-from tsubame.operators.analyzer import Analyzer
+from tsubame.functions.segment import sentences, split_sentences
 
 UNLIMITED = ["ALPHA", "NUMERIC", "NUMERICWIDE", "SYMBOL", "SPACE"]
+LIMITED = ["HIRAGANA", "KATAKANA", "KANJI"]
 
 
 def _class(kinds: list[str], negate: bool = False) -> str:
@@ -22,21 +23,32 @@ def _class(kinds: list[str], negate: bool = False) -> str:
     return f"[{'^' if negate else ''}{inside}]"
 
 
-LIMITED = _class(["HIRAGANA", "KATAKANA", "KANJI"])
-RUNS = "|".join([*(f"{_class([k])}+" for k in UNLIMITED), f"{_class([k for *_, k in DEFAULT_INTERVALS], True)}+"])
+OTHER = _class([*UNLIMITED, *LIMITED], True)
+RUNS = "|".join(f"{c}+" for c in [*map(_class, ([k] for k in UNLIMITED)), OTHER, *map(_class, ([k] for k in LIMITED))])
 
 
-def unknown_tokens(df: DataFrame, text: str, keys: list[str], decoder: Analyzer | None = None) -> DataFrame:
-    """(keys, seg_idx, tok_idx, surface) of every token.
+def _pairs(run: Column) -> Column:
+    """A run as pairs from the right; an odd one begins with its first character."""
+    n = F.char_length(run)
+    starts = F.sequence(F.lit(0), F.ceil(n / 2).cast("int") - 1)
+    at = lambda j: F.greatest(F.lit(0), 2 * j - n % 2)
+    return F.transform(starts, lambda j: F.substring(run, at(j) + 1, F.when((j == 0) & (n % 2 == 1), 1).otherwise(2)))
 
-    ``decoder`` is an analyzer with an empty lexicon; without it, text with kana or
-    kanji is not expected and would be read as runs.
-    """
+
+def surfaces(segment: Column) -> Column:
+    """Array of the surfaces of a sentence segment."""
+    runs = F.regexp_extract_all(segment, F.lit(RUNS), F.lit(0))
+    limited = _class(LIMITED)
+    cut_up = F.flatten(F.transform(runs, lambda r: F.when(r.rlike(f"^{limited}"), _pairs(r)).otherwise(F.array(r))))
+    return F.when(segment.rlike(limited), cut_up).otherwise(runs)
+
+
+def text_surfaces(text: Column) -> Column:
+    """Array of the surfaces of a whole text, sentence by sentence."""
+    return F.flatten(F.transform(sentences(text), surfaces))
+
+
+def unknown_tokens(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
+    """(keys, seg_idx, tok_idx, surface) of every token, in one pass."""
     segments = split_sentences(df, text, keys)
-    limited = F.col("seg").rlike(LIMITED)
-    plain = segments if decoder is None else segments.where(~limited)
-    out = plain.select(*keys, "seg_idx", F.posexplode(F.regexp_extract_all("seg", F.lit(RUNS), F.lit(0))).alias("tok_idx", "surface"))
-    if decoder is None:
-        return out
-    rest = decoder.tokenize(segments.where(limited), "seg", [*keys, "seg_idx"]).select(*out.columns)
-    return out.unionByName(rest)
+    return segments.select(*keys, "seg_idx", F.posexplode(surfaces(F.col("seg"))).alias("tok_idx", "surface"))

@@ -2,16 +2,35 @@
 
 from __future__ import annotations
 
-from tsubame.functions.charclass import DEFAULT_INTERVALS, TYPES
-from tsubame.functions.segment import PATTERN
-from tsubame.operators.unknown import RUNS
 from tsubame.plans.fixtures import quoted, values
 
-SPLIT = PATTERN.replace("\n", "\\n")
+# What follows states the semantics anew, in SQL's terms; nothing is taken from the engine.
+SPLIT = r"[^。！？!?\n]*[。！？!?\n]|[^。！？!?\n]+"
+# Code points of each type, and (invoke, group, length, cost, part of speech) of its unknown words.
+CLASSES = {
+    "HIRAGANA": ([(0x3040, 0x309F)], (False, True, 2, 8000, "名詞,一般,*,*")),
+    "KATAKANA": ([(0x30A0, 0x30FF), (0x31F0, 0x31FF), (0xFF65, 0xFF9F)], (True, True, 2, 5000, "名詞,一般,*,*")),
+    "KANJI": ([(0x3007, 0x3007), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x2A6DF)], (False, False, 2, 7000, "名詞,一般,*,*")),
+    "ALPHA": ([(65, 90), (97, 122), (0xFF21, 0xFF3A), (0xFF41, 0xFF5A)], (True, True, 0, 6000, "名詞,固有名詞,組織,*")),
+    "NUMERIC": ([(48, 57)], (True, True, 0, 6000, "名詞,数,*,*")),
+    "NUMERICWIDE": ([(0xFF10, 0xFF19)], (True, True, 0, 6000, "名詞,数,*,*")),
+    "SYMBOL": ([(33, 47), (58, 64), (91, 96), (123, 126), (0x3001, 0x3006), (0x3008, 0x303F), (0xFF01, 0xFF0F), (0xFF1A, 0xFF20)], (True, True, 0, 9000, "記号,一般,*,*")),
+    "SPACE": ([(9, 13), (32, 32), (0x3000, 0x3000)], (False, True, 0, 3000, "記号,空白,*,*")),
+    "DEFAULT": ([], (False, True, 0, 10000, "名詞,サ変接続,*,*")),
+}
+_IN = {k: "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in v) for k, (v, _) in CLASSES.items()}
+RUN = "|".join([*(f"[{x}]+" for x in _IN.values() if x), f"[^{''.join(_IN.values())}]+"])
+PAIRED = f"^[{_IN['HIRAGANA']}{_IN['KATAKANA']}{_IN['KANJI']}]"
+
+
+def surfaces(seg: str) -> str:
+    """List of the surfaces of a segment without a lexicon: runs, those of kana and kanji in pairs from the right."""
+    pairs = "list_transform(range(0, (length(r) + 1) // 2), lambda j: CASE WHEN length(r) % 2 = 0 THEN substr(r, 2 * j + 1, 2) WHEN j = 0 THEN r[1] ELSE substr(r, 2 * j, 2) END)"
+    return f"flatten(list_transform(regexp_extract_all({seg}, '{RUN}'), lambda r: CASE WHEN regexp_matches(r, '{PAIRED}') THEN {pairs} ELSE [r] END))"
 
 
 def type_case(ch: str) -> str:
-    arms = " ".join(f"WHEN unicode({ch}) BETWEEN {a} AND {b} THEN '{k}'" for a, b, k in DEFAULT_INTERVALS)
+    arms = " ".join(f"WHEN unicode({ch}) BETWEEN {a} AND {b} THEN '{k}'" for k, (v, _) in CLASSES.items() for a, b in v)
     return f"CASE {arms} ELSE 'DEFAULT' END"
 
 
@@ -22,17 +41,17 @@ def segments(source: str, key: str, text: str = "text") -> str:
 
 
 def runs(key: str) -> str:
-    """CTE ``toks``: key, seg_idx, tok_idx, surface of same-type runs."""
-    return f"toks AS (SELECT {key}, seg_idx, CAST(i - 1 AS INTEGER) AS tok_idx, t[i] AS surface FROM (SELECT {key}, seg_idx, t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT {key}, seg_idx, regexp_extract_all(seg, '{RUNS}') AS t FROM segs)))"
+    """CTE ``toks``: key, seg_idx, tok_idx, surface without a lexicon."""
+    return f"toks AS (SELECT {key}, seg_idx, CAST(i - 1 AS INTEGER) AS tok_idx, t[i] AS surface FROM (SELECT {key}, seg_idx, t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT {key}, seg_idx, {surfaces('seg')} AS t FROM segs)))"
 
 
-def lattice(key: str, lexicon: list[tuple], unknown: list[tuple]) -> str:
+def lattice(key: str, lexicon: list[tuple]) -> str:
     """CTEs up to ``nodes`` (key, seg_idx, start, end, unk, entry_id, left_id, right_id, word_cost, type).
 
     ``lexicon`` has rows (surface, left_id, right_id, cost, pos, base_form, reading, pronunciation).
     """
     lex = values([(i, *r) for i, r in enumerate(lexicon)]) if lexicon else "(SELECT 0, '', 0, 0, 0, '', '', '', '' WHERE false)"
-    unk = values([(k, i, *u) for i, (k, u) in enumerate(zip(TYPES, unknown, strict=True))])
+    unk = values([(k, i, *u[:3], 0, 0, *u[3:]) for i, (k, (_, u)) in enumerate(CLASSES.items())])
     k = f"{key}, seg_idx"
     return f"""lex(entry_id, surface, left_id, right_id, cost, pos, base_form, reading, pronunciation) AS {lex},
 unk(type, no, invoke, grp, len, left_id, right_id, cost, pos) AS {unk},
