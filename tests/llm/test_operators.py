@@ -452,6 +452,11 @@ def test_top_k_equals_brute_force(spark):
     for q, top in got.items():
         scored = sorted((-sum(a * b for a, b in zip(ok[q], v, strict=False)), i) for i, v in ok.items() if i != q)[:5]
         assert [top[r] for r in range(1, 6)] == [(-s, i) for s, i in scored]
+    twice = spark.createDataFrame([(50, [1.0, 0.0]), (50, [1.0, 0.0]), (50, [0.5, 0.0]), (7, [2.0, 0.0])], "vec_id long, embedding array<float>")
+    rows = sorted((r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(twice, F.col("vec_id") % 50 == 0).collect())
+    # Each of the three rows meets the other three.
+    one, half = 256 * 256, 128 * 256
+    assert rows == sorted([(1, 7, 2 * one), (2, 50, one), (3, 50, half)] * 2 + [(1, 7, 2 * half), (2, 50, half), (3, 50, half)])
     few = topk.top_k(df.where("vec_id in (50, 51)"), F.col("vec_id") % 50 == 0).collect()
     assert [(r["query_id"], r["rank"], r["vec_id"]) for r in few] == [(50, 1, 51)]
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0

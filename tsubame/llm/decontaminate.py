@@ -26,11 +26,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsubame.session import BROADCAST_ROWS, cut, table
+from tsubame.session import cut, small, table
 
 K = 5
 RADIUS = 23
-LANES = 16
 
 
 def _words(text: str) -> Column:
@@ -44,25 +43,25 @@ def _hashes(words: str, k: int) -> Column:
 
 
 def simhash(hashes: str) -> Column:
-    """64-bit SimHash of a bag of 64-bit hashes; bit counts are kept in 16-bit lanes."""
-    mask = F.lit(0x0001000100010001)
-    zero = F.array_repeat(F.lit(0).cast("long"), LANES)
-    lanes = F.aggregate(
-        hashes,
-        zero,
-        lambda acc, h: F.transform(acc, lambda a, j: a + F.call_function("shiftrightunsigned", h, j).bitwiseAND(mask)),
-    )
-    half = F.size(hashes)
-
-    def bits(acc: Column) -> Column:
+    """64-bit SimHash of a bag of 64-bit hashes; bit counts are kept in lanes of 16 bits, in a large bag of 32."""
+
+    def counted(per_word: int) -> Column:
+        width = 64 // per_word
+        mask = F.lit(sum(1 << (width * q) for q in range(per_word)))
+        zero = F.array_repeat(F.lit(0).cast("long"), width)
+        step = lambda acc, h: F.transform(acc, lambda a, j: a + F.call_function("shiftrightunsigned", h, j).bitwiseAND(mask))
+        return F.get(F.transform(F.array(F.aggregate(hashes, zero, step)), lambda acc: bits(acc, per_word, width)), 0)
+
+    def bits(acc: Column, per_word: int, width: int) -> Column:
         parts = []
-        for j in range(LANES):
-            for q in range(4):
-                count = F.shiftrightunsigned(acc[j], 16 * q).bitwiseAND(F.lit(0xFFFF))
-                parts.append(F.when(2 * count > half, F.lit(1 << (16 * q + j) if 16 * q + j < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")))
+        for j in range(width):
+            for q in range(per_word):
+                count = F.shiftrightunsigned(acc[j], width * q).bitwiseAND(F.lit((1 << width) - 1))
+                at = width * q + j
+                parts.append(F.when(2 * count > F.size(hashes), F.lit(1 << at if at < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")))
         return reduce(lambda a, b: a.bitwiseOR(b), parts)
 
-    return F.get(F.transform(F.array(lanes), bits), 0)
+    return F.when(F.size(hashes) < 1 << 16, counted(4)).otherwise(counted(2))
 
 
 def _blocks(fp: str) -> Column:
@@ -76,10 +75,6 @@ def _blocks(fp: str) -> Column:
     return F.array(*out)
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def leaks(docs: DataFrame, benchmark: DataFrame, k: int = K) -> DataFrame:
     """(doc_id, item_id, start_word, n_words, similarity) of the best window of each leak."""
     items = benchmark.select("item_id", F.transform(_words("text"), lambda w: F.xxhash64(w)).alias("hw"))
@@ -88,7 +83,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = K) -> DataFrame:
     items = cut(items.withColumn("hs", pick("hw", "k")).drop("hw"))
     sizes = sorted(r[0] for r in items.select("k").distinct().collect())
     rows = docs.select("doc_id", F.xxhash64("text").alias("key"), F.transform(_words("text"), lambda w: F.xxhash64(w)).alias("hw"))
-    grams = _small(cut(items.select("item_id", "len", "k", F.size("hs").alias("m"), F.posexplode("hs").alias("ipos", "h"))))
+    grams = small(cut(items.select("item_id", "len", "k", F.size("hs").alias("m"), F.posexplode("hs").alias("ipos", "h"))))
     parts = []
     for j in sizes:
         at = rows.select("doc_id", "key", F.size("hw").alias("n"), F.posexplode(_hashes("hw", j)).alias("pos", "h"))
@@ -104,19 +99,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = K) -> DataFrame:
     near = near.where(9 * F.col("places") >= 4 * F.col("both"))
     near = cut(near.groupBy("doc_id", "key").agg(F.array_distinct(F.flatten(F.collect_list("ws"))).alias("ws")))
     same = (F.col("r.doc_id").eqNullSafe(F.col("n.doc_id"))) & (F.col("r.key") == F.col("n.key"))
-    windows = rows.alias("r").join(_small(near).alias("n"), same).select("r.doc_id", "r.key", "hw", "ws").dropDuplicates(["doc_id", "key"])
+    windows = rows.alias("r").join(small(near).alias("n"), same).select("r.doc_id", "r.key", "hw", "ws").dropDuplicates(["doc_id", "key"])
     windows = windows.select("doc_id", "key", "hw", F.explode("ws").alias("w")).select("doc_id", "key", "w.*", F.expr("slice(hw, w.start + 1, w.wl)").alias("ww"))
     windows = windows.select("doc_id", "key", "start", "wl", "len", pick("ww", "k").alias("hs"))
     windows = cut(windows.withColumns({"fp": simhash("hs"), "wid": F.xxhash64("doc_id", "key", "start", "wl", "len")}))
     marked = cut(items.withColumn("ifp", simhash("hs")))
     index = marked.select("item_id", "len", "ifp", F.explode(_blocks("ifp")).alias("b")).select("item_id", "len", "ifp", "b.*")
     probes = windows.select("wid", "len", "fp", F.explode(_blocks("fp")).alias("b")).select("wid", "len", "fp", "b.*")
-    found = probes.join(_small(index), ["len", "block", "value"])
+    found = probes.join(small(index), ["len", "block", "value"])
     found = found.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= RADIUS).select("wid", "item_id").distinct()
     bag = lambda df, key, c: df.select(key, F.explode("hs").alias("h")).groupBy(key, "h").agg(F.count("*").alias(c))
-    shared = found.join(_small(bag(marked, "item_id", "ci")), "item_id").join(bag(windows, "wid", "cw"), ["wid", "h"])
+    shared = found.join(small(bag(marked, "item_id", "ci")), "item_id").join(bag(windows, "wid", "cw"), ["wid", "h"])
     shared = shared.groupBy("wid", "item_id").agg(F.sum(F.least("ci", "cw")).alias("low"))
-    sized = shared.join(windows.select("wid", "doc_id", "start", "wl", F.size("hs").alias("mw")).dropDuplicates(["wid"]), "wid").join(_small(marked.select("item_id", F.size("hs").alias("mi")).distinct()), "item_id")
+    sized = shared.join(windows.select("wid", "doc_id", "start", "wl", F.size("hs").alias("mw")).dropDuplicates(["wid"]), "wid").join(small(marked.select("item_id", F.size("hs").alias("mi")).distinct()), "item_id")
     high = F.col("mw") + F.col("mi") - F.col("low")
     kept = sized.where(10 * F.col("low") >= 8 * high).withColumn("similarity", F.col("low") / high)
     best = F.max(F.struct(F.col("similarity"), (-F.col("start")).alias("at"), F.col("wl"))).alias("best")
@@ -142,8 +137,7 @@ d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, ''))
 dg AS (SELECT doc_id, n, k, p AS pos, array_to_string(w[p + 1:p + k], ' ') AS g
   FROM (SELECT doc_id, w, len(w) AS n, k, unnest(range(0, len(w) - k + 1)) AS p FROM d, (SELECT DISTINCT k FROM i) WHERE len(w) >= k)),
 h AS (SELECT doc_id, item_id, dg.k, len, n, m, pos, greatest(0, least(pos - ipos, n - len)) AS start, least(len, n) AS wl FROM dg JOIN ig USING (k, g)),
-f AS (SELECT doc_id, item_id FROM h GROUP BY ALL HAVING 9 * count(DISTINCT pos) >= 8 * any_value(m)),
-w AS (SELECT DISTINCT doc_id, item_id, k, m, start, wl FROM h SEMI JOIN f USING (doc_id, item_id)),
+w AS (SELECT DISTINCT doc_id, item_id, k, m, start, wl FROM h),
 wc AS (SELECT w.doc_id, w.item_id, w.start, w.wl, w.m, dg.g, count(*) AS c FROM w JOIN dg ON w.doc_id = dg.doc_id AND w.k = dg.k AND dg.pos BETWEEN w.start AND w.start + w.wl - w.k GROUP BY ALL),
 ic AS (SELECT item_id, g, count(*) AS c FROM ig GROUP BY ALL),
 s AS (SELECT doc_id, item_id, start, any_value(wl) AS wl, any_value(m) AS mi, sum(wc.c) AS mw, sum(least(wc.c, coalesce(ic.c, 0))) AS low

@@ -8,10 +8,12 @@ the source fits. Then the document of those looked at singly that comes closest
 what is left goes too, if it helps. The drawn blocks of all sources are divided among
 the output shards by a tree: each node gives one half of its shards a multivariate
 hypergeometric share of every source's blocks, so shards get disjoint runs of blocks
-as a uniform shuffle would give. Documents are never cut.
+as a uniform shuffle would give; ``mix`` then shuffles each shard locally, in slices of
+bounded size, by a random order of its copies. Documents are never cut.
 
-Only block and source totals reach the driver; ``MAX_BLOCKS`` bounds the blocks, and
-there is one row for each source. No window or join holds a whole source.
+Only block and source totals reach the driver: one row for each source, of which there
+may be ``MAX_SOURCES``, and ``MAX_BLOCKS`` blocks besides one a source. No window or
+join holds a whole source.
 
 Defined cases: a null text has no words; a null source is a source of its own, after
 all others; the empty string is another one; rows equal in doc_id, source and text
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tsubame.llm.draws import multivariate
-from tsubame.session import BROADCAST_ROWS, cut, table
+from tsubame.session import cut, shuffle_partitions, small, table
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -39,6 +41,8 @@ SHARDS = 16
 SEED = 7_001
 DOCS_PER_BLOCK = 500
 MAX_BLOCKS = 65_536
+MAX_SOURCES = 1_000_000
+ROWS_PER_SLICE = 50_000
 WORD = r"[^\x20\x09-\x0D]+"
 _GRID = 1 << 30
 
@@ -83,10 +87,6 @@ def _block(blocks: Column, seed: int) -> Column:
     return F.shiftright(at * blocks, 30).cast("int")
 
 
-def _bounded(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def plan(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, **rules: object) -> DataFrame:
     """Every document's size, source_size, target, taken words and shard of each copy."""
     narrow = cut(_keyed(docs).select("doc_id", "_mix_source", "_mix_size", "_mix_key"))
@@ -104,8 +104,13 @@ def mix(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, **rules: object
     """The mixture: each document's row as often as it is taken, with columns as in ``docs``."""
     keyed = _keyed(docs)
     narrow = cut(keyed.select("_mix_source", "_mix_size", "_mix_key"))
-    drawn = _draw(keyed, narrow, shards, seed, rules)
-    return drawn.withColumn("_mix_shard", F.explode("_mix_shards")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    copies = _draw(keyed, narrow, shards, seed, rules).select("*", F.posexplode("_mix_shards").alias("_mix_copy", "_mix_shard"))
+    # The local shuffle: copies meet by shard and range of a random order, and stand in that order.
+    slices = max(1, -(-narrow.count() // (ROWS_PER_SLICE * shards)))
+    placed = copies.withColumn("_mix_order", F.xxhash64(F.lit(seed + 2), "_mix_key", "_mix_copy"))
+    placed = placed.withColumn("_mix_slice", F.pmod(F.shiftright("_mix_order", 32), F.lit(slices)))
+    placed = placed.repartition(max(shards * slices, shuffle_partitions(docs.sparkSession)), "_mix_shard", "_mix_slice")
+    return placed.sortWithinPartitions("_mix_shard", "_mix_slice", "_mix_order", "_mix_key").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _order(seed: int) -> Column:
@@ -114,7 +119,7 @@ def _order(seed: int) -> Column:
 
 def _fitted(narrow: DataFrame, edge: list[tuple[int, int, float]], seed: int) -> DataFrame:
     """The documents of one block a source, in random order, each with whether it fits in what is left of the quota."""
-    quota = F.broadcast(narrow.sparkSession.createDataFrame(edge, "_mix_no int, _mix_block int, _mix_quota double"))
+    quota = small(narrow.sparkSession.createDataFrame(edge, "_mix_no int, _mix_block int, _mix_quota double"))
     unit = narrow.join(quota, ["_mix_no", "_mix_block"]).groupBy("_mix_no", "_mix_key", "_mix_quota").agg(F.sum("_mix_size").alias("unit"))
     docs = F.array_sort(F.collect_list(F.struct(_order(seed).alias("at"), F.col("_mix_key").alias("key"), "unit"))).alias("docs")
     none = F.array().cast("array<struct<_mix_key:bigint,_mix_unit:bigint,_mix_fits:boolean>>")
@@ -133,7 +138,7 @@ def _chosen(spark: SparkSession, tried: list[DataFrame], rest: list[float], seed
     if not tried:
         return spark.createDataFrame([], "_mix_no int, _mix_key bigint, _mix_chosen boolean")
     left = spark.createDataFrame(list(enumerate(rest)), "_mix_no int, _mix_left double")
-    unit = reduce(DataFrame.unionByName, tried).join(_bounded(left, len(rest)), "_mix_no")
+    unit = reduce(DataFrame.unionByName, tried).join(small(left), "_mix_no")
     gap = F.abs(F.col("_mix_unit") - F.col("_mix_left"))
     closest = F.row_number().over(Window.partitionBy("_mix_no").orderBy("_mix_fits", gap, _order(seed), "_mix_key"))
     unit = unit.withColumn("_mix_rank", closest)
@@ -144,7 +149,10 @@ def _chosen(spark: SparkSession, tried: list[DataFrame], rest: list[float], seed
 def _draw(rows: DataFrame, narrow: DataFrame, shards: int, seed: int, rules: dict) -> DataFrame:
     """``rows`` with _mix_total, _mix_target and _mix_shards, one shard for each copy."""
     spark = rows.sparkSession
-    found = narrow.groupBy("_mix_source").agg(F.sum("_mix_size").alias("words"), F.count("*").alias("n")).collect()
+    totals = narrow.groupBy("_mix_source").agg(F.sum("_mix_size").alias("words"), F.count("*").alias("n"))
+    found = totals.limit(MAX_SOURCES + 1).collect()
+    if len(found) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources")
     found.sort(key=lambda r: (r[0] == "n", r[0]))
     words, want = [r["words"] for r in found], targets([r["words"] for r in found], **rules)
     total = max(1, sum(r["n"] for r in found))
@@ -152,7 +160,7 @@ def _draw(rows: DataFrame, narrow: DataFrame, shards: int, seed: int, rules: dic
     sources = spark.createDataFrame(
         [(r[0], i, blocks[i], words[i], want[i]) for i, r in enumerate(found)], "_mix_source string, _mix_no int, _mix_blocks int, _mix_total bigint, _mix_target double"
     )
-    sources = _bounded(sources, len(found))
+    sources = small(sources)
 
     def placed(df: DataFrame) -> DataFrame:
         return df.join(sources, "_mix_source").withColumn("_mix_block", _block(F.col("_mix_blocks"), seed))
@@ -198,9 +206,9 @@ def _draw(rows: DataFrame, narrow: DataFrame, shards: int, seed: int, rules: dic
     for (i, b), to in copies.items():
         last = to[-1] if (i, b) in parts else None
         table_.append((i, b, to[:-1] if last is not None else to, last))
-    drawn = F.broadcast(spark.createDataFrame(table_, "_mix_no int, _mix_block int, _mix_to array<int>, _mix_last int"))
+    drawn = small(spark.createDataFrame(table_, "_mix_no int, _mix_block int, _mix_to array<int>, _mix_last int"))
     chosen = cut(_chosen(spark, tried, rest, seed))
-    out = placed(rows).join(drawn, ["_mix_no", "_mix_block"], "left").join(_bounded(chosen, chosen.count()), ["_mix_no", "_mix_key"], "left")
+    out = placed(rows).join(drawn, ["_mix_no", "_mix_block"], "left").join(small(chosen), ["_mix_no", "_mix_key"], "left")
     last = F.when(F.col("_mix_chosen") & F.col("_mix_last").isNotNull(), F.array("_mix_last")).otherwise(F.array().cast("array<int>"))
     return out.withColumn("_mix_shards", F.concat(F.coalesce("_mix_to", F.array().cast("array<int>")), last))
 

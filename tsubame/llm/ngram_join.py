@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tsubame.llm import textvec as tv
 from tsubame.llm.graph import components
-from tsubame.session import BROADCAST_ROWS, arrow_rows, cut, shuffle_partitions, table
+from tsubame.session import arrow_rows, cut, shuffle_partitions, small, table
 
 K = 5
 PERCENT = 80
@@ -321,9 +321,8 @@ def _linked(docs: DataFrame, reps: DataFrame, pairs: DataFrame, k: int, percent:
     pairs = pairs.select("fx", "fy").distinct().join(ends("x"), "fx").join(ends("y"), "fy").where("x is not null and y is not null")
     need = F.ceil(percent * (F.col("nx") + F.col("ny")) / (100 + percent) - 1e-9)
     pairs = cut(pairs.where(apart("sx", "sy") <= F.col("nx") + F.col("ny") - 2 * need).select("x", "y", "fx", "fy"))
-    need = cut(pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y")).distinct())
-    few = F.broadcast(need) if need.count() <= BROADCAST_ROWS else need
-    texts = docs.select("doc_id", "text").join(few, "doc_id", "left_semi")
+    need = small(cut(pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y")).distinct()))
+    texts = docs.select("doc_id", "text").join(need, "doc_id", "left_semi")
     side = lambda s: texts.select(F.col("doc_id").alias(s), F.col("text").alias("t" + s))
     arrow_rows(spark, PAIR_ROWS)
     # Always by sorted merge, so the plan is one and the same at every size.

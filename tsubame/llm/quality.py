@@ -5,7 +5,7 @@ first, second, last and last but one character, length, whether the word repeats
 one before). Features are the n-grams of both readings, hashed to ``2 ** BITS``
 weights; the value of a feature is its share of the text's words. Training runs in one
 task over at most ``TRAIN_ROWS`` labelled rows (those of smallest hash, a documented
-bound); scoring is a sparse dot product for each text, over whole texts.
+bound; of documents that repeat a doc_id all count, within the same bound); scoring is a sparse dot product for each text, over whole texts.
 
 Defined cases: a null or empty text, or one without words, has the intercept alone as
 its score; without usable labels every score is 0.5; label rows with null quality and
@@ -119,9 +119,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> np.ndar
     usable = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     few = usable.select("doc_id", F.col("quality").cast("int").alias("y"), order.alias("o")).orderBy("o", "y").limit(rows)
     arrow_rows(docs.sparkSession, TEXT_ROWS)
-    known = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("text", "y", "o")
+    known = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("text", "y", "o")  # ``rows`` rows of 24 bytes
     vectors = known.mapInArrow(_vectors, "idx array<long>, val array<double>, y int, o long")
-    blob = vectors.coalesce(1).mapInArrow(_train, "w binary").first()[0]
+    # Features are made where the texts lie; only the bounded sparse rows go to the one task that trains.
+    blob = vectors.orderBy("o", "y").limit(rows).repartition(1).mapInArrow(_train, "w binary").first()[0]
     return np.frombuffer(bytes(blob), "<f4")
 
 
@@ -147,14 +148,19 @@ def _scorer(weights: np.ndarray) -> Callable:
     return score
 
 
+def score(weights: np.ndarray, spark: SparkSession) -> Column:
+    """Probability of label 1 of the column ``text``."""
+    arrow_rows(spark, TEXT_ROWS)
+    return _scorer(weights)("text")
+
+
 def score_documents(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     """``docs`` with ``quality_score``; 1 is best."""
-    arrow_rows(docs.sparkSession, TEXT_ROWS)
-    return docs.withColumn("quality_score", _scorer(weights)("text"))
+    return docs.withColumn("quality_score", score(weights, docs.sparkSession))
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score_documents(docs, train(docs, table(spark, sf_dir, "labels")))
-    score = F.col("quality_score")
-    return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
+    p = F.col("quality_score")
+    return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), p.alias("score"), (p >= 0.5).cast("int").alias("predicted"))

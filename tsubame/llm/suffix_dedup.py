@@ -20,15 +20,18 @@ A byte is removed if it lies in a string of ``LENGTH`` bytes that also starts ea
    one by one, by their own hash, so no bucket holds a hot anchor.
 4. Ranges meet their documents, and the remaining bytes are hashed.
 
-Defined cases: a null text is empty; texts below LENGTH bytes lose nothing; rows that
-repeat a doc_id with equal texts lose the same bytes; a null doc_id comes after all
-others; extra columns are ignored; an empty table gives an empty result.
+Defined cases: a null text is empty; texts below LENGTH bytes lose nothing; rows with
+one doc_id and equal texts are one document and lose the same bytes; rows with one
+doc_id and different texts are documents of their own, in the order of a hash of the
+text; a null doc_id comes after all others; extra columns are ignored; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tsubame.llm import textvec as tv
-from tsubame.session import BROADCAST_ROWS, arrow_rows, cut, shuffle_partitions, table
+from tsubame.session import arrow_rows, cut, shuffle_partitions, small, table, written
 
 LENGTH = 100
 GRAM = 40
@@ -382,11 +385,28 @@ def _remove(texts: pa.Table, ranges: pa.Table) -> pa.Table:
 
 def dedup_substrings(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row of ``docs``."""
-    spark = docs.sparkSession
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    size = F.octet_length("text").cast("long")
     prints = [F.xxhash64(F.lit(i), "text").alias(f"p{i}") for i in (1, 2)]
-    seen = cut(docs.select("doc_id", size.alias("n_bytes"), *prints))
+    seen = cut(docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), *prints))
+    shared = seen.groupBy("doc_id").count().where("count > 1 or doc_id is null")
+    if not shared.head(1):
+        return _removed(docs, seen)
+    # Numbers in the order of (doc_id, hash) stand for the documents; repeated rows are one.
+    same = ["doc_id", "n_bytes", "p1", "p2"]
+    order = [F.asc_nulls_last("doc_id"), "p1", "p2", "n_bytes"]
+    ids = cut(seen.groupBy(*same).agg(F.count("*").cast("int").alias("copies")).orderBy(*order).withColumn("key", F.monotonically_increasing_id()))
+    marked = docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), *prints, "text").dropDuplicates(same)
+    keyed = marked.alias("m").join(ids.alias("i"), reduce(Column.__and__, [F.col(f"m.{c}").eqNullSafe(F.col(f"i.{c}")) for c in same]))
+    keyed = written(keyed.select(F.col("key").alias("doc_id"), "m.text"))
+    one = _removed(keyed, ids.select(F.col("key").alias("doc_id"), "n_bytes", "p1", "p2"))
+    back = one.withColumnRenamed("doc_id", "key").join(ids.select("key", "doc_id", F.explode(F.expr("sequence(1, copies)"))), "key")
+    return back.select("doc_id", *one.columns[1:])
+
+
+def _removed(docs: DataFrame, seen: DataFrame) -> DataFrame:
+    """The result for documents with different doc_ids; ``seen`` holds their sizes and hashes."""
+    spark = docs.sparkSession
+    size = F.octet_length("text").cast("long")
     first = seen.where(f"n_bytes >= {LENGTH}").groupBy("n_bytes", "p1", "p2").agg(F.min(F.coalesce("doc_id", F.lit(int(LAST)))).alias("first"))
     later = F.coalesce("doc_id", F.lit(int(LAST))) > F.col("first")
     copies = cut(seen.join(first, ["n_bytes", "p1", "p2"]).where(later).select("doc_id", "n_bytes"))
@@ -396,8 +416,7 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
 
     def of(ids: DataFrame, how: str, df: DataFrame = marked) -> DataFrame:
         ids = ids.select(F.coalesce("doc_id", F.lit(int(LAST))).alias("_id")).distinct()
-        ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-        return df.join(ids, "_id", how)
+        return df.join(small(ids), "_id", how)
 
     arrow_rows(spark, TEXT_ROWS)
     firsts = of(copies, "left_anti")
