@@ -9,8 +9,8 @@ each key of the universe, without a join against the list. One cascade holds all
 block rules, one all allow rules; the longest listed key of a URL decides. A URL with
 no listed key gets the cascade's answer for "not listed": allow.
 
-Levels are arrays of 64-bit words built by distributed bit_or; a level larger than
-``MAX_BITS`` is an error, so what each task holds is bounded.
+Levels are arrays of 64-bit words built by distributed bit_or and broadcast as such; a
+level larger than ``MAX_BITS`` is an error, so what each task holds is bounded.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path and is
 allowed; repeated URLs are judged alike; further columns are ignored. A rule that is
@@ -20,15 +20,19 @@ listed both ways is blocked.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tsubame.llm import textvec as tv
 from tsubame.session import cut, table
 
 BLOCK = ["com/en/", "example.net/de/8", "org/es/"]
 ALLOW = ["example.com/en/7", "net/de/"]
-MAX_BITS = 1 << 32
+MAX_BITS = 1 << 30
 MAX_LEVELS = 64
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -57,29 +61,67 @@ def candidate_keys(host: Column, path: Column, lengths: list[int]) -> Column:
 class Level:
     """One Bloom filter: ``bits`` positions, ``hashes`` of them for each key."""
 
-    def __init__(self, keys: DataFrame, count: int, rate: float, seed: int) -> None:
+    def __init__(self, count: int, rate: float, seed: int) -> None:
         self.seed = seed
         self.hashes = max(1, round(-math.log2(rate)))
         self.bits = max(64, -(-int(count * self.hashes * 1.45 + 64) // 64) * 64)
         if self.bits > MAX_BITS:
             raise ValueError(f"a filter level needs {self.bits} bits; more than {MAX_BITS} are not held in memory")
-        at = keys.select(F.explode(F.array(*self._places(F.col("key")))).alias("at"))
-        one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(63).cast("int"))
-        words = at.groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(one).alias("v")).collect()
-        self.words = [0] * (self.bits // 64)
-        for w, v in words:
-            self.words[w] = v
+        self.words = np.zeros(0, tv.U)
 
-    def _places(self, key: Column) -> list[Column]:
-        return [F.pmod(F.xxhash64(F.lit(self.seed), F.lit(i), key), F.lit(self.bits)) for i in range(self.hashes)]
+    def places(self, h: np.ndarray, g: np.ndarray) -> np.ndarray:
+        """(hashes x keys) positions, given two hashes of each key."""
+        step = np.arange(1, self.hashes + 1, dtype=tv.U)[:, None]
+        return tv.mix(h + step * (g | tv.U(1)) + np.full(1, self.seed, tv.U) * tv.odd(7)) % tv.U(self.bits)
 
-    def hit(self, key: Column) -> Column:
-        words = F.lit(self.words)
-        out = F.lit(True)
-        for at in self._places(key):
-            word = F.get(words, F.shiftright(at, 6).cast("int"))
-            out = out & (F.call_function("shiftright", word, at.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1)
-        return out
+    def filled(self, keys: DataFrame) -> Level:
+        """This level with the bits of these keys, gathered by bit_or over all partitions."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                at = self.places(*(b.column(i).to_numpy().view(tv.U) for i in (0, 1))).ravel()
+                at.sort()
+                word = at >> tv.U(6)
+                start = np.flatnonzero(np.diff(word, prepend=~tv.U(0)))
+                value = np.bitwise_or.reduceat(tv.U(1) << (at & tv.U(63)), start) if len(at) else at
+                yield pa.record_batch([pa.array(word[start].astype(np.int64)), pa.array(value.view(np.int64))], ["w", "v"])
+
+        found = keys.select(*_hashes(F.col("key"))).mapInArrow(run, "w long, v long").groupBy("w").agg(F.bit_or("v").alias("v")).toArrow()
+        self.words = np.zeros(self.bits // 64, tv.U)
+        self.words[found.column(0).to_numpy()] = found.column(1).to_numpy().view(tv.U)
+        return self
+
+    def hit(self, h: np.ndarray, g: np.ndarray) -> np.ndarray:
+        at = self.places(h, g)
+        return ((self.words[(at >> tv.U(6)).astype(np.int64)] >> (at & tv.U(63))) & tv.U(1)).all(axis=0)
+
+
+def _hashes(key: Column) -> tuple[Column, Column]:
+    return F.xxhash64(F.lit(1), key), F.xxhash64(F.lit(2), key)
+
+
+def member(levels: list[Level], h: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """The first level that misses a key decides: an odd number of hits before it means listed."""
+    out = np.full(len(h), len(levels) % 2 == 1)
+    open_ = np.arange(len(h))
+    for i, level in enumerate(levels):
+        hit = level.hit(h[open_], g[open_])
+        out[open_[~hit]] = i % 2 == 1
+        open_ = open_[hit]
+    return out
+
+
+def _members(spark: SparkSession, levels: list[Level], keys: Column) -> Column:
+    """array<boolean> for an array of keys; the levels' bits are broadcast once to each executor."""
+    shared = spark.sparkContext.broadcast(levels)
+
+    @F.arrow_udf("array<boolean>")
+    def test(h: pa.Array, g: pa.Array) -> pa.Array:
+        size = h.value_lengths().fill_null(0).to_numpy()
+        flat = (x.flatten().to_numpy().view(tv.U) for x in (h, g))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(member(shared.value, *flat), pa.bool_()))
+
+    return test(F.transform(keys, lambda k: _hashes(k)[0]), F.transform(keys, lambda k: _hashes(k)[1]))
 
 
 class Cascade:
@@ -87,6 +129,7 @@ class Cascade:
 
     def __init__(self, universe: DataFrame, listed: DataFrame, seed: int = 11) -> None:
         self.levels: list[Level] = []
+        self.spark = universe.sparkSession
         both = universe.select("key", F.lit(0).alias("in")).union(listed.select("key", F.lit(1)))
         both = cut(both.groupBy("key").agg(F.max("in").alias("in")))
         inside, outside = both.where("in = 1").select("key"), both.where("in = 0").select("key")
@@ -94,19 +137,17 @@ class Cascade:
         around = outside.count() if held else 0
         while held and len(self.levels) < MAX_LEVELS:
             rate = 0.5 if self.levels else min(0.5, max(1e-9, held * math.sqrt(0.5) / max(1, around)))
-            self.levels.append(Level(inside, held, rate, seed + len(self.levels)))
-            wrong = cut(outside.where(self.levels[-1].hit(F.col("key"))))
+            level = Level(held, rate, seed + len(self.levels)).filled(inside)
+            self.levels.append(level)
+            wrong = cut(outside.where(F.get(_members(self.spark, [level], F.array("key")), 0)))
             inside, outside = wrong, inside
             held = wrong.count()
         if held:
             raise RuntimeError("the cascade did not end")
 
-    def contains(self, key: Column) -> Column:
-        """Exact for keys of the universe: decided by the first level that misses."""
-        inner: Column = F.lit(len(self.levels) % 2 == 1)
-        for i in range(len(self.levels) - 1, -1, -1):
-            inner = F.when(~self.levels[i].hit(key), F.lit(i % 2 == 1)).otherwise(inner)
-        return inner
+    def contains(self, keys: Column) -> Column:
+        """array<boolean>, exact for keys of the universe."""
+        return _members(self.spark, self.levels, keys)
 
 
 def judge(pages: DataFrame, block: list[str], allow: list[str]) -> DataFrame:
@@ -119,10 +160,11 @@ def judge(pages: DataFrame, block: list[str], allow: list[str]) -> DataFrame:
     universe = cut(urls.select(F.explode("keys").alias("key")).distinct())
     rules = lambda keys: spark.createDataFrame([(k,) for k in keys], "key string")
     blocked, allowed = Cascade(universe, rules(block), 11), Cascade(universe, rules(sorted(set(allow) - set(block))), 1_011)
-    found = F.filter("keys", lambda k: blocked.contains(k) | allowed.contains(k))
-    urls = urls.withColumn("rule", F.get(found, 0))
-    verdict = F.when(F.col("rule").isNotNull() & blocked.contains(F.col("rule")), "block").otherwise("allow")
-    return urls.select("page_id", "host", "path", "rule", verdict.alias("verdict"))
+    urls = urls.withColumns({"b": blocked.contains(F.col("keys")), "a": allowed.contains(F.col("keys"))})
+    marked = F.transform("keys", lambda k, i: F.struct(k.alias("key"), F.get("b", i).alias("b"), F.get("a", i).alias("a")))
+    urls = urls.withColumn("best", F.get(F.filter(marked, lambda x: x["b"] | x["a"]), 0))
+    verdict = F.when(F.col("best.b"), "block").otherwise("allow")
+    return urls.select("page_id", "host", "path", F.col("best.key").alias("rule"), verdict.alias("verdict"))
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
