@@ -42,3 +42,24 @@ def test_pipeline(spark):
     for s in range(16):
         mine = sorted(r["slot"] for r in out if r["shard"] == s)
         assert mine == list(range(len(mine)))
+
+
+def test_pipeline_edges(spark):
+    """Nulls, empty and long texts, repeats and clashing names in every column, and no rows at all."""
+    some = table(spark, SF, "documents").limit(60).select("doc_id", "text", "lang", "source", "n_chars").collect()
+    odd = [(None, None, None, None, None), (9_001, "", "en", "", 0), (9_002, " \n\t", None, "web", 3), (9_003, "long word " * 40_000, "en", None, 1), (None, "some text of no id " * 9, "en", "web", 1)]
+    rows = [(*r, "q", "s", 7, "k", "r") for r in [*map(tuple, some), *odd, *odd, tuple(some[0]), tuple(some[0])]]
+    names = "doc_id long, text string, lang string, source string, n_chars long, quality_score string, shard string, slot int, _key string, key string"
+    docs = spark.createDataFrame(rows, names)
+    for many in (docs, docs.limit(0)):
+        out = many
+        for name, stage in corpus_pipeline.STAGES:
+            columns, before = out.columns, out
+            out = stage(spark, out, SF).cache()
+            if name != "sharding":
+                assert out.columns == columns
+            if name not in ("sharding", "mixing sources"):
+                assert out.exceptAll(before).count() == 0
+        assert set(out.columns) == set(docs.columns) and [t for n, t in out.dtypes if n in ("shard", "slot")] == ["int", "bigint"]
+        places = [tuple(r) for r in out.select("shard", "slot").collect()]
+        assert len(set(places)) == len(places) and (len(places) > 0) == (many is docs)

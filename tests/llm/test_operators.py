@@ -280,6 +280,16 @@ def test_interleaving_is_the_suffix_order():
     assert all((a == b) == (x == y) for a, b, x, y in zip(shown, shown[1:], interval, interval[1:], strict=False))
 
 
+def test_suffix_dedup_keeps_rows_of_one_id_apart(spark):
+    a, b, c = ("".join(random.Random(i).choices("abcdefgh ", k=150)) for i in range(3))
+    rows = [(None, a), (None, b), (5, c), (5, c[:120] + "zz"), (5, c), (7, a), (None, None), (8, b[:130])]
+    docs = spark.createDataFrame([(d, t, 0) for d, t in rows], "doc_id long, text string, key long")
+    got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"]) for r in suffix_dedup.dedup_substrings(docs).collect())
+    # Null ids come last; which of the two texts of id 5 comes first is a matter of their hashes.
+    fixed = [(None, 150, 150, 1), (None, 150, 130, 1), (7, 150, 0, 0), (None, 0, 0, 0), (8, 130, 0, 0)]
+    assert got in [Counter([*fixed, *x]) for x in ([(5, 150, 0, 0)] * 2 + [(5, 122, 120, 1)], [(5, 150, 120, 1)] * 2 + [(5, 122, 0, 0)])]
+
+
 def test_suffix_dedup_empty(spark):
     assert suffix_dedup.dedup_substrings(docs_of(spark, ["x"]).limit(0)).count() == 0
 
@@ -427,6 +437,40 @@ def test_texts_shorter_than_the_item_leak(spark):
     assert all(r["start_word"] == 0 and r["n_words"] == len(texts[r["doc_id"]].split()) for r in rows)
 
 
+def test_edited_items_leak_within_the_radius(spark):
+    rng = random.Random(14)
+    items = [[f"u{i}y{j}" for j in range(rng.randint(20, 60))] for i in range(12)]
+    texts = []
+    for _ in range(150):
+        w = list(rng.choice(items))
+        for _ in range(rng.randint(0, 2)):
+            at = rng.randrange(len(w))
+            rng.choice([lambda: w.insert(at, "new"), lambda: w.pop(at), lambda: w.__setitem__(at, "other")])()
+        texts.append(" ".join(["before"] * rng.randint(0, 4) + w + ["after"] * rng.randint(0, 4)))
+    texts.append(None)
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    ids = [*range(len(texts) - 1), None]
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.leaks(docs_of(spark, texts, ids), bench).collect()}
+    bags = lambda w: Counter(tuple(w[p : p + 5]) for p in range(len(w) - 4))
+    want, pairs = {}, []
+    for i, w in enumerate(items):
+        for d, x in enumerate(texts[:-1]):
+            v = x.split()
+            for at in range(max(1, len(v) - len(w) + 1)):
+                a, b = bags(w), bags(v[at : at + len(w)])
+                low, high = sum((a & b).values()), sum((a | b).values())
+                if high and 10 * low >= 8 * high:
+                    want[d, i] = max(want.get((d, i), 0), low / high)
+                    pairs.append((w, v[at : at + len(w)]))
+    assert {k: round(v, 9) for k, v in got.items()} == {k: round(v, 9) for k, v in want.items()} and len(want) > 50
+    # Recall of the radius over all window pairs at 0.8 or more, without the index.
+    df = spark.createDataFrame([(" ".join(a), " ".join(b)) for a, b in pairs], "a string, b string")
+    for c in "ab":
+        df = df.withColumn(c, F.transform(decontaminate._words(c), lambda x: F.xxhash64(x))).withColumn(c, decontaminate._hashes(c, 5))
+    far = df.select(F.bit_count(decontaminate.simhash("a").bitwiseXOR(decontaminate.simhash("b"))).alias("n")).where(F.col("n") > decontaminate.RADIUS).count()
+    assert far == 0 and len(pairs) > 60
+
+
 def test_simhash(spark):
     rng = random.Random(11)
     hs = [rng.getrandbits(64) - (1 << 63) for _ in range(21)]
