@@ -84,7 +84,7 @@ def test_builder_is_used_once(spark):
 
 
 def test_ids_out_of_range(spark):
-    assert in_memory(spark, fx.entries(fx.JAPANESE)).ids_out_of_range().count() == 15
+    assert in_memory(spark, fx.entries(fx.JAPANESE)).ids_out_of_range().count() == len(fx.JAPANESE)
 
 
 def test_lines(spark, tmp_path):
@@ -100,15 +100,41 @@ def test_conversions(spark):
     got = convert.remap_pos(out).first()
     assert (got["left_id"], got["pos1"], got["pos2"]) == ("279", "助詞", "終助詞")
     assert convert.unmapped_pos(out).count() == 0
-    assert convert.parse_csv('a,"b,c"\n') == [["a", "b,c"]]
 
 
 def test_compare(spark):
-    df = spark.createDataFrame([(1, "東京都です")], "id int, text string")
-    a, b = Analyzer(in_memory(spark, fx.entries(fx.JAPANESE))), Analyzer(in_memory(spark, fx.entries([x for x in fx.JAPANESE if x[0] != "東京都"])))
+    df = spark.createDataFrame([(1, "大学生を")], "id int, text string")
+    a, b = Analyzer(in_memory(spark, fx.entries(fx.JAPANESE))), Analyzer(in_memory(spark, fx.entries([x for x in fx.JAPANESE if x[0] != "大学生"])))
     rows = compare.compare(df, a, b, "text", ["id"]).collect()
     assert sorted(r["status"] for r in rows) == ["both", "left_only", "right_only", "right_only"]
-    assert compare.summary(df, {"a": a, "b": b}, "text", ["id"]).where("engine = 'b'").first()["segmentation"] == "東京 | 都 | です"
+    assert compare.summary(df, {"a": a, "b": b}, "text", ["id"]).where("engine = 'b'").first()["segmentation"] == "大学 | 生 | を"
+
+
+def test_files_that_are_missing_or_wrong(spark, folder):
+    (folder / "src/matrix.def").unlink()
+    with pytest.warns(UserWarning, match="no matrix.def"):
+        lx.build(spark, f"{folder}/src")
+    (folder / "src/unk.def").write_text("DEFAULT,x,0,50,p\n")
+    with pytest.warns(UserWarning), pytest.raises(d.LexiconError, match="unk.def:1"):
+        lx.build(spark, f"{folder}/src")
+    (folder / "src/a.csv").write_text("a,1,1,1,p\nb,1,x,1,p\n")
+    with pytest.raises(d.LexiconError, match="a.csv:2:right_id"):
+        lx.build(spark, f"{folder}/src")
+    with pytest.raises(FileNotFoundError):
+        lx.LexiconBuilder(spark).load_matrix(f"{folder}/none.def")
+
+
+def test_conversion_of_folders(spark, folder):
+    rows = '猫,1,2,30,名詞,a,b,*,"c,d",e,ネコ,"ね""こ",x,ネーコ,more\n短,1,1,1,p\n'
+    (folder / "in").mkdir()
+    (folder / "in/u.csv").write_text(rows)
+    assert convert.convert(spark, "unidic", f"{folder}/in", f"{folder}/out") == {"converted": 2, "skipped": 0}
+    assert convert.copy_matrix(spark, f"{folder}/src/matrix.def", f"{folder}/out") == (2, 2)
+    built = lx.build(spark, f"{folder}/out")
+    assert [tuple(r)[1:] for r in built.entries.orderBy("entry_id").collect()] == [("猫", 1, 2, 30, "名詞,a,b,*", 'ね"こ', "ネコ", "ネーコ"), ("短", 1, 1, 1, "p", "短", "", "")]
+    main(["convert", "sudachi", "-i", f"{folder}/in/u.csv", "-o", f"{folder}/s"])
+    main(["recipe", "-i", f"{folder}/src", "-m", f"{folder}/in", "-x", "b.csv", "-o", f"{folder}/r"])
+    assert [r["surface"] for r in lx.Lexicon.read(spark, f"{folder}/r").entries.orderBy("entry_id").collect()] == ["猫", "犬", "猫", "短"]
 
 
 def test_command_line(spark, folder, capsys):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +15,8 @@ from tsubame.operators.kernel import unknown_templates
 from tsubame.operators.unknown import text_surfaces, unknown_tokens
 from tsubame.plans import fixtures as fx
 from tsubame.plans import oracles as sql
-from tsubame.session import table
-from tsubame.sources import convert, text
+from tsubame.session import put, scratch, spread, table
+from tsubame.sources import convert, lexicon, text
 from tsubame.sources.definitions import lexicon_rows
 from tsubame.streaming.tokens import line_stream, run_available
 
@@ -166,7 +165,7 @@ def viterbi_japanese(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def tokenize_documents(spark: SparkSession, sf: str) -> DataFrame:
-    t = latin(spark).tokenize_batch(table(spark, sf, "documents").select("doc_id", "text")).drop("text")
+    t = latin(spark).tokenize_batch(spread(table(spark, sf, "documents").select("doc_id", "text"))).drop("text")
     known = F.size(F.filter("tokens", lambda x: x["is_known"]))
     cost = F.aggregate("tokens", F.lit(0).cast("long"), lambda a, x: a + x["word_cost"])
     return t.select("doc_id", F.size("tokens").alias("n_tokens"), known.alias("n_known"), cost.alias("word_costs"))
@@ -274,6 +273,88 @@ def lexicon_repair(spark: SparkSession, sf: str) -> DataFrame:
     return in_memory(spark, _BROKEN).repaired()[0].entries.select("surface", "reading", "pronunciation")
 
 
+# Lexicon sources from files.
+_EUC = "鳥,1,1,5,名詞\n水,2,1,-7,名詞,一般,,,x,y,みず,ミズ,ミズ\n"
+_FOLDER = {
+    "b.csv": _CSV.encode(),
+    "a.csv": _EUC.encode("euc_jp"),
+    "skip.csv": b"no,1,1,1,p\n",
+    "below/c.csv": b"no,1,1,1,p\n",
+    "matrix.def": b"2 3\n# comment\n\n0 1 -7\n0 1 -8\nshort 1\n2 0 5\n",
+    "char.def": b"DEFAULT 0 1 0\nHIRAGANA 1 0 7\nODD 1 1\n0x3041..0x3096 HIRAGANA KANJI\n0xZZ BAD\n0x41..0x5A ALPHA\n0x49..0x4B KANJINUMERIC\nALPHA 1 1 0\n",
+    "unk.def": "DEFAULT,0,0,50,記号\nDEFAULT,0,0,50,記号\nHIRAGANA,1,2,-3,名詞,一般,x,y\nNOSUCH,0,0,1,x\nshort,1\n".encode(),
+}
+_FOLDER_ROWS = [("鳥", 1, 1, 5, "名詞", "鳥", "", ""), ("水", 2, 1, -7, "名詞,一般,,", "みず", "ミズ", "ミズ"), *[x[1:] for x in _ROWS]]
+
+
+def _folder(spark: SparkSession) -> str:
+    base = scratch(spark)
+    for name, content in _FOLDER.items():
+        put(spark, f"{base}/{name}", content)
+    return base
+
+
+def _numbered(rows: list[tuple]) -> str:
+    return f"SELECT {_LEX} FROM {fx.values([(i, *r) for i, r in enumerate(rows)])} AS v({_LEX_NAMES})"
+
+
+@query(_numbered(_FOLDER_ROWS))
+def lexicon_folder(spark: SparkSession, sf: str) -> DataFrame:
+    return lexicon.build(spark, _folder(spark), exclude=["skip.csv"]).entries
+
+
+@query("SELECT CAST(r AS INTEGER) AS right_id, CAST(l AS INTEGER) AS left_id, CAST(c AS SMALLINT) AS cost FROM (VALUES (0, 1, -8), (2, 0, 5)) AS v(r, l, c)")
+def matrix_file(spark: SparkSession, sf: str) -> DataFrame:
+    return lexicon.build(spark, _folder(spark), exclude=["skip.csv"]).matrix
+
+
+@query("""SELECT kind, name, CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, CAST(n AS INTEGER) AS n FROM (VALUES ('class', 'DEFAULT', 0, 1, 0), ('class', 'HIRAGANA', 1, 0, 7),
+('range', 'HIRAGANA', 12353, 12438, 0), ('range', 'ALPHA', 65, 90, 1), ('range', 'KANJINUMERIC', 73, 75, 2)) AS v(kind, name, a, b, n)""")
+def char_file(spark: SparkSession, sf: str) -> DataFrame:
+    lex = lexicon.build(spark, _folder(spark), exclude=["skip.csv"])
+    classes = lex.char_class.select(F.lit("class").alias("kind"), "name", F.col("invoke").cast("int").alias("a"), F.col("group").cast("int").alias("b"), F.col("length").alias("n"))
+    return classes.unionByName(lex.char_range.select(F.lit("range").alias("kind"), F.col("class").alias("name"), F.col("start").alias("a"), F.col("end").alias("b"), F.col("ord").alias("n")))
+
+
+@query("""SELECT class, CAST(o AS INTEGER) AS ord, CAST(l AS INTEGER) AS left_id, CAST(r AS INTEGER) AS right_id, CAST(c AS SMALLINT) AS cost, pos
+FROM (VALUES ('DEFAULT', 0, 0, 0, 50, '記号'), ('HIRAGANA', 1, 1, 2, -3, '名詞,一般,x,y')) AS v(class, o, l, r, c, pos)""")
+def unk_file(spark: SparkSession, sf: str) -> DataFrame:
+    return lexicon.build(spark, _folder(spark), exclude=["skip.csv"]).unk
+
+
+@query("""SELECT lang, CASE WHEN c BETWEEN 65 AND 72 THEN 'ALPHA' WHEN c BETWEEN 73 AND 75 THEN 'KANJI' WHEN c BETWEEN 12353 AND 12438 THEN 'HIRAGANA' ELSE 'DEFAULT' END AS type, count(*) AS n
+FROM (SELECT lang, unicode(ch) AS c FROM (SELECT lang, unnest(string_split(text, '')) AS ch FROM documents) WHERE ch <> '') GROUP BY 1, 2""")
+def char_ranges_hist(spark: SparkSession, sf: str) -> DataFrame:
+    """Types by ranges of a file: behind a nested range the outer one does not resume."""
+    classifier = lexicon.build(spark, _folder(spark), exclude=["skip.csv"]).classifier()
+    chars = table(spark, sf, "documents").select("lang", F.explode(F.split("text", "")).alias("ch")).where("ch <> ''")
+    chars = chars.groupBy("lang", "ch").agg(F.count("*").alias("n"))
+    return chars.groupBy("lang", classifier.column(F.col("ch")).alias("type")).agg(F.sum("n").alias("n"))
+
+
+@query(_numbered([*_FOLDER_ROWS, *JA[:3], ("no", 1, 1, 1, "p", "no", "", "")]))
+def lexicon_bundle(spark: SparkSession, sf: str) -> DataFrame:
+    """A written bundle, opened by a builder that adds rows and a file, written and opened again."""
+    base, to = _folder(spark), scratch(spark)
+    lexicon.build(spark, base, exclude=["skip.csv"]).write(to)
+    lexicon.LexiconBuilder(spark).load_lexicon(to).add_entries(JA[:3]).add_csv(f"{base}/skip.csv").build().write(f"{to}-more")
+    return lexicon.Lexicon.read(spark, f"{to}-more").entries
+
+
+@query(_numbered([*_FOLDER_ROWS, ("no", 1, 1, 1, "p", "no", "", ""), *_FOLDER_ROWS[:2]]))
+def lexicon_recipe(spark: SparkSession, sf: str) -> DataFrame:
+    base, to = _folder(spark), scratch(spark)
+    path = lexicon.recipe(spark, base, [f"{base}/below", f"{base}/a.csv"], to, exclude=["skip.csv"])
+    return lexicon.Lexicon.read(spark, path).entries
+
+
+@query(f"""WITH {sql.texts(fx.TEXTS)}, {sql.segments("src", "id")}, {sql.lattice("id", JA, flat=True)}, {sql.best_path("id", {})}, {sql.path_tokens("id")} SELECT id, seg_idx, tok_idx, surface, pos, word_cost FROM toks""")
+def unk_flat(spark: SparkSession, sf: str) -> DataFrame:
+    """Unknown words by the other rule: one cost and part of speech for all types."""
+    a = Analyzer(in_memory(spark, JA), unk_defaults="flat")
+    return a.tokenize(segments_of(texts(spark), TXT), "seg", ["id", "seg_idx"]).select("id", "seg_idx", "tok_idx", "surface", "pos", "word_cost")
+
+
 _STRINGS = f"SELECT surface AS s FROM l UNION SELECT pos FROM l UNION SELECT base_form FROM l UNION SELECT reading FROM l UNION SELECT pronunciation FROM l UNION SELECT * FROM {fx.values([(c[0],) for c in charclass.DEFAULT_CLASSES])}"
 
 
@@ -317,6 +398,22 @@ def sudachi_convert(spark: SparkSession, sf: str) -> DataFrame:
     return _sudachi(spark)
 
 
+_QUOTED = [["a,b", "1", "2", "3", "名詞", "固有名詞", "地名", "国", "x", "y", 'q"q', "ヨ", "ヨ"], ["z", "1", "1", "1", "外来", "謎", "*", "*", "*", "*", "z", "", ""], ["短"]]
+
+
+@query("""SELECT 'a,b' AS surface, 1294 AS left_id, 1294 AS right_id, CAST(3 AS SMALLINT) AS cost, '名詞,固有名詞,地域,国' AS pos, 'q"q' AS base_form, 'ヨ' AS reading, 'ヨ' AS pronunciation, CAST(1 AS BIGINT) AS converted, CAST(2 AS BIGINT) AS skipped, '2 x 2' AS matrix""")
+def convert_folder(spark: SparkSession, sf: str) -> DataFrame:
+    """A folder of another layout, converted to files and built into a lexicon."""
+    base, to = scratch(spark), scratch(spark)
+    line = lambda r: ",".join('"' + x.replace('"', '""') + '"' for x in r) + "\n"
+    put(spark, f"{base}/x.csv", "".join(map(line, _QUOTED)).encode())
+    put(spark, f"{base}/matrix.def", b"2 2\n0 1 3\n")
+    done = convert.convert(spark, "remap", base, to)
+    sizes = convert.copy_matrix(spark, f"{base}/matrix.def", to)
+    rows = lexicon.build(spark, to).entries.drop("entry_id")
+    return rows.withColumns({"converted": F.lit(done["converted"]).cast("long"), "skipped": F.lit(done["skipped"]).cast("long"), "matrix": F.lit("{} x {}".format(*sizes))})
+
+
 _POS = f"{fx.values([(k, v[0], v[1]) for k, v in convert.POS_MAP.items()])} AS m(k, pos, id)"
 
 
@@ -349,7 +446,7 @@ def coverage_invariant(spark: SparkSession, sf: str) -> DataFrame:
     """Surfaces join to the text, and offsets leave no gap."""
     a, out = latin(spark), None
     for name, column in (("documents", "text"), ("conversations", "text"), ("pages", "html")):
-        t = a.tokenize_batch(table(spark, sf, name).select(F.col(column).alias("text")))
+        t = a.tokenize_batch(spread(table(spark, sf, name).select(F.col(column).alias("text"))))
         joined = F.array_join(F.transform("tokens", lambda x: x["surface"]), "") == F.col("text")
         gap_free = F.aggregate("tokens", F.lit(0).cast("long"), lambda at, x: F.when(x["start"] == at, x["end"]).otherwise(-1)) == F.octet_length("text")
         one = t.select(F.lit(name).alias("source"), (~(joined & gap_free)).cast("long").alias("bad")).groupBy("source").agg(F.sum("bad").alias("violations"))
@@ -379,10 +476,7 @@ def sql_table_function(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def stream_equals_batch(spark: SparkSession, sf: str) -> DataFrame:
     """Rows that a stream of the lines and a batch over them do not share; none is right."""
-    from tsubame.session import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(spark)
-    base = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+    base = scratch(spark)
     table(spark, sf, "benchmark").select(F.regexp_replace("text", "\n", " ").alias("value")).write.text(f"{base}/in")
     a = latin(spark)
     run_available(line_stream(a, f"{base}/in"), f"{base}/out", f"{base}/state").awaitTermination()

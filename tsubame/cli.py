@@ -1,4 +1,4 @@
-"""Command line: build, merge, tokenize, bench, info, repair."""
+"""Command line: build, merge, recipe, convert, tokenize, bench, info, repair."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import SparkSession
 
 from tsubame.functions.render import FORMATS
 from tsubame.operators.analyzer import Analyzer
+from tsubame.sources import convert
 from tsubame.sources import lexicon as lx
 from tsubame.sources.text import literal, read_lines
 
@@ -24,6 +25,17 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("-i", "--input", required=True)
     c.add_argument("-o", "--output")
     c.add_argument("--reset-char-def", action="store_true")
+    c.add_argument("-x", "--exclude", nargs="*", default=[], help="file names to leave out")
+    c = sub.add_parser("recipe", help="compile a folder and merge further ones in order")
+    c.add_argument("-i", "--input", required=True)
+    c.add_argument("-m", "--merge", nargs="*", default=[], help="CSV files or folders")
+    c.add_argument("-x", "--exclude", nargs="*", default=[], help="file names to leave out")
+    c.add_argument("-o", "--output", required=True)
+    c = sub.add_parser("convert", help="convert CSV files of another layout")
+    c.add_argument("kind", choices=["unidic", "sudachi", "remap"])
+    c.add_argument("-i", "--input", required=True)
+    c.add_argument("-o", "--output", required=True)
+    c.add_argument("--matrix", help="matrix file to copy along")
     c = sub.add_parser("tokenize", help="tokenise an argument or the lines of files")
     c.add_argument("-d", "--dict", required=True)
     c.add_argument("-f", "--format", default="mecab", choices=sorted(FORMATS))
@@ -48,7 +60,14 @@ def main(argv: list[str] | None = None) -> int:
     if a.command == "build":
         lx.build(spark, a.input).write(a.output)
     elif a.command == "merge":
-        print(lx.merge(spark, a.dict, a.input, a.output, a.reset_char_def))
+        print(lx.merge(spark, a.dict, a.input, a.output, a.reset_char_def, a.exclude))
+    elif a.command == "recipe":
+        print(lx.recipe(spark, a.input, a.merge, a.output, a.exclude))
+    elif a.command == "convert":
+        done = convert.convert(spark, a.kind, a.input, a.output)
+        print(f"{done['converted']} rows converted, {done['skipped']} skipped")
+        if a.matrix:
+            print("matrix {} x {}".format(*convert.copy_matrix(spark, a.matrix, a.output)))
     elif a.command == "info":
         lx.Lexicon.read(spark, a.dict).info().show(truncate=False)
     elif a.command == "repair":

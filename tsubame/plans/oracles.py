@@ -45,13 +45,13 @@ def runs(key: str) -> str:
     return f"toks AS (SELECT {key}, seg_idx, CAST(i - 1 AS INTEGER) AS tok_idx, t[i] AS surface FROM (SELECT {key}, seg_idx, t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT {key}, seg_idx, {surfaces('seg')} AS t FROM segs)))"
 
 
-def lattice(key: str, lexicon: list[tuple]) -> str:
+def lattice(key: str, lexicon: list[tuple], flat: bool = False) -> str:
     """CTEs up to ``nodes`` (key, seg_idx, start, end, unk, entry_id, left_id, right_id, word_cost, type).
 
     ``lexicon`` has rows (surface, left_id, right_id, cost, pos, base_form, reading, pronunciation).
     """
     lex = values([(i, *r) for i, r in enumerate(lexicon)]) if lexicon else "(SELECT 0, '', 0, 0, 0, '', '', '', '' WHERE false)"
-    unk = values([(k, i, *u[:3], 0, 0, *u[3:]) for i, (k, (_, u)) in enumerate(CLASSES.items())])
+    unk = values([(k, i, *u[:3], 0, 0, *((10_000, "名詞,一般,*,*") if flat else u[3:])) for i, (k, (_, u)) in enumerate(CLASSES.items())])
     k = f"{key}, seg_idx"
     return f"""lex(entry_id, surface, left_id, right_id, cost, pos, base_form, reading, pronunciation) AS {lex},
 unk(type, no, invoke, grp, len, left_id, right_id, cost, pos) AS {unk},

@@ -1,13 +1,13 @@
-"""Conversions between lexicon CSV layouts, as DataFrame operators on field arrays."""
+"""Conversions between lexicon CSV layouts, as DataFrame operators on field arrays, and from folder to folder."""
 
 from __future__ import annotations
 
-import csv
-import io
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tsubame.session import cut, put
+from tsubame.sources.definitions import csv_fields, list_csv, read_bytes
+
 FIELDS = ["surface", "left_id", "right_id", "cost", "pos1", "pos2", "pos3", "pos4", "conj_type", "conj_form", "base_form", "reading", "pronunciation"]
 
 # Source part of speech (without trailing *) to target part of speech and id.
@@ -39,10 +39,6 @@ POS_MAP = {
 }
 
 
-def parse_csv(text: str) -> list[list[str]]:
-    return [r for r in csv.reader(io.StringIO(text, newline="")) if r]
-
-
 def _named(fields: list[Column]) -> list[Column]:
     return [c.alias(n) for c, n in zip(fields, FIELDS, strict=True)]
 
@@ -53,15 +49,15 @@ def from_unidic(rows: DataFrame, f: str = "f") -> DataFrame:
     return rows.withColumn(f, F.when(F.size(f) >= 14, F.array(*[F.get(f, i) for i in pick])).otherwise(F.col(f)))
 
 
-def from_sudachi(rows: DataFrame, f: str = "f") -> DataFrame:
+def from_sudachi(rows: DataFrame, f: str = "f", keep: tuple[str, ...] = ()) -> DataFrame:
     """The usable rows in the 13 fields; what is missing or * gets its default."""
     c = [F.get(f, i) for i in range(13)]
     given = lambda i, other: F.when((c[i] != "") & (c[i] != "*"), c[i]).otherwise(other)
     star = lambda i: F.when(c[i] != "", c[i]).otherwise("*")
     blank = F.regexp_replace(c[0], r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]", "") == ""
-    keep = (F.size(f) >= 13) & (c[1] != "-1") & (c[2] != "-1") & ~blank
+    usable = (F.size(f) >= 13) & (c[1] != "-1") & (c[2] != "-1") & ~blank
     reading = given(11, F.lit(""))
-    return rows.where(keep).select(*_named([c[0], c[1], c[2], c[3], *[star(i) for i in range(5, 11)], given(4, c[0]), reading, reading]))
+    return rows.where(usable).select(*keep, *_named([c[0], c[1], c[2], c[3], *[star(i) for i in range(5, 11)], given(4, c[0]), reading, reading]))
 
 
 def pos_key(parts: list[Column]) -> Column:
@@ -76,12 +72,57 @@ def _mapped(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"_pos": F.coalesce(*[F.try_element_at(pos, k) for k in keys]), "_id": F.coalesce(*[F.try_element_at(ids, k) for k in keys])})
 
 
-def remap_pos(rows: DataFrame) -> DataFrame:
+def remap_pos(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Rows of the 13 fields with mapped part of speech and ids; others are left out."""
     m = _mapped(rows).where("_pos is not null")
     part = F.split("_pos", ",")
     m = m.withColumns({f"pos{i + 1}": F.coalesce(F.get(part, i), F.lit("*")) for i in range(4)})
-    return m.withColumns({"left_id": F.col("_id").cast("string"), "right_id": F.col("_id").cast("string")}).select(*FIELDS)
+    return m.withColumns({"left_id": F.col("_id").cast("string"), "right_id": F.col("_id").cast("string")}).select(*keep, *FIELDS)
+
+
+def fields_of(rows: DataFrame, f: str = "f") -> DataFrame:
+    """Rows of 13 fields or more as named columns; shorter ones are left out."""
+    return rows.where(F.size(f) >= 13).select(*[c for c in rows.columns if c != f], *_named([F.get(f, i) for i in range(13)]))
+
+
+def write_csv(rows: DataFrame, f: str, output: str) -> None:
+    """Field arrays as CSV files, in the order of (file, idx); a field is quoted where it must be."""
+    field = lambda x: F.when(x.rlike('[",\\r\\n]'), F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(x)
+    line = F.array_join(F.transform(f, field), ",")
+    # The writer's own quoting is turned off: the line is a value that it must not touch.
+    rows.orderBy("file", "idx").select(line.alias("value")).write.option("quote", "").option("sep", "\u0001").option("emptyValue", "").csv(output)
+
+
+def convert(spark: SparkSession, kind: str, source: str, output: str) -> dict[str, int]:
+    """Converts a CSV file or folder; returns how many rows were converted and skipped.
+
+    ``kind``: unidic (short rows are copied), sudachi (unusable rows are skipped) or
+    remap (rows of 13 fields whose part of speech has no counterpart are skipped).
+    """
+    paths = [source] if source.endswith(".csv") or source.endswith(".txt") else list_csv(spark, source)
+    rows = cut(csv_fields(spark, paths))
+    if kind == "unidic":
+        out = from_unidic(rows)
+    elif kind == "sudachi":
+        out = from_sudachi(rows, keep=("file", "idx"))
+    elif kind == "remap":
+        out = remap_pos(fields_of(rows), keep=("file", "idx"))
+    else:
+        raise ValueError(f"unknown conversion: {kind}")
+    if kind != "unidic":
+        out = out.select("file", "idx", F.array(*FIELDS).alias("f"))
+    out = cut(out)
+    write_csv(out, "f", output)
+    done = out.count()
+    return {"converted": done, "skipped": rows.count() - done}
+
+
+def copy_matrix(spark: SparkSession, path: str, folder: str) -> tuple[int, int]:
+    """Puts a matrix file into a folder as it is; returns its left and right size."""
+    raw = read_bytes(spark, path)
+    put(spark, f"{folder.rstrip('/')}/matrix.def", raw)
+    left, right = raw.split(b"\n", 1)[0].split()[:2]
+    return int(left), int(right)
 
 
 def unmapped_pos(rows: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
-"""Readers of the small definition files of a lexicon: CSV, matrix, classes, templates.
+"""Readers of the definition files of a lexicon: CSV, matrix, classes, templates.
 
-Lexicon sources are read on the driver, as their order is their meaning (entry
-numbers, first template, last duplicate); the built lexicon is a set of tables.
+CSV files are parsed by Spark tasks, one file in one task, and keep their order as
+(file, index). The other files are small and read on the driver, as their order is
+their meaning (first template, last duplicate).
 """
 
 from __future__ import annotations
@@ -9,8 +10,15 @@ from __future__ import annotations
 import csv
 import io
 import re
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+ENTRY = ["surface", "left_id", "right_id", "cost", "pos", "base_form", "reading", "pronunciation"]
 
 
 class LexiconError(ValueError):
@@ -18,22 +26,60 @@ class LexiconError(ValueError):
 
 
 def read_bytes(spark: SparkSession, path: str) -> bytes:
-    """A whole file, from any store that Spark reads."""
-    rows = spark.read.format("binaryFile").load(path).select("content").head(1)
+    """A whole file, from any store that Spark reads; FileNotFoundError if there is none."""
+    try:
+        rows = spark.read.format("binaryFile").load(path).select("content").head(1)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows = []
     if not rows:
         raise FileNotFoundError(path)
     return bytes(rows[0][0])
 
 
-def list_csv(spark: SparkSession, folder: str) -> list[str]:
-    """CSV files of a folder, without those below, in alphabetical order."""
+def list_csv(spark: SparkSession, folder: str, exclude: Iterable[str] = ()) -> list[str]:
+    """CSV files of a folder, without those below and those of excluded names, in alphabetical order."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder).select("path").collect()
-    paths = sorted(r[0] for r in found)
+    paths = sorted(r[0] for r in found if r[0].rsplit("/", 1)[-1] not in set(exclude))
     if not paths:
         raise FileNotFoundError(f"no CSV file in {folder}")
     return paths
 
 
+def csv_fields(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(file, idx, f) of every row of these CSV files: its fields, in any number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                rows = [r for r in csv.reader(io.StringIO(decode(raw.as_py()), newline="")) if r]
+                yield pa.record_batch([pa.array([path] * len(rows), pa.string()), pa.array(range(len(rows)), pa.int32()), pa.array(rows, pa.list_(pa.string()))], ["file", "idx", "f"])
+
+    files = spark.read.format("binaryFile").load(paths).select("path", "content")
+    return files.repartition(len(paths)).mapInArrow(run, "file string, idx int, f array<string>")
+
+
+def csv_entries(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(file, idx, error, fields of an entry) of these lexicon CSV files; an unusable file has one row, its error."""
+    kinds = [pa.int32() if n in ("left_id", "right_id", "cost") else pa.string() for n in ENTRY]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                try:
+                    rows, error = lexicon_rows(decode(raw.as_py()), path), None
+                except LexiconError as e:
+                    rows, error = [("", 0, 0, 0, "", "", "", "")], str(e)
+                n = len(rows)
+                cols = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
+                yield pa.record_batch([pa.array([path] * n, pa.string()), pa.array(range(n), pa.int32()), pa.array([error] * n, pa.string()), *cols], ["file", "idx", "error", *ENTRY])
+
+    files = spark.read.format("binaryFile").load(paths).select("path", "content")
+    ddl = "file string, idx int, error string, surface string, left_id int, right_id int, cost int, pos string, base_form string, reading string, pronunciation string"
+    return files.repartition(len(paths)).mapInArrow(run, ddl).withColumn("cost", F.col("cost").cast("short"))
+
+
 def decode(raw: bytes) -> str:
     """UTF-8, or else EUC-JP with replacement of what is not valid."""
     try:

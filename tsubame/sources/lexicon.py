@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tsubame import schema
 from tsubame.functions.charclass import DEFAULT_CLASSES, Classifier, class_of_type, TYPES
 from tsubame.functions.readings import is_katakana
+from tsubame.session import cut
 from tsubame.sources import definitions as d
 
 TABLES = {"entries": schema.LEXICON, "matrix": schema.MATRIX, "char_class": schema.CHAR_CLASS, "char_range": schema.CHAR_RANGE, "unk": schema.UNK}
@@ -101,9 +102,8 @@ class LexiconBuilder:
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark
-        self._rows: list[tuple] = []
-        self._bases: list[Lexicon] = []
-        self._matrix: tuple[int, int, dict] | None = None
+        self._parts: list[list[tuple] | DataFrame] = []
+        self._matrix: tuple[int, int, dict | DataFrame] | None = None
         self._classifier: Classifier | None = None
         self._unk: list[tuple] = []
         self._done = False
@@ -120,9 +120,8 @@ class LexiconBuilder:
         """
         base = Lexicon.read(self._open().spark, path)
         if self._matrix is None:
-            costs = {(r[0], r[1]): r[2] for r in base.matrix.collect()}
-            self._matrix = (base.left_size, base.right_size, costs)
-        self._rows += [tuple(r)[1:] for r in base.entries.orderBy("entry_id").collect()]
+            self._matrix = (base.left_size, base.right_size, base.matrix)
+        self._parts.append(base.entries)
         self._unk += [(r["class"], r["left_id"], r["right_id"], r["cost"], r["pos"]) for r in base.unk.orderBy("ord").collect()]
         if not reset_char_def and self._classifier is None:
             self._classifier = base.classifier()
@@ -130,19 +129,31 @@ class LexiconBuilder:
 
     def add_entries(self, rows: Iterable[tuple]) -> LexiconBuilder:
         """(surface, left_id, right_id, cost, pos, base_form, reading, pronunciation) rows."""
-        for r in rows:
-            if r[0] == "":
-                raise d.LexiconError("empty surface")
-            self._open()._rows.append(tuple(r))
+        part = [tuple(r) for r in rows]
+        if any(r[0] == "" for r in part):
+            raise d.LexiconError("empty surface")
+        self._open()._parts.append(part)
+        return self
+
+    def _add_files(self, paths: list[str]) -> LexiconBuilder:
+        """Entries of CSV files in this order; they are parsed once, into the shared folder."""
+        found = cut(d.csv_entries(self._open().spark, paths))
+        files = {r["file"]: r for r in found.groupBy("file").agg(F.count("*").alias("n"), F.min("error").alias("error")).collect()}
+        at, start = 0, []
+        for path in sorted(files):
+            if files[path]["error"]:
+                raise d.LexiconError(files[path]["error"])
+            start.append((path, at))
+            at += files[path]["n"]
+        offsets = F.broadcast(self.spark.createDataFrame(start, "file string, at int"))
+        self._parts.append(found.join(offsets, "file").select((F.col("at") + F.col("idx")).alias("entry_id"), *d.ENTRY))
         return self
 
     def add_csv(self, path: str) -> LexiconBuilder:
-        return self.add_entries(d.lexicon_rows(d.decode(d.read_bytes(self._open().spark, path)), path))
+        return self._add_files([path])
 
-    def add_csv_dir(self, folder: str) -> LexiconBuilder:
-        for path in d.list_csv(self._open().spark, folder):
-            self.add_csv(path)
-        return self
+    def add_csv_dir(self, folder: str, exclude: Iterable[str] = ()) -> LexiconBuilder:
+        return self._add_files(d.list_csv(self._open().spark, folder, exclude))
 
     def set_matrix(self, left: int, right: int, costs: dict[tuple[int, int], int]) -> LexiconBuilder:
         if left != right:
@@ -173,44 +184,72 @@ class LexiconBuilder:
     def build(self) -> Lexicon:
         self._open()._done = True
         left, right, costs = self._matrix or (1, 1, {})
+        matrix = costs if isinstance(costs, DataFrame) else [(r, k, v) for (r, k), v in costs.items()]
         c = self._classifier or Classifier.default()
         usable = {class_of_type(t) for t in TYPES}
         rows = {
-            "entries": [(i, *r) for i, r in enumerate(self._rows)],
-            "matrix": [(r, k, v) for (r, k), v in costs.items()],
+            "entries": self._entries(),
+            "matrix": matrix,
             "char_class": [(n, *v) for n, v in c.classes.items()],
             "char_range": [(i, *r) for i, r in enumerate(c.ranges)],
             "unk": [(u[0], i, *u[1:]) for i, u in enumerate(dict.fromkeys(u for u in self._unk if u[0] in usable))],
         }
-        tables = {n: self.spark.createDataFrame(v, TABLES[n]) for n, v in rows.items()}
+        tables = {n: v if isinstance(v, DataFrame) else self.spark.createDataFrame(v, TABLES[n]) for n, v in rows.items()}
         return Lexicon(self.spark, tables, left, right)
 
-
-def build(spark: SparkSession, folder: str) -> Lexicon:
-    """Builds from a folder of CSV files with matrix.def, char.def and unk.def if there."""
-    builder = LexiconBuilder(spark).add_csv_dir(folder)
+    def _entries(self) -> DataFrame:
+        """All parts in order, numbered on from one to the next."""
+        out, top = None, 0
+        for part in [x for x in self._parts if isinstance(x, DataFrame) or x] or [[]]:
+            if isinstance(part, DataFrame):
+                one = part.withColumn("entry_id", (F.col("entry_id") + top).cast("int"))
+                top = one.agg(F.coalesce(F.max("entry_id") + 1, F.lit(top))).first()[0]
+            else:
+                one = self.spark.createDataFrame([(top + i, *r) for i, r in enumerate(part)], TABLES["entries"])
+                top += len(part)
+            one = one.select("entry_id", *d.ENTRY)
+            out = one if out is None else out.unionByName(one)
+        return out
+
+
+def build(spark: SparkSession, folder: str, exclude: Iterable[str] = ()) -> Lexicon:
+    """Builds from a folder of CSV files with matrix.def, char.def and unk.def if there.
+
+    A file that is missing is left out, one that cannot be read or used is an error.
+    """
+    builder = LexiconBuilder(spark).add_csv_dir(folder, exclude)
     for name, load in (("matrix.def", builder.load_matrix), ("char.def", builder.load_char_def), ("unk.def", builder.load_unk)):
         try:
             load(f"{folder}/{name}")
-        except d.LexiconError:
-            raise
-        except Exception:
+        except FileNotFoundError:
             if name == "matrix.def":
                 warnings.warn(f"{folder}: no matrix.def, all connection costs are 0", stacklevel=2)
     return builder.build()
 
 
-def merge(spark: SparkSession, base: str, source: str, output: str | None = None, reset_char_def: bool = False) -> str:
-    """Adds a CSV file or folder to a bundle; returns the path of the new bundle.
+def merge(spark: SparkSession, base: str, sources: str | list[str], output: str | None = None, reset_char_def: bool = False, exclude: Iterable[str] = ()) -> str:
+    """Adds CSV files or folders to a bundle, in this order; returns the path of the new bundle.
 
-    Without ``output`` the new bundle lies beside the old one, which stays readable.
+    Without ``output`` the new bundle lies beside the old one, which stays readable. Files
+    of excluded names are left out of folders.
     """
     builder = LexiconBuilder(spark).load_lexicon(base, reset_char_def)
-    (builder.add_csv if source.endswith(".csv") else builder.add_csv_dir)(source)
+    for source in [sources] if isinstance(sources, str) else sources:
+        if source.endswith(".csv"):
+            builder.add_csv(source)
+        else:
+            builder.add_csv_dir(source, exclude)
     output = output or f"{base.rstrip('/')}-{uuid.uuid4().hex[:8]}"
     builder.build().write(output)
     return output
 
 
+def recipe(spark: SparkSession, folder: str, more: list[str], output: str, exclude: Iterable[str] = ()) -> str:
+    """Builds ``folder`` and merges further files and folders in order, without the excluded file names."""
+    base = f"{output.rstrip('/')}-base-{uuid.uuid4().hex[:8]}" if more else output
+    build(spark, folder, exclude).write(base)
+    return merge(spark, base, more, output, exclude=exclude) if more else output
+
+
 def default_classes(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(DEFAULT_CLASSES, schema.CHAR_CLASS)
