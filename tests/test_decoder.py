@@ -181,6 +181,8 @@ def test_analyzer_surfaces(spark):
 def test_sql_functions(spark):
     Analyzer(in_memory(spark, fx.entries(fx.JAPANESE))).register()
     assert [r[0] for r in spark.sql("SELECT t.surface FROM VALUES ('山を見た') v(x), LATERAL tokens(x) t ORDER BY tok_idx").collect()] == ["山", "を", "見", "た"]
+    many = spark.sql("SELECT id, tok_idx, t.surface FROM VALUES (1, '山へ行く'), (2, NULL), (3, ''), (4, '犬を') v(id, x), LATERAL tokens(x) t").collect()
+    assert sorted(tuple(r) for r in many) == [(1, 0, "山"), (1, 1, "へ"), (1, 2, "行く"), (4, 0, "犬"), (4, 1, "を")]
     assert spark.sql("SELECT size(tokenize('山を見た'))").first()[0] == 4
 
 

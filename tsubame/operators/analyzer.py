@@ -92,15 +92,10 @@ class Analyzer:
     def register(self, scalar: str = "tokenize", table: str = "tokens") -> None:
         """SQL functions: ``tokenize(text)``, and ``tokens(text)`` for LATERAL."""
         self.spark.udf.register(scalar, self.tokenize_udf())
-        shared = self._shared
-
-        @F.udtf(returnType="tok_idx int, " + schema.TOKEN[7:-1].replace(":", " ").replace(",", ", ").replace(" end ", " `end` "))
-        class Tokens:
-            def eval(self, text: str):  # noqa: ANN202
-                for i, t in enumerate(shared.value.tokens(text) if text else ()):
-                    yield (i, *t)
-
-        self.spark.udtf.register(table, Tokens)
+        columns = "tok_idx int, " + schema.TOKEN[7:-1].replace(":", " ").replace(",", ", ").replace(" end ", " `end` ")
+        fields = ", ".join(f"t.`{c}`" for c in FIELDS)
+        # A table function in SQL over the Arrow function: lateral joins admit no Arrow table function.
+        self.spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {table}(text STRING) RETURNS TABLE ({columns}) RETURN SELECT i, {fields} FROM posexplode({scalar}(text)) AS e(i, t)")
 
 
 def in_memory(spark: SparkSession, entries: list[tuple] = (), matrix: tuple | None = None, unk: list[tuple] = (), classifier=None) -> Lexicon:  # noqa: ANN001

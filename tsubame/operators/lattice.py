@@ -1,7 +1,7 @@
 """The lattice as a DataFrame, and its decoding by a fold: inspectable, for short segments.
 
-Same results as the kernel. Text longer than ``MAX_CHARS`` characters in one segment
-should go through the kernel, as a fold over a growing list is quadratic.
+Same results as the kernel. A segment of more than ``MAX_CHARS`` characters is refused by
+``decode``, as a fold over a growing list is quadratic; it should go through the kernel.
 """
 
 from __future__ import annotations
@@ -98,6 +98,9 @@ def decode(nodes: DataFrame, matrix: DataFrame, keys: list[str]) -> DataFrame:
         " b -> struct(b.total + x.word_cost as total, x.start as start, x.unk as unk, x.entry_id as entry_id, x.end as end, x.right_id as right_id,"
         " concat(b.path, array(struct(x.start as start, x.end as end, x.unk as unk, x.entry_id as entry_id))) as path))))"
     )
-    done = packed.withColumn("acc", F.expr(fold)).withColumn("n", F.expr("element_at(nodes, -1).end"))
+    packed = packed.withColumn("n", F.expr("element_at(nodes, -1).end"))
+    refused = F.raise_error(F.concat(F.lit(f"a segment has more than {MAX_CHARS} characters: "), F.col("n").cast("string")))
+    packed = packed.withColumn("nodes", F.when(F.col("n") > MAX_CHARS, refused.cast("array<struct<end:int,start:int,unk:int,entry_id:int,left_id:int,right_id:int,word_cost:int>>")).otherwise(F.col("nodes")))
+    done = packed.withColumn("acc", F.expr(fold))
     done = done.withColumn("b", F.expr(best.format(at="n", left="0")))
     return done.select(*keys, F.col("b.total").alias("total"), F.col("b.path").alias("path"))
