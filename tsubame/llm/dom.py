@@ -31,7 +31,7 @@ GROUPS = [
     ["h1", "h2", "h3", "h4", "h5", "h6"], ["ul", "ol", "dl"], ["li", "dt", "dd"], ["a"], ["table", "tr", "td", "th", "tbody", "thead"], ["figure", "figcaption", "img"],
 ]
 GROUP_OF = {tag: i + 1 for i, g in enumerate(GROUPS) for tag in g}
-# Tokens of class, id and role attributes, by what they hint at.
+# Tokens of class, id and role attributes, by what they hint at.
 WORDS = [
     "article content main post story entry body text blog news".split(),
     "nav navigation menu navbar breadcrumb breadcrumbs toolbar tabs pagination pager skip".split(),
