@@ -182,7 +182,7 @@ def _fetch(buckets: int) -> Callable:
             raw = (text.as_py() or "").encode()
             some = mine[mine["each"] == 0]
             b = (some["g"] % tv.U(buckets)).astype(np.int64)
-            for x in np.unique(b):
+            for x in tv.distinct(b):
                 heads = np.empty((b == x).sum(), _HEAD)
                 for f in ("g", "d", "s", "n"):
                     heads[f] = some[b == x][f]
@@ -358,7 +358,7 @@ def _docs_in(kind: np.dtype) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for x in b.column(0):
-                yield pa.record_batch([pa.array(np.unique(np.frombuffer(x.as_py(), kind)["d"]))], ["doc_id"])
+                yield pa.record_batch([pa.array(tv.distinct(np.frombuffer(x.as_py(), kind)["d"]))], ["doc_id"])
 
     return run
 
