@@ -107,6 +107,8 @@ def test_compare(spark):
     a, b = Analyzer(in_memory(spark, fx.entries(fx.JAPANESE))), Analyzer(in_memory(spark, fx.entries([x for x in fx.JAPANESE if x[0] != "大学生"])))
     rows = compare.compare(df, a, b, "text", ["id"]).collect()
     assert sorted(r["status"] for r in rows) == ["both", "left_only", "right_only", "right_only"]
+    got = compare.agreement(compare.compare(df, a, b, "text", ["id"])).first()
+    assert (got["spans"], got["both"], got["left_only"], got["right_only"], got["same_reading"]) == (4, 1, 1, 2, 1)
     assert compare.summary(df, {"a": a, "b": b}, "text", ["id"]).where("engine = 'b'").first()["segmentation"] == "大学 | 生 | を"
 
 
@@ -143,6 +145,8 @@ def test_command_line(spark, folder, capsys):
     assert "猫 犬" in capsys.readouterr().out
     main(["bench", "-d", f"{folder}/d", "-n", "0", "猫"])
     main(["info", "-d", f"{folder}/d"])
+    main(["compare", "-d", f"{folder}/d", "-e", f"{folder}/d", "猫犬"])
+    assert "猫 | 犬" in capsys.readouterr().out
     main(["repair", "-d", f"{folder}/d", "-o", f"{folder}/e"])
     assert "1 entries repaired" in capsys.readouterr().out
     with pytest.raises(SystemExit):

@@ -441,6 +441,16 @@ def compare_lexicons(spark: SparkSession, sf: str) -> DataFrame:
     return cmp.compare(bench, latin(spark), Analyzer(in_memory(spark)), "text", ITEM).select("item_id", "start", "end", "status")
 
 
+@query(f"""{LATIN_TOKENS}, plain AS (SELECT item_id, unnest(range(1, len(t) + 1)) AS i, t, b FROM (SELECT item_id, {sql.surfaces('seg')} AS t, base AS b FROM segs JOIN placed USING (item_id, seg_idx))),
+r AS (SELECT item_id, CAST(b + strlen(array_to_string(t[1:i - 1], '')) AS BIGINT) AS "start", CAST(b + strlen(array_to_string(t[1:i], '')) AS BIGINT) AS "end" FROM plain)
+SELECT CAST(count(*) AS BIGINT) AS spans, CAST(sum(CASE WHEN l AND r THEN 1 ELSE 0 END) AS BIGINT) AS "both", CAST(sum(CASE WHEN r IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS left_only, CAST(sum(CASE WHEN l IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS right_only
+FROM (SELECT item_id, "start", "end", true AS l FROM tokens) x FULL JOIN (SELECT *, true AS r FROM r) y USING (item_id, "start", "end")""")
+def compare_agreement(spark: SparkSession, sf: str) -> DataFrame:
+    bench = table(spark, sf, "benchmark").select("item_id", "text")
+    spans = cmp.compare(bench, latin(spark), Analyzer(in_memory(spark)), "text", ITEM)
+    return cmp.agreement(spans).select("spans", "both", "left_only", "right_only")
+
+
 @query("SELECT 'documents' AS source, CAST(0 AS BIGINT) AS violations UNION ALL SELECT 'conversations', 0 UNION ALL SELECT 'pages', 0")
 def coverage_invariant(spark: SparkSession, sf: str) -> DataFrame:
     """Surfaces join to the text, and offsets leave no gap."""

@@ -1,4 +1,4 @@
-"""Command line: build, merge, recipe, convert, tokenize, bench, info, repair."""
+"""Command line: build, merge, recipe, convert, tokenize, compare, bench, info, repair."""
 
 from __future__ import annotations
 
@@ -6,9 +6,11 @@ import argparse
 import time
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from tsubame.functions.render import FORMATS
 from tsubame.operators.analyzer import Analyzer
+from tsubame.operators.compare import agreement, compare, summary
 from tsubame.sources import convert
 from tsubame.sources import lexicon as lx
 from tsubame.sources.text import literal, read_lines
@@ -42,6 +44,11 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("-i", "--input", help="text files, in place of an argument")
     c.add_argument("-o", "--output", help="folder for the result; else it is printed")
     c.add_argument("text", nargs="?")
+    c = sub.add_parser("compare", help="segmentation and readings of two lexicons, and where they agree")
+    c.add_argument("-d", "--dict", required=True)
+    c.add_argument("-e", "--other", required=True)
+    c.add_argument("-i", "--input", help="text files, in place of an argument")
+    c.add_argument("text", nargs="?")
     c = sub.add_parser("bench", help="time one text")
     c.add_argument("-d", "--dict", required=True)
     c.add_argument("-n", "--iterations", type=int, default=1000)
@@ -75,6 +82,12 @@ def main(argv: list[str] | None = None) -> int:
         if n:
             fixed.write(a.output)
         print(f"{n} entries repaired")
+    elif a.command == "compare":
+        texts = read_lines(spark, a.input) if a.input else literal(spark, a.text or "")
+        left, right = Analyzer(a.dict, spark), Analyzer(a.other, spark)
+        numbered = texts.withColumn("id", F.monotonically_increasing_id())
+        summary(numbered, {a.dict: left, a.other: right}, "text", ["id"]).orderBy("id").show(truncate=False)
+        agreement(compare(numbered, left, right, "text", ["id"])).show()
     elif a.command == "bench":
         analyzer = Analyzer(a.dict, spark)
         n = max(1, a.iterations)

@@ -24,6 +24,14 @@ def compare(df: DataFrame, left: Analyzer, right: Analyzer, text: str, keys: lis
     return both.withColumns({"same_reading": F.when(l & r, F.col("left_reading") == F.col("right_reading")), "same_pos": F.when(l & r, F.col("left_pos") == F.col("right_pos"))})
 
 
+def agreement(spans: DataFrame) -> DataFrame:
+    """One row over the spans of ``compare``: how many both find, and where readings and parts of speech agree."""
+    count = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
+    status = {s: count(F.col("status") == s).alias(s) for s in ("both", "left_only", "right_only")}
+    same = [count(F.col(c)).alias(c) for c in ("same_reading", "same_pos")]
+    return spans.agg(F.count("*").alias("spans"), *status.values(), *same)
+
+
 def summary(df: DataFrame, analyzers: dict[str, Analyzer], text: str, keys: list[str]) -> DataFrame:
     """(keys, engine, segmentation, reading) of each text and analyzer."""
     out = None
