@@ -2,11 +2,13 @@
 
 import hashlib
 import random
+import struct
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tsubame.llm import decontaminate, draws, html_text, line_dedup, mixing, ngram_join, quality, sharding, suffix_dedup, topk, url_filter
@@ -188,6 +190,44 @@ def test_sharding(spark, texts):
     assert sharding.shard_documents(docs.limit(0)).count() == 0
 
 
+def spark_xxhash64(*values):
+    """Spark's hash of some columns: each is hashed with the hash before as its seed; nulls are passed over."""
+    h = 42
+    for v, kind in values:
+        if v is not None:
+            h = xxhash.xxh64_intdigest(struct.pack(kind, v), h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def test_sharding_equals_brute_force(spark, texts, monkeypatch):
+    monkeypatch.setattr(sharding, "ROWS_PER_BLOCK", 7)
+    ids = [*range(len(texts) - 3), None, 5, 5]
+    got = sorted(str((r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["slot"])) for r in sharding.shard_documents(docs_of(spark, texts, ids), shards=5).collect())
+    seed, n = sharding.SEED, len(texts)
+    hashed = lambda i, k: spark_xxhash64((seed + i, "<i"), (k, "<q"))
+    rows = []
+    for d, t in zip(ids, texts, strict=True):
+        size, crc = len((t or "").encode()) + 1, None if t is None else zlib.crc32(t.encode())
+        rows.append((spark_xxhash64((d, "<q"), (size, "<q"), (crc, "<q")), d, size, crc))
+    blocks = {}
+    for r in rows:
+        blocks.setdefault(hashed(0, r[0]) % (n // 7), []).append(r)
+    sizes = [n // 5 + (i < n % 5) for i in range(5)]
+    drawn = draws.communication_matrix(np.random.default_rng(seed), [len(blocks.get(b, [])) for b in range(n // 7)], sizes)
+    shards = [[] for _ in range(5)]
+    for b in range(n // 7):
+        order, at = sorted(blocks.get(b, []), key=lambda r: (hashed(1, r[0]), r[0])), 0
+        for s, m in enumerate(drawn[b]):
+            shards[s] += order[at : at + m]
+            at += m
+    per_shard, want = max(1, n // 5 // 7), []
+    for s, members in enumerate(shards):
+        assert len(members) == sizes[s]
+        members.sort(key=lambda r: ((hashed(2, r[0]) >> 16) % per_shard, hashed(2, r[0]), r[0]))
+        want += [str((*r[1:], s, i)) for i, r in enumerate(members)]
+    assert got == sorted(want)
+
+
 def test_communication_matrix():
     rng = np.random.default_rng(0)
     rows, cols = [5, 0, 30, 12], [16, 16, 15]
