@@ -42,7 +42,7 @@ SEED = 7_001
 DOCS_PER_BLOCK = 500
 MAX_BLOCKS = 65_536
 MAX_SOURCES = 1_000_000
-ROWS_PER_SLICE = 50_000
+ROWS_PER_SLICE, MAX_PARTS = 5_000, 65_536
 WORD = r"[^\x20\x09-\x0D]+"
 _GRID = 1 << 30
 
@@ -109,7 +109,8 @@ def mix(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, **rules: object
     slices = max(1, -(-narrow.count() // (ROWS_PER_SLICE * shards)))
     placed = copies.withColumn("_mix_order", F.xxhash64(F.lit(seed + 2), "_mix_key", "_mix_copy"))
     placed = placed.withColumn("_mix_slice", F.pmod(F.shiftright("_mix_order", 32), F.lit(slices)))
-    placed = placed.repartition(max(shards * slices, shuffle_partitions(docs.sparkSession)), "_mix_shard", "_mix_slice")
+    parts = min(MAX_PARTS, max(shards * slices, shuffle_partitions(docs.sparkSession)))
+    placed = placed.repartition(parts, "_mix_shard", "_mix_slice")
     return placed.sortWithinPartitions("_mix_shard", "_mix_slice", "_mix_order", "_mix_key").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
