@@ -137,15 +137,23 @@ class Kernel:
         return s
 
     def connection(self, right_id: int, left_id: int) -> int:
+        row = self._row(right_id)
+        return row[left_id] if left_id < len(row) else 0
+
+    def _row(self, right_id: int) -> list[int]:
+        """Costs of a right_id by left_id, for every left_id that a node can have; 0 outside the matrix."""
         row = self.costs.get(right_id)
         if row is None:
-            row = self.costs[right_id] = self.matrix[right_id].tolist() if right_id < self.matrix.shape[0] else []
-        return row[left_id] if left_id < len(row) else 0
+            row = self.matrix[right_id].tolist() if right_id < self.matrix.shape[0] else []
+            row = self.costs[right_id] = row + [0] * (self.left_ids[-1] + 1 - len(row))
+        return row
 
-    def _shape(self, seg: str) -> tuple[bytes, tuple]:
+    def _shape(self, seg: str, one_run: bool = False) -> tuple[bytes, tuple]:
         """What decides the nodes of a segment: types, and (start, length, rows) of its entries."""
         e = self.entries
-        return bytes(self.classifier.types(seg)), tuple([(p, *m) for p, ch in enumerate(seg) if ch in e.heads for m in e.at(seg, p)])
+        # A piece that no entry crosses is one run, so its first character tells the type of all.
+        types = bytes(self.classifier.types(seg[0] if one_run else seg)) * (len(seg) if one_run else 1)
+        return types, tuple([(p, *m) for p, ch in enumerate(seg) if ch in e.heads for m in e.at(seg, p)])
 
     def _nodes(self, shape: tuple[bytes, tuple]) -> list[list[tuple]]:
         """For each start, (start, end, unknown, entry number or type, left_id, right_id, cost, row) nodes."""
@@ -195,31 +203,40 @@ class Kernel:
         Of predecessors that end at one place with one right_id only the first cheapest
         can win, so only it is kept. Pieces of one shape share the result.
         """
-        shape = self._shape(piece)
+        shape = self._shape(piece, not self.crossing)
         known = state.shapes.get(shape)
         if known:
             return Step(piece, *known)
         n = len(piece)
-        # best[p]: right_id -> (total, start, unknown, entry, node, state before or way before)
+        # best[p]: right_id -> (total, start, unknown, entry, node, state before or way before, costs of right_id)
         best: list[dict[int, tuple]] = [{} for _ in range(n + 1)]
-        nodes, connection = self._nodes(shape), self.connection
+        nodes, row_of = self._nodes(shape), self._row
+        first = [(c, i, row_of(r)) for i, (r, c) in enumerate(state.ways)]
         for p in range(n):
-            if p and not best[p]:
+            before_p = best[p].values()
+            if p and not before_p:
                 continue
             memo: dict[int, tuple] = {}
             for node in nodes[p]:
-                left = node[4]
-                if left not in memo:
+                _, end, unknown, number, left, right, cost, _ = node
+                found = memo.get(left)
+                if found is None:
+                    low = None
                     if p:
-                        low = min([(s[0] + connection(r, left), s[1], s[2], s[3], r) for r, s in best[p].items()])
-                        memo[left] = (low[0], best[p][low[4]])
+                        for s in before_p:
+                            c = s[0] + s[6][left]
+                            if low is None or c < low or (c == low and s[1:4] < before[1:4]):
+                                low, before = c, s
                     else:
-                        memo[left] = min([(c + connection(r, left), i) for i, (r, c) in enumerate(state.ways)])
-                total, before = memo[left]
-                total += node[6]
-                old = best[node[1]].get(node[5])
-                if old is None or (total, node[0], node[2], node[3]) < old[:4]:
-                    best[node[1]][node[5]] = (total, node[0], node[2], node[3], node, before)
+                        for c, i, row in first:
+                            if low is None or c + row[left] < low:
+                                low, before = c + row[left], i
+                    found = memo[left] = (low, before)
+                total = found[0] + cost
+                ends = best[end]
+                old = ends.get(right)
+                if old is None or total < old[0] or (total == old[0] and (p, unknown, number) < old[1:4]):
+                    ends[right] = (total, p, unknown, number, node, found[1], row_of(right))
         last = sorted(best[n].items(), key=lambda x: x[1][1:4])
         base = min(s[0] for _, s in last)
         if len(last) > 1:
