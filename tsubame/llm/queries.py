@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tsubame.llm import decontaminate, html_text, line_dedup, mixing, ngram_join, quality, sharding, sort_means, spelling, suffix_dedup, topk, url_filter
+from tsubame.llm import decontaminate, html_text, hyperminhash, line_dedup, mixing, ngram_join, quality, sharding, sort_means, spelling, suffix_dedup, topk, url_filter
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op10_topk": topk.op10_topk,
+    "op11_hyperminhash": hyperminhash.op11_hyperminhash,
     "op12_sort_means": sort_means.op12_sort_means,
     "op13_spelling": spelling.op13_spelling,
     "op2_url_filter": url_filter.op2_url_filter,
@@ -21,6 +22,7 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op10_topk": topk.ORACLE,
+    "op11_hyperminhash": hyperminhash.ORACLE,
     "op12_sort_means": sort_means.ORACLE,
     "op13_spelling": spelling.ORACLE,
     "op2_url_filter": url_filter.ORACLE,
