@@ -10,11 +10,12 @@
    probability above 0.9999995.
 3. Of all that meet in a band each is first paired with the member that meets the most
    others, in whatever band: the text that near copies were made from. What is linked
-   needs no further pair. Where up to ``PAIR_ALL`` meet, members of different components
-   are then paired. Where more do and differ, they are dealt again by two bands at once,
-   then by three (two sets of similarity 0.85 agree in three bands with a probability of
-   0.9999); what still is one large group of several components is compared in blocks of
-   bounded size inside tasks, by registers. No group is dropped or cut.
+   needs no further pair. Where up to ``LARGE`` meet, members of different components
+   are then compared by registers, inside one task, and only likely pairs leave it. Where
+   more do and differ, they are dealt again by two bands at once, then by three (two sets
+   of similarity 0.85 agree in three bands with a probability of 0.9999); what still is a
+   large group of several components is compared in pairs of blocks of bounded size. No
+   group is dropped or cut.
 4. A candidate pair must pass the length filter, and its similarity as estimated from
    equal registers, less those expected to collide by chance, must reach the threshold
    less ``SLACK``, about six standard deviations. What passes is verified on full sets.
@@ -48,7 +49,7 @@ BUCKET_BITS, MANTISSA = 7, 10
 BUCKETS = 1 << BUCKET_BITS
 BANDS, ROWS = 25, 5
 SLACK = 0.28
-PAIR_ALL = 8
+LARGE = 2_000
 LEVELS = 3
 BLOCK = 1_000
 SALT_PAIRS = 256
@@ -187,23 +188,59 @@ def _likely_pairs(percent: int) -> Callable:
     return run
 
 
+def _compared(left: np.ndarray, right: np.ndarray, fp: np.ndarray, n: np.ndarray, lab: np.ndarray, regs: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Likely pairs of different components between two lists of rows; a list with itself gives each pair once."""
+    xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in left:
+        at = right[right > i] if right is left else right
+        at = at[lab[at] != lab[i]]
+        at = at[likely(np.broadcast_to(regs[i], (len(at), BUCKETS)), regs[at], np.broadcast_to(n[i], len(at)), n[at], percent)]
+        xs.append(np.minimum(fp[i], fp[at]))
+        ys.append(np.maximum(fp[i], fp[at]))
+    return np.concatenate(xs), np.concatenate(ys)
+
+
+_PAIR = pa.schema([("x", pa.int64()), ("y", pa.int64())])
+
+
+def _within(percent: int) -> Callable:
+    """Likely pairs inside the groups of sorted rows (key, fp, n, lab, regs), across the borders of batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            t = t if rest is None else pa.concat_tables([rest, t])
+            key = t.column("key").to_numpy()
+            begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+            # The last group may go on in the next batch.
+            if len(begin) > 1:
+                yield of(t.slice(0, begin[-1]), begin)
+                t = t.slice(begin[-1])
+            rest = t
+        if rest is not None and len(rest):
+            yield of(rest, np.array([0, len(rest)]))
+
+    def of(t: pa.Table, begin: np.ndarray) -> pa.RecordBatch:
+        fp, n, lab = (t.column(c).to_numpy() for c in ("fp", "n", "lab"))
+        regs = _matrix(t.column("regs"))
+        found = []
+        for a, b in zip(begin[:-1], begin[1:], strict=True):
+            rows = np.arange(a, b)
+            found.append(_compared(rows, rows, fp, n, lab, regs, percent))
+        return pa.record_batch([pa.array(np.concatenate([f[i] for f in found])) for i in range(2)], schema=_PAIR)
+
+    return run
+
+
 def _across(percent: int) -> Callable:
-    """Likely pairs of different components between two blocks of a group."""
-    schema = pa.schema([("x", pa.int64()), ("y", pa.int64())])
+    """Likely pairs between two blocks of a group; a block with itself has each row once, as side 0."""
 
     def run(g: pa.Table) -> pa.Table:
         fp, n, lab, side = (g.column(c).to_numpy() for c in ("fp", "n", "lab", "side"))
-        regs = _matrix(g.column("regs"))
-        # A block with itself has each row once, as side 0.
-        left = np.flatnonzero(side == 0)
-        right = np.flatnonzero(side == 1) if (side == 1).any() else left
-        xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for i in left:
-            at = right[(lab[right] != lab[i]) & ((right != i) if right is not left else (right > i))]
-            at = at[likely(np.broadcast_to(regs[i], (len(at), BUCKETS)), regs[at], np.broadcast_to(n[i], len(at)), n[at], percent)]
-            xs.append(np.minimum(fp[i], fp[at]))
-            ys.append(np.maximum(fp[i], fp[at]))
-        return pa.Table.from_arrays([pa.array(np.concatenate(xs)), pa.array(np.concatenate(ys))], schema=schema)
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        x, y = _compared(left, right if len(right) else left, fp, n, lab, _matrix(g.column("regs")), percent)
+        return pa.Table.from_arrays([pa.array(x), pa.array(y)], schema=_PAIR)
 
     return run
 
@@ -285,16 +322,18 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT) -> Data
         stars = known.join(lead, "key").where("fp <> lead.fp and lab <> lead.lab").select("fp", F.col("lead.fp").alias("lead"))
         near.add(stars.select(*_pairs("fp", "lead")))
         met = _mixed(near, met)
-        few = met.where(F.col("m") <= PAIR_ALL).groupBy("key").agg(F.collect_list(F.struct("fp", "lab")).alias("all"))
-        few = few.select("all", F.explode("all").alias("a")).select("a", F.explode("all").alias("b")).where("a.fp < b.fp and a.lab <> b.lab")
-        near.add(few.select(*_pairs("a.fp", "b.fp")))
-        met = _mixed(near, met.where(F.col("m") > PAIR_ALL).drop("lab"))
-        if not met.head(1) or level == LEVELS - 1:
+        few = met.where(F.col("m") <= LARGE).join(reps.select("fp", "n", "regs"), "fp").select("key", "fp", "n", "lab", "regs")
+        arrow_rows(spark, TEXT_ROWS)
+        near.add(few.repartition("key").sortWithinPartitions("key").mapInArrow(_within(percent), "x long, y long"))
+        met = met.where(F.col("m") > LARGE)
+        if not met.head(1):
+            break
+        met = _mixed(near, met.drop("lab"))
+        if level == LEVELS - 1:
+            near.add(_block_pairs(met, reps, percent))
             break
         finer = met.select("fp", "bands").distinct().join(reps.select("fp", "regs"), "fp").select("fp", "regs", "bands")
         groups = cut(finer.mapInArrow(_groups, "key long, fp long, bands long").distinct())
-    if met.head(1):
-        near.add(_block_pairs(met.select("key", "fp", "m", "lab").distinct(), reps, percent))
     if near.comp is None:
         label = reps.select("fp", F.col("fp").alias("lab"), "rep")
     else:
