@@ -6,7 +6,7 @@ those at the ends. Equal forms are one; different forms link when their sets of
 only the first line (smallest doc_id, then line number) stays in its document.
 
 ``BANDS`` bands of ``ROWS`` minima find a pair of similarity 0.8 with a probability of
-0.998, and more similar ones almost surely; each candidate pair is then verified on
+0.998, and more similar ones almost surely, repetitive lines included; each candidate pair is then verified on
 the exact sets. Bands travel packed, by key range; where very many lines meet in a
 band they are first paired with one of them, then with a few, and then across
 components only. Texts of candidates are read again at their first places.
@@ -34,8 +34,10 @@ from tsubame.session import arrow_rows, cut, shuffle_partitions, table
 
 K = 8
 BANDS, ROWS = 16, 5
-# Lines of LONG shingles have a binned signature, those below SHORT a permuted one.
+# Sets of LONG shingles have a binned signature, those below SHORT a permuted one: similar ones share a kind.
 LONG, SHORT = 160, 200
+# Slots in which the different shingles of a line are counted; what shares a slot counts once.
+SLOT_BITS = 10
 PERCENT = 80
 ENTRIES_PER_BUCKET = 500_000
 ENTRIES_PER_FLUSH = 2_000_000
@@ -132,24 +134,43 @@ def _binned_minima(x: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
     return out
 
 
+def _few(x: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """Which rows may hold less than SHORT different values; those that do are among them."""
+    slot = np.zeros((rows + 1) << SLOT_BITS, bool)
+    slot[(row << SLOT_BITS) | (x >> np.uint32(32 - SLOT_BITS)).astype(np.int64)] = True
+    return slot.reshape(-1, 1 << SLOT_BITS)[:rows].sum(axis=1) < SHORT
+
+
 def band_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(line number, BANDS keys) of each signature.
 
-    Short lines have minima of many permutations, long ones bins of one; lines in
-    between have both signatures, so lines of similar size share a kind.
+    Small sets of shingles have minima of many permutations, large ones bins of one. A line
+    has every kind that its set may need: binned from LONG places on, as it cannot have more
+    different shingles than places, and permuted where less than SHORT different ones were
+    counted, as what is counted is at most what is there. So of two sets of similarity
+    0.8, whose sizes differ by a quarter at most, both have one kind.
     """
     x, size, n = _shingle_words(lines)
     inside = np.repeat(np.tile([True, False], len(lines)), np.stack([n, size + K - 1 - n], axis=1).ravel())
-    number, kinds = np.flatnonzero(n < SHORT), []
+    kinds = []
     line = np.repeat(np.arange(len(lines)), size + K - 1)
-    if len(number):
-        small = x[inside & (n < SHORT)[line]]
-        kinds.append((number, 1, _minima(small, np.cumsum(n[number]) - n[number])))
+    begin = np.cumsum(size + K - 1) - (size + K - 1)
     many = np.flatnonzero(n >= LONG)
+    few = np.zeros(0, np.int64)
     if len(many):
         to = np.full(len(lines), len(many))
         to[many] = np.arange(len(many))
-        kinds.append((many, 1_000, _binned_minima(x, np.where(inside, to[line], len(many)), len(many))))
+        row = np.where(inside, to[line], len(many))
+        kinds.append((many, 1_000, _binned_minima(x, row, len(many))))
+        few = many[_few(x, row, len(many)) & (n[many] >= SHORT)]
+    number = np.flatnonzero(n < SHORT)
+    if len(number):
+        small = x[inside & (n < SHORT)[line]]
+        kinds.append((number, 1, _minima(small, np.cumsum(n[number]) - n[number])))
+    if len(few):
+        sets = [np.unique(x[begin[i] : begin[i] + n[i]]) for i in few]
+        count = np.array([len(s) for s in sets])
+        kinds.append((few, 1, _minima(np.concatenate(sets), np.cumsum(count) - count)))
     numbers, keys = [], []
     for number, seed, low in kinds:
         key = np.tile((np.arange(BANDS) + seed).astype(tv.U), (len(number), 1))
