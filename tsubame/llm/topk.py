@@ -16,8 +16,12 @@ Defined cases: vectors that are null or hold null, NaN or infinite components ta
 part, neither as queries nor as candidates; shorter vectors count as padded with
 zeros; ties go to the smaller vec_id; a query row never meets itself; rows that repeat a
 vec_id are queries and candidates of their own; an empty table gives an empty result.
-Extra columns are ignored. The floating bounds carry a slack, so rounding never prunes
-a result.
+Extra columns are ignored. A row without vec_id is neither query nor candidate.
+Components may have any finite size below 2^480 (a vector beyond, which only an array of
+doubles can hold, takes no part): where a squared length leaves 62 bits all scores are
+computed in unbounded integers, and ranked so; a score that a long cannot hold is null
+in the result, at its right rank. The floating bounds carry a slack, so rounding never
+prunes a result.
 """
 
 from __future__ import annotations
@@ -42,16 +46,22 @@ MAX_RANGES = 1_024
 LEAD = 16
 SLACK = 1e-6
 
-_OUT = "q long, v long, vec_id long, score long"
-_SCHEMA = pa.schema([("q", pa.int64()), ("v", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+# Squared lengths below this keep all inner products within a long.
+NARROW = 2.0**62
+LARGEST = 2.0**480
+# Wide scores are ranked as digits of this base, the first of them signed.
+DIGIT_BITS, DIGITS = 60, 18
+
+_OUT = "q long, v long, vec_id long, score long, digits array<long>, about double"
+_SCHEMA = pa.schema([("q", pa.int64()), ("v", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("digits", pa.list_(pa.int64())), ("about", pa.float64())])
 
 
 def _matrix(col: pa.ChunkedArray, dims: int) -> np.ndarray:
-    """Rows of integers, padded with zeros."""
+    """Rows of integral doubles, padded with zeros."""
     col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
     size = col.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
     values = col.flatten().to_numpy(zero_copy_only=False)
-    out = np.zeros((len(col), dims), np.int64)
+    out = np.zeros((len(col), dims))
     row = np.repeat(np.arange(len(col)), size)
     out[row, np.arange(len(values)) - np.repeat(np.cumsum(size) - size, size)] = values
     return out
@@ -61,19 +71,35 @@ def _gram(dims: int) -> Callable:
     def run(batches):  # noqa: ANN001, ANN202
         total = np.zeros((dims, dims))
         for b in batches:
-            x = _matrix(b.column(0), dims).astype(np.float64)
+            x = _matrix(b.column(0), dims)
             total += x.T @ x
         yield pa.record_batch([pa.array(np.arange(dims), pa.int32()), pa.array(total.tolist(), pa.list_(pa.float64()))], ["i", "row"])
 
     return run
 
 
+def integers(m: np.ndarray, wide: bool) -> np.ndarray:
+    """Integral doubles as longs, or exactly at any size."""
+    return np.array([[int(x) for x in r] for r in m], object).reshape(m.shape) if wide else m.astype(np.int64)
+
+
+def digits(score: int) -> list[int]:
+    """Digits whose lexical order is the order of the numbers."""
+    out = []
+    for _ in range(DIGITS - 1):
+        score, low = divmod(score, 1 << DIGIT_BITS)
+        out.append(low)
+    return [score, *reversed(out)]
+
+
 def search(queries: np.ndarray, qid: np.ndarray, floor_: np.ndarray, vectors: np.ndarray, vid: np.ndarray, ids: np.ndarray, basis: np.ndarray, k: int) -> list[tuple[int, int, int, int]]:
     """Top k of each query among ``vectors`` that can still reach its floor score.
 
+    ``queries`` and ``vectors`` hold longs or, where scores may leave them, objects;
     ``qid`` and ``vid`` number the rows; ties go to the smaller of ``ids``, then row.
     """
     fq, fv = queries.astype(np.float64), vectors.astype(np.float64)
+    kind = queries.dtype
     length = np.linalg.norm(fv, axis=1)
     order = np.argsort(-length, kind="stable")
     vectors, vid, ids, fv, length = vectors[order], vid[order], ids[order], fv[order], length[order]
@@ -84,7 +110,7 @@ def search(queries: np.ndarray, qid: np.ndarray, floor_: np.ndarray, vectors: np
     out = []
     for i in range(len(qid)):
         bar = floor_[i]
-        best, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        best, scores = np.zeros(0, np.int64), np.zeros(0, kind)
         for a in range(0, len(vid), 512):
             slack = SLACK * (1 + qlen[i] * length[a])
             if qlen[i] * length[a] + slack < bar:
@@ -99,25 +125,29 @@ def search(queries: np.ndarray, qid: np.ndarray, floor_: np.ndarray, vectors: np
             top = np.lexsort((vid[best], ids[best], -scores))[:k]
             best, scores = best[top], scores[top]
             if len(best) == k:
-                bar = max(bar, scores[-1])
+                bar = max(bar, float(scores[-1]))
         out += [(int(qid[i]), int(vid[j]), int(ids[j]), int(s)) for j, s in zip(best, scores, strict=True)]
     return out
 
 
-def _search(dims: int, basis: np.ndarray, k: int) -> Callable:
+def _search(dims: int, basis: np.ndarray, k: int, wide: bool) -> Callable:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         rows: list[tuple[int, int, int, int]] = []
         if left.num_rows and right.num_rows:
             floor_ = left.column("floor").cast(pa.float64()).fill_null(-np.inf).to_numpy()
             qid, vid, ids = left.column("row").to_numpy(), right.column("row").to_numpy(), right.column("vec_id").to_numpy()
-            rows = search(_matrix(left.column("x"), dims), qid, floor_, _matrix(right.column("x"), dims), vid, ids, basis, k)
-        return pa.Table.from_arrays([pa.array([r[j] for r in rows], pa.int64()) for j in range(4)], schema=_SCHEMA)
+            x, y = (integers(_matrix(t.column("x"), dims), wide) for t in (left, right))
+            rows = search(x, qid, floor_, y, vid, ids, basis, k)
+        exact = [r[3] if -(1 << 63) <= r[3] < 1 << 63 else None for r in rows]
+        order = [digits(r[3]) if wide else None for r in rows]
+        return pa.Table.from_arrays([*(pa.array([r[j] for r in rows], pa.int64()) for j in range(3)), pa.array(exact, pa.int64()), pa.array(order, pa.list_(pa.int64())), pa.array([float(r[3]) for r in rows], pa.float64())], schema=_SCHEMA)
 
     return run
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id", "v")
+    # Digits are there for all scores or for none.
+    order = Window.partitionBy("q").orderBy(F.desc("digits"), F.desc("score"), "vec_id", "v")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
@@ -154,12 +184,15 @@ def top_k(rows: DataFrame, is_query: Column, k: int = TOP) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k best partners of every query row."""
     spark = rows.sparkSession
     fine = F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    ints = F.transform("embedding", lambda x: F.floor(x.cast("double") * SCALE).cast("long"))
+    fine = fine & ~F.exists("embedding", lambda x: F.abs(x) >= LARGEST)
+    # Beyond 2^53 every double is a whole number.
+    floor_ = lambda y: F.when(F.abs(y) < 2.0**53, F.floor(y).cast("double")).otherwise(y)
+    ints = F.transform("embedding", lambda x: floor_(x.cast("double") * SCALE))
     used = rows.where(F.col("vec_id").isNotNull() & fine).select(F.col("vec_id").cast("long").alias("vec_id"), ints.alias("x"), F.coalesce(is_query, F.lit(False)).alias("asks"))
-    norm = F.aggregate("x", F.lit(0).cast("long"), lambda a, v: a + v * v)
+    norm = F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)
     used = cut(used.withColumns({"norm": norm, "row": F.monotonically_increasing_id()}))
-    dims, total = used.agg(F.max(F.size("x")), F.count("*")).first()
-    dims = max(1, dims or 1)
+    dims, total, longest = used.agg(F.max(F.size("x")), F.count("*"), F.max("norm")).first()
+    dims, wide = max(1, dims or 1), (longest or 0) >= NARROW
     parts = used.select("x").mapInArrow(_gram(dims), "i int, row array<double>")
     sums = parts.select("i", F.posexplode("row").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v")).collect()
     gram = np.zeros((dims, dims))
@@ -173,14 +206,14 @@ def top_k(rows: DataFrame, is_query: Column, k: int = TOP) -> DataFrame:
         # Aliases give both sides columns of their own.
         left = left.select(*[F.col(c).alias(c) for c in ("qb", "vb", "row", "x", "floor")])
         right = right.select(*[F.col(c).alias(c) for c in ("qb", "vb", "row", "vec_id", "x")])
-        return left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInArrow(_search(dims, basis, k), _OUT)
+        return left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInArrow(_search(dims, basis, k, wide), _OUT)
 
     # The longest vectors give every query a first threshold.
     every = F.sequence(F.lit(0), F.lit(groups - 1))
     head = used.orderBy(F.desc("norm"), "row").limit(HEAD_ROWS).select("row", "vec_id", "x", F.lit(0).alias("vb"), F.explode(every).alias("qb"))
-    asked = queries.withColumns({"floor": F.lit(None).cast("long"), "vb": F.lit(0), "qb": F.pmod(F.xxhash64("row"), F.lit(groups)).cast("int")})
+    asked = queries.withColumns({"floor": F.lit(None).cast("double"), "vb": F.lit(0), "qb": F.pmod(F.xxhash64("row"), F.lit(groups)).cast("int")})
     first = _ranked(against(asked, head), k)
-    floors = first.where(F.col("rank") == k).select(F.col("q").alias("row"), F.col("score").alias("floor"))
+    floors = first.where(F.col("rank") == k).select(F.col("q").alias("row"), F.col("about").alias("floor"))
     vectors, tops = _blocks(used, total)
     # Length that a vector needs to reach the threshold, and the last block that holds one.
     asked = queries.join(floors, "row", "left")
