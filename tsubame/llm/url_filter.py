@@ -47,11 +47,15 @@ def url_parts(url: Column) -> tuple[Column, Column]:
     return F.translate(host, UPPER, LOWER), path
 
 
-def candidate_keys(host: Column, path: Column, lengths: list[int]) -> Column:
-    """All keys of a URL, longest first: host suffixes with path prefixes of given lengths."""
-    labels = F.split(host, r"\.")
-    n = F.size(labels)
-    suffixes = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n), "."))
+def candidate_keys(host: Column, path: Column, lengths: list[int], labels: list[int]) -> Column:
+    """All keys of a URL, longest first: host suffixes of given label counts with path prefixes of given lengths.
+
+    Of equal length the key with the longer host comes first.
+    """
+    parts = F.split(host, r"\.")
+    n = F.size(parts)
+    counts = F.filter(F.array(*[F.lit(x) for x in sorted(set(labels), reverse=True)]), lambda x: x <= n)
+    suffixes = F.transform(counts, lambda c: F.array_join(F.slice(parts, n - c + 1, c), "."))
     fitting = F.filter(F.array(*[F.lit(x) for x in sorted(set(lengths))]), lambda x: x <= F.length(path))
     keys = F.flatten(F.transform(suffixes, lambda s: F.transform(fitting, lambda x: F.concat(s, F.substring(path, F.lit(1), x)))))
     order = lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).otherwise(0)
@@ -153,10 +157,14 @@ class Cascade:
 def judge(pages: DataFrame, block: list[str], allow: list[str]) -> DataFrame:
     """(page_id, host, path, rule, verdict) of every row of ``pages``."""
     spark = pages.sparkSession
-    lengths = [len(r) - r.index("/") for r in [*block, *allow]]
+    rules_ = [*block, *allow]
+    if bad := [r for r in rules_ if "/" not in r]:
+        raise ValueError(f"a rule needs a host and a path that begins with a slash: {bad[:3]}")
+    lengths = [len(r) - r.index("/") for r in rules_]
+    labels = [r[: r.index("/")].count(".") + 1 for r in rules_]
     host, path = url_parts(F.col("url"))
     urls = pages.select("page_id", host.alias("host"), path.alias("path"))
-    urls = urls.withColumn("keys", candidate_keys(F.col("host"), F.col("path"), lengths))
+    urls = urls.withColumn("keys", candidate_keys(F.col("host"), F.col("path"), lengths, labels))
     universe = cut(urls.select(F.explode("keys").alias("key")).distinct())
     rules = lambda keys: spark.createDataFrame([(k,) for k in keys], "key string")
     blocked, allowed = Cascade(universe, rules(block), 11), Cascade(universe, rules(sorted(set(allow) - set(block))), 1_011)
