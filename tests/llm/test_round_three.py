@@ -94,9 +94,9 @@ def test_hyperminhash_blocks(spark, monkeypatch, near_rows):
     """The last resort of large groups alone: all links come from pairs of blocks."""
     monkeypatch.setattr(hyperminhash, "BLOCK", 7)
     docs = docs_of(spark, near_rows).select("doc_id", "text")
-    rows = docs.mapInArrow(hyperminhash._signatures(3), "doc_id long, n long, fp long, regs binary").where("n > 0")
-    reps = rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("regs", ignorenulls=True).alias("regs")).cache()
-    members = reps.select(F.lit(1).alias("key"), "fp", F.lit(reps.count()).alias("m"), F.col("fp").alias("lab"))
+    rows = docs.mapInArrow(hyperminhash._signatures(3), "doc_id long, n long, fp long, regs binary, sketch array<long>").where("n > 0")
+    reps = rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("regs", ignorenulls=True).alias("regs"), F.first("sketch", ignorenulls=True).alias("sketch")).cache()
+    members = reps.select(F.lit(1).alias("key"), "fp", F.lit(reps.count()).alias("m"), F.col("fp").alias("lab"), F.lit(0).cast("long").alias("bands"))
     pairs = {tuple(r) for r in hyperminhash._block_pairs(members, reps, 85).collect()}
     sets = {}
     for i, t in near_rows:

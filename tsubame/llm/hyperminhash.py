@@ -16,10 +16,12 @@
    of similarity 0.85 agree in three bands with a probability of 0.9999); what still is a
    large group of several components is compared in pairs of blocks of bounded size. No
    group is dropped or cut.
-4. A candidate pair must pass the length filter, and its similarity as estimated from
-   equal registers, less those expected to collide by chance, must reach the threshold
-   less ``SLACK``, about six standard deviations. What passes is verified on full sets.
-   Linked classes are united by distributed union-find.
+4. A candidate pair must pass the length filter; its similarity as estimated from equal
+   registers, less those expected to collide by chance, must reach the threshold less
+   ``SLACK``, about six standard deviations; and parity sketches, which bound the
+   difference of two sets from below, must admit it. A pair that meets in several bands is
+   made in the first one only. What passes is verified on full sets. Linked classes are
+   united by distributed union-find.
 
 Defined cases: a text with fewer than ``k`` words is one shingle; a null or empty text,
 or one without words, has none and is linked with nothing; a class whose rows have no
@@ -40,7 +42,7 @@ from pyspark.sql import functions as F
 
 from tsubame.llm import textvec as tv
 from tsubame.llm.graph import components
-from tsubame.llm.ngram_join import _verify, distinct_sets, fingerprint
+from tsubame.llm.ngram_join import Sketches, _verify, apart, distinct_sets, fingerprint, overlap, sketch
 from tsubame.session import arrow_rows, cut, small, table, written
 
 K = 3
@@ -136,8 +138,8 @@ def _matrix(col: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 
 def _signatures(k: int) -> Callable:
-    """(doc_id, n, fp, regs) of each text; registers only once for each set that a task has seen lately."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("regs", pa.binary())])
+    """(doc_id, n, fp, regs, sketch) of each text; the last two only once for each set that a task has seen lately."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("regs", pa.binary()), ("sketch", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, seen = tv.Tables(), set()
@@ -146,17 +148,18 @@ def _signatures(k: int) -> Callable:
             for i, sets in distinct_sets(b.column(1), k, t):
                 fp = [fingerprint(s) for s in sets]
                 regs: list[bytes | None] = [None] * len(sets)
+                odd: list[np.ndarray | None] = [None] * len(sets)
                 fresh = []
                 for j, f in enumerate(fp):
                     if len(sets[j]) and f not in seen:
                         seen.add(f)
                         fresh.append(j)
                 for j, r in zip(fresh, registers([sets[j] for j in fresh]), strict=True):
-                    regs[j] = r.tobytes()
+                    regs[j], odd[j] = r.tobytes(), sketch(sets[j])
                 if len(seen) > SEEN:
                     seen.clear()
                 n = pa.array([len(s) for s in sets], pa.int64())
-                yield pa.record_batch([ids.slice(i, len(sets)), n, pa.array(fp, pa.int64()), pa.array(regs, pa.binary())], schema=schema)
+                yield pa.record_batch([ids.slice(i, len(sets)), n, pa.array(fp, pa.int64()), pa.array(regs, pa.binary()), pa.array(odd, pa.list_(pa.int64()))], schema=schema)
 
     return run
 
@@ -188,16 +191,34 @@ def _likely_pairs(percent: int) -> Callable:
     return run
 
 
-def _compared(left: np.ndarray, right: np.ndarray, fp: np.ndarray, n: np.ndarray, lab: np.ndarray, regs: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Likely pairs of different components between two lists of rows; a list with itself gives each pair once."""
-    xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for i in left:
-        at = right[right > i] if right is left else right
-        at = at[lab[at] != lab[i]]
-        at = at[likely(np.broadcast_to(regs[i], (len(at), BUCKETS)), regs[at], np.broadcast_to(n[i], len(at)), n[at], percent)]
-        xs.append(np.minimum(fp[i], fp[at]))
-        ys.append(np.maximum(fp[i], fp[at]))
-    return np.concatenate(xs), np.concatenate(ys)
+class Members:
+    """Rows (fp, n, lab, bands, regs, sketch) of groups, compared one with many."""
+
+    def __init__(self, t: pa.Table, percent: int) -> None:
+        self.percent = percent
+        self.fp, self.n, self.lab, self.bands = (t.column(c).to_numpy() for c in ("fp", "n", "lab", "bands"))
+        self.regs = _matrix(t.column("regs"))
+        self.by_band = self.regs[:, : BANDS * ROWS].reshape(-1, ROWS, BANDS)
+        self.sketches = Sketches([np.array(x, np.int64) for x in t.column("sketch").to_pylist()])
+
+    def pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Likely pairs of different components between two lists of rows; a list with itself gives each pair once."""
+        xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i in left:
+            at = right[right > i] if right is left else right
+            at = at[self.lab[at] != self.lab[i]]
+            at = at[likely(np.broadcast_to(self.regs[i], (len(at), BUCKETS)), self.regs[at], np.broadcast_to(self.n[i], len(at)), self.n[at], self.percent)]
+            if not len(at):
+                continue
+            # Of all groups of as many bands, the pair is made in the one of its first common bands.
+            same = (self.by_band[i] == self.by_band[at]).all(axis=1)
+            own = (self.bands[i] >> np.arange(BANDS)) & 1 == 1
+            at = at[(same & (np.cumsum(same, axis=1) <= own.sum())).sum(axis=1, where=own) == own.sum()]
+            both = self.n[at] + self.n[i]
+            at = at[self.sketches.apart(int(i), at) <= both - 2 * overlap(both, 0, self.percent)]
+            xs.append(np.minimum(self.fp[i], self.fp[at]))
+            ys.append(np.maximum(self.fp[i], self.fp[at]))
+        return np.concatenate(xs), np.concatenate(ys)
 
 
 _PAIR = pa.schema([("x", pa.int64()), ("y", pa.int64())])
@@ -222,12 +243,10 @@ def _within(percent: int) -> Callable:
             yield of(rest, np.array([0, len(rest)]))
 
     def of(t: pa.Table, begin: np.ndarray) -> pa.RecordBatch:
-        fp, n, lab = (t.column(c).to_numpy() for c in ("fp", "n", "lab"))
-        regs = _matrix(t.column("regs"))
-        found = []
+        members, found = Members(t, percent), []
         for a, b in zip(begin[:-1], begin[1:], strict=True):
             rows = np.arange(a, b)
-            found.append(_compared(rows, rows, fp, n, lab, regs, percent))
+            found.append(members.pairs(rows, rows))
         return pa.record_batch([pa.array(np.concatenate([f[i] for f in found])) for i in range(2)], schema=_PAIR)
 
     return run
@@ -237,9 +256,9 @@ def _across(percent: int) -> Callable:
     """Likely pairs between two blocks of a group; a block with itself has each row once, as side 0."""
 
     def run(g: pa.Table) -> pa.Table:
-        fp, n, lab, side = (g.column(c).to_numpy() for c in ("fp", "n", "lab", "side"))
+        side = g.column("side").to_numpy()
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        x, y = _compared(left, right if len(right) else left, fp, n, lab, _matrix(g.column("regs")), percent)
+        x, y = Members(g, percent).pairs(left, right if len(right) else left)
         return pa.Table.from_arrays([pa.array(x), pa.array(y)], schema=_PAIR)
 
     return run
@@ -267,9 +286,12 @@ class Near:
         pairs = pairs.distinct()
         for before in self.tried:
             pairs = pairs.join(before, ["x", "y"], "left_anti")
-        end = lambda s: self.reps.where("rep is not null").select(F.col("fp").alias(s), F.col("n").alias("n" + s), F.col("rep").alias("d" + s), F.col("regs").alias("r" + s))
+        end = lambda s: self.reps.where("rep is not null").select(F.col("fp").alias(s), F.col("n").alias("n" + s), F.col("rep").alias("d" + s), F.col("regs").alias("r" + s), F.col("sketch").alias("k" + s))
         arrow_rows(self.docs.sparkSession, TEXT_ROWS)
-        pairs = cut(pairs.join(end("x"), "x").join(end("y"), "y").mapInArrow(_likely_pairs(self.percent), "x long, y long, dx long, dy long"))
+        pairs = pairs.join(end("x"), "x").join(end("y"), "y")
+        need = F.ceil(self.percent * (F.col("nx") + F.col("ny")) / (100 + self.percent) - 1e-9)
+        pairs = pairs.where(apart("kx", "ky") <= F.col("nx") + F.col("ny") - 2 * need).drop("kx", "ky")
+        pairs = cut(pairs.mapInArrow(_likely_pairs(self.percent), "x long, y long, dx long, dy long"))
         self.tried.append(pairs.select("x", "y"))
         self.links.append(cut(self._verified(pairs)))
         self.comp = cut(components(reduce(DataFrame.union, self.links)))
@@ -308,8 +330,8 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT) -> Data
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     arrow_rows(spark, TEXT_ROWS)
-    rows = written(docs.mapInArrow(_signatures(k), "doc_id long, n long, fp long, regs binary"))
-    reps = rows.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("regs", ignorenulls=True).alias("regs"))
+    rows = written(docs.mapInArrow(_signatures(k), "doc_id long, n long, fp long, regs binary, sketch array<long>"))
+    reps = rows.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("regs", ignorenulls=True).alias("regs"), F.first("sketch", ignorenulls=True).alias("sketch"))
     reps = written(reps)
     near = Near(docs, reps, k, percent)
     groups = reps.select("fp", "regs", F.lit(0).cast("long").alias("bands")).mapInArrow(_groups, "key long, fp long, bands long")
@@ -322,7 +344,7 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT) -> Data
         stars = known.join(lead, "key").where("fp <> lead.fp and lab <> lead.lab").select("fp", F.col("lead.fp").alias("lead"))
         near.add(stars.select(*_pairs("fp", "lead")))
         met = _mixed(near, met)
-        few = met.where(F.col("m") <= LARGE).join(reps.select("fp", "n", "regs"), "fp").select("key", "fp", "n", "lab", "regs")
+        few = met.where(F.col("m") <= LARGE).join(reps.select("fp", "n", "regs", "sketch"), "fp").select("key", "fp", "n", "lab", "bands", "regs", "sketch")
         arrow_rows(spark, TEXT_ROWS)
         near.add(few.repartition("key").sortWithinPartitions("key").mapInArrow(_within(percent), "x long, y long"))
         met = met.where(F.col("m") > LARGE)
@@ -347,11 +369,11 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT) -> Data
 
 def _block_pairs(members: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Likely pairs of different components in groups of any size, by pairs of blocks."""
-    members = members.join(reps.select("fp", "n", "regs"), "fp")
+    members = members.join(reps.select("fp", "n", "regs", "sketch"), "fp")
     members = members.withColumn("nb", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("blk", F.pmod(F.xxhash64("fp"), F.col("nb")).cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     members = members.withColumns({"i": F.least("blk", "other"), "j": F.greatest("blk", "other"), "side": (F.col("blk") > F.col("other")).cast("int")})
-    return members.select("key", "i", "j", "fp", "n", "regs", "lab", "side").groupBy("key", "i", "j").applyInArrow(_across(percent), "x long, y long")
+    return members.select("key", "i", "j", "fp", "n", "regs", "sketch", "bands", "lab", "side").groupBy("key", "i", "j").applyInArrow(_across(percent), "x long, y long")
 
 
 def op11_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
