@@ -37,7 +37,7 @@ BANDS, ROWS = 16, 5
 # Sets of LONG shingles have a binned signature, those below SHORT a permuted one: similar ones share a kind.
 LONG, SHORT = 160, 200
 # Slots in which the different shingles of a line are counted; what shares a slot counts once.
-SLOT_BITS = 10
+SLOT_BITS = 12
 PERCENT = 80
 ENTRIES_PER_BUCKET = 500_000
 ENTRIES_PER_FLUSH = 2_000_000
@@ -134,11 +134,16 @@ def _binned_minima(x: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
     return out
 
 
-def _few(x: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
-    """Which rows may hold less than SHORT different values; those that do are among them."""
-    slot = np.zeros((rows + 1) << SLOT_BITS, bool)
-    slot[(row << SLOT_BITS) | (x >> np.uint32(32 - SLOT_BITS)).astype(np.int64)] = True
-    return slot.reshape(-1, 1 << SLOT_BITS)[:rows].sum(axis=1) < SHORT
+def _few(sets: list[np.ndarray]) -> np.ndarray:
+    """Which places of lines may hold less than SHORT different values; those that do are among them.
+
+    The first places are enough to count SHORT values; only lines that repeat themselves
+    need more, and count as few.
+    """
+    size = np.array([len(s) for s in sets])
+    slot = np.zeros(len(sets) << SLOT_BITS, bool)
+    slot[(np.repeat(np.arange(len(sets)), size) << SLOT_BITS) | (np.concatenate(sets) >> np.uint32(32 - SLOT_BITS)).astype(np.int64)] = True
+    return slot.reshape(-1, 1 << SLOT_BITS).sum(axis=1) < SHORT
 
 
 def band_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -160,9 +165,10 @@ def band_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     if len(many):
         to = np.full(len(lines), len(many))
         to[many] = np.arange(len(many))
-        row = np.where(inside, to[line], len(many))
-        kinds.append((many, 1_000, _binned_minima(x, row, len(many))))
-        few = many[_few(x, row, len(many)) & (n[many] >= SHORT)]
+        kinds.append((many, 1_000, _binned_minima(x, np.where(inside, to[line], len(many)), len(many))))
+        long = many[n[many] >= SHORT]
+        if len(long):
+            few = long[_few([x[begin[i] : begin[i] + min(n[i], 2 * SHORT)] for i in long])]
     number = np.flatnonzero(n < SHORT)
     if len(number):
         small = x[inside & (n < SHORT)[line]]
