@@ -1,11 +1,17 @@
+import pickle
+import random
+
 import numpy as np
+import pyarrow as pa
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tsubame.functions import segment
+from tsubame.functions import readings, segment
 from tsubame.functions.charclass import Classifier
 from tsubame.operators import entries, unknown
+from tsubame.operators import kernel as kernel_module
 from tsubame.operators import lattice as lat
 from tsubame.operators.analyzer import Analyzer, in_memory
 from tsubame.operators.kernel import Kernel, unknown_templates
@@ -20,6 +26,9 @@ def kernel(entries, matrix=None, unk=(), classifier=DEFAULT, mode="by_class"):
 
 
 JA = kernel(fx.entries(fx.JAPANESE))
+_RNG = random.Random(2)
+# Random texts over entries' characters, samples of all types, marks and units.
+MIXED = ["".join(_RNG.choice([*"犬山大学生静かもとをへ見る行たな。！\n ぬヌ鬱7７.#ñ🌋é", "kHz", "the", "on"]) for _ in range(_RNG.randint(1, 60))) for _ in range(40)]
 
 
 def shown(k, text):
@@ -62,19 +71,53 @@ def cheapest(k, seg):
     return min(out)
 
 
-def test_fixture_results():
-    want = {
-        "犬も山へ行く": "犬 も 山 へ 行く", "大学生と学生を見た": "大学生 と 学生 を 見 た", "犬はCATを見る": "犬 は? CAT? を 見る", "QRSTU": "QRSTU?",
-        "山🌋": "山 🌋?", "静寂夜": "静? 寂夜?", "かきくけこ": "か? きく? けこ?", "テレビ": "テ? レビ?", "    ": "    ?", "": "", "１1": "１? 1?",
-    }
-    for text, tokens in want.items():
-        assert " ".join(shown(JA, text)) == tokens, text
+# One character of each type, from the type's range; kana and kanji of no entry.
+SAMPLE = {"HIRAGANA": "ぬ", "KATAKANA": "ヌ", "KANJI": "鬱", "ALPHA": "q", "NUMERIC": "7", "NUMERICWIDE": "７", "SYMBOL": "#", "SPACE": " ", "DEFAULT": "ñ"}
+
+
+@pytest.mark.parametrize("kind", SAMPLE)
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 8])
+def test_runs_of_each_type(kind, n):
+    """Unlimited classes stay whole; limited ones hold two at most, the odd one first."""
+    ch = SAMPLE[kind]
+    want = [ch * n] if kind not in ("HIRAGANA", "KATAKANA", "KANJI") else [ch] * (n % 2) + [ch * 2] * (n // 2)
+    assert shown(JA, ch * n) == [w + "?" for w in want]
+    # Between other types the run is the same.
+    a, b = ("を", "も") if kind == "KANJI" else ("犬", "山")
+    assert shown(JA, f"{a}{ch * n}{b}") == [a, *(w + "?" for w in want), b]
+
+
+@pytest.mark.parametrize("mark", "。！？!?\n")
+def test_segments_end_behind_their_mark(mark):
+    """What ends a segment is its last token and nothing crosses it, not even an entry that holds it."""
+    assert shown(JA, f"山へ{mark}山") == ["山", "へ", mark + "?", "山"]
+    k = kernel([(f"山{mark}", 0, 0, -9000, "p", "x", "", ""), (f"{mark}山", 0, 0, -9000, "p", "x", "", "")])
+    assert shown(k, f"山{mark}山") == [f"山{mark}", "山?"]
+    assert shown(JA, mark * 3) == [mark + "?"] * 3
+
+
+def test_longer_entries_and_ties():
+    two = [("ab", 0, 0, 10, "x", "", "", ""), ("cd", 0, 0, 10, "x", "", "", "")]
+    assert shown(kernel(two), "abcd") == ["ab", "cd"]
+    # Of equal totals the predecessor that starts first wins, then a known word, then the first entry.
+    assert shown(kernel([*two, ("a", 0, 0, 5, "x", "", "", ""), ("b", 0, 0, 5, "x", "", "", "")]), "abcd") == ["ab", "cd"]
+    same = kernel([("q", 0, 0, 6000, "second", "", "", ""), ("q", 0, 0, 6000, "third", "", "", "")])
+    assert same.tokens("q")[0][3] == "second"
+    # An entry may span a border of types and begin inside a run; before it there are single characters only.
+    assert shown(kernel([("b1", 0, 0, -20000, "x", "", "", "")]), "aab1") == ["a?", "a?", "b1"]
+    assert shown(kernel([("b1", 0, 0, -20000, "x", "", "", "")]), "aab12") == ["a?", "a?", "b1", "2?"]
+    assert shown(kernel([("b1", 0, 0, 20000, "x", "", "", "")]), "aab12") == ["aab?", "12?"]
 
 
 def test_unit_readings_in_context():
-    got = {t: JA.tokens(t)[-1][5] for t in ("100W", "5A", "12V", "W")}
-    assert got == {"100W": "ワット", "5A": "アンペア", "12V": "ボルト", "W": "ダブリュー"}
-    assert JA.tokens("5。W")[-1][5] == "ダブリュー"  # context ends with the segment
+    """Each unit is read as such behind a number only."""
+    for unit, reading in [*readings.UNITS.items(), *readings.UNIT_LETTERS.items(), *((k.lower(), v) for k, v in readings.UNIT_LETTERS.items())]:
+        spelt = "".join(readings.LETTERS[c] for c in unit.upper())
+        for number in ("8", "1,024", "３", "0.5"):
+            # A comma or full stop is a token of its own that counts as a number.
+            assert JA.tokens(number + unit)[-1][5:7] == (reading, reading), unit
+        for text in (unit, "8。" + unit, "8 " + unit, "犬" + unit):
+            assert JA.tokens(text)[-1][5] == spelt, text
 
 
 def test_known_letters_lose_their_reading():
@@ -83,7 +126,7 @@ def test_known_letters_lose_their_reading():
 
 
 def test_offsets_have_no_gap():
-    for text in fx.TEXTS:
+    for text in MIXED:
         at, raw = 0, text.encode()
         for t in JA.tokens(text):
             assert t[1] == at and raw[t[1] : t[2]].decode() == t[0]
@@ -103,29 +146,32 @@ def test_first_template_counts_and_flat_defaults():
     assert kernel([], unk=[("NUMERIC", 0, 0, 3, "n")]).tokens("１")[0][3] == "n"
 
 
-def test_entries_are_found_by_prefix_in_both_ways(monkeypatch):
-    words = ["a", "ab", "abc", "abc", "b", "ba", "日", "日本", "日本語", "本", "🌋", "a日"]
+def test_trie_equals_plain_search():
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abc日本🌋") for _ in range(rng.randint(1, 5))) for _ in range(400)]
     e = entries.Entries.of([(w, i, i, i, "p", w, "", "") for i, w in enumerate(words)])
-    for few in (entries.FEW, 0):
-        monkeypatch.setattr(entries, "FEW", few)
-        for text in ("abcab日本語本🌋a日", "ba", "a", "x日本"):
-            for p in range(len(text)):
-                got = [(n, int(e.ids[r])) for n, lo, hi in e.at(text, p) for r in range(lo, hi)]
-                assert got == sorted((len(w), i) for i, w in enumerate(words) if text.startswith(w, p))
-
-
-def test_pieces_are_cut_where_no_entry_crosses():
-    k = kernel([("b c", 0, 0, 1, "p", "b c", "", ""), ("見る", 0, 0, 1, "p", "見る", "", "")])
-    assert k.pieces("ab cd  e") == ["ab cd", "  ", "e"]
-    assert k.pieces("見るx山るy") == ["見る", "x", "山", "る", "y"]
-    assert "".join(k.pieces("a1!あア漢 é")) == "a1!あア漢 é" and len(k.pieces("a1!あア漢 é")) == 8
-
-
-def test_results_do_not_depend_on_what_is_remembered():
-    once = [kernel(fx.entries(fx.LATIN), np.array([[(r * 5 + c * 3) % 7 * 100 for c in range(6)] for r in range(6)])).tokens(t) for t in fx.TEXTS + ["the one in the other on"]]
+    for n in (0, 1, 7, 300):
+        text = "".join(rng.choice("abcd日本語🌋") for _ in range(n))
+        stop = sorted(rng.sample(range(1, n), n // 9)) + [n] if n > 1 else [n]
+        cp = np.array([ord(c) for c in text], np.uint32)
+        ends = np.array([min(s for s in stop if s > p) for p in range(n)], np.int64)
+        got = [(p, k, int(e.ids[r])) for p, k, lo, hi in zip(*e.trie.matches(cp, ends), strict=True) for r in range(lo, hi)]
+        want = [(p, len(w), i) for p in range(n) for w, i in sorted(((w, i) for i, w in enumerate(words) if text.startswith(w, p) and p + len(w) <= ends[p]), key=lambda x: (len(x[0]), x[1]))]
+        assert got == want
+    assert not len(entries.Entries.of([]).trie.matches(np.array([97], np.uint32), np.array([1]))[0])
+
+
+def test_results_do_not_depend_on_batches(monkeypatch):
+    """Texts alone, together, in chunks of any size and from a slice have the same tokens."""
     k = kernel(fx.entries(fx.LATIN), np.array([[(r * 5 + c * 3) % 7 * 100 for c in range(6)] for r in range(6)]))
-    for _ in range(2):
-        assert [k.tokens(t) for t in fx.TEXTS + ["the one in the other on"]] == once
+    once = [k.tokens(t) for t in MIXED]
+    for chunk in (1 << 18, 40, 1):
+        monkeypatch.setattr(kernel_module, "CHUNK_CHARS", chunk)
+        column = pa.array(["skipped", *MIXED, None, "", "x"])[1:]
+        got = k.token_array(column).to_pylist()
+        assert [None if x is None else [tuple(t.values()) for t in x] for x in got] == [*once, None, [], k.tokens("x")]
+    assert k.token_array(pa.array([], pa.string())).to_pylist() == []
+    assert pickle.loads(pickle.dumps(k)).tokens(MIXED[0]) == once[0]
 
 
 @settings(max_examples=40, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -136,7 +182,18 @@ def test_unknown_surfaces_equal_the_kernel(spark, text):
 
 
 def test_long_run_is_linear():
-    assert len(kernel([]).tokens("a" * 40_000)) == 1
+    assert len(kernel([]).tokens("a" * 400_000)) == 1
+    # With an entry inside, the run has two candidates at each place.
+    k = kernel([("aaaab", 0, 0, -20000, "p", "", "", "")], unk=[("ALPHA", 0, 0, -2, "x")])
+    assert [t[0] for t in k.tokens("a" * 5_000 + "b")] == ["a"] * 4_996 + ["aaaab"]
+
+
+def test_cheap_single_characters_are_preferred_to_runs():
+    """A negative cost makes many tokens better than one, so a run must not be taken whole."""
+    k = kernel([], unk=[("ALPHA", 0, 0, -1, "x"), ("NUMERIC", 1, 1, 3, "n")], matrix=[[0, 0], [0, -5]])
+    assert shown(k, "aaa11") == ["a?", "a?", "a?", "1?", "1?"]
+    for seg in ("aaa11", "a1a1", "11", "aa 11"):
+        assert (k.path(seg)[0], tuple(n[:4] for n in k.path(seg)[1])) == brute(k, seg)
 
 
 LEX = st.lists(st.tuples(st.text("abあ1", min_size=1, max_size=3), st.integers(0, 3), st.integers(0, 3), st.integers(-5, 5)), max_size=8)
@@ -172,6 +229,9 @@ def test_analyzer_surfaces(spark):
     assert [t["surface"] for t in rows[1]] == ["犬", "も", "山", "へ", "行く"] and rows[2] == [] and rows[3] is None
     assert [t.surface for t in a.tokens_of("山を見た")] == ["山", "を", "見", "た"]
     assert a.clone_for_worker() is a and a.prewarm() is a
+    warm, again = a.warm_workers(), a.warm_workers()
+    assert len({r["worker"] for r in warm}) >= 2 and {r["entries"] for r in warm} == {len(fx.JAPANESE)}
+    assert {r["worker"] for r in again} == {r["worker"] for r in warm}
     assert a.wakachi(df).where("id = 1").first()["output"] == "犬 も 山 へ 行く"
     assert a.to_mecab(df).where("id = 2").first()["output"] == "EOS\n"
     one, eight = (a.tokenize(df.repartition(n)).orderBy("id", "tok_idx").collect() for n in (1, 8))

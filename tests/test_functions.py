@@ -1,12 +1,14 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tsubame.functions import charclass as cc
 from tsubame.functions import readings, render, segment
+from tsubame.operators.kernel import Kernel, unknown_templates
 
 
 def kinds(text, classifier=None):
-    return [cc.TYPES[i] for i in (classifier or cc.Classifier.default()).types(text)]
+    return [cc.TYPES[i] for i in (classifier or cc.Classifier.default()).table()[[ord(c) for c in text]]] if text else []
 
 
 def test_default_types():
@@ -29,8 +31,11 @@ def test_equal_starts_last_counts():
     ("at", "end", "group", "length", "want"),
     [(0, 5, True, 0, [5]), (0, 5, True, 1, [2]), (0, 5, True, 2, [2]), (0, 1, True, 2, [1]), (0, 5, True, 3, [3]), (1, 5, False, 2, [2, 3]), (0, 5, False, 0, [1])],
 )
-def test_group_ends(at, end, group, length, want):
-    assert cc.group_ends(at, end, group, length) == want
+def test_ends_of_unknown_words(at, end, group, length, want):
+    """By the class's rule, and always a single character."""
+    c = cc.Classifier({"ALPHA": (True, group, length)}, [])
+    found = Kernel([], np.zeros((1, 1), np.int16), c, unknown_templates(c, [])).candidates("a" * end)
+    assert sorted(b for a, b, *_ in found if a == at) == sorted({*want, at + 1})
 
 
 def test_column_agrees_with_function(spark):

@@ -33,12 +33,9 @@ def test_csv_rules():
             d.lexicon_rows(bad, "t")
 
 
-def test_ranges_and_matrix():
+def test_ranges():
     assert d.parse_range("0x41..0x5A") == (65, 90) and d.parse_range("0x41") == (65, 65)
     assert d.parse_range("41") is None and d.parse_range("0xG") is None
-    assert d.matrix_rows("2 2\n0 1 5\n0 1 6\nbad\n") == (2, 2, {(0, 1): 6})
-    with pytest.raises(d.LexiconError):
-        d.matrix_rows("2 2\n5 5 1\n")
     assert d.char_rows("0x41 ALPHA\n") is None
 
 

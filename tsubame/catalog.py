@@ -15,15 +15,15 @@ from tsubame.operators.kernel import unknown_templates
 from tsubame.operators.unknown import text_surfaces, unknown_tokens
 from tsubame.plans import fixtures as fx
 from tsubame.plans import oracles as sql
+from tsubame.plans import tables as tb
 from tsubame.session import put, scratch, spread, table
 from tsubame.sources import convert, lexicon, text
-from tsubame.sources.definitions import lexicon_rows
 from tsubame.streaming.tokens import line_stream, run_available
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-JA, LA = fx.entries(fx.JAPANESE), fx.entries(fx.LATIN)
+LA = fx.entries(fx.LATIN)
 UNKNOWN = unknown_templates(charclass.Classifier.default(), [])
 DOC, ITEM, TXT = ["doc_id"], ["item_id"], ["id"]
 
@@ -38,8 +38,8 @@ def query(oracle: str | None = None) -> Callable:
     return register
 
 
-def japanese(spark: SparkSession) -> Analyzer:
-    return Analyzer(in_memory(spark, JA))
+def japanese(spark: SparkSession, sf: str, unk_defaults: str = "by_class") -> Analyzer:
+    return Analyzer(tb.kana_lexicon(spark, sf), unk_defaults=unk_defaults)
 
 
 def latin_lexicon(spark: SparkSession):  # noqa: ANN201
@@ -50,10 +50,6 @@ def latin(spark: SparkSession) -> Analyzer:
     return Analyzer(latin_lexicon(spark))
 
 
-def texts(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(fx.TEXTS)), "id int, text string")
-
-
 def segments_of(df: DataFrame, keys: list[str]) -> DataFrame:
     return segment.split_sentences(df, "text", keys)
 
@@ -102,9 +98,9 @@ def unk_wakachi(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.array_join(text_surfaces(F.col("text")), " ").alias("output"))
 
 
-@query(f"""WITH {sql.texts(fx.TEXTS)}, {sql.segments("src", "id")}, {sql.runs("id")} SELECT * FROM toks""")
+@query(f"""WITH {tb.KANA_TEXTS}, {sql.segments("src", "id")}, {sql.runs("id")} SELECT * FROM toks""")
 def unk_japanese(spark: SparkSession, sf: str) -> DataFrame:
-    return unknown_tokens(texts(spark), "text", TXT)
+    return unknown_tokens(tb.kana_texts(spark, sf), "text", TXT)
 
 
 # Candidates and the best path.
@@ -134,14 +130,14 @@ def conn_cost_lookup(spark: SparkSession, sf: str) -> DataFrame:
 TOKEN_COLUMNS = 'tok_idx, surface, "start", "end", pos, base_form, reading, pronunciation, word_cost, is_known'
 SEG_TOKENS = f"""read AS (SELECT *, regexp_matches(surface, '^[A-Za-z]+$') AS alpha, lag(surface) OVER w AS ps, lag(pos) OVER w AS pp FROM toks WINDOW w AS (PARTITION BY {{key}}, seg_idx ORDER BY tok_idx)),
 spoken AS (SELECT * EXCLUDE (reading, pronunciation), CASE WHEN alpha THEN spelt ELSE reading END AS reading, CASE WHEN alpha THEN spelt ELSE pronunciation END AS pronunciation
-  FROM (SELECT *, CASE WHEN alpha THEN coalesce(CASE WHEN starts_with(pp, '{readings.NUMBER_POS}') OR regexp_matches(ps, '{readings.NUMBER}') THEN
-    CASE WHEN length(surface) = 1 THEN ({sql.literal_map(readings.UNIT_LETTERS)})[upper(surface)] ELSE ({sql.literal_map(readings.UNITS)})[surface] END END,
-    array_to_string(list_transform(string_split(upper(surface), ''), lambda c: ({sql.literal_map(readings.LETTERS)})[c]), '')) END AS spelt FROM read)),
+  FROM (SELECT *, CASE WHEN alpha THEN coalesce(CASE WHEN starts_with(pp, '{sql.NUMBER_POS}') OR regexp_matches(ps, '{sql.NUMBER}') THEN
+    CASE WHEN length(surface) = 1 THEN ({sql.UNIT_LETTERS})[upper(surface)] ELSE ({sql.UNITS})[surface] END END,
+    array_to_string(list_transform(string_split(upper(surface), ''), lambda c: ({sql.LETTERS})[c]), '')) END AS spelt FROM read)),
 placed AS (SELECT {{key}}, seg_idx, CAST(coalesce(sum(strlen(seg)) OVER (PARTITION BY {{key}} ORDER BY seg_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS base FROM segs),
 tokens AS (SELECT {{key}}, CAST(row_number() OVER (PARTITION BY {{key}} ORDER BY seg_idx, tok_idx) - 1 AS INTEGER) AS tok_idx, surface, start + base AS "start", "end" + base AS "end", pos, base_form, reading, pronunciation, word_cost, is_known
   FROM spoken JOIN placed USING ({{key}}, seg_idx))"""
 LATIN_TOKENS = f"{BEST}, {sql.path_tokens('item_id')}, {SEG_TOKENS.replace('{key}', 'item_id')}"
-JA_TOKENS = f"""WITH {sql.texts(fx.TEXTS)}, {sql.segments("src", "id")}, {sql.lattice("id", JA)}, {sql.best_path("id", {})}, {sql.path_tokens("id")}, {SEG_TOKENS.replace('{key}', 'id')}"""
+JA_TOKENS = f"""WITH {tb.KANA_TEXTS}, {sql.segments("src", "id")}, {sql.lattice("id", tb.KANA_LEXICON)}, {sql.best_path("id", fx.LATIN_MATRIX)}, {sql.path_tokens("id")}, {SEG_TOKENS.replace('{key}', 'id')}"""
 
 
 @query(f"{LATIN_TOKENS} SELECT item_id, {TOKEN_COLUMNS} FROM tokens")
@@ -160,7 +156,7 @@ def viterbi_cost(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"{JA_TOKENS} SELECT id, {TOKEN_COLUMNS} FROM tokens")
 def viterbi_japanese(spark: SparkSession, sf: str) -> DataFrame:
-    return japanese(spark).tokenize(texts(spark))
+    return japanese(spark, sf).tokenize(tb.kana_texts(spark, sf))
 
 
 @query()
@@ -171,13 +167,34 @@ def tokenize_documents(spark: SparkSession, sf: str) -> DataFrame:
     return t.select("doc_id", F.size("tokens").alias("n_tokens"), known.alias("n_known"), cost.alias("word_costs"))
 
 
+# Entries that begin at each place of a text, by length: an entry is found through its first characters.
+@query(f"""WITH {tb.WORD_LEXICON}, sizes AS (SELECT DISTINCT length(surface) AS k FROM lex),
+at AS (SELECT doc_id, text, unnest(range(1, length(text) + 1)) AS p FROM documents),
+hit AS (SELECT a.doc_id, lex.entry_id, k FROM at a, sizes JOIN lex ON lex.surface = substr(a.text, a.p, sizes.k))
+SELECT d.doc_id, count(entry_id) AS n, CAST(coalesce(sum(k), 0) AS BIGINT) AS characters, CAST(coalesce(sum(entry_id), 0) AS BIGINT) AS entry_ids FROM documents d LEFT JOIN hit USING (doc_id) GROUP BY d.doc_id""")
+def prefix_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """All entries of a lexicon of real size at all places of the documents."""
+    found = Analyzer(tb.word_lexicon(spark, sf)).prefixes(spread(table(spark, sf, "documents").select("doc_id", "text")), into="found")
+    total = lambda f: F.aggregate("found", F.lit(0).cast("long"), lambda a, x: a + x[f])
+    return found.select("doc_id", F.size("found").cast("long").alias("n"), total("length").alias("characters"), total("entry_id").alias("entry_ids"))
+
+
+@query()
+def tokenize_large_lexicon(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents with all their words as entries and costs for every pair of 1,316 ids."""
+    t = Analyzer(tb.word_lexicon(spark, sf)).tokenize_batch(spread(table(spark, sf, "documents").select("doc_id", "text"))).drop("text")
+    known = F.size(F.filter("tokens", lambda x: x["is_known"]))
+    cost = F.aggregate("tokens", F.lit(0).cast("long"), lambda a, x: a + x["word_cost"])
+    return t.select("doc_id", F.size("tokens").alias("n_tokens"), known.alias("n_known"), cost.alias("word_costs"))
+
+
 # Readings.
 @query(f"{JA_TOKENS} SELECT id, tok_idx, surface, CASE WHEN reading <> '' THEN reading END AS reading FROM tokens WHERE regexp_matches(surface, '^[A-Za-z]+$')")
 def contextual_readings(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.sql.window import Window
 
-    segs = segments_of(texts(spark), TXT)
-    t = japanese(spark).tokenize(segs, "seg", ["id", "seg_idx"])
+    segs = segments_of(tb.kana_texts(spark, sf), TXT)
+    t = japanese(spark, sf).tokenize(segs, "seg", ["id", "seg_idx"])
     w = Window.partitionBy("id", "seg_idx").orderBy("tok_idx")
     spoken = readings.contextual(F.col("surface"), F.lag("surface").over(w), F.lag("pos").over(w))
     t = t.withColumn("spoken", spoken)
@@ -185,21 +202,22 @@ def contextual_readings(spark: SparkSession, sf: str) -> DataFrame:
     return t.withColumn("tok_idx", (F.row_number().over(all_) - 1).cast("int")).where("spoken is not null").select("id", "tok_idx", "surface", F.col("spoken").alias("reading"))
 
 
-@query(f"SELECT n_name AS name, array_to_string(list_transform(list_filter(string_split(upper(n_name), ''), lambda c: ({sql.literal_map(readings.LETTERS)})[c] IS NOT NULL), lambda c: ({sql.literal_map(readings.LETTERS)})[c]), '') AS reading FROM nation")
+@query(f"SELECT n_name AS name, array_to_string(list_transform(list_filter(string_split(upper(n_name), ''), lambda c: ({sql.LETTERS})[c] IS NOT NULL), lambda c: ({sql.LETTERS})[c]), '') AS reading FROM nation")
 def spell_out(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "nation").select(F.col("n_name").alias("name"), readings.spell_out(F.col("n_name")).alias("reading"))
 
 
-_UNIT_NAMES = [*readings.UNITS, *readings.UNIT_LETTERS, *(x.lower() for x in readings.UNIT_LETTERS), "KM", "Q", ""]
-
-
-@query(f"SELECT u AS surface, CASE WHEN length(u) = 1 THEN ({sql.literal_map(readings.UNIT_LETTERS)})[upper(u)] ELSE ({sql.literal_map(readings.UNITS)})[u] END AS reading FROM {fx.values([(u,) for u in _UNIT_NAMES])} AS v(u)")
+@query(f"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM documents UNION SELECT (['{"', '".join(sql.UNIT_NAMES)}'])[p_partkey % {len(sql.UNIT_NAMES)} + 1] FROM part)
+SELECT w AS surface, CASE WHEN length(w) = 1 THEN ({sql.UNIT_LETTERS})[upper(w)] ELSE ({sql.UNITS})[w] END AS reading FROM w""")
 def unit_readings(spark: SparkSession, sf: str) -> DataFrame:
-    units = spark.createDataFrame([(u,) for u in _UNIT_NAMES], "surface string")
-    return units.select("surface", readings.unit_reading(F.col("surface")).alias("reading"))
+    """Words of the documents and unit names by part number, as readings behind a number."""
+    words = table(spark, sf, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("surface"))
+    names = list(readings.UNITS)
+    named = table(spark, sf, "part").select(F.element_at(F.array(*map(F.lit, names)), (F.col("p_partkey") % len(names) + 1).cast("int")).alias("surface"))
+    return words.union(named).distinct().select("surface", readings.unit_reading(F.col("surface")).alias("reading"))
 
 
-@query(f"{UNK_TOKENS} SELECT surface, count(*) AS n FROM toks WHERE regexp_matches(surface, '{readings.NUMBER}') GROUP BY 1")
+@query(f"{UNK_TOKENS} SELECT surface, count(*) AS n FROM toks WHERE regexp_matches(surface, '{sql.NUMBER}') GROUP BY 1")
 def number_like(spark: SparkSession, sf: str) -> DataFrame:
     t = unknown_tokens(table(spark, sf, "documents"), "text", DOC)
     return t.where(readings.is_number_like(F.col("surface"), F.lit(""))).groupBy("surface").agg(F.count("*").alias("n"))
@@ -216,12 +234,12 @@ def fmt_mecab(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"{JA_TOKENS} SELECT id, string_agg(surface, ' ' ORDER BY tok_idx) AS output FROM tokens GROUP BY id")
 def fmt_wakachi(spark: SparkSession, sf: str) -> DataFrame:
-    return japanese(spark).wakachi(texts(spark)).select("id", "output")
+    return japanese(spark, sf).wakachi(tb.kana_texts(spark, sf)).select("id", "output")
 
 
 @query(f"{JA_TOKENS} SELECT id, tok_idx, surface, \"start\", \"end\", pos, base_form, reading, is_known FROM tokens")
 def fmt_json(spark: SparkSession, sf: str) -> DataFrame:
-    out = japanese(spark).rendered(texts(spark), fmt="json")
+    out = japanese(spark, sf).rendered(tb.kana_texts(spark, sf), fmt="json")
     fields = "base_form string, end bigint, is_known boolean, pos string, reading string, start bigint, surface string"
     parsed = out.select("id", F.posexplode(F.from_json("output", f"array<struct<{fields.replace(' ', ':').replace(',:', ',')}>>")).alias("tok_idx", "t"))
     return parsed.select("id", "tok_idx", "t.*")
@@ -241,194 +259,157 @@ def lines_trimmed(spark: SparkSession, sf: str) -> DataFrame:
     return text.lines(lines).groupBy("text").agg(F.count("*").alias("n"))
 
 
-_CSV = '猫,3,3,3500,名詞,一般,*,*,*,*,猫,ネコ,ネコ\n"a,b",1,2,-5,x,y\n犬,3,3,10,名詞,一般,*,*,*,*,,イヌ,イヌ\nq,0,0,0,p\n'
-_ROWS = [
-    (0, "猫", 3, 3, 3500, "名詞,一般,*,*", "猫", "ネコ", "ネコ"),
-    (1, "a,b", 1, 2, -5, "x,y", "a,b", "", ""),
-    (2, "犬", 3, 3, 10, "名詞,一般,*,*", "", "イヌ", "イヌ"),
-    (3, "q", 0, 0, 0, "p", "q", "", ""),
-]
-_LEX = "entry_id, surface, left_id, right_id, CAST(cost AS SMALLINT) AS cost, pos, base_form, reading, pronunciation"
-_LEX_NAMES = "entry_id, surface, left_id, right_id, cost, pos, base_form, reading, pronunciation"
+_LEX = "surface, left_id, right_id, cost, pos, base_form, reading, pronunciation"
+_PARTS = f"SELECT CAST(row_number() OVER (ORDER BY {{order}}) - 1 AS INTEGER) AS entry_id, {_LEX} FROM {{rows}}"
 
 
-@query(f"SELECT {_LEX} FROM {fx.values(_ROWS)} AS v({_LEX_NAMES})")
+@query(_PARTS.format(order="p_partkey", rows=tb.CSV_ENTRIES))
 def lexicon_csv_fields(spark: SparkSession, sf: str) -> DataFrame:
-    return in_memory(spark, lexicon_rows(_CSV)).entries
-
+    return lexicon.LexiconBuilder(spark).add_csv_dir(tb.lexicon_folder(spark, sf)).build().entries
 
-_MERGED = [(i, *r) for i, r in enumerate([*JA, *[x[1:] for x in _ROWS]])]
 
-
-@query(f"SELECT {_LEX} FROM {fx.values(_MERGED)} AS v({_LEX_NAMES})")
+@query(_PARTS.format(order="p_partkey % 3 > 0, p_partkey", rows=tb.CSV_ENTRIES))
 def lexicon_merge(spark: SparkSession, sf: str) -> DataFrame:
-    return in_memory(spark, JA).merged(in_memory(spark, lexicon_rows(_CSV))).entries
-
+    built = [lexicon.LexiconBuilder(spark).add_csv_dir(tb.lexicon_folder(spark, sf, f"p_partkey % 3 {x} 0")).build() for x in ("=", ">")]
+    return built[0].merged(built[1]).entries
 
-_BROKEN = [("雨", 1, 1, 0, "名詞", "雨", "アメ", "ame"), ("雪", 1, 1, 0, "名詞", "雪", "ゆき", "yuki"), ("風", 1, 1, 0, "名詞", "風", "カゼ", "カゼ"), ("火", 1, 1, 0, "名詞", "火", "ヒ", "")]
 
-
-@query("SELECT * FROM (VALUES ('雨', 'アメ', 'アメ'), ('雪', 'ゆき', 'yuki'), ('風', 'カゼ', 'カゼ'), ('火', 'ヒ', '')) AS v(surface, reading, pronunciation)")
+@query(f"""SELECT surface, reading, CASE WHEN pronunciation <> '' AND NOT regexp_full_match(pronunciation, '[゠-ヿ]+') AND regexp_full_match(reading, '[゠-ヿ]+') THEN reading ELSE pronunciation END AS pronunciation FROM {tb.CSV_ENTRIES}""")
 def lexicon_repair(spark: SparkSession, sf: str) -> DataFrame:
-    return in_memory(spark, _BROKEN).repaired()[0].entries.select("surface", "reading", "pronunciation")
+    built = lexicon.LexiconBuilder(spark).add_csv_dir(tb.lexicon_folder(spark, sf)).build()
+    return built.repaired()[0].entries.select("surface", "reading", "pronunciation")
 
 
 # Lexicon sources from files.
-_EUC = "鳥,1,1,5,名詞\n水,2,1,-7,名詞,一般,,,x,y,みず,ミズ,ミズ\n"
-_FOLDER = {
-    "b.csv": _CSV.encode(),
-    "a.csv": _EUC.encode("euc_jp"),
-    "skip.csv": b"no,1,1,1,p\n",
-    "below/c.csv": b"no,1,1,1,p\n",
-    "matrix.def": b"2 3\n# comment\n\n0 1 -7\n0 1 -8\nshort 1\n2 0 5\n",
-    "char.def": b"DEFAULT 0 1 0\nHIRAGANA 1 0 7\nODD 1 1\n0x3041..0x3096 HIRAGANA KANJI\n0xZZ BAD\n0x41..0x5A ALPHA\n0x49..0x4B KANJINUMERIC\nALPHA 1 1 0\n",
-    "unk.def": "DEFAULT,0,0,50,記号\nDEFAULT,0,0,50,記号\nHIRAGANA,1,2,-3,名詞,一般,x,y\nNOSUCH,0,0,1,x\nshort,1\n".encode(),
-}
-_FOLDER_ROWS = [("鳥", 1, 1, 5, "名詞", "鳥", "", ""), ("水", 2, 1, -7, "名詞,一般,,", "みず", "ミズ", "ミズ"), *[x[1:] for x in _ROWS]]
-
-
-def _folder(spark: SparkSession) -> str:
-    base = scratch(spark)
-    for name, content in _FOLDER.items():
-        put(spark, f"{base}/{name}", content)
+_RANGES = b"DEFAULT 0 1 0\nHIRAGANA 1 0 7\nODD 1 1\n0x3041..0x3096 HIRAGANA KANJI\n0xZZ BAD\n0x41..0x5A ALPHA\n0x49..0x4B KANJINUMERIC\nALPHA 1 1 0\n"
+_BOTH = f"(SELECT 0 AS a, r_regionkey AS b, {_LEX} FROM {tb.REGION_ENTRIES} UNION ALL SELECT 1, p_partkey, {_LEX} FROM {tb.CSV_ENTRIES})"
+
+
+def _folder(spark: SparkSession, sf: str) -> str:
+    base = tb.lexicon_folder(spark, sf)
+    tb.region_file(spark, sf, f"{base}/a.csv")
+    put(spark, f"{base}/skip.csv", b"no,1,1,1,p\n")
+    put(spark, f"{base}/below/c.csv", b"no,1,1,1,p\n")
+    put(spark, f"{base}/char.def", tb.char_def(spark, sf))
+    put(spark, f"{base}/unk.def", tb.unk_def(spark, sf))
+    put(spark, f"{base}/matrix.def", b"6 6\n0 1 -7\n")
     return base
 
 
-def _numbered(rows: list[tuple]) -> str:
-    return f"SELECT {_LEX} FROM {fx.values([(i, *r) for i, r in enumerate(rows)])} AS v({_LEX_NAMES})"
-
-
-@query(_numbered(_FOLDER_ROWS))
+@query(_PARTS.format(order="a, b", rows=_BOTH))
 def lexicon_folder(spark: SparkSession, sf: str) -> DataFrame:
-    return lexicon.build(spark, _folder(spark), exclude=["skip.csv"]).entries
+    return lexicon.build(spark, _folder(spark, sf), exclude=["skip.csv"]).entries
 
 
-@query("SELECT CAST(r AS INTEGER) AS right_id, CAST(l AS INTEGER) AS left_id, CAST(c AS SMALLINT) AS cost FROM (VALUES (0, 1, -8), (2, 0, 5)) AS v(r, l, c)")
+@query("""SELECT CAST(o_custkey % 40 AS INTEGER) AS right_id, CAST(o_orderkey % 50 AS INTEGER) AS left_id, CAST(arg_max(CAST(floor(o_totalprice) AS BIGINT) % 60000 - 30000, o_orderkey) AS SMALLINT) AS cost
+FROM orders WHERE o_orderkey % 9 <> 0 GROUP BY 1, 2""")
 def matrix_file(spark: SparkSession, sf: str) -> DataFrame:
-    return lexicon.build(spark, _folder(spark), exclude=["skip.csv"]).matrix
+    return lexicon.LexiconBuilder(spark).load_matrix(tb.matrix_folder(spark, sf)).build().matrix
 
 
-@query("""SELECT kind, name, CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, CAST(n AS INTEGER) AS n FROM (VALUES ('class', 'DEFAULT', 0, 1, 0), ('class', 'HIRAGANA', 1, 0, 7),
-('range', 'HIRAGANA', 12353, 12438, 0), ('range', 'ALPHA', 65, 90, 1), ('range', 'KANJINUMERIC', 73, 75, 2)) AS v(kind, name, a, b, n)""")
+@query(f"""WITH names AS (SELECT ['HIRAGANA', 'KATAKANA', 'KANJI', 'ALPHA', 'SYMBOL'] AS c)
+SELECT 'class' AS kind, c[r_regionkey + 1] AS name, CAST(r_regionkey % 2 AS INTEGER) AS a, CAST(r_regionkey < 3 AS INTEGER) AS b, CAST(r_regionkey AS INTEGER) AS n FROM region, names
+UNION ALL SELECT 'range', c[n_regionkey + 1], CAST(96 + 3 * n_nationkey AS INTEGER), CAST(98 + 3 * n_nationkey AS INTEGER), CAST(n_nationkey AS INTEGER) FROM nation, names""")
 def char_file(spark: SparkSession, sf: str) -> DataFrame:
-    lex = lexicon.build(spark, _folder(spark), exclude=["skip.csv"])
+    lex = lexicon.build(spark, _folder(spark, sf), exclude=["skip.csv"])
     classes = lex.char_class.select(F.lit("class").alias("kind"), "name", F.col("invoke").cast("int").alias("a"), F.col("group").cast("int").alias("b"), F.col("length").alias("n"))
     return classes.unionByName(lex.char_range.select(F.lit("range").alias("kind"), F.col("class").alias("name"), F.col("start").alias("a"), F.col("end").alias("b"), F.col("ord").alias("n")))
 
 
-@query("""SELECT class, CAST(o AS INTEGER) AS ord, CAST(l AS INTEGER) AS left_id, CAST(r AS INTEGER) AS right_id, CAST(c AS SMALLINT) AS cost, pos
-FROM (VALUES ('DEFAULT', 0, 0, 0, 50, '記号'), ('HIRAGANA', 1, 1, 2, -3, '名詞,一般,x,y')) AS v(class, o, l, r, c, pos)""")
+@query("""SELECT class, CAST(row_number() OVER (ORDER BY s_suppkey) - 1 AS INTEGER) AS ord, left_id, right_id, cost, pos FROM (
+  SELECT min(s_suppkey) AS s_suppkey, (['HIRAGANA', 'KATAKANA', 'KANJI', 'ALPHA', 'SYMBOL', 'NOSUCH'])[s_suppkey % 6 + 1] AS class, s_nationkey AS left_id, CAST(s_suppkey % 7 AS INTEGER) AS right_id, CAST(trunc(s_acctbal) AS SMALLINT) AS cost, '名詞,' || s_name[:9] AS pos
+  FROM supplier WHERE s_suppkey % 6 < 5 GROUP BY ALL)""")
 def unk_file(spark: SparkSession, sf: str) -> DataFrame:
-    return lexicon.build(spark, _folder(spark), exclude=["skip.csv"]).unk
+    return lexicon.build(spark, _folder(spark, sf), exclude=["skip.csv"]).unk
 
 
 @query("""SELECT lang, CASE WHEN c BETWEEN 65 AND 72 THEN 'ALPHA' WHEN c BETWEEN 73 AND 75 THEN 'KANJI' WHEN c BETWEEN 12353 AND 12438 THEN 'HIRAGANA' ELSE 'DEFAULT' END AS type, count(*) AS n
 FROM (SELECT lang, unicode(ch) AS c FROM (SELECT lang, unnest(string_split(text, '')) AS ch FROM documents) WHERE ch <> '') GROUP BY 1, 2""")
 def char_ranges_hist(spark: SparkSession, sf: str) -> DataFrame:
     """Types by ranges of a file: behind a nested range the outer one does not resume."""
-    classifier = lexicon.build(spark, _folder(spark), exclude=["skip.csv"]).classifier()
+    path = f"{scratch(spark)}/char.def"
+    put(spark, path, _RANGES)
+    classifier = lexicon.LexiconBuilder(spark).load_char_def(path).build().classifier()
     chars = table(spark, sf, "documents").select("lang", F.explode(F.split("text", "")).alias("ch")).where("ch <> ''")
     chars = chars.groupBy("lang", "ch").agg(F.count("*").alias("n"))
     return chars.groupBy("lang", classifier.column(F.col("ch")).alias("type")).agg(F.sum("n").alias("n"))
 
 
-@query(_numbered([*_FOLDER_ROWS, *JA[:3], ("no", 1, 1, 1, "p", "no", "", "")]))
+_NO = "'no' AS surface, 1 AS left_id, 1 AS right_id, CAST(1 AS SMALLINT) AS cost, 'p' AS pos, 'no' AS base_form, '' AS reading, '' AS pronunciation"
+
+
+@query(_PARTS.format(order="a, b", rows=f"({_BOTH[1:-1]} UNION ALL SELECT 2, r_regionkey, {_LEX} FROM {tb.REGION_ENTRIES} UNION ALL SELECT 3, 0, {_NO})"))
 def lexicon_bundle(spark: SparkSession, sf: str) -> DataFrame:
-    """A written bundle, opened by a builder that adds rows and a file, written and opened again."""
-    base, to = _folder(spark), scratch(spark)
+    """A written bundle, opened by a builder that adds files, written and opened again."""
+    base, to = _folder(spark, sf), scratch(spark)
     lexicon.build(spark, base, exclude=["skip.csv"]).write(to)
-    lexicon.LexiconBuilder(spark).load_lexicon(to).add_entries(JA[:3]).add_csv(f"{base}/skip.csv").build().write(f"{to}-more")
+    lexicon.LexiconBuilder(spark).load_lexicon(to).add_csv(f"{base}/a.csv").add_csv(f"{base}/skip.csv").build().write(f"{to}-more")
     return lexicon.Lexicon.read(spark, f"{to}-more").entries
 
 
-@query(_numbered([*_FOLDER_ROWS, ("no", 1, 1, 1, "p", "no", "", ""), *_FOLDER_ROWS[:2]]))
+@query(_PARTS.format(order="a, b", rows=f"({_BOTH[1:-1]} UNION ALL SELECT 2, 0, {_NO} UNION ALL SELECT 3, r_regionkey, {_LEX} FROM {tb.REGION_ENTRIES})"))
 def lexicon_recipe(spark: SparkSession, sf: str) -> DataFrame:
-    base, to = _folder(spark), scratch(spark)
+    base, to = _folder(spark, sf), scratch(spark)
     path = lexicon.recipe(spark, base, [f"{base}/below", f"{base}/a.csv"], to, exclude=["skip.csv"])
     return lexicon.Lexicon.read(spark, path).entries
 
 
-@query(f"""WITH {sql.texts(fx.TEXTS)}, {sql.segments("src", "id")}, {sql.lattice("id", JA, flat=True)}, {sql.best_path("id", {})}, {sql.path_tokens("id")} SELECT id, seg_idx, tok_idx, surface, pos, word_cost FROM toks""")
+@query(f"""WITH {tb.KANA_TEXTS}, {sql.segments("src", "id")}, {sql.lattice("id", tb.KANA_LEXICON, flat=True)}, {sql.best_path("id", fx.LATIN_MATRIX)}, {sql.path_tokens("id")} SELECT id, seg_idx, tok_idx, surface, pos, word_cost FROM toks""")
 def unk_flat(spark: SparkSession, sf: str) -> DataFrame:
     """Unknown words by the other rule: one cost and part of speech for all types."""
-    a = Analyzer(in_memory(spark, JA), unk_defaults="flat")
-    return a.tokenize(segments_of(texts(spark), TXT), "seg", ["id", "seg_idx"]).select("id", "seg_idx", "tok_idx", "surface", "pos", "word_cost")
+    a = japanese(spark, sf, "flat")
+    return a.tokenize(segments_of(tb.kana_texts(spark, sf), TXT), "seg", ["id", "seg_idx"]).select("id", "seg_idx", "tok_idx", "surface", "pos", "word_cost")
 
 
-_STRINGS = f"SELECT surface AS s FROM l UNION SELECT pos FROM l UNION SELECT base_form FROM l UNION SELECT reading FROM l UNION SELECT pronunciation FROM l UNION SELECT * FROM {fx.values([(c[0],) for c in charclass.DEFAULT_CLASSES])}"
+_STRINGS = f"SELECT surface AS s FROM l UNION SELECT pos FROM l UNION SELECT base_form FROM l UNION SELECT reading FROM l UNION SELECT pronunciation FROM l UNION SELECT * FROM {fx.values([(c,) for c in sql.CLASS_NAMES])}"
 
 
-@query(f"""WITH l AS (SELECT * FROM {fx.values([(i, *r) for i, r in enumerate(JA)])} AS v({_LEX_NAMES}))
+@query(f"""WITH l AS (SELECT * FROM {tb.CSV_ENTRIES})
 SELECT (SELECT count(*) FROM l) AS entries, (SELECT count(*) FROM ({_STRINGS})) AS strings, (SELECT count(*) FROM (SELECT DISTINCT pos, base_form, reading, pronunciation FROM l)) AS features""")
 def lexicon_info(spark: SparkSession, sf: str) -> DataFrame:
-    return in_memory(spark, JA).info().select("entries", "strings", "features")
+    return lexicon.LexiconBuilder(spark).add_csv_dir(tb.lexicon_folder(spark, sf)).build().info().select("entries", "strings", "features")
 
 
 # Conversions.
-_UNIDIC = [["猫", "1", "2", "30", "名詞", "普通名詞", "一般", "*", "", "", "ネコ", "猫", "x", "ネコ"], ["短", "1"], ["犬", "1", "2", "3", "a", "b", "c", "d", "e", "f", "ReadIng", "LeMma", "z", "PrOn", "extra"]]
-
-
-@query("""SELECT * FROM (VALUES ('猫|1|2|30|名詞|普通名詞|一般|*|||猫|ネコ|ネコ'), ('短|1'), ('犬|1|2|3|a|b|c|d|e|f|LeMma|ReadIng|PrOn')) AS v(fields)""")
+@query("""SELECT p_partkey AS idx, concat_ws('|', p_name, p_size, p_partkey % 9, p_partkey % 100) || CASE WHEN p_partkey % 5 = 0 THEN '' ELSE '|' || concat_ws('|', p_type, p_brand, 'a', '*', 'b', '', 'l' || p_partkey, 'r' || p_partkey, 'p' || p_partkey) END AS fields FROM part""")
 def unidic_convert(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame([(r,) for r in _UNIDIC], "f array<string>")
-    return convert.from_unidic(rows).select(F.array_join("f", "|").alias("fields"))
+    return convert.from_unidic(tb.unidic_fields(spark, sf)).select("idx", F.array_join("f", "|").alias("fields"))
 
 
-_SUDACHI = [
-    ["東", "1", "1", "5", "東", "名詞", "普通名詞", "一般", "*", "", "*", "ヒガシ", "東"],
-    ["x", "-1", "1", "5", "x", "名詞", "普通名詞", "一般", "*", "*", "*", "エ", "x"],
-    ["　", "1", "1", "5", "x", "空白", "*", "*", "*", "*", "*", "", "x"],
-    ["走", "7", "8", "-9", "*", "動詞", "非自立可能", "", "*", "*", "*", "*", "走"],
-    ["短", "1", "1"],
-    ["変", "2", "2", "0", "", "外来", "謎", "*", "*", "*", "*", "ヘン", "変"],
-]
-_SUDACHI_OUT = [
-    ("東", "1", "1", "5", "名詞", "普通名詞", "一般", "*", "*", "*", "東", "ヒガシ", "ヒガシ"),
-    ("走", "7", "8", "-9", "動詞", "非自立可能", "*", "*", "*", "*", "走", "", ""),
-    ("変", "2", "2", "0", "外来", "謎", "*", "*", "*", "*", "変", "ヘン", "ヘン"),
-]
+@query(f"SELECT * FROM {tb.SUDACHI}")
+def sudachi_convert(spark: SparkSession, sf: str) -> DataFrame:
+    return convert.from_sudachi(tb.sudachi_fields(spark, sf))
 
 
-def _sudachi(spark: SparkSession) -> DataFrame:
-    return convert.from_sudachi(spark.createDataFrame([(r,) for r in _SUDACHI], "f array<string>"))
+_KEYS = f"""s AS (SELECT * FROM {tb.SUDACHI}), m(k, pos, id) AS (SELECT * FROM {sql.POS}),
+k AS (SELECT *, list_transform([4, 3, 2, 1], lambda n: array_to_string(list_filter([pos1, pos2, pos3, pos4][1:n], lambda x: x <> '*'), ',')) AS ks FROM s),
+b AS (SELECT k.*, m.pos, m.id, row_number() OVER (PARTITION BY surface ORDER BY list_position(ks, m.k)) AS rn FROM k LEFT JOIN m ON list_contains(ks, m.k))"""
 
 
-@query(f"SELECT * FROM {fx.values(_SUDACHI_OUT)} AS v({', '.join(convert.FIELDS)})")
-def sudachi_convert(spark: SparkSession, sf: str) -> DataFrame:
-    return _sudachi(spark)
+@query(f"""WITH {_KEYS}
+SELECT surface, CAST(id AS VARCHAR) AS left_id, CAST(id AS VARCHAR) AS right_id, cost, string_split(pos, ',')[1] AS pos1, string_split(pos, ',')[2] AS pos2, string_split(pos, ',')[3] AS pos3, string_split(pos, ',')[4] AS pos4,
+conj_type, conj_form, base_form, reading, pronunciation FROM b WHERE rn = 1 AND id IS NOT NULL""")
+def pos_remap(spark: SparkSession, sf: str) -> DataFrame:
+    return convert.remap_pos(convert.from_sudachi(tb.sudachi_fields(spark, sf)))
 
 
-_QUOTED = [["a,b", "1", "2", "3", "名詞", "固有名詞", "地名", "国", "x", "y", 'q"q', "ヨ", "ヨ"], ["z", "1", "1", "1", "外来", "謎", "*", "*", "*", "*", "z", "", ""], ["短"]]
+@query(f"WITH {_KEYS} SELECT concat_ws(',', pos1, pos2, pos3, pos4) AS pos, count(*) AS n FROM b WHERE id IS NULL GROUP BY 1")
+def pos_unmapped(spark: SparkSession, sf: str) -> DataFrame:
+    return convert.unmapped_pos(convert.from_sudachi(tb.sudachi_fields(spark, sf)))
 
 
-@query("""SELECT 'a,b' AS surface, 1294 AS left_id, 1294 AS right_id, CAST(3 AS SMALLINT) AS cost, '名詞,固有名詞,地域,国' AS pos, 'q"q' AS base_form, 'ヨ' AS reading, 'ヨ' AS pronunciation, CAST(1 AS BIGINT) AS converted, CAST(2 AS BIGINT) AS skipped, '2 x 2' AS matrix""")
+@query(f"""WITH {_KEYS}, d AS (SELECT * FROM b WHERE rn = 1 AND id IS NOT NULL)
+SELECT surface, id AS left_id, id AS right_id, CAST(cost AS SMALLINT) AS cost, pos, base_form, reading, pronunciation, (SELECT count(*) FROM d) AS converted, (SELECT count(*) FROM s) - (SELECT count(*) FROM d) AS skipped, '2 x 2' AS matrix FROM d""")
 def convert_folder(spark: SparkSession, sf: str) -> DataFrame:
-    """A folder of another layout, converted to files and built into a lexicon."""
+    """Rows of one other layout written as files, converted to a folder of a second one and built into a lexicon."""
     base, to = scratch(spark), scratch(spark)
-    line = lambda r: ",".join('"' + x.replace('"', '""') + '"' for x in r) + "\n"
-    put(spark, f"{base}/x.csv", "".join(map(line, _QUOTED)).encode())
+    rows = convert.from_sudachi(tb.sudachi_fields(spark, sf))
+    convert.write_csv(rows.select(F.lit("x").alias("file"), F.col("cost").cast("long").alias("idx"), F.array(*convert.FIELDS).alias("f")), "f", base)
     put(spark, f"{base}/matrix.def", b"2 2\n0 1 3\n")
     done = convert.convert(spark, "remap", base, to)
     sizes = convert.copy_matrix(spark, f"{base}/matrix.def", to)
-    rows = lexicon.build(spark, to).entries.drop("entry_id")
-    return rows.withColumns({"converted": F.lit(done["converted"]).cast("long"), "skipped": F.lit(done["skipped"]).cast("long"), "matrix": F.lit("{} x {}".format(*sizes))})
-
-
-_POS = f"{fx.values([(k, v[0], v[1]) for k, v in convert.POS_MAP.items()])} AS m(k, pos, id)"
-
-
-@query(f"""WITH s AS (SELECT * FROM {fx.values(_SUDACHI_OUT)} AS v({", ".join(convert.FIELDS)})), m AS (SELECT * FROM {_POS}),
-k AS (SELECT *, list_transform([4, 3, 2, 1], lambda n: array_to_string(list_filter([pos1, pos2, pos3, pos4][1:n], lambda x: x <> '*'), ',')) AS ks FROM s),
-b AS (SELECT k.*, m.pos, m.id, row_number() OVER (PARTITION BY surface ORDER BY list_position(ks, m.k)) AS rn FROM k JOIN m ON list_contains(ks, m.k))
-SELECT surface, CAST(id AS VARCHAR) AS left_id, CAST(id AS VARCHAR) AS right_id, cost, string_split(pos, ',')[1] AS pos1, string_split(pos, ',')[2] AS pos2, string_split(pos, ',')[3] AS pos3, string_split(pos, ',')[4] AS pos4,
-conj_type, conj_form, base_form, reading, pronunciation FROM b WHERE rn = 1""")
-def pos_remap(spark: SparkSession, sf: str) -> DataFrame:
-    return convert.remap_pos(_sudachi(spark))
-
-
-@query("SELECT '外来,謎,*,*' AS pos, CAST(1 AS BIGINT) AS n")
-def pos_unmapped(spark: SparkSession, sf: str) -> DataFrame:
-    return convert.unmapped_pos(_sudachi(spark))
+    out = lexicon.build(spark, to).entries.drop("entry_id")
+    return out.withColumns({"converted": F.lit(done["converted"]).cast("long"), "skipped": F.lit(done["skipped"]).cast("long"), "matrix": F.lit("{} x {}".format(*sizes))})
 
 
 # Comparison, invariants, statistics.

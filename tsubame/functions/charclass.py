@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import bisect
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -97,27 +97,13 @@ class Classifier:
     def intervals(self) -> list[tuple[int, int, str]]:
         return flatten(self.ranges) if self.ranges else DEFAULT_INTERVALS
 
-    def types(self, text: str) -> list[int]:
-        """Index in TYPES of each character."""
-        table, starts, known = self._table()
-        out = []
-        for ch in text:
-            k = known.get(ch)
-            if k is None:
-                i = bisect.bisect_right(starts, ord(ch)) - 1
-                name = table[i][2] if i >= 0 and ord(ch) <= table[i][1] else "DEFAULT"
-                k = known[ch] = TYPES.index(name)
-            out.append(k)
+    def table(self) -> np.ndarray:
+        """Index in TYPES of each code point."""
+        out = np.full(0x110000, TYPES.index("DEFAULT"), np.uint8)
+        for a, b, name in self.intervals():
+            out[max(a, 0) : b + 1] = TYPES.index(name)
         return out
 
-    def _table(self) -> tuple[list[tuple[int, int, str]], list[int], dict[str, int]]:
-        """Intervals, their starts, and the types of the characters seen so far."""
-        found = self.__dict__.get("_known")
-        if found is None:
-            table = self.intervals()
-            found = self._known = (table, [t[0] for t in table], {})
-        return found
-
     def settings(self, kind: str) -> tuple[bool, bool, int]:
         """(invoke, group, length); a class that is not defined groups without limit."""
         return self.classes.get(class_of_type(kind), (False, True, 0))
@@ -130,32 +116,3 @@ class Classifier:
             hit = cp == a if a == b else cp.between(a, b)
             out = F.when(hit, name) if out is None else out.when(hit, name)
         return F.lit("DEFAULT") if out is None else out.otherwise("DEFAULT")
-
-
-def run_pattern(intervals: list[tuple[int, int, str]]) -> str:
-    """Regular expression (of Python) of a maximal run of characters of one type."""
-
-    def inside(kinds: list[str]) -> str:
-        return "".join(rf"\U{a:08X}-\U{b:08X}" for a, b, k in intervals if k in kinds)
-
-    named = [k for k in TYPES if k != "DEFAULT" and inside([k])]
-    rest = f"[^{inside(named)}]+" if named else r"[\s\S]+"
-    return "|".join([*(f"[{inside([k])}]+" for k in sorted(named, key=["ALPHA", "SPACE", *TYPES].index)), rest])
-
-
-def run_ends(types: list[int] | bytes) -> list[int]:
-    """End of the same-type run at each position, in one pass from the right."""
-    n = len(types)
-    out = [n] * n
-    for i in range(n - 2, -1, -1):
-        out[i] = out[i + 1] if types[i] == types[i + 1] else i + 1
-    return out
-
-
-def group_ends(at: int, run_end: int, group: bool, length: int) -> list[int]:
-    """Ends of the unknown-word candidates at a position, shortest-run rules included."""
-    if group:
-        if length == 0:
-            return [run_end]
-        return [min(run_end, at + max(2, length))]
-    return list(range(at + 1, min(run_end, at + max(1, length)) + 1))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -9,28 +13,50 @@ from pyspark.sql import functions as F
 
 from tsubame import schema
 from tsubame.functions.render import render
-from tsubame.operators.entries import COLUMNS, Entries
+from tsubame.operators.entries import COLUMNS, Arrays, Entries
 from tsubame.operators.kernel import Kernel, unknown_templates
 from tsubame.sources.lexicon import Lexicon, LexiconBuilder
 
 FIELDS = ["surface", "start", "end", "pos", "base_form", "reading", "pronunciation", "word_cost", "is_known"]
 
 
+# Rows of entries that may pass the driver: a hundred times the largest known lexicon's million.
+MOST_ENTRIES = 100_000_000
+
+
 def kernel_of(lexicon: Lexicon, unk_defaults: str = "by_class") -> Kernel:
-    """Gathers a lexicon for decoding: entries as one Arrow file that executors map, costs dense.
+    """Gathers a lexicon for decoding: entries, trie and costs as files that executors map.
 
-    Entries pass the driver in columns, in as many bytes as the file has; ids are 16-bit
-    numbers, so the costs have 8 GB at most and some megabytes in known lexicons.
+    Entries pass the driver in columns, once, in as many bytes as the file has; costs pass it
+    row by row.
     """
+    n = lexicon.entries.count()
+    if n > MOST_ENTRIES:
+        raise ValueError(f"{n} entries are more than {MOST_ENTRIES}, which one file can serve")
     entries = Entries.shared(lexicon.spark, lexicon.entries.select(*COLUMNS).orderBy("surface", "entry_id").toArrow())
-    costs = lexicon.matrix.select("right_id", "left_id", "cost").toArrow()
-    right, left, cost = (costs.column(i).to_numpy() for i in range(3))
-    # Rows are right ids; the flat layout has as many cells as the header says.
-    matrix = np.zeros((max(lexicon.right_size, right.max(initial=-1) + 1), max(lexicon.left_size, left.max(initial=-1) + 1)), np.int16)
-    matrix[right, left] = cost
+    costs = Arrays.shared(lexicon.spark, {"matrix": dense(lexicon)})
     unk = [tuple(r) for r in lexicon.unk.orderBy("ord").select("class", "left_id", "right_id", "cost", "pos").collect()]
     classifier = lexicon.classifier()
-    return Kernel(entries, matrix, classifier, unknown_templates(classifier, unk, unk_defaults))
+    return Kernel(entries, None, classifier, unknown_templates(classifier, unk, unk_defaults), costs)
+
+
+def dense(lexicon: Lexicon) -> np.ndarray:
+    """The costs as one array in a temporary file; tasks make its rows, the driver holds one at a time.
+
+    Rows are right ids; the flat layout has as many cells as the header says.
+    """
+    right, left = lexicon.matrix.agg(F.max("right_id"), F.max("left_id")).first()
+    shape = (max(lexicon.right_size, (right or 0) + 1), max(lexicon.left_size, (left or 0) + 1))
+
+    def row(key: tuple, cells: pa.Table) -> pa.Table:
+        out = np.zeros(shape[1], np.int16)
+        out[cells.column("left_id").to_numpy()] = cells.column("cost").to_numpy()
+        return pa.table({"right_id": pa.array([key[0].as_py()], pa.int32()), "row": pa.array([out.tobytes()], pa.binary())})
+
+    matrix = np.memmap(tempfile.TemporaryFile(prefix="tsubame-"), np.int16, "w+", shape=shape)
+    for r in lexicon.matrix.groupBy("right_id").applyInArrow(row, "right_id int, row binary").toLocalIterator():
+        matrix[r["right_id"]] = np.frombuffer(r["row"], np.int16)
+    return matrix
 
 
 class Analyzer:
@@ -44,10 +70,27 @@ class Analyzer:
         self._shared = self.spark.sparkContext.broadcast(self.kernel)
 
     def prewarm(self) -> Analyzer:
-        """Loads the lexicon on the driver; executors load it with their first batch."""
+        """Loads the lexicon on the driver and, in one barrier stage over all slots, in the workers of every executor.
+
+        With fewer free slots than the session has cores the stage fails, as barriers do;
+        executors then load with their first batch.
+        """
         self.kernel.tokens("")
+        self.warm_workers()
         return self
 
+    def warm_workers(self) -> list[Row]:
+        """(worker, entries) of each slot: the process that holds the lexicon now, and its size."""
+        shared, slots = self._shared, self.spark.sparkContext.defaultParallelism
+
+        def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            kernel = shared.value
+            kernel.tokens("")
+            for b in batches:
+                yield pa.record_batch([pa.array([f"{os.uname().nodename}:{os.getpid()}"] * b.num_rows), pa.array([len(kernel.entries)] * b.num_rows, pa.int64())], ["worker", "entries"])
+
+        return self.spark.range(0, slots, 1, slots).mapInArrow(load, "worker string, entries long", barrier=True).collect()
+
     def clone_for_worker(self) -> Analyzer:
         """Analyzers hold no state of a call, so one serves all threads."""
         return self
@@ -69,6 +112,16 @@ class Analyzer:
         """``df`` with its tokens as an array; empty text gives an empty one."""
         return df.withColumn(into, self.tokens(F.col(text)))
 
+    def prefixes(self, df: DataFrame, text: str = "text", into: str = "prefixes") -> DataFrame:
+        """``df`` with all entries that begin at each character: an array of (start, length, entry_id), in that order."""
+        shared = self._shared
+
+        @F.arrow_udf("array<struct<start:int,length:int,entry_id:int>>")
+        def found(texts: pa.Array) -> pa.Array:
+            return shared.value.prefix_array(texts)
+
+        return df.withColumn(into, found(F.col(text)))
+
     def tokenize(self, df: DataFrame, text: str = "text", keys: list[str] | None = None) -> DataFrame:
         """One row a token: keys, tok_idx and the token's fields."""
         keys = [c for c in df.columns if c != text] if keys is None else keys

@@ -1,11 +1,11 @@
-"""Lexicon entries as a sorted Arrow table that workers share by memory mapping."""
+"""Lexicon entries, their trie and the connection costs, in files that workers share by memory mapping."""
 
 from __future__ import annotations
 
 import os
 import tempfile
 import uuid
-from bisect import bisect_left
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -13,19 +13,72 @@ import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import SparkSession
 
+from tsubame.functions.readings import NUMBER_POS
+from tsubame.operators.trie import Trie
+from tsubame.session import scratch
+
 COLUMNS = ["surface", "entry_id", "left_id", "right_id", "cost", "pos", "base_form", "reading", "pronunciation"]
 SCHEMA = pa.schema([(c, pa.string() if i in (0, 5, 6, 7, 8) else pa.int32()) for i, c in enumerate(COLUMNS)])
 
-# Entries with one first character that are compared one by one.
-FEW = 32
+
+def shared_file(spark: SparkSession, write: Callable[[str], None]) -> str:
+    """Name of a file, written by ``write``, that lies in the shared folder and that executors fetch once."""
+    name = f"tsubame-{uuid.uuid4().hex}"
+    with tempfile.TemporaryDirectory(prefix="tsubame-") as folder:
+        local = os.path.join(folder, name)
+        write(local)
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch(spark)}/{name}")
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.copyFromLocalFile(spark._jvm.org.apache.hadoop.fs.Path(f"file://{local}"), path)
+    spark.sparkContext.addFile(path.toString())
+    return name
+
+
+class Arrays:
+    """Named arrays, in memory or one behind the other in a shared file."""
+
+    def __init__(self, arrays: dict[str, np.ndarray] | None, file: str | None = None, layout: dict[str, tuple] | None = None) -> None:
+        self.arrays, self.file, self.layout = arrays, file, layout
+        if file:
+            path = SparkFiles.get(file)
+            self.arrays = {n: np.memmap(path, dtype, "r", at, shape) if np.prod(shape) else np.zeros(shape, dtype) for n, (dtype, shape, at) in layout.items()}
+
+    @staticmethod
+    def shared(spark: SparkSession, arrays: dict[str, np.ndarray]) -> Arrays:
+        layout: dict[str, tuple] = {}
+
+        def write(path: str) -> None:
+            with open(path, "wb") as out:
+                for name, a in arrays.items():
+                    out.write(bytes(-out.tell() % 64))
+                    layout[name] = (a.dtype.str, a.shape, out.tell())
+                    np.ascontiguousarray(a).tofile(out)
+                    out.flush()
+
+        return Arrays(None, shared_file(spark, write), layout)
+
+    def __getitem__(self, name: str) -> np.ndarray:
+        return self.arrays[name]
+
+    def __reduce__(self) -> tuple:
+        return Arrays, (None if self.file else self.arrays, self.file, self.layout)
 
 
 class Entries:
-    """Rows in the order of (surface, entry_id), searched by common prefix."""
+    """Rows in the order of (surface, entry_id), searched by common prefix from many places at once."""
 
-    def __init__(self, table: pa.Table, file: str | None = None) -> None:
+    def __init__(self, table: pa.Table | None, trie: Arrays | None = None, file: str | None = None) -> None:
         self.file = file
-        self._open(table)
+        self.table = pa.ipc.open_file(pa.memory_map(SparkFiles.get(file))).read_all() if file else table
+        self.trie_arrays = trie or Arrays(Trie.of(self._column("surface")).arrays)
+        self.trie = Trie(self.trie_arrays.arrays)
+        self.surfaces = self._column("surface")
+        self.ids, self.left, self.right, self.cost = (self._column(c).to_numpy() for c in ("entry_id", "left_id", "right_id", "cost"))
+        self.features = [self._column(c) for c in ("pos", "base_form", "reading", "pronunciation")]
+        self._numeric: np.ndarray | None = None
+
+    def _column(self, name: str) -> pa.Array:
+        return self.table.column(name).combine_chunks()
 
     @staticmethod
     def of(rows: list[tuple]) -> Entries:
@@ -35,36 +88,18 @@ class Entries:
 
     @staticmethod
     def shared(spark: SparkSession, table: pa.Table) -> Entries:
-        """The table, sorted already, in a file that Spark hands to every executor once."""
-        name = f"tsubame-{uuid.uuid4().hex}.arrow"
-        # The driver serves this file to executors as long as the session lives.
-        path = os.path.join(tempfile.mkdtemp(prefix="tsubame-"), name)
-        with pa.OSFile(path, "wb") as sink, pa.ipc.new_file(sink, SCHEMA) as out:
-            out.write_table(table.select(COLUMNS).cast(SCHEMA).combine_chunks())
-        spark.sparkContext.addFile(path)
-        return Entries(_mapped(SparkFiles.get(name)), name)
-
-    def __getstate__(self) -> dict:
-        return {"file": self.file, "table": None if self.file else self.table}
-
-    def __setstate__(self, state: dict) -> None:
-        self.file = state["file"]
-        self._open(state["table"] if self.file is None else _mapped(SparkFiles.get(self.file)))
-
-    def _open(self, table: pa.Table) -> None:
-        self.table = table
-        column = lambda c: table.column(c).combine_chunks()
-        self.surfaces = column("surface")
-        self.ids, self.left, self.right, self.cost = (column(c).to_numpy() for c in ("entry_id", "left_id", "right_id", "cost"))
-        self.features = [column(c) for c in ("pos", "base_form", "reading", "pronunciation")]
-        # Ranges of the first characters.
-        heads = pc.utf8_slice_codeunits(self.surfaces, 0, 1).dictionary_encode() if len(table) else pa.array([], pa.string()).dictionary_encode()
-        code = heads.indices.to_numpy()
-        start = np.flatnonzero(np.diff(code, prepend=-1))
-        ends = np.append(start[1:], len(code))[: len(start)]
-        names = heads.dictionary.to_pylist()
-        self.listed: dict[str, list[tuple[str, int, int, int]]] = {}
-        self.heads = {names[code[i]]: (int(i), int(j)) for i, j in zip(start, ends, strict=True)}
+        """The table, sorted already, and its trie in files that every executor fetches once."""
+        table = table.select(COLUMNS).cast(SCHEMA).combine_chunks()
+
+        def write(path: str) -> None:
+            with pa.OSFile(path, "wb") as sink, pa.ipc.new_file(sink, SCHEMA) as out:
+                out.write_table(table)
+
+        trie = Trie.of(table.column("surface").combine_chunks())
+        return Entries(None, Arrays.shared(spark, trie.arrays), shared_file(spark, write))
+
+    def __reduce__(self) -> tuple:
+        return Entries, (None if self.file else self.table, self.trie_arrays, self.file)
 
     def __len__(self) -> int:
         return len(self.surfaces)
@@ -72,45 +107,9 @@ class Entries:
     def surface(self, row: int) -> str:
         return self.surfaces[row].as_py()
 
-    def at(self, text: str, p: int) -> list[tuple[int, int, int]]:
-        """(length, first row, end row) of every surface that starts at a place, shortest first.
-
-        Where few entries begin with that character, each is compared; else the range of rows
-        that share the characters read so far is narrowed one character at a time; code
-        points sort as their UTF-8 bytes do.
-        """
-        found = self.heads.get(text[p])
-        if found is None:
-            return []
-        if found[1] - found[0] <= FEW:
-            return [x[1:] for x in self.listed.get(text[p]) or self._list(text[p]) if text.startswith(x[0], p)]
-        (lo, hi), out, n = found, [], 1
-        while True:
-            if len(self.surface(lo)) == n:
-                end = bisect_left(range(hi), n + 1, lo, key=lambda r: len(self.surface(r)))
-                out.append((n, lo, end))
-                lo = end
-            if lo >= hi or p + n >= len(text):
-                return out
-            ch = text[p + n]
-            at = lambda r, n=n: self.surface(r)[n]
-            lo = bisect_left(range(hi), ch, lo, key=at)
-            if lo >= hi or at(lo) != ch:
-                return out
-            hi = bisect_left(range(hi), chr(ord(ch) + 1), lo, key=at) if ord(ch) < 0x10FFFF else hi
-            n += 1
-
-    def _list(self, head: str) -> list[tuple[str, int, int, int]]:
-        """(surface, length, first row, end row) of all entries with this first character."""
-        rows: dict[str, list[int]] = {}
-        for r in range(*self.heads[head]):
-            rows.setdefault(self.surface(r), []).append(r)
-        out = self.listed[head] = [(s, len(s), r[0], r[-1] + 1) for s, r in rows.items()]
-        return out
-
-    def feature(self, row: int) -> tuple:
-        return tuple(f[row].as_py() for f in self.features)
-
-
-def _mapped(path: str) -> pa.Table:
-    return pa.ipc.open_file(pa.memory_map(path)).read_all()
+    @property
+    def numeric(self) -> np.ndarray:
+        """Whether each entry is a number by its part of speech."""
+        if self._numeric is None:
+            self._numeric = pc.starts_with(self.features[0], NUMBER_POS).to_numpy(zero_copy_only=False) if len(self) else np.zeros(0, bool)
+        return self._numeric

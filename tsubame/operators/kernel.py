@@ -1,23 +1,28 @@
-"""The decoder: candidates and minimum-cost path of whole segments, for Arrow batches.
-
-A segment is cut into pieces where no candidate crosses: between runs of one character
-type, unless an entry spans the border. What a piece does depends on its text and on the
-states before it only (for each right_id the cheapest way there, costs relative to the
-best), so each (state, piece) is decoded once and then looked up; the path is read back
-piece by piece. Tokens are numbers of templates, which numpy turns into Arrow columns.
+"""The decoder: candidates and minimum-cost paths of all segments of an Arrow batch, in step.
+
+Code points, types, runs, entries (see ``trie``) and unknown words of a batch are flat arrays;
+nodes lie sorted by end, so those that end at one place are a range. Where no node spans a
+place and all that end there have one right_id, nothing behind depends on how it was
+reached: segments are cut there into pieces. All pieces are then decoded together, one
+place a step: totals of the nodes that end at a place plus the connection costs gathered
+for the nodes that start there, and a segmented minimum whose key holds the order in
+which ties are decided. Paths are read back in step as well.
+
+A run of a class that groups without limit, in which no entry starts or ends, is one node if
+no path through its characters can be cheaper, so text outside a lexicon costs a node a run.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-from tsubame.functions.charclass import TYPES, Classifier, class_of_type, group_ends, run_ends, run_pattern
-from tsubame.functions.readings import in_context, is_number
-from tsubame.functions.segment import PATTERN
+from tsubame.functions.charclass import TYPES, Classifier, class_of_type
+from tsubame.functions.readings import NUMBER_POS, in_context
+from tsubame.functions.segment import BOUNDARIES
 from tsubame.operators.entries import Entries
+from tsubame.operators.trie import code_points
 
 # Cost and part of speech of unknown words whose class has no template.
 UNKNOWN_BY_TYPE = {
@@ -32,8 +37,12 @@ UNKNOWN_BY_TYPE = {
     "DEFAULT": (10000, "名詞,サ変接続,*,*"),
 }
 UNKNOWN_FLAT = (10000, "名詞,一般,*,*")
-# Bounds of what a worker remembers: pieces decoded, their length, token templates.
-MEMO_PIECES, MEMO_CHARS, MEMO_TEMPLATES = 300_000, 64, 500_000
+# Characters of whole segments that are decoded at a time: bounds the memory of the nodes.
+CHUNK_CHARS = 1 << 18
+# Spelled words that a worker remembers.
+SPOKEN_WORDS = 500_000
+# A total that no path has.
+FAR = 1 << 40
 
 TOKEN_TYPE = pa.struct([
     ("surface", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("pos", pa.string()), ("base_form", pa.string()),
@@ -56,305 +65,367 @@ def unknown_templates(classifier: Classifier, unk: list[tuple], mode: str = "by_
     return out
 
 
-class State:
-    """What can stand before a piece: (right_id, cost) in the order in which ties are decided."""
+def spans(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, .. (count of them), one range behind the other."""
+    total = int(count.sum())
+    if not total:
+        return np.zeros(0, np.int64)
+    return np.arange(total) + np.repeat(begin - (np.cumsum(count) - count), count)
 
-    __slots__ = ("after", "shapes", "ways")
 
-    def __init__(self, ways: tuple[tuple[int, int], ...]) -> None:
-        self.ways = ways
-        self.after: dict[str, Step] = {}
-        self.shapes: dict[tuple, tuple] = {}
+class Nodes:
+    """Candidates as columns, sorted by end, then start, known before unknown, then entry: the order of ties.
 
+    ``row`` is the entry's row, or the type's number for an unknown word.
+    """
 
-class Step:
-    """One decoded piece: cost added, state behind it, and for each way there the way before and the nodes."""
+    def __init__(self, start: np.ndarray, end: np.ndarray, unk: np.ndarray, row: np.ndarray, places: int) -> None:
+        order = np.argsort((end << 32 | start) << 1 | unk, kind="stable")
+        self.start, self.end, self.unk, self.row = start[order], end[order], unk[order].astype(bool), row[order]
+        self.size = np.bincount(self.end, minlength=places)
+        self.first = np.cumsum(self.size) - self.size
 
-    __slots__ = ("back", "cost", "piece", "state", "templates")
 
-    def __init__(self, piece: str, cost: int, state: State, back: list[tuple[int, list[tuple]]]) -> None:
-        self.piece, self.cost, self.state, self.back = piece, cost, state, back
-        self.templates: list[list[int] | None] = [None] * len(back)
+class Kernel:
+    """All that decoding needs, in one object that is broadcast once; entries and costs lie in shared files."""
 
+    def __init__(self, entries: Entries | list[tuple], matrix: np.ndarray, classifier: Classifier, unknown: list[tuple], costs=None) -> None:  # noqa: ANN001
+        self.entries = entries if isinstance(entries, Entries) else Entries.of(entries)
+        # ``costs``: the arrays of a shared file that hold the matrix.
+        self._matrix, self._costs = matrix, costs
+        self.matrix = matrix if costs is None else costs["matrix"]
+        self.classifier, self.unknown = classifier, unknown
+        self.table = classifier.table()
+        self.invoke, self.group, self.length, self.left, self.right, self.cost = (np.array([u[i] for u in unknown], np.int64) for i in range(6))
+        self.right_size, self.left_size = self.matrix.shape
+        e = self.entries
+        # Ids outside the matrix cost nothing; most lexicons have none.
+        self.inside = max(int(e.left.max(initial=0)), int(self.left.max())) < self.left_size and max(int(e.right.max(initial=0)), int(self.right.max())) < self.right_size
+        one = self.connections(self.right, self.left)
+        self.whole_runs = (self.group != 0) & (self.length == 0) & (self.cost + one >= 0)
+        self.pos = pa.array([u[6] for u in unknown], pa.string())
+        self._spoken: dict[str, tuple[str, str]] = {}
+        self.numeric = np.array([u[6].startswith(NUMBER_POS) for u in unknown])
+
+    def __reduce__(self) -> tuple:
+        return Kernel, (self.entries, None if self._costs else self._matrix, self.classifier, self.unknown, self._costs)
+
+    def connections(self, right: np.ndarray, left: np.ndarray) -> np.ndarray:
+        if self.inside_for(right, left):
+            return self.matrix[right, left].astype(np.int64)
+        ok = (right < self.right_size) & (left < self.left_size)
+        out = np.zeros(len(right), np.int64)
+        out[ok] = self.matrix[right[ok], left[ok]]
+        return out
 
-class Templates:
-    """Distinct tokens seen, as columns; a token is the number of its template."""
+    def inside_for(self, right: np.ndarray, left: np.ndarray) -> bool:
+        return self.inside and self.right_size > 0 and self.left_size > 0
 
-    def __init__(self) -> None:
-        self.number: dict[tuple, int] = {}
-        self.rows: list[tuple] = []
-        self.after_number: list[int] = []
-        self.numeric: list[bool] = []
+    def connection(self, right_id: int, left_id: int) -> int:
+        return int(self.matrix[right_id, left_id]) if right_id < self.right_size and left_id < self.left_size else 0
+
+    # Nodes.
+
+    def _nodes(self, cp: np.ndarray, stop: np.ndarray, prune: bool) -> Nodes:
+        """All candidates of a text whose segments end at ``stop``; with ``prune`` whole runs are one node."""
+        n = len(cp)
+        types = self.table[cp]
+        fresh = np.ones(n + 1, bool)
+        fresh[1:-1] = (types[1:] != types[:-1]) | (stop[1:] != stop[:-1])
+        begin = np.flatnonzero(fresh)
+        run = np.cumsum(fresh[:-1]) - 1
+        run_end = begin[1:]
+        pos, size, lo, hi = self.entries.trie.matches(cp, stop)
+        known = np.zeros(n, bool)
+        known[pos] = True
+        whole = np.zeros(len(run_end), bool)
+        if prune:
+            whole = self.whole_runs[types[begin[:-1]]]
+            whole[run[pos]] = False
+            ends = pos + size
+            whole[run[ends[~fresh[ends]]]] = False
+        at = np.flatnonzero(~whole[run] & ((self.invoke[types] != 0) | ~known)) if prune else np.flatnonzero((self.invoke[types] != 0) | ~known)
+        kind, last = types[at], run_end[run[at]]
+        group, length = self.group[kind] != 0, self.length[kind]
+        # Grouping classes have one long candidate, others one of each length; a single character is always one.
+        reach = np.where(length == 0, last, np.minimum(last, at + np.maximum(2, length)))
+        long = at[group & (reach > at + 1)]
+        long_end = reach[group & (reach > at + 1)]
+        count = np.where(group, 1, np.minimum(last, at + np.maximum(1, length)) - at)
+        each = np.repeat(at, count)
+        heads = begin[:-1][whole]
+        unk_start = np.concatenate([heads, long, each])
+        unk_end = np.concatenate([run_end[whole], long_end, spans(at + 1, count)])
+        row = spans(lo, hi - lo)
+        k_start = np.repeat(pos, hi - lo)
+        k_end = k_start + np.repeat(size, hi - lo)
+        unk = np.concatenate([np.zeros(len(row), np.int64), np.ones(len(unk_start), np.int64)])
+        return Nodes(np.concatenate([k_start, unk_start]), np.concatenate([k_end, unk_end]), unk, np.concatenate([row, types[unk_start]]), n + 1)
+
+    def _ids(self, nodes: Nodes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """left_id, right_id and cost of each node."""
+        out = []
+        for known, unknown in ((self.entries.left, self.left), (self.entries.right, self.right), (self.entries.cost, self.cost)):
+            x = np.empty(len(nodes.row), np.int64)
+            x[nodes.unk] = unknown[nodes.row[nodes.unk]]
+            x[~nodes.unk] = known[nodes.row[~nodes.unk]]
+            out.append(x)
+        return out[0], out[1], out[2]
+
+    # The best paths.
+
+    def _best(self, cp: np.ndarray, stop: np.ndarray) -> tuple[Nodes, np.ndarray]:
+        """The nodes and the numbers of those on the best paths, in text order."""
+        n = len(cp)
+        nodes = self._nodes(cp, stop, True)
+        left, right, cost = self._ids(nodes)
+        # Cuts: nothing spans the place, and all that end there have one right_id.
+        far = nodes.end - nodes.start > 1
+        spanned = np.cumsum(np.bincount(nodes.start[far] + 1, minlength=n + 1) - np.bincount(nodes.end[far], minlength=n + 1)) > 0
+        ended = np.flatnonzero(nodes.size)
+        at = nodes.first[ended]
+        one = np.zeros(n + 1, bool)
+        one[ended] = np.minimum.reduceat(right, at) == np.maximum.reduceat(right, at)
+        seg = np.ones(n + 1, bool)
+        seg[1:-1] = stop[1:] != stop[:-1]
+        cut = seg | (one & ~spanned)
+        begin = np.flatnonzero(cut)
+        piece = np.cumsum(cut) - 1
+        before = np.where(seg[begin], 0, right[np.minimum(nodes.first[begin], len(right) - 1)])
+        of = piece[nodes.start]
+        many = np.bincount(of, minlength=len(begin)) > 1
+        single = np.flatnonzero(~many[of])
+        live = np.flatnonzero(many[of])
+        if not len(live):
+            return nodes, single
+        chosen = self._lockstep(nodes, left, right, cost, live, of[live], begin, before, seg)
+        best = np.full(n, -1, np.int64)
+        best[nodes.start[single]] = single
+        best[nodes.start[chosen]] = chosen
+        return nodes, best[best >= 0]
+
+    def _lockstep(self, nodes: Nodes, left: np.ndarray, right: np.ndarray, cost: np.ndarray, live: np.ndarray, of: np.ndarray, begin: np.ndarray, before: np.ndarray, seg: np.ndarray) -> np.ndarray:
+        step = nodes.start[live] - begin[of]
+        # By step, place and left_id: predecessors are weighed once for each left_id of a place.
+        order = np.argsort((step * len(seg) + nodes.start[live]) << 16 | left[live], kind="stable")
+        by, place, lefts = live[order], nodes.start[live][order], left[live][order]
+        new = np.ones(len(by), bool)
+        new[1:] = (place[1:] != place[:-1]) | (lefts[1:] != lefts[:-1])
+        head = np.flatnonzero(new)
+        member = np.cumsum(new) - 1
+        h_place, h_left = place[head], lefts[head]
+        h_of = of[order][head]
+        h_step = step[order][head]
+        steps = np.searchsorted(h_step, np.arange(int(h_step[-1]) + 2))
+        in_step = np.append(head, len(by))[steps]
+        bits = int(nodes.size.max()).bit_length()
+        total, back = np.full(len(nodes.row), FAR, np.int64), np.full(len(nodes.row), -1, np.int64)
+        low, prev = np.zeros(len(head), np.int64), np.full(len(head), -1, np.int64)
+
+        flat = self.matrix.reshape(-1) if self.inside else None
+        rows = right * self.left_size
+
+        def cheapest(first: np.ndarray, size: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Least total plus connection over ranges of nodes, and the first node that has it."""
+            offset = np.cumsum(size) - size
+            place = np.arange(int(offset[-1] + size[-1]))
+            # The key holds the value, then the place among the range, so ties go to the first.
+            pairs = place + np.repeat(first - offset, size)
+            value = total.take(pairs)
+            if flat is not None:
+                value += flat.take(rows.take(pairs) + np.repeat(to, size))
+            else:
+                value += self.connections(right[pairs], np.repeat(to, size))
+            value <<= bits
+            value += pairs
+            value -= np.repeat(first, size)
+            least = np.minimum.reduceat(value, offset)
+            return least >> bits, first + (least & ((1 << bits) - 1))
+
+        a, b = steps[0], steps[1]
+        low[a:b] = self.connections(before[h_of[a:b]], h_left[a:b])
+        for k in range(len(steps) - 1):
+            a, b = steps[k], steps[k + 1]
+            if a == b:
+                continue
+            if k:
+                p = h_place[a:b]
+                size = nodes.size[p]
+                if size.all():
+                    low[a:b], prev[a:b] = cheapest(nodes.first[p], size, h_left[a:b])
+                else:
+                    ok = np.flatnonzero(size)
+                    low[a:b] = FAR
+                    if len(ok):
+                        low[a + ok], prev[a + ok] = cheapest(nodes.first[p][ok], size[ok], h_left[a:b][ok])
+            x = slice(in_step[k], in_step[k + 1])
+            total[by[x]] = np.minimum(low[member[x]] + cost[by[x]], FAR)
+            back[by[x]] = prev[member[x]]
+        pieces = np.unique(of)
+        end = begin[pieces + 1]
+        # Only a segment's end connects to the end of the text.
+        now = np.empty(len(pieces), np.int64)
+        final = seg[end]
+        if final.any():
+            e = end[final]
+            now[final] = cheapest(nodes.first[e], nodes.size[e], np.zeros(len(e), np.int64))[1]
+        if (~final).any():
+            e = end[~final]
+            pairs, size = spans(nodes.first[e], nodes.size[e]), nodes.size[e]
+            offset = np.cumsum(size) - size
+            key = (total[pairs] << bits) | (np.arange(len(pairs)) - np.repeat(offset, size))
+            now[~final] = nodes.first[e] + (np.minimum.reduceat(key, offset) & ((1 << bits) - 1))
+        chosen = []
+        while len(now):
+            chosen.append(now)
+            now = back[now]
+            now = now[now >= 0]
+        return np.concatenate(chosen)
+
+    # Whole texts.
+
+    def _stops(self, cp: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Ends of the segments of texts that begin at ``at``."""
+        end = np.zeros(len(cp) + 1, bool)
+        end[at] = True
+        end[1:] |= np.isin(cp, _BOUNDARY) if len(cp) else False
+        end[0] = False
+        return np.flatnonzero(end)
 
-    def add(self, row: tuple, numeric: bool) -> int:
-        k = self.number.get(row)
-        if k is None:
-            k = self.number[row] = len(self.rows)
-            self.rows.append(row)
-            self.after_number.append(k)
-            self.numeric.append(numeric)
-        return k
+    def token_array(self, texts: pa.Array) -> pa.Array:
+        """Token lists of many texts; null for null."""
+        if isinstance(texts, pa.ChunkedArray):
+            texts = texts.combine_chunks()
+        whole = texts.fill_null("")
+        cp, at = code_points(whole)
+        n = len(cp)
+        stops = self._stops(cp, at)
+        start, unk, row = [np.zeros(0, np.int64)], [np.zeros(0, bool)], [np.zeros(0, np.int64)]
+        a, i = 0, 0
+        while a < n:
+            # Whole segments, about CHUNK_CHARS in sum.
+            j = max(i + 1, int(np.searchsorted(stops, a + CHUNK_CHARS, "right")))
+            b = int(stops[j - 1])
+            stop = np.repeat(stops[i:j], np.diff(stops[i:j], prepend=a)) - a
+            nodes, best = self._best(cp[a:b], stop)
+            start.append(nodes.start[best] + a)
+            unk.append(nodes.unk[best])
+            row.append(nodes.row[best])
+            a, i = b, j
+        start, unk, row = np.concatenate(start), np.concatenate(unk), np.concatenate(row).astype(np.int64)
+        return self._arrow(texts, cp, at, stops, start, unk, row)
+
+    def _arrow(self, texts: pa.Array, cp: np.ndarray, at: np.ndarray, stops: np.ndarray, start: np.ndarray, unk: np.ndarray, row: np.ndarray) -> pa.Array:
+        m, e = len(start), self.entries
+        bytes_ = np.concatenate([[0], np.cumsum(1 + (cp > 0x7F) + (cp > 0x7FF) + (cp > 0xFFFF), dtype=np.int64)])
+        edge = np.append(start, len(cp))
+        offset = bytes_[edge]
+        # Tokens leave no gap, so together they are the bytes of the texts.
+        raw = cp.astype("<u4").tobytes().decode("utf-32-le").encode()
+        surface = pa.LargeStringArray.from_buffers(m, pa.py_buffer(offset), pa.py_buffer(raw)).cast(pa.string())
+        lists = np.searchsorted(start, at)
+        first = np.repeat(offset[lists[:-1]], np.diff(lists))
+        known = pa.array(np.where(unk, 0, row), pa.int64(), mask=unk)
+        kind = pa.array(np.where(unk, row, 0), pa.int64())
+        pos = pc.coalesce(e.features[0].take(known), self.pos.take(kind))
+        base = pc.coalesce(e.features[1].take(known), surface)
+        reading, spoken = (pc.coalesce(f.take(known), pa.scalar("")) for f in e.features[2:])
+        cost = np.empty(m, np.int64)
+        cost[unk], cost[~unk] = self.cost[row[unk]], e.cost[row[~unk]]
+        letters = _all(_letter(cp), start, edge)
+        if letters.any():
+            number = np.empty(m, bool)
+            number[unk], number[~unk] = self.numeric[row[unk]], e.numeric[row[~unk]]
+            number |= _all(_digit(cp), start, edge)
+            # Context ends with the segment.
+            seg = np.searchsorted(stops, start, "right")
+            behind = np.zeros(m, bool)
+            behind[1:] = number[:-1] & (seg[1:] == seg[:-1])
+            mask = pa.array(letters)
+            coded = surface.filter(mask).dictionary_encode()
+            words = coded.dictionary.to_pylist()
+            if len(self._spoken) > SPOKEN_WORDS:
+                self._spoken.clear()
+            known_ways = [self._spoken.get(w) or self._say(w) for w in words]
+            ways = pa.array([x[0] for x in known_ways] + [x[1] for x in known_ways], pa.string())
+            at_way = coded.indices.to_numpy() + np.where(behind[letters], len(words), 0)
+            said = ways.take(pa.array(at_way))
+            reading, spoken = (pc.replace_with_mask(x, mask, said) for x in (reading, spoken))
+        fields = [surface, pa.array(offset[:-1] - first), pa.array(offset[1:] - first), pos, base, reading, spoken, pa.array(cost, pa.int16()), pa.array(~unk)]
+        items = pa.StructArray.from_arrays(fields, fields=list(TOKEN_TYPE))
+        valid = texts.is_valid().to_numpy(zero_copy_only=False)
+        starts = pa.array(lists, pa.int32(), mask=np.append(~valid, False))
+        return pa.ListArray.from_arrays(starts, items)
 
+    def prefix_array(self, texts: pa.Array) -> pa.Array:
+        """Lists of (start, length, entry_id) of the entries at all places of many texts; null for null."""
+        if isinstance(texts, pa.ChunkedArray):
+            texts = texts.combine_chunks()
+        cp, at = code_points(texts.fill_null(""))
+        pos, size, lo, hi = self.entries.trie.matches(cp, np.repeat(at[1:], np.diff(at)))
+        count = hi - lo
+        row = spans(lo, count)
+        place = np.repeat(pos, count)
+        before = np.repeat(at[:-1], np.diff(at))
+        start = place - before[place]
+        fields = [pa.array(x, pa.int32()) for x in (start, np.repeat(size, count), self.entries.ids[row])]
+        items = pa.StructArray.from_arrays(fields, names=["start", "length", "entry_id"])
+        valid = texts.is_valid().to_numpy(zero_copy_only=False)
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(place, at), pa.int32(), mask=np.append(~valid, False)), items)
+
+    def _say(self, word: str) -> tuple[str, str]:
+        """Readings of a word of letters: alone, and behind a number."""
+        out = self._spoken[word] = in_context(word, None), in_context(word, ("0", ""))
+        return out
 
-class Kernel:
-    """All that decoding needs, in one object that is broadcast once; entries lie in a shared file."""
+    def tokens(self, text: str) -> list[tuple]:
+        """Tokens of a text, sentence by sentence, with byte offsets in the text."""
+        return [tuple(t.values()) for t in self.token_array(pa.array([text], pa.string()))[0].as_py()]
 
-    def __init__(self, entries: Entries | list[tuple], matrix: np.ndarray, classifier: Classifier, unknown: list[tuple]) -> None:
-        self.entries = entries if isinstance(entries, Entries) else Entries.of(entries)
-        self.matrix, self.classifier, self.unknown = matrix, classifier, unknown
-        self._ready()
-        # First characters of entries that hold more than one run.
-        self.crossing: set[str] = set()
-        for ch, (lo, hi) in self.entries.heads.items():
-            if any(len(self.runs.findall(self.entries.surface(r))) > 1 for r in range(lo, hi)):
-                self.crossing.add(ch)
-
-    def __getstate__(self) -> tuple:
-        return self.entries, self.matrix, self.classifier, self.unknown, self.crossing
-
-    def __setstate__(self, state: tuple) -> None:
-        self.entries, self.matrix, self.classifier, self.unknown, self.crossing = state
-        self._ready()
-
-    def _ready(self) -> None:
-        self.split = re.compile(PATTERN)
-        self.runs = re.compile(run_pattern(self.classifier.intervals()))
-        self.costs: dict[int, list[int]] = {}
-        self.to_lefts: dict[int, np.ndarray] = {}
-        self.left_ids = sorted({0, *(u[3] for u in self.unknown), *np.unique(self.entries.left).tolist()})
-        self._forget()
-
-    def _forget(self) -> None:
-        self.states: dict[tuple, State] = {}
-        self.pieces_known = 0
-        self.templates = Templates()
-        self.begin = self._state(((0, 0),))
-
-    def _state(self, ways: tuple) -> State:
-        s = self.states.get(ways)
-        if s is None:
-            s = self.states[ways] = State(ways)
-        return s
+    # One segment, for inspection.
 
-    def connection(self, right_id: int, left_id: int) -> int:
-        row = self._row(right_id)
-        return row[left_id] if left_id < len(row) else 0
-
-    def _row(self, right_id: int) -> list[int]:
-        """Costs of a right_id by left_id, for every left_id that a node can have; 0 outside the matrix."""
-        row = self.costs.get(right_id)
-        if row is None:
-            row = self.matrix[right_id].tolist() if right_id < self.matrix.shape[0] else []
-            row = self.costs[right_id] = row + [0] * (self.left_ids[-1] + 1 - len(row))
-        return row
-
-    def _shape(self, seg: str, one_run: bool = False) -> tuple[bytes, tuple]:
-        """What decides the nodes of a segment: types, and (start, length, rows) of its entries."""
-        e = self.entries
-        # A piece that no entry crosses is one run, so its first character tells the type of all.
-        types = bytes(self.classifier.types(seg[0] if one_run else seg)) * (len(seg) if one_run else 1)
-        return types, tuple([(p, *m) for p, ch in enumerate(seg) if ch in e.heads for m in e.at(seg, p)])
-
-    def _nodes(self, shape: tuple[bytes, tuple]) -> list[list[tuple]]:
-        """For each start, (start, end, unknown, entry number or type, left_id, right_id, cost, row) nodes."""
-        types, matches = shape
-        ends = run_ends(types)
-        e, out = self.entries, []
-        known: list[list[tuple]] = [[] for _ in types]
-        for p, n, lo, hi in matches:
-            known[p] += [(p, p + n, 0, int(e.ids[r]), int(e.left[r]), int(e.right[r]), int(e.cost[r]), r) for r in range(lo, hi)]
-        for p, kind in enumerate(types):
-            here = known[p]
-            invoke, group, length, left, right, cost, _ = self.unknown[kind]
-            if invoke or not here:
-                reach = group_ends(p, ends[p], group, length)
-                if p + 1 not in reach:
-                    reach.append(p + 1)
-                here += [(p, x, 1, kind, left, right, cost, kind) for x in reach]
-            out.append(here)
-        return out
+    def _shown(self, nodes: Nodes, which: np.ndarray) -> list[tuple]:
+        left, right, cost = self._ids(nodes)
+        number = np.where(nodes.unk, nodes.row, 0)
+        number[~nodes.unk] = self.entries.ids[nodes.row[~nodes.unk]]
+        return list(zip(*(x[which].tolist() for x in (nodes.start, nodes.end, nodes.unk.astype(int), number, left, right, cost)), strict=True))
 
     def candidates(self, seg: str) -> list[tuple]:
-        """(start, end, unknown, entry number or type, left_id, right_id, cost) nodes.
+        """(start, end, unknown, entry number or type, left_id, right_id, cost) of all nodes of a segment.
 
         The order is that of starts; at one start known words before unknown ones.
         """
-        return [node[:7] for here in self._nodes(self._shape(seg)) for node in here]
-
-    def pieces(self, seg: str) -> list[str]:
-        """The segment, cut at the borders of runs that no entry spans."""
-        runs = self.runs.findall(seg)
-        if not self.crossing or len(runs) < 2 or self.crossing.isdisjoint(seg):
-            return runs
-        reach, p, out, begin = 0, 0, [], 0
-        for run in runs:
-            if p and reach <= p:
-                out.append(seg[begin:p])
-                begin = p
-            for i, ch in enumerate(run, p):
-                if ch in self.crossing and (found := self.entries.at(seg, i)):
-                    reach = max(reach, i + found[-1][0])
-            p += len(run)
-        return [*out, seg[begin:]]
-
-    def _decode(self, state: State, piece: str) -> Step:
-        """Best ways through a piece; ties go to the first predecessor by (start, unknown, entry).
-
-        Of predecessors that end at one place with one right_id only the first cheapest
-        can win, so only it is kept. Pieces of one shape share the result.
-        """
-        shape = self._shape(piece, not self.crossing)
-        known = state.shapes.get(shape)
-        if known:
-            return Step(piece, *known)
-        n = len(piece)
-        # best[p]: right_id -> (total, start, unknown, entry, node, state before or way before, costs of right_id)
-        best: list[dict[int, tuple]] = [{} for _ in range(n + 1)]
-        nodes, row_of = self._nodes(shape), self._row
-        first = [(c, i, row_of(r)) for i, (r, c) in enumerate(state.ways)]
-        for p in range(n):
-            before_p = best[p].values()
-            if p and not before_p:
-                continue
-            memo: dict[int, tuple] = {}
-            for node in nodes[p]:
-                _, end, unknown, number, left, right, cost, _ = node
-                found = memo.get(left)
-                if found is None:
-                    low = None
-                    if p:
-                        for s in before_p:
-                            c = s[0] + s[6][left]
-                            if low is None or c < low or (c == low and s[1:4] < before[1:4]):
-                                low, before = c, s
-                    else:
-                        for c, i, row in first:
-                            if low is None or c + row[left] < low:
-                                low, before = c + row[left], i
-                    found = memo[left] = (low, before)
-                total = found[0] + cost
-                ends = best[end]
-                old = ends.get(right)
-                if old is None or total < old[0] or (total == old[0] and (p, unknown, number) < old[1:4]):
-                    ends[right] = (total, p, unknown, number, node, found[1], row_of(right))
-        last = sorted(best[n].items(), key=lambda x: x[1][1:4])
-        base = min(s[0] for _, s in last)
-        if len(last) > 1:
-            # A way that no left_id prefers (the first cheapest counts) never wins.
-            costs = np.stack([self._lefts(r) + (s[0] - base) for r, s in last])
-            last = [last[i] for i in sorted(set(costs.argmin(axis=0).tolist()))]
-        back = []
-        for _, s in last:
-            path = []
-            while True:
-                path.append(s[4])
-                if s[1] == 0:
-                    break
-                s = s[5]
-            back.append((s[5], path[::-1]))
-        found = (base, self._state(tuple((r, s[0] - base) for r, s in last)), back)
-        if n <= MEMO_CHARS:
-            state.shapes[shape] = found
-        return Step(piece, *found)
-
-    def _lefts(self, right_id: int) -> np.ndarray:
-        """Costs from a right_id to every left_id that a node can have."""
-        row = self.to_lefts.get(right_id)
-        if row is None:
-            row = self.to_lefts[right_id] = np.array([self.connection(right_id, x) for x in self.left_ids], np.int64)
-        return row
-
-    def _template(self, piece: str, node: tuple) -> int:
-        a, b, unknown, _, _, _, cost, row = node
-        surface = piece[a:b]
-        pos, base, reading, pron = (self.unknown[row][6], surface, "", "") if unknown else self.entries.feature(row)
-        t, size, numeric = self.templates, len(surface.encode()), is_number(surface, pos)
-        spoken = in_context(surface, None)
-        if spoken is None:
-            return t.add((surface, size, pos, base, reading, pron, cost, not unknown), numeric)
-        k = t.add((surface, size, pos, base, spoken, spoken, cost, not unknown), numeric)
-        unit = in_context(surface, ("0", ""))
-        if unit != spoken:
-            t.after_number[k] = t.add((surface, size, pos, base, unit, unit, cost, not unknown), numeric)
-        return k
-
-    def _through(self, seg: str) -> tuple[int, list[Step], int]:
-        """Total cost, the steps of the pieces, and the way that is best at the end."""
-        state, steps, total = self.begin, [], 0
-        for piece in self.pieces(seg):
-            step = state.after.get(piece)
-            if step is None:
-                step = self._decode(state, piece)
-                if len(piece) <= MEMO_CHARS:
-                    state.after[piece] = step
-                    self.pieces_known += 1
-            steps.append(step)
-            total += step.cost
-            state = step.state
-        ways = state.ways
-        if len(ways) == 1:
-            return total + ways[0][1] + self.connection(ways[0][0], 0), steps, 0
-        low, way = min([(c + self.connection(r, 0), i) for i, (r, c) in enumerate(ways)])
-        return total + low, steps, way
+        cp, _ = code_points(pa.array([seg]))
+        nodes = self._nodes(cp, np.full(len(cp), len(cp)), False)
+        return self._shown(nodes, np.lexsort((np.arange(len(nodes.row)), nodes.unk, nodes.start)))
 
     def path(self, seg: str) -> tuple[int, list[tuple]]:
         """Total cost and nodes of the best path of a segment."""
-        total, steps, way = self._through(seg)
-        parts = []
-        for step in reversed(steps):
-            way, nodes = step.back[way]
-            parts.append(nodes)
-        out, at = [], 0
-        for nodes in reversed(parts):
-            out += [(a + at, b + at, *rest) for a, b, *rest, _ in nodes]
-            at = out[-1][1]
-        return (total if steps else 0), out
-
-    def _numbers(self, text: str, out: list[int], begins: list[int]) -> None:
-        """Appends the template numbers of a text's tokens, and where its segments begin."""
-        for seg in self.split.findall(text):
-            begins.append(len(out))
-            _, steps, way = self._through(seg)
-            parts = []
-            for step in reversed(steps):
-                known = step.templates[way]
-                if known is None:
-                    known = step.templates[way] = [self._template(step.piece, x) for x in step.back[way][1]]
-                parts.append(known)
-                way = step.back[way][0]
-            for x in reversed(parts):
-                out += x
+        cp, _ = code_points(pa.array([seg]))
+        if not len(cp):
+            return 0, []
+        nodes, best = self._best(cp, np.full(len(cp), len(cp)))
+        out = self._shown(nodes, best)
+        ids = [0, *(x[5] for x in out)]
+        joined = sum(self.connection(r, k) for r, k in zip(ids, [*(x[4] for x in out), 0], strict=True))
+        return joined + sum(x[6] for x in out), out
 
-    def token_array(self, texts: pa.Array) -> pa.Array:
-        """Token lists of many texts; null for null."""
-        if self.pieces_known > MEMO_PIECES or len(self.templates.rows) > MEMO_TEMPLATES:
-            self._forget()
-        numbers: list[int] = []
-        begins: list[int] = []
-        offsets, valid = [0], []
-        for text in texts.to_pylist():
-            valid.append(text is not None)
-            if text:
-                self._numbers(text, numbers, begins)
-            offsets.append(len(numbers))
-        t, k = self.templates, np.array(numbers, np.int64)
-        if len(k):
-            # A token behind a number in its segment takes its reading as a unit.
-            behind = np.zeros(len(k), bool)
-            behind[1:] = np.array(t.numeric)[k[:-1]]
-            behind[begins] = False
-            k = np.where(behind, np.array(t.after_number)[k], k)
-        used, k = np.unique(k, return_inverse=True)
-        cols = list(zip(*[t.rows[i] for i in used.tolist()], strict=True)) if len(used) else [()] * 8
-        size = np.array(cols[1], np.int64)[k]
-        total = np.concatenate([[0], np.cumsum(size)])
-        first = np.repeat(total[np.array(offsets[:-1], np.int64)], np.diff(offsets))
-        at = pa.array(k, pa.int32())
-        fields = [pa.array(cols[i], f.type).take(at) for i, f in ((0, TOKEN_TYPE[0]), *zip(range(2, 8), list(TOKEN_TYPE)[3:], strict=True))]
-        items = pa.StructArray.from_arrays([fields[0], pa.array(total[:-1] - first), pa.array(total[1:] - first), *fields[1:]], fields=list(TOKEN_TYPE))
-        starts = pa.array([o if ok else None for o, ok in zip(offsets, [*valid, True], strict=True)], pa.int32())
-        return pa.ListArray.from_arrays(starts, items)
 
-    def tokens(self, text: str) -> list[tuple]:
-        """Tokens of a text, sentence by sentence, with byte offsets in the text."""
-        return [tuple(t.values()) for t in self.token_array(pa.array([text], pa.string()))[0].as_py()]
+_BOUNDARY = np.array([ord(c) for c in BOUNDARIES], np.uint32)
+
+
+def _letter(cp: np.ndarray) -> np.ndarray:
+    low = cp | 0x20
+    return (low >= 0x61) & (low <= 0x7A) & (cp < 0x80)
+
+
+def _digit(cp: np.ndarray) -> np.ndarray:
+    """Characters of a number: those of ``readings.NUMBER``."""
+    return ((cp >= 0x30) & (cp <= 0x39)) | (cp == 0x2E) | (cp == 0x2C) | ((cp >= 0xFF10) & (cp <= 0xFF19))
+
+
+def _all(flag: np.ndarray, start: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """Whether all characters of each token are flagged."""
+    if not len(start):
+        return np.zeros(0, bool)
+    return np.logical_and.reduceat(flag, start)

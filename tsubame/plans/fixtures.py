@@ -1,4 +1,4 @@
-"""Small lexicons and texts for the registered queries, and their SQL literals."""
+"""Small lexicons for tests and registered queries, and SQL literals."""
 
 from __future__ import annotations
 
@@ -23,10 +23,6 @@ JAPANESE = [
     ("た", 12, 3700, "助動詞,*,*,*", "タ", "タ"),
     ("な", 12, 4400, "助動詞,*,*,*", "ナ", "ナ"),
 ]
-TEXTS = [
-    "犬も山へ行く", "大学生と学生を見た", "犬はCATを見る", "250W", "7A", "24V", "K", "QRSTU", "山🌋", "静寂夜", "かきくけこ", "テレビ", "    ",
-    "犬を見た。山を見た。", "犬！山？犬。", "犬\n山", "5 km", "42km", "３５kHz!", "大学へ行く", "静かな山。90hp", "２7bＢ", "x9y8",
-]
 _WORDS = "the th he in an and on of er re en to de la le que ou est st at ing ion ti es a e".split()
 # Words of the tables, with homographs; few ids, so that equal totals occur.
 LATIN = [(w, i % 5 + 1, 400 * (9 - len(w)) - 900 * (i % 3), f"名詞,一般,{len(w)},*", "", "") for i, w in enumerate([*_WORDS, "the", "on", "in", "er"])]

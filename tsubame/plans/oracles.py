@@ -45,15 +45,16 @@ def runs(key: str) -> str:
     return f"toks AS (SELECT {key}, seg_idx, CAST(i - 1 AS INTEGER) AS tok_idx, t[i] AS surface FROM (SELECT {key}, seg_idx, t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT {key}, seg_idx, {surfaces('seg')} AS t FROM segs)))"
 
 
-def lattice(key: str, lexicon: list[tuple], flat: bool = False) -> str:
+def lattice(key: str, lexicon: list[tuple] | str, flat: bool = False) -> str:
     """CTEs up to ``nodes`` (key, seg_idx, start, end, unk, entry_id, left_id, right_id, word_cost, type).
 
-    ``lexicon`` has rows (surface, left_id, right_id, cost, pos, base_form, reading, pronunciation).
+    ``lexicon`` has rows (surface, left_id, right_id, cost, pos, base_form, reading, pronunciation), or is a
+    select of such rows with their numbers in front.
     """
-    lex = values([(i, *r) for i, r in enumerate(lexicon)]) if lexicon else "(SELECT 0, '', 0, 0, 0, '', '', '', '' WHERE false)"
+    lex = lexicon if isinstance(lexicon, str) else values([(i, *r) for i, r in enumerate(lexicon)]) if lexicon else "(SELECT 0, '', 0, 0, 0, '', '', '', '' WHERE false)"
     unk = values([(k, i, *u[:3], 0, 0, *((10_000, "名詞,一般,*,*") if flat else u[3:])) for i, (k, (_, u)) in enumerate(CLASSES.items())])
     k = f"{key}, seg_idx"
-    return f"""lex(entry_id, surface, left_id, right_id, cost, pos, base_form, reading, pronunciation) AS {lex},
+    return f"""lex(entry_id, surface, left_id, right_id, cost, pos, base_form, reading, pronunciation) AS MATERIALIZED {lex},
 unk(type, no, invoke, grp, len, left_id, right_id, cost, pos) AS {unk},
 chars AS (SELECT {k}, seg, length(seg) AS n, p, substr(seg, p + 1, 1) AS ch FROM (SELECT {k}, seg, unnest(range(0, length(seg))) AS p FROM segs)),
 typed AS (SELECT *, {type_case("ch")} AS type FROM chars),
@@ -99,9 +100,16 @@ toks AS (SELECT {k}, CAST(tok_idx AS INTEGER) AS tok_idx, c.surface, CAST(s AS B
   FROM cutup c LEFT JOIN lex ON u = 0 AND lex.entry_id = eid LEFT JOIN unk ON u = 1 AND unk.no = eid)"""
 
 
-def texts(rows: list[str]) -> str:
-    return "src AS (SELECT * FROM " + values(list(enumerate(rows))) + " AS v(id, text))"
-
-
 def literal_map(m: dict[str, str]) -> str:
     return "MAP {" + ", ".join(f"{quoted(k)}: {quoted(v)}" for k, v in m.items()) + "}"
+
+
+# Fixed values, stated anew: readings of letters and units, numbers, default classes, parts of speech of another layout.
+LETTERS = literal_map(dict(zip("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "エー ビー シー ディー イー エフ ジー エイチ アイ ジェー ケー エル エム エヌ オー ピー キュー アール エス ティー ユー ブイ ダブリュー エックス ワイ ゼット".split(), strict=True)))
+UNIT_LETTERS = literal_map(dict(zip("WAVJNTFH", "ワット アンペア ボルト ジュール ニュートン テスラ ファラド ヘンリー".split(), strict=True)))
+UNIT_NAMES = "Hz kHz MHz GHz km cm mm nm kg mg kW MW mA kV dB Pa hPa kPa MPa KB MB GB TB Wh kWh Ah mAh cc hp rpm fps bps Mbps Gbps".split()
+UNITS = literal_map(dict(zip(UNIT_NAMES, "ヘルツ キロヘルツ メガヘルツ ギガヘルツ キロメートル センチメートル ミリメートル ナノメートル キログラム ミリグラム キロワット メガワット ミリアンペア キロボルト デシベル パスカル ヘクトパスカル キロパスカル メガパスカル キロバイト メガバイト ギガバイト テラバイト ワットアワー キロワットアワー アンペアアワー ミリアンペアアワー シーシー 馬力 アールピーエム エフピーエス ビーピーエス メガビーピーエス ギガビーピーエス".split(), strict=True)))
+NUMBER = "^[0-9.,０-９]+$"
+NUMBER_POS = "名詞,数"
+CLASS_NAMES = ["DEFAULT", "SPACE", "KANJI", "HIRAGANA", "KATAKANA", "ALPHA", "NUMERIC", "SYMBOL", "KANJINUMERIC"]
+POS = values([("名詞,普通名詞,一般", "名詞,一般,*,*", 1285), ("動詞,非自立可能", "動詞,非自立,*,*", 919), ("助詞,終助詞", "助詞,終助詞,*,*", 279), ("名詞,固有名詞,地名,国", "名詞,固有名詞,地域,国", 1294), ("代名詞", "名詞,代名詞,一般,*", 1306)])

@@ -1,8 +1,7 @@
-"""Readers of the definition files of a lexicon: CSV, matrix, classes, templates.
+"""Readers of the definition files of a lexicon: CSV, classes, templates.
 
-CSV files are parsed by Spark tasks, one file in one task, and keep their order as
-(file, index). The other files are small and read on the driver, as their order is
-their meaning (first template, last duplicate).
+CSV files are read in splits (see ``scan``) and keep their order as (file, record). Class
+and template files are small and read on the driver, as their order is their meaning.
 """
 
 from __future__ import annotations
@@ -17,6 +16,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tsubame.sources.scan import csv_records, csv_row
 
 ENTRY = ["surface", "left_id", "right_id", "cost", "pos", "base_form", "reading", "pronunciation"]
 
@@ -48,36 +48,34 @@ def list_csv(spark: SparkSession, folder: str, exclude: Iterable[str] = ()) -> l
 
 
 def csv_fields(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(file, idx, f) of every row of these CSV files: its fields, in any number."""
+    """(file, idx, f) of every row of these CSV files: its fields, in any number; idx is the record's number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                rows = [r for r in csv.reader(io.StringIO(decode(raw.as_py()), newline="")) if r]
-                yield pa.record_batch([pa.array([path] * len(rows), pa.string()), pa.array(range(len(rows)), pa.int32()), pa.array(rows, pa.list_(pa.string()))], ["file", "idx", "f"])
+            f = pa.array([csv_row(v) or None for v in b.column(2).to_pylist()], pa.list_(pa.string()))
+            yield pa.record_batch([b.column(0), b.column(1), f], ["file", "idx", "f"])
 
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
-    return files.repartition(len(paths)).mapInArrow(run, "file string, idx int, f array<string>")
+    return csv_records(spark, paths).mapInArrow(run, "file string, idx long, f array<string>").where("f is not null")
 
 
 def csv_entries(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(file, idx, error, fields of an entry) of these lexicon CSV files; an unusable file has one row, its error."""
+    """(file, rec, error, fields of an entry) of these lexicon CSV files; a record that is unusable has only its error."""
     kinds = [pa.int32() if n in ("left_id", "right_id", "cost") else pa.string() for n in ENTRY]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                try:
-                    rows, error = lexicon_rows(decode(raw.as_py()), path), None
-                except LexiconError as e:
-                    rows, error = [("", 0, 0, 0, "", "", "", "")], str(e)
-                n = len(rows)
-                cols = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
-                yield pa.record_batch([pa.array([path] * n, pa.string()), pa.array(range(n), pa.int32()), pa.array([error] * n, pa.string()), *cols], ["file", "idx", "error", *ENTRY])
+            out: list[tuple] = []
+            for file, rec, value in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if row := csv_row(value):
+                    try:
+                        out.append((file, rec, None, *entry_of(row, f"{file}:{rec}")))
+                    except LexiconError as e:
+                        out.append((file, rec, str(e), *[None] * len(ENTRY)))
+            cols = [pa.array([r[i] for r in out], k) for i, k in enumerate([pa.string(), pa.int64(), pa.string(), *kinds])]
+            yield pa.record_batch(cols, ["file", "rec", "error", *ENTRY])
 
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
-    ddl = "file string, idx int, error string, surface string, left_id int, right_id int, cost int, pos string, base_form string, reading string, pronunciation string"
-    return files.repartition(len(paths)).mapInArrow(run, ddl).withColumn("cost", F.col("cost").cast("short"))
+    ddl = "file string, rec long, error string, surface string, left_id int, right_id int, cost int, pos string, base_form string, reading string, pronunciation string"
+    return csv_records(spark, paths).mapInArrow(run, ddl).withColumn("cost", F.col("cost").cast("short"))
 
 
 def decode(raw: bytes) -> str:
@@ -98,45 +96,24 @@ def _int(text: str, lo: int, hi: int, place: str) -> int:
     return value
 
 
-def lexicon_rows(text: str, name: str = "lexicon") -> list[tuple]:
-    """(surface, left_id, right_id, cost, pos, base_form, reading, pronunciation) rows.
+def entry_of(row: list[str], at: str) -> tuple:
+    """(surface, left_id, right_id, cost, pos, base_form, reading, pronunciation) of a row of fields.
 
     A base form that is missing is the surface; one that is empty stays empty.
     """
-    out = []
-    for no, row in enumerate(csv.reader(io.StringIO(text, newline="")), 1):
-        if not row:
-            continue
-        at = f"{name}:{no}"
-        if len(row) < 5:
-            raise LexiconError(f"{at}: {len(row)} columns, at least 5 are needed")
-        if row[0] == "":
-            raise LexiconError(f"{at}: empty surface")
-        ids = [_int(row[i], 0, 65_535, f"{at}:{f}") for i, f in ((1, "left_id"), (2, "right_id"))]
-        cost = _int(row[3], -32_768, 32_767, f"{at}:cost")
-        get = lambda i, default="": row[i] if len(row) > i else default  # noqa: B023, E731
-        out.append((row[0], *ids, cost, ",".join(row[4:8]), get(10, row[0]), get(11), get(12)))
-    return out
+    if len(row) < 5:
+        raise LexiconError(f"{at}: {len(row)} columns, at least 5 are needed")
+    if row[0] == "":
+        raise LexiconError(f"{at}: empty surface")
+    ids = [_int(row[i], 0, 65_535, f"{at}:{f}") for i, f in ((1, "left_id"), (2, "right_id"))]
+    cost = _int(row[3], -32_768, 32_767, f"{at}:cost")
+    get = lambda i, default="": row[i] if len(row) > i else default
+    return (row[0], *ids, cost, ",".join(row[4:8]), get(10, row[0]), get(11), get(12))
 
 
-def matrix_rows(text: str, name: str = "matrix.def") -> tuple[int, int, dict[tuple[int, int], int]]:
-    """(left size, right size, {(right_id, left_id): cost}); the last duplicate counts."""
-    lines = text.splitlines()
-    head = lines[0].split() if lines else []
-    if len(head) < 2:
-        raise LexiconError(f"{name}:1: two sizes are needed")
-    left, right = (_int(x, 0, 65_535, f"{name}:1") for x in head[:2])
-    flat: dict[int, int] = {}
-    for no, line in enumerate(lines[1:], 2):
-        part = line.split()
-        if len(part) < 3 or line.lstrip().startswith("#"):
-            continue
-        r, k = (_int(x, 0, 65_535, f"{name}:{no}") for x in part[:2])
-        at = r * left + k
-        if at >= left * right:
-            raise LexiconError(f"{name}:{no}: ({r}, {k}) lies outside {left} x {right}")
-        flat[at] = _int(part[2], -32_768, 32_767, f"{name}:{no}")
-    return left, right, {divmod(at, left): c for at, c in flat.items()}
+def lexicon_rows(text: str, name: str = "lexicon") -> list[tuple]:
+    """Entries of a small CSV text, on the driver."""
+    return [entry_of(row, f"{name}:{no}") for no, row in enumerate(csv.reader(io.StringIO(text, newline="")), 1) if row]
 
 
 def parse_range(text: str) -> tuple[int, int] | None:

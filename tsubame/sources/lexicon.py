@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from tsubame import schema
 from tsubame.functions.charclass import DEFAULT_CLASSES, Classifier, class_of_type, TYPES
 from tsubame.functions.readings import is_katakana
-from tsubame.session import cut
+from tsubame.session import cut, numbered
 from tsubame.sources import definitions as d
+from tsubame.sources.scan import matrix
 
 TABLES = {"entries": schema.LEXICON, "matrix": schema.MATRIX, "char_class": schema.CHAR_CLASS, "char_range": schema.CHAR_RANGE, "unk": schema.UNK}
 
@@ -138,15 +139,19 @@ class LexiconBuilder:
     def _add_files(self, paths: list[str]) -> LexiconBuilder:
         """Entries of CSV files in this order; they are parsed once, into the shared folder."""
         found = cut(d.csv_entries(self._open().spark, paths))
-        files = {r["file"]: r for r in found.groupBy("file").agg(F.count("*").alias("n"), F.min("error").alias("error")).collect()}
-        at, start = 0, []
-        for path in sorted(files):
-            if files[path]["error"]:
-                raise d.LexiconError(files[path]["error"])
-            start.append((path, at))
-            at += files[path]["n"]
-        offsets = F.broadcast(self.spark.createDataFrame(start, "file string, at int"))
-        self._parts.append(found.join(offsets, "file").select((F.col("at") + F.col("idx")).alias("entry_id"), *d.ENTRY))
+        first = found.agg(F.min(F.when(F.col("error").isNotNull(), F.struct("file", "rec", "error"))).alias("x")).first()["x"]
+        if first:
+            raise d.LexiconError(first["error"])
+        self._parts.append(numbered(found, ["file", "rec"], "entry_id").select("entry_id", *d.ENTRY))
+        return self
+
+    def add_frame(self, rows: DataFrame, order: list[str]) -> LexiconBuilder:
+        """Entries of a DataFrame with the columns of an entry, numbered in the order of ``order``."""
+        rows = rows.withColumns({"left_id": F.col("left_id").cast("int"), "right_id": F.col("right_id").cast("int"), "cost": F.col("cost").cast("short")})
+        rows = cut(rows)
+        if rows.where("surface is null or surface = ''").head(1):
+            raise d.LexiconError("empty surface")
+        self._open()._parts.append(numbered(rows, order, "entry_id").select("entry_id", *d.ENTRY))
         return self
 
     def add_csv(self, path: str) -> LexiconBuilder:
@@ -155,14 +160,15 @@ class LexiconBuilder:
     def add_csv_dir(self, folder: str, exclude: Iterable[str] = ()) -> LexiconBuilder:
         return self._add_files(d.list_csv(self._open().spark, folder, exclude))
 
-    def set_matrix(self, left: int, right: int, costs: dict[tuple[int, int], int]) -> LexiconBuilder:
+    def set_matrix(self, left: int, right: int, costs: dict[tuple[int, int], int] | DataFrame) -> LexiconBuilder:
+        """Costs by (right_id, left_id), or as a DataFrame (right_id, left_id, cost)."""
         if left != right:
             warnings.warn(f"the matrix is {left} x {right}, not square", stacklevel=2)
-        self._open()._matrix = (left, right, dict(costs))
+        self._open()._matrix = (left, right, costs if isinstance(costs, DataFrame) else dict(costs))
         return self
 
     def load_matrix(self, path: str) -> LexiconBuilder:
-        return self.set_matrix(*d.matrix_rows(d.decode(d.read_bytes(self._open().spark, path)), path))
+        return self.set_matrix(*matrix(self._open().spark, path))
 
     def set_classifier(self, classifier: Classifier) -> LexiconBuilder:
         self._open()._classifier = classifier
@@ -184,12 +190,12 @@ class LexiconBuilder:
     def build(self) -> Lexicon:
         self._open()._done = True
         left, right, costs = self._matrix or (1, 1, {})
-        matrix = costs if isinstance(costs, DataFrame) else [(r, k, v) for (r, k), v in costs.items()]
+        cells = costs if isinstance(costs, DataFrame) else [(r, k, v) for (r, k), v in costs.items()]
         c = self._classifier or Classifier.default()
         usable = {class_of_type(t) for t in TYPES}
         rows = {
             "entries": self._entries(),
-            "matrix": matrix,
+            "matrix": cells,
             "char_class": [(n, *v) for n, v in c.classes.items()],
             "char_range": [(i, *r) for i, r in enumerate(c.ranges)],
             "unk": [(u[0], i, *u[1:]) for i, u in enumerate(dict.fromkeys(u for u in self._unk if u[0] in usable))],
