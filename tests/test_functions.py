@@ -56,7 +56,7 @@ def test_sentences(spark, text, want):
 
 def test_offsets_are_bytes(spark):
     df = spark.createDataFrame([(1, "é!猫")], "k int, text string")
-    rows = segment.with_offsets(segment.split_sentences(df, "text", ["k"]), ["k"]).orderBy("seg_idx").collect()
+    rows = segment.split_with_offsets(df, "text", ["k"]).orderBy("seg_idx").collect()
     assert [(r["start"], r["end"]) for r in rows] == [(0, 3), (3, 6)]
 
 
@@ -90,3 +90,24 @@ def test_renderers(spark):
     assert tuple(rows[1]) == ("EOS\n", "", "[]")
     with pytest.raises(ValueError, match="unknown format"):
         render.render(F.col("t"), "xml")
+
+
+def test_a_thousand_ranges(spark):
+    """The column's types by paged table equal the plain table, whatever the number of ranges."""
+    c = cc.Classifier({}, [(0x100 + 40 * i, 0x100 + 40 * i + i % 40, ["ALPHA", "KANJI", "SYMBOL", "SPACE"][i % 4]) for i in range(1000)])
+    points = [x for a, b, _ in c.intervals() for x in (a, b, b + 1) if not 0xD800 <= x < 0xE000]
+    rows = spark.createDataFrame([(i, chr(x)) for i, x in enumerate(points)], "i int, ch string")
+    got = [r[1] for r in rows.select("i", c.column(F.col("ch"))).orderBy("i").collect()]
+    assert got == [cc.TYPES[k] for k in c.table()[points]]
+    assert [r[0] for r in spark.createDataFrame([(None,), ("",)], "ch string").select(c.column(F.col("ch"))).collect()] == ["DEFAULT", "DEFAULT"]
+
+
+def test_offsets_of_segments(spark):
+    texts = ["ab。c\n", "", None, "é！！x?", "🌋", "\n"]
+    rows = segment.split_with_offsets(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), "text", ["i"]).collect()
+    for i, text in enumerate(texts):
+        mine = sorted((r["seg_idx"], r["seg"], r["start"], r["end"]) for r in rows if r["i"] == i)
+        assert "".join(r[1] for r in mine) == (text or "") and [r[0] for r in mine] == list(range(len(mine)))
+        raw = (text or "").encode()
+        assert all(raw[s:e].decode() == seg for _, seg, s, e in mine)
+    assert len(rows) == 2 + 3 + 1 + 1 + 0 + 0 + 0

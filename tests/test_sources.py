@@ -1,4 +1,7 @@
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from tsubame.cli import main, parser
 from tsubame.functions.charclass import Classifier
@@ -148,3 +151,62 @@ def test_command_line(spark, folder, capsys):
     assert "1 entries repaired" in capsys.readouterr().out
     with pytest.raises(SystemExit):
         parser().parse_args(["nonsense"])
+
+
+def test_versions(spark, folder):
+    """Readers keep the version that they opened; of two writers that follow one version the second is refused."""
+    first = lx.build(spark, f"{folder}/src")
+    assert first.commit(f"{folder}/v") == 1
+    reader = lx.Lexicon.read(spark, f"{folder}/v")
+    (folder / "more.csv").write_text("猫,1,1,1,動詞\n")
+    assert lx.merge(spark, f"{folder}/v", f"{folder}/more.csv", f"{folder}/v") == f"{folder}/v"
+    assert reader.entries.count() == 3 and lx.Lexicon.read(spark, f"{folder}/v").entries.count() == 4
+    with pytest.raises(d.LexiconError, match="another writer has made version 2"):
+        first.commit(f"{folder}/v", after=1)
+    assert lx.latest(spark, f"{folder}/v") == 2 and lx.Lexicon.read(spark, f"{folder}/v").entries.count() == 4
+    first.write(f"{folder}/plain")
+    with pytest.raises(d.LexiconError, match="without versions"):
+        lx.merge(spark, f"{folder}/plain", f"{folder}/more.csv", f"{folder}/plain")
+
+
+def test_pools(spark, folder):
+    lx.build(spark, f"{folder}/src").write(f"{folder}/p")
+    read = lx.Lexicon.read(spark, f"{folder}/p")
+    assert [r["value"] for r in read.pool("strings").orderBy("id").collect()] == ["猫", "名詞,一般,*,*", "ネコ", "犬", "", "イヌ", "inu", "鳥", "名詞"]
+    assert [tuple(r)[1:] for r in read.pool("features").orderBy("id").collect()] == [("名詞,一般,*,*", "猫", "ネコ", "ネコ"), ("名詞,一般,*,*", "", "イヌ", "inu"), ("名詞", "鳥", "", "")]
+
+
+def test_blocks_equal_a_plain_walk(spark):
+    rng = random.Random(7)
+
+    def cut(n):
+        ends = sorted(rng.sample(range(1, n), rng.randint(0, n - 1))) + [n] if n else []
+        return [{"surface": f"{a}-{b}", "start": a, "end": b, "reading": rng.choice("xy"), "pos": "p"} for a, b in zip([0, *ends], ends)]
+
+    rows = [(i, cut(n), cut(n)) for i, n in enumerate([0, 1, 2, 30, 0, 9, *(rng.randint(1, 40) for _ in range(30))])] + [(99, None, None)]
+    token = "array<struct<surface:string,start:bigint,end:bigint,reading:string,pos:string>>"
+    df = spark.createDataFrame(rows, f"id int, l {token}, r {token}").repartition(3)
+    out = df.withColumn("b", compare.blocks("l", "r")).withColumn("s", compare.scores(F.col("b"), F.col("l"), F.col("r")))
+    got = {r["id"]: r for r in out.collect()}
+    for i, l, r in rows:
+        if l is None:
+            assert got[i]["b"] is None
+            continue
+        want, a, b, at = [], [], [], 0
+        l, r = list(l), list(r)
+        while l or r:
+            if not b or (a and a[-1]["end"] < b[-1]["end"]):
+                (a if a and b or not a else b).append((l if a and b or not a else r).pop(0))
+            else:
+                b.append(r.pop(0)) if b[-1]["end"] < a[-1]["end"] else None
+            if a and b and a[-1]["end"] == b[-1]["end"]:
+                same = (a[0]["reading"] == b[0]["reading"], True) if len(a) == len(b) == 1 else (None, None)
+                want.append((at, a[-1]["end"], [x["surface"] for x in a], [x["surface"] for x in b], *same))
+                at, a, b = a[-1]["end"], [], []
+        assert [tuple(x) for x in got[i]["b"]] == want, i
+        s = got[i]["s"]
+        ends = {x["end"] for x in rows[i][1]} & {x["end"] for x in rows[i][2]}
+        spans = {(x["start"], x["end"]) for x in rows[i][1]} & {(x["start"], x["end"]) for x in rows[i][2]}
+        assert (s["blocks"], s["same_words"]) == (len(ends), len(spans))
+        if rows[i][1]:
+            assert s["word_f"] == 2 * len(spans) / (len(rows[i][1]) + len(rows[i][2])) and s["boundary_recall"] == len(ends) / len(rows[i][1])

@@ -66,7 +66,7 @@ def sentence_split(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""{SEGS} SELECT doc_id, seg_idx, CAST(e - strlen(seg) AS BIGINT) AS "start", CAST(e AS BIGINT) AS "end"
 FROM (SELECT *, sum(strlen(seg)) OVER (PARTITION BY doc_id ORDER BY seg_idx) AS e FROM segs)""")
 def sentence_offsets(spark: SparkSession, sf: str) -> DataFrame:
-    return segment.with_offsets(segments_of(table(spark, sf, "documents"), DOC), DOC).select("doc_id", "seg_idx", "start", "end")
+    return segment.split_with_offsets(table(spark, sf, "documents"), "text", DOC).drop("seg")
 
 
 @query(f"""SELECT lang, {sql.type_case("ch")} AS type, count(*) AS n
@@ -167,11 +167,12 @@ def tokenize_documents(spark: SparkSession, sf: str) -> DataFrame:
     return t.select("doc_id", F.size("tokens").alias("n_tokens"), known.alias("n_known"), cost.alias("word_costs"))
 
 
-# Entries that begin at each place of a text, by length: an entry is found through its first characters.
-@query(f"""WITH {tb.WORD_LEXICON}, sizes AS (SELECT DISTINCT length(surface) AS k FROM lex),
-at AS (SELECT doc_id, text, unnest(range(1, length(text) + 1)) AS p FROM documents),
-hit AS (SELECT a.doc_id, lex.entry_id, k FROM at a, sizes JOIN lex ON lex.surface = substr(a.text, a.p, sizes.k))
-SELECT d.doc_id, count(entry_id) AS n, CAST(coalesce(sum(k), 0) AS BIGINT) AS characters, CAST(coalesce(sum(entry_id), 0) AS BIGINT) AS entry_ids FROM documents d LEFT JOIN hit USING (doc_id) GROUP BY d.doc_id""")
+# Entries are runs of letters, so they lie inside words: all substrings of each word, once a word.
+@query(f"""WITH {tb.WORD_LEXICON}, w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÖØ-öø-ÿ]+')) AS w FROM documents),
+sub AS (SELECT w, unnest(flatten(list_transform(range(1, length(w)), lambda i: list_transform(range(i + 1, length(w) + 1), lambda j: w[i:j])))) AS s FROM (SELECT DISTINCT w FROM w)),
+hit AS (SELECT w, count(*) AS n, sum(length(s)) AS k, sum(entry_id) AS e FROM sub JOIN lex ON surface = s GROUP BY w),
+total AS (SELECT doc_id, sum(n) AS n, sum(k) AS k, sum(e) AS e FROM w JOIN hit USING (w) GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n, CAST(coalesce(k, 0) AS BIGINT) AS characters, CAST(coalesce(e, 0) AS BIGINT) AS entry_ids FROM documents LEFT JOIN total USING (doc_id)""")
 def prefix_documents(spark: SparkSession, sf: str) -> DataFrame:
     """All entries of a lexicon of real size at all places of the documents."""
     found = Analyzer(tb.word_lexicon(spark, sf)).prefixes(spread(table(spark, sf, "documents").select("doc_id", "text")), into="found")
@@ -219,8 +220,9 @@ def unit_readings(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"{UNK_TOKENS} SELECT surface, count(*) AS n FROM toks WHERE regexp_matches(surface, '{sql.NUMBER}') GROUP BY 1")
 def number_like(spark: SparkSession, sf: str) -> DataFrame:
-    t = unknown_tokens(table(spark, sf, "documents"), "text", DOC)
-    return t.where(readings.is_number_like(F.col("surface"), F.lit(""))).groupBy("surface").agg(F.count("*").alias("n"))
+    # Numbers are picked inside the array, so other tokens are never rows.
+    numbers = F.filter(text_surfaces(F.col("text")), lambda s: readings.is_number_like(s, F.lit("")))
+    return table(spark, sf, "documents").select(F.explode(numbers).alias("surface")).groupBy("surface").agg(F.count("*").alias("n"))
 
 
 # Renderings.
@@ -370,6 +372,30 @@ def lexicon_info(spark: SparkSession, sf: str) -> DataFrame:
     return lexicon.LexiconBuilder(spark).add_csv_dir(tb.lexicon_folder(spark, sf)).build().info().select("entries", "strings", "features")
 
 
+@query(f"""WITH l AS (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS k, {_LEX} FROM {tb.CSV_ENTRIES}),
+s AS (SELECT unnest([surface, pos, base_form, reading, pronunciation]) AS value, unnest([5 * k, 5 * k + 1, 5 * k + 2, 5 * k + 3, 5 * k + 4]) AS spot FROM l),
+t AS (SELECT [pos, base_form, reading, pronunciation] AS f, min(k) AS spot FROM l GROUP BY 1)
+SELECT 'string' AS pool, row_number() OVER (ORDER BY min(spot)) - 1 AS id, value FROM s GROUP BY value UNION ALL SELECT 'feature', row_number() OVER (ORDER BY spot) - 1, array_to_string(f, chr(9)) FROM t""")
+def lexicon_pools(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct strings and features with dense ids by first appearance, from a written bundle."""
+    to = scratch(spark)
+    lexicon.LexiconBuilder(spark).add_csv_dir(tb.lexicon_folder(spark, sf)).build().write(to)
+    read = lexicon.Lexicon.read(spark, to)
+    strings = read.pool("strings").select(F.lit("string").alias("pool"), F.col("id").cast("long").alias("id"), "value")
+    features = read.pool("features").select(F.lit("feature").alias("pool"), F.col("id").cast("long").alias("id"), F.concat_ws("\t", "pos", "base_form", "reading", "pronunciation").alias("value"))
+    return strings.unionByName(features)
+
+
+@query(_PARTS.format(order="k, p_partkey", rows=f"(SELECT *, p_partkey % 3 AS k FROM {tb.CSV_ENTRIES})"))
+def lexicon_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """A bundle that is merged into itself twice; each merge is one more version under the same path."""
+    path = scratch(spark)
+    lexicon.LexiconBuilder(spark).add_csv_dir(tb.lexicon_folder(spark, sf, "p_partkey % 3 = 0")).build().commit(path)
+    for k in (1, 2):
+        lexicon.merge(spark, path, tb.lexicon_folder(spark, sf, f"p_partkey % 3 = {k}"), path)
+    return lexicon.Lexicon.read(spark, path).entries
+
+
 # Conversions.
 @query("""SELECT p_partkey AS idx, concat_ws('|', p_name, p_size, p_partkey % 9, p_partkey % 100) || CASE WHEN p_partkey % 5 = 0 THEN '' ELSE '|' || concat_ws('|', p_type, p_brand, 'a', '*', 'b', '', 'l' || p_partkey, 'r' || p_partkey, 'p' || p_partkey) END AS fields FROM part""")
 def unidic_convert(spark: SparkSession, sf: str) -> DataFrame:
@@ -432,6 +458,25 @@ def compare_agreement(spark: SparkSession, sf: str) -> DataFrame:
     return cmp.agreement(spans).select("spans", "both", "left_only", "right_only")
 
 
+# The right side cuts every word of Latin letters behind its third one, so two of its tokens meet one of the left side.
+_SIDES = f"""t AS (SELECT doc_id, unnest({{surfaces}}) AS w FROM documents),
+c AS (SELECT doc_id, regexp_matches(w, '^[A-Za-z]{{{{4,}}}}$') AS two, count(*) AS n FROM t GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {_SIDES.format(surfaces=f"flatten(list_transform(regexp_extract_all(text, '{sql.SPLIT}'), lambda s: {sql.surfaces('s')}))")},
+n AS (SELECT doc_id, sum(n) AS l, sum(CASE WHEN two THEN 2 * n ELSE n END) AS r, sum(CASE WHEN two THEN 0 ELSE n END) AS one FROM c GROUP BY 1)
+SELECT doc_id, CAST(l AS BIGINT) AS left_words, CAST(r AS BIGINT) AS right_words, CAST(l AS BIGINT) AS blocks, CAST(one AS BIGINT) AS same_words, CAST(one AS BIGINT) AS same_readings,
+  round(l / r, 9) AS boundary_precision, round(one / l, 9) AS word_recall, round(2 * one / (l + r), 9) AS word_f FROM n""")
+def align_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Two segmentations of each document, aligned inside its row: no shuffle."""
+    halves = F.expr("flatten(transform(words, w -> CASE WHEN w rlike '^[A-Za-z]{4,}$' THEN array(substring(w, 1, 3), substring(w, 4)) ELSE array(w) END))")
+    docs = table(spark, sf, "documents").select("doc_id", text_surfaces(F.col("text")).alias("words")).where(F.size("words") > 0).withColumn("halves", halves)
+    sides = docs.select("doc_id", cmp.placed(F.col("words")).alias("l"), cmp.placed(F.col("halves")).alias("r"))
+    found = sides.withColumn("b", cmp.blocks("l", "r")).select("doc_id", cmp.scores(F.col("b"), F.col("l"), F.col("r")).alias("s"))
+    shares = [F.round(f"s.{c}", 9).alias(c) for c in ("boundary_precision", "word_recall", "word_f")]
+    return found.select("doc_id", *[f"s.{c}" for c in ("left_words", "right_words", "blocks", "same_words", "same_readings")], *shares)
+
+
 @query("SELECT 'documents' AS source, CAST(0 AS BIGINT) AS violations UNION ALL SELECT 'conversations', 0 UNION ALL SELECT 'pages', 0")
 def coverage_invariant(spark: SparkSession, sf: str) -> DataFrame:
     """Surfaces join to the text, and offsets leave no gap."""
@@ -447,8 +492,10 @@ def coverage_invariant(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"{SEGS.replace('doc_id', 'doc_id, lang')}, t AS (SELECT lang, doc_id, seg, unnest({sql.surfaces('seg')}) AS surface FROM segs) SELECT lang, count(*) AS n_tokens, count(DISTINCT surface) AS n_types, CAST(max(length(surface)) AS INTEGER) AS longest FROM t GROUP BY lang")
 def token_stats_by_lang(spark: SparkSession, sf: str) -> DataFrame:
-    t = unknown_tokens(table(spark, sf, "documents"), "text", ["doc_id", "lang"])
-    return t.groupBy("lang").agg(F.count("*").alias("n_tokens"), F.countDistinct("surface").alias("n_types"), F.max(F.char_length("surface")).alias("longest"))
+    words = table(spark, sf, "documents").select("lang", F.explode(text_surfaces(F.col("text"))).alias("surface"))
+    # One row a language and surface from here on.
+    types = words.groupBy("lang", "surface").agg(F.count("*").alias("n"))
+    return types.groupBy("lang").agg(F.sum("n").alias("n_tokens"), F.count("*").alias("n_types"), F.max(F.char_length("surface")).alias("longest"))
 
 
 @query(f"{LATIN_TOKENS} SELECT pos, is_known, count(*) AS n FROM tokens GROUP BY 1, 2")

@@ -109,10 +109,14 @@ class Classifier:
         return self.classes.get(class_of_type(kind), (False, True, 0))
 
     def column(self, ch: Column) -> Column:
-        """Type of a one-character column, as one CASE over disjoint intervals."""
+        """Type of a one-character column: a page of its code point, then a place in it, whatever the number of ranges."""
+        pages, page_of = np.unique(self.table().reshape(-1, 256), axis=0, return_inverse=True)
         cp = F.ascii(ch)
-        out: Column | None = None
-        for a, b, name in self.intervals():
-            hit = cp == a if a == b else cp.between(a, b)
-            out = F.when(hit, name) if out is None else out.when(hit, name)
-        return F.lit("DEFAULT") if out is None else out.otherwise("DEFAULT")
+        page = F.get(_numbers(page_of.ravel()), F.shiftright(cp, 8))
+        kind = F.get(_numbers(pages.ravel()), page * 256 + cp.bitwiseAND(F.lit(255)))
+        return F.coalesce(F.get(F.split(F.lit(",".join(TYPES)), ","), kind), F.lit("DEFAULT"))
+
+
+def _numbers(values: np.ndarray) -> Column:
+    """An array constant; it is folded once, when the plan is made."""
+    return F.split(F.lit(",".join(map(str, values.tolist()))), ",").cast("array<int>")

@@ -20,9 +20,8 @@ import pyarrow.compute as pc
 
 from tsubame.functions.charclass import TYPES, Classifier, class_of_type
 from tsubame.functions.readings import NUMBER_POS, in_context
-from tsubame.functions.segment import BOUNDARIES
+from tsubame.functions.segment import code_points, segment_ends
 from tsubame.operators.entries import Entries
-from tsubame.operators.trie import code_points
 
 # Cost and part of speech of unknown words whose class has no template.
 UNKNOWN_BY_TYPE = {
@@ -284,14 +283,6 @@ class Kernel:
 
     # Whole texts.
 
-    def _stops(self, cp: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Ends of the segments of texts that begin at ``at``."""
-        end = np.zeros(len(cp) + 1, bool)
-        end[at] = True
-        end[1:] |= np.isin(cp, _BOUNDARY) if len(cp) else False
-        end[0] = False
-        return np.flatnonzero(end)
-
     def token_array(self, texts: pa.Array) -> pa.Array:
         """Token lists of many texts; null for null."""
         if isinstance(texts, pa.ChunkedArray):
@@ -299,7 +290,7 @@ class Kernel:
         whole = texts.fill_null("")
         cp, at = code_points(whole)
         n = len(cp)
-        stops = self._stops(cp, at)
+        stops = segment_ends(cp, at)
         start, unk, row = [np.zeros(0, np.int64)], [np.zeros(0, bool)], [np.zeros(0, np.int64)]
         a, i = 0, 0
         while a < n:
@@ -411,9 +402,6 @@ class Kernel:
         return joined + sum(x[6] for x in out), out
 
 
-_BOUNDARY = np.array([ord(c) for c in BOUNDARIES], np.uint32)
-
-
 def _letter(cp: np.ndarray) -> np.ndarray:
     low = cp | 0x20
     return (low >= 0x61) & (low <= 0x7A) & (cp < 0x80)

@@ -11,24 +11,13 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
+from tsubame.functions.segment import code_points
+
 PAGE = 8
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 FIELDS = ("page_of", "pages", "first", "keys", "nodes", "lo", "hi")
 
 
-def code_points(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All code points of a string column, and where each string begins (with the end)."""
-    if not len(strings):
-        return np.zeros(0, np.uint32), np.zeros(1, np.int64)
-    strings = strings.cast(pa.large_string())
-    at = np.frombuffer(strings.buffers()[1], np.int64)[strings.offset : strings.offset + len(strings) + 1]
-    raw = strings.buffers()[2]
-    data = np.frombuffer(raw, np.uint8)[at[0] : at[-1]] if raw is not None else np.zeros(0, np.uint8)
-    head = (data & 0xC0) != 0x80
-    before = np.concatenate([[0], np.cumsum(head)])
-    return np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32), before[at - at[0]]
-
-
 class Trie:
     """Surfaces as ``FIELDS``: page table of characters, children of the root, edge slots, row ranges."""
 

@@ -47,10 +47,10 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES else df
 
 
-def put(spark: SparkSession, path: str, content: bytes) -> None:
-    """A new small file in any store that Spark writes."""
+def put(spark: SparkSession, path: str, content: bytes, overwrite: bool = True) -> None:
+    """A small file in any store that Spark writes; without ``overwrite`` one that is there is an error."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, overwrite)
     out.write(bytearray(content))
     out.close()
 
@@ -94,10 +94,10 @@ def numbered(df: DataFrame, by: list[str], into: str) -> DataFrame:
 
     What passes the driver is one count a partition; no task sees all rows.
     """
-    at = cut(df.sort(*by).select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at")))
+    at = cut(df.sort(*by).select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_row")))
     sizes, total = [], 0
-    for r in at.groupBy("_part").agg(F.count("*").alias("n"), F.min("_at").alias("least")).orderBy("_part").collect():
+    for r in at.groupBy("_part").agg(F.count("*").alias("n"), F.min("_row").alias("least")).orderBy("_part").collect():
         sizes.append((r["_part"], total - r["least"]))
         total += r["n"]
     shift = df.sparkSession.createDataFrame(sizes, "_part int, _shift long")
-    return at.join(F.broadcast(shift), "_part").withColumn(into, F.col("_at") + F.col("_shift")).drop("_part", "_at", "_shift")
+    return at.join(F.broadcast(shift), "_part").withColumn(into, F.col("_row") + F.col("_shift")).drop("_part", "_row", "_shift")

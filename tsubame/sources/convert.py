@@ -89,8 +89,12 @@ def write_csv(rows: DataFrame, f: str, output: str) -> None:
     """Field arrays as CSV files, in the order of (file, idx); a field is quoted where it must be."""
     field = lambda x: F.when(x.rlike('[",\\r\\n]'), F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(x)
     line = F.array_join(F.transform(f, field), ",")
-    # The writer's own quoting is turned off: the line is a value that it must not touch.
-    rows.orderBy("file", "idx").select(line.alias("value")).write.option("quote", "").option("sep", "\u0001").option("emptyValue", "").csv(output)
+    rows.orderBy("file", "idx").select(line.alias("value")).write.text(output)
+    # The text writer knows one ending only.
+    jvm = rows.sparkSession._jvm.org.apache.hadoop.fs
+    fs = jvm.Path(output).getFileSystem(rows.sparkSession.sparkContext._jsc.hadoopConfiguration())
+    for f in fs.globStatus(jvm.Path(f"{output}/part-*.txt*")):
+        fs.rename(f.getPath(), jvm.Path(f.getPath().toString().replace(".txt", ".csv")))
 
 
 def convert(spark: SparkSession, kind: str, source: str, output: str) -> dict[str, int]:

@@ -7,24 +7,28 @@ import uuid
 import warnings
 from collections.abc import Iterable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tsubame import schema
 from tsubame.functions.charclass import DEFAULT_CLASSES, Classifier, class_of_type, TYPES
 from tsubame.functions.readings import is_katakana
-from tsubame.session import cut, numbered
+from tsubame.session import cut, numbered, put
 from tsubame.sources import definitions as d
+from tsubame.sources.definitions import read_bytes
 from tsubame.sources.scan import matrix
 
+_FEATURE = ["pos", "base_form", "reading", "pronunciation"]
+_MANIFEST = "manifest-"
 TABLES = {"entries": schema.LEXICON, "matrix": schema.MATRIX, "char_class": schema.CHAR_CLASS, "char_range": schema.CHAR_RANGE, "unk": schema.UNK}
 
 
 class Lexicon:
     """Entries, connection costs, classes, ranges and templates, as DataFrames."""
 
-    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], left_size: int, right_size: int) -> None:
-        self.spark, self.tables, self.left_size, self.right_size = spark, tables, left_size, right_size
+    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], left_size: int, right_size: int, path: str | None = None) -> None:
+        self.spark, self.tables, self.left_size, self.right_size, self.path = spark, tables, left_size, right_size, path
 
     def __getattr__(self, name: str) -> DataFrame:
         try:
@@ -55,16 +59,52 @@ class Lexicon:
         row = (*n, self.left_size, self.right_size, time.time() - began)
         return self.spark.createDataFrame([row], "entries long, strings long, features long, left_size int, right_size int, load_seconds double")
 
+    def pools(self) -> dict[str, DataFrame]:
+        """``strings`` (id, value) and ``features`` (id, pos, base_form, reading, pronunciation), once each.
+
+        Ids are dense, by first appearance in the order of entries and their fields.
+        """
+        e = self.entries
+        fields = ["surface", *_FEATURE]
+        strings = e.select("entry_id", F.posexplode(F.array(*fields)).alias("_field", "value"))
+        out = {}
+        for name, rows, by in (("strings", strings.withColumn("_first", F.struct("entry_id", "_field")), ["value"]), ("features", e.withColumn("_first", F.struct("entry_id")), _FEATURE)):
+            first = rows.groupBy(*by).agg(F.min("_first").alias("_first"))
+            out[name] = numbered(first, ["_first"], "id").select(F.col("id").cast("int").alias("id"), *by)
+        return out
+
+    def pool(self, name: str) -> DataFrame:
+        """A pool as it lies in the bundle, or made anew."""
+        return self.spark.read.parquet(f"{self.path}/{name}") if self.path else self.pools()[name]
+
+    def commit(self, path: str, after: int | None = None) -> int:
+        """One more version of the bundle at ``path``; returns its number.
+
+        A version is a folder of its own, and counts when its manifest is made, which a store
+        lets only one writer do: of two that follow version ``after``, the second is refused.
+        Readers keep the version that they have opened.
+        """
+        number = (latest(self.spark, path) if after is None else after) + 1
+        folder = f"versions/{number:08d}-{uuid.uuid4().hex[:8]}"
+        self.write(f"{path}/{folder}")
+        try:
+            put(self.spark, f"{path}/{_MANIFEST}{number:08d}", folder.encode(), overwrite=False)
+        except Py4JJavaError as e:
+            raise d.LexiconError(f"{path}: another writer has made version {number} ({str(e.java_exception)[:80]})") from None
+        return number
+
     def write(self, path: str) -> None:
         """A new bundle below ``path``; existing ones are never overwritten in place."""
-        for name, df in self.tables.items():
+        for name, df in (self.tables | self.pools()).items():
             df.write.parquet(f"{path}/{name}")
         meta = (schema.FORMAT, schema.VERSION, self.left_size, self.right_size, *self.counts())
         self.spark.createDataFrame([meta], schema.META).coalesce(1).write.parquet(f"{path}/meta")
 
     @staticmethod
     def read(spark: SparkSession, path: str) -> Lexicon:
-        """Opens a bundle; a LexiconError says what is wrong with another folder."""
+        """Opens a bundle, the latest version of one that has versions; a LexiconError says what is wrong with another folder."""
+        if number := latest(spark, path):
+            path = f"{path}/{read_bytes(spark, f'{path}/{_MANIFEST}{number:08d}').decode()}"
         try:
             meta = spark.read.parquet(f"{path}/meta").head(1)
         except Exception as e:
@@ -74,7 +114,7 @@ class Lexicon:
         if meta[0]["version"] != schema.VERSION:
             raise d.LexiconError(f"{path}: version {meta[0]['version']} is not supported")
         tables = {n: spark.read.schema(s).parquet(f"{path}/{n}") for n, s in TABLES.items()}
-        return Lexicon(spark, tables, meta[0]["left_size"], meta[0]["right_size"])
+        return Lexicon(spark, tables, meta[0]["left_size"], meta[0]["right_size"], path)
 
     def merged(self, other: Lexicon) -> Lexicon:
         """All entries of both, those of ``other`` behind; nothing is de-duplicated.
@@ -98,6 +138,14 @@ class Lexicon:
         return self.entries.where((F.col("left_id") >= self.left_size) | (F.col("right_id") >= self.right_size))
 
 
+def latest(spark: SparkSession, path: str) -> int:
+    """Number of the latest version below ``path``; 0 if it has none."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    fs = jvm.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = fs.globStatus(jvm.Path(f"{path}/{_MANIFEST}*")) or []
+    return max((int(f.getPath().getName()[len(_MANIFEST) :]) for f in found), default=0)
+
+
 class LexiconBuilder:
     """Collects sources in order and builds one lexicon; usable once."""
 
@@ -236,9 +284,11 @@ def build(spark: SparkSession, folder: str, exclude: Iterable[str] = ()) -> Lexi
 def merge(spark: SparkSession, base: str, sources: str | list[str], output: str | None = None, reset_char_def: bool = False, exclude: Iterable[str] = ()) -> str:
     """Adds CSV files or folders to a bundle, in this order; returns the path of the new bundle.
 
-    Without ``output`` the new bundle lies beside the old one, which stays readable. Files
-    of excluded names are left out of folders.
+    Without ``output`` the new bundle lies beside the old one, which stays readable. With the
+    base as output it becomes the next version there. Files of excluded names are left
+    out of folders.
     """
+    after = latest(spark, base)
     builder = LexiconBuilder(spark).load_lexicon(base, reset_char_def)
     for source in [sources] if isinstance(sources, str) else sources:
         if source.endswith(".csv"):
@@ -246,7 +296,12 @@ def merge(spark: SparkSession, base: str, sources: str | list[str], output: str
         else:
             builder.add_csv_dir(source, exclude)
     output = output or f"{base.rstrip('/')}-{uuid.uuid4().hex[:8]}"
-    builder.build().write(output)
+    if output.rstrip("/") == base.rstrip("/"):
+        if not after:
+            raise d.LexiconError(f"{base}: a bundle without versions cannot be merged into itself")
+        builder.build().commit(base, after)
+    else:
+        builder.build().write(output)
     return output
 
 
