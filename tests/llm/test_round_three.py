@@ -7,10 +7,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tsubame.llm import hyperminhash, line_dedup, sort_means, spelling, topk, url_filter
+from tsubame.llm import hyperminhash, line_dedup, quality, sort_means, spelling, topk, url_filter
 from tsubame.llm import textvec as tv
 
 EXTRA = "source string, rep long, fp long, n long, key long, root string, lab long, component string"
@@ -368,3 +369,36 @@ def test_lines_of_repeated_shingles(spark):
             want[d] += any(100 * len(s & o) >= 80 * len(s | o) for o in seen)
             seen.append(s)
     assert got == want and sum(got.values()) == 4
+
+
+def test_ftrl_and_scores_equal_plain_python():
+    """Follow-the-regularised-leader over dictionaries, and scores as sums over a text's features one by one."""
+    rng = random.Random(14)
+    rows = [(sorted(rng.sample(range(60), rng.randint(0, 9))), [], rng.randrange(2)) for _ in range(50)]
+    rows = [(np.array(i, np.int64), np.array([rng.uniform(0.1, 3) for _ in i]), y) for i, _, y in rows]
+    q, last = quality, 1 << quality.BITS
+    z, n = {}, {}
+
+    def weight(i):
+        x = z.get(i, 0.0)
+        return 0.0 if abs(x) <= q.L1 else -(x - math.copysign(q.L1, x)) / ((q.BETA + math.sqrt(n.get(i, 0.0))) / q.ALPHA + q.L2)
+
+    for e in range(3):
+        for r in np.random.default_rng(e).permutation(len(rows)):
+            x = dict(zip(rows[r][0].tolist(), rows[r][1].tolist(), strict=True)) | {last: 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * x[i] for i in x)))
+            for i in x:
+                g, old = (p - rows[r][2]) * x[i], n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / q.ALPHA * w[i]
+                n[i] = old + g * g
+    got = q.ftrl(rows, 3)
+    assert np.allclose(got[np.flatnonzero(got)], [weight(i) for i in np.flatnonzero(got).tolist()]) and {i for i in z if weight(i)} == set(np.flatnonzero(got).tolist())
+    texts = ["One two two, three! é 42", "", None, " \t", "a", "The end. " * 400]
+    weights = np.random.default_rng(15).normal(size=last + 1).astype("<f4")
+    for text, s in zip(texts, q.scores(pa.array(texts), weights), strict=True):
+        raw = (text or "").encode()
+        grams, first = q.features(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), tv.Tables())
+        words = len((text or "").split())
+        total = sum(float(weights[i]) for g in grams for i in g.tolist()) * q.VALUE / max(1, words) + float(weights[last])
+        assert math.isclose(s, 1 / (1 + math.exp(-max(-35, min(35, total)))), rel_tol=1e-9)
