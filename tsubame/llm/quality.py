@@ -58,10 +58,13 @@ def features(data: np.ndarray, at: np.ndarray, t: tv.Tables) -> tuple[list[np.nd
     form = tv.mix(form)
     ends_alike = tv.mix(pick(ends - 1) * tv.U(293) + pick(ends - 2) + tv.U(7))
 
+    place = np.arange(n) - np.repeat(first[:-1], np.diff(first))
+
     def gram(x: np.ndarray, k: int, family: int) -> np.ndarray:
         out = x * tv.odd(0) + tv.U(family)
         for j in range(1, k):
-            out[j:] += x[:-j] * tv.odd(j)
+            # An n-gram does not reach into the text before.
+            out[j:] += np.where(place[j:] >= j, x[:-j] * tv.odd(j), tv.U(0))
         return (tv.mix(out) >> tv.U(64 - BITS)).astype(np.int64)
 
     families = [(word, 1), (word, 2), (form, 1), (form, 2), (ends_alike, 1), (ends_alike, 2), (same, 3)]
