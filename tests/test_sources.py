@@ -109,6 +109,9 @@ def test_compare(spark):
     assert sorted(r["status"] for r in rows) == ["both", "left_only", "right_only", "right_only"]
     got = compare.agreement(compare.compare(df, a, b, "text", ["id"])).first()
     assert (got["spans"], got["both"], got["left_only"], got["right_only"], got["same_reading"]) == (4, 1, 1, 2, 1)
+    aligned = compare.align(df, a, b).first()
+    assert [(x["left"], x["right"]) for x in aligned["blocks"]] == [(["大学生"], ["大学", "生"]), (["を"], ["を"])]
+    assert (aligned["scores"]["same_words"], aligned["scores"]["word_precision"], aligned["scores"]["same_readings"]) == (1, 1 / 3, 1)
     assert compare.summary(df, {"a": a, "b": b}, "text", ["id"]).where("engine = 'b'").first()["segmentation"] == "大学 | 生 | を"
 
 

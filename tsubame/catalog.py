@@ -465,16 +465,17 @@ c AS (SELECT doc_id, regexp_matches(w, '^[A-Za-z]{{{{4,}}}}$') AS two, count(*)
 
 @query(f"""WITH {_SIDES.format(surfaces=f"flatten(list_transform(regexp_extract_all(text, '{sql.SPLIT}'), lambda s: {sql.surfaces('s')}))")},
 n AS (SELECT doc_id, sum(n) AS l, sum(CASE WHEN two THEN 2 * n ELSE n END) AS r, sum(CASE WHEN two THEN 0 ELSE n END) AS one FROM c GROUP BY 1)
-SELECT doc_id, CAST(l AS BIGINT) AS left_words, CAST(r AS BIGINT) AS right_words, CAST(l AS BIGINT) AS blocks, CAST(one AS BIGINT) AS same_words, CAST(one AS BIGINT) AS same_readings,
+SELECT doc_id, CAST(l AS BIGINT) AS left_words, CAST(r AS BIGINT) AS right_words, CAST(l AS BIGINT) AS blocks, CAST(one AS BIGINT) AS same_words,
   round(l / r, 9) AS boundary_precision, round(one / l, 9) AS word_recall, round(2 * one / (l + r), 9) AS word_f FROM n""")
 def align_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Two segmentations of each document, aligned inside its row: no shuffle."""
     halves = F.expr("flatten(transform(words, w -> CASE WHEN w rlike '^[A-Za-z]{4,}$' THEN array(substring(w, 1, 3), substring(w, 4)) ELSE array(w) END))")
-    docs = table(spark, sf, "documents").select("doc_id", text_surfaces(F.col("text")).alias("words")).where(F.size("words") > 0).withColumn("halves", halves)
-    sides = docs.select("doc_id", cmp.placed(F.col("words")).alias("l"), cmp.placed(F.col("halves")).alias("r"))
-    found = sides.withColumn("b", cmp.blocks("l", "r")).select("doc_id", cmp.scores(F.col("b"), F.col("l"), F.col("r")).alias("s"))
-    shares = [F.round(f"s.{c}", 9).alias(c) for c in ("boundary_precision", "word_recall", "word_f")]
-    return found.select("doc_id", *[f"s.{c}" for c in ("left_words", "right_words", "blocks", "same_words", "same_readings")], *shares)
+    docs = spread(table(spark, sf, "documents").where("text <> ''").select("doc_id", "text"))
+    words = docs.select("doc_id", text_surfaces(F.col("text")).alias("words"))
+    found = words.select("doc_id", cmp.surface_scores(F.col("words"), halves).alias("s")).select("doc_id", "s.*")
+    share = lambda a, b: F.round(F.try_divide(a, b), 9)
+    l, r, one = F.col("left_words"), F.col("right_words"), F.col("same_words")
+    return found.withColumns({"boundary_precision": share(F.col("blocks"), r), "word_recall": share(one, l), "word_f": share(2 * one, l + r)})
 
 
 @query("SELECT 'documents' AS source, CAST(0 AS BIGINT) AS violations UNION ALL SELECT 'conversations', 0 UNION ALL SELECT 'pages', 0")

@@ -98,23 +98,30 @@ def spans(left: pa.Array, right: pa.Array) -> pa.ListArray:
     return a.listed(row[order], [cols[f.name].take(pa.array(order)) for f in _SPAN.value_type], _SPAN)
 
 
-def placed(surfaces: Column | str) -> Column:
-    """Token arrays of lists of surfaces that leave no gap, without readings and parts of speech."""
+def placed(lists: pa.Array) -> pa.ListArray:
+    """Token lists of lists of surfaces that leave no gap, without readings and parts of speech."""
+    lists = _whole(lists)
+    flat, size = lists.flatten(), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    length = pc.binary_length(flat).to_numpy(zero_copy_only=False).astype(np.int64)
+    total = np.concatenate([[0], np.cumsum(length)])
+    begin = np.concatenate([[0], np.cumsum(size)])
+    start = total[:-1] - np.repeat(total[begin[:-1]], size)
+    void = pa.array([""] * len(flat), pa.string())
+    items = pa.StructArray.from_arrays([flat, pa.array(start), pa.array(start + length), void, void], names=["surface", "start", "end", "reading", "pos"])
+    return pa.ListArray.from_arrays(pa.array(begin, pa.int32(), mask=np.append(lists.is_null().to_numpy(zero_copy_only=False), False)), items)
 
-    @F.arrow_udf("array<struct<surface:string,start:bigint,end:bigint,reading:string,pos:string>>")
-    def place(lists: pa.Array) -> pa.Array:
-        lists = _whole(lists)
-        flat, size = lists.flatten(), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        end = np.cumsum(pc.binary_length(flat).to_numpy(zero_copy_only=False).astype(np.int64))
-        begin = np.concatenate([[0], np.cumsum(size)])
-        end -= np.repeat(np.concatenate([[0], end])[begin[:-1]], size)
-        start = end - pc.binary_length(flat).to_numpy(zero_copy_only=False)
-        void = pa.array([""] * len(flat), pa.string())
-        items = pa.StructArray.from_arrays([flat, pa.array(start), pa.array(end), void, void], names=["surface", "start", "end", "reading", "pos"])
-        return pa.ListArray.from_arrays(pa.array(begin, pa.int32(), mask=np.append(lists.is_null().to_numpy(zero_copy_only=False), False)), items)
 
-    # Evaluated once: filters on what follows from it must not repeat it.
-    return place.asNondeterministic()(surfaces)
+def surface_scores(left: Column | str, right: Column | str) -> Column:
+    """Words, blocks and common words of two lists of surfaces of one text: struct of left_words, right_words, blocks, same_words."""
+
+    @F.arrow_udf("struct<left_words:bigint,right_words:bigint,blocks:bigint,same_words:bigint>")
+    def count(a: pa.Array, b: pa.Array) -> pa.Array:
+        x = Alignment(placed(a), placed(b))
+        per_row = lambda rows: pa.array(np.bincount(rows, minlength=x.rows), pa.int64())
+        row = x.common // x.width
+        return pa.StructArray.from_arrays([per_row(x.row[0]), per_row(x.row[1]), per_row(row), per_row(row[x.single])], names=["left_words", "right_words", "blocks", "same_words"])
+
+    return count(left, right)
 
 
 def blocks(left: Column | str, right: Column | str) -> Column:
@@ -127,7 +134,7 @@ def blocks(left: Column | str, right: Column | str) -> Column:
     def align(a: pa.Array, b: pa.Array) -> pa.Array:
         return aligned(a, b)
 
-    return align.asNondeterministic()(left, right)
+    return align(left, right)
 
 
 def scores(found: Column, left: Column, right: Column) -> Column:
