@@ -199,9 +199,11 @@ def test_cheap_single_characters_are_preferred_to_runs():
 LEX = st.lists(st.tuples(st.text("abあ1", min_size=1, max_size=3), st.integers(0, 3), st.integers(0, 3), st.integers(-5, 5)), max_size=8)
 
 
+@pytest.mark.parametrize("bits", [0, 20])
 @settings(max_examples=150, deadline=None)
 @given(st.text("abあ1漢 ", min_size=1, max_size=7), LEX, st.lists(st.integers(-4, 4), min_size=9, max_size=9))
-def test_kernel_equals_brute_force(seg, lex, costs):
+def test_kernel_equals_brute_force(bits, seg, lex, costs):
+    kernel_module.PACKED_BITS = bits
     k = kernel([(s, a, b, c, "p", s, "", "") for s, a, b, c in lex], np.array(costs).reshape(3, 3), unk=[("ALPHA", 1, 2, -3, "u"), ("HIRAGANA", 2, 1, 2, "h")])
     total, path = k.path(seg)
     want = brute(k, seg)

@@ -41,7 +41,9 @@ CHUNK_CHARS = 1 << 18
 # Spelled words that a worker remembers.
 SPOKEN_WORDS = 500_000
 # A total that no path has.
-FAR = 1 << 40
+FAR = 1 << 42
+# Nodes that end at one place, as bits, up to which a total and the node's place make one number.
+PACKED_BITS = 20
 
 TOKEN_TYPE = pa.struct([
     ("surface", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("pos", pa.string()), ("base_form", pa.string()),
@@ -72,6 +74,17 @@ def spans(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(begin - (np.cumsum(count) - count), count)
 
 
+def first_least(value: np.ndarray, offset: np.ndarray, size: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Least value of each range, and the first place in the range that has it."""
+    place = np.arange(len(value)) - np.repeat(offset, size)
+    if bits <= PACKED_BITS:
+        least = np.minimum.reduceat((value << bits) | place, offset)
+        return least >> bits, least & ((1 << bits) - 1)
+    least = np.minimum.reduceat(value, offset)
+    place[value != np.repeat(least, size)] = len(value)
+    return least, np.minimum.reduceat(place, offset)
+
+
 class Nodes:
     """Candidates as columns, sorted by end, then start, known before unknown, then entry: the order of ties.
 
@@ -206,7 +219,8 @@ class Kernel:
     def _lockstep(self, nodes: Nodes, left: np.ndarray, right: np.ndarray, cost: np.ndarray, live: np.ndarray, of: np.ndarray, begin: np.ndarray, before: np.ndarray, seg: np.ndarray) -> np.ndarray:
         step = nodes.start[live] - begin[of]
         # By step, place and left_id: predecessors are weighed once for each left_id of a place.
-        order = np.argsort((step * len(seg) + nodes.start[live]) << 16 | left[live], kind="stable")
+        start = nodes.start[live]
+        order = np.argsort((step * len(seg) + start) << 16 | left[live], kind="stable") if len(seg) < 1 << 22 else np.lexsort((left[live], start, step))
         by, place, lefts = live[order], nodes.start[live][order], left[live][order]
         new = np.ones(len(by), bool)
         new[1:] = (place[1:] != place[:-1]) | (lefts[1:] != lefts[:-1])
@@ -227,19 +241,14 @@ class Kernel:
         def cheapest(first: np.ndarray, size: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             """Least total plus connection over ranges of nodes, and the first node that has it."""
             offset = np.cumsum(size) - size
-            place = np.arange(int(offset[-1] + size[-1]))
-            # The key holds the value, then the place among the range, so ties go to the first.
-            pairs = place + np.repeat(first - offset, size)
+            pairs = np.arange(int(offset[-1] + size[-1])) + np.repeat(first - offset, size)
             value = total.take(pairs)
             if flat is not None:
                 value += flat.take(rows.take(pairs) + np.repeat(to, size))
             else:
                 value += self.connections(right[pairs], np.repeat(to, size))
-            value <<= bits
-            value += pairs
-            value -= np.repeat(first, size)
-            least = np.minimum.reduceat(value, offset)
-            return least >> bits, first + (least & ((1 << bits) - 1))
+            least, at = first_least(value, offset, size, bits)
+            return least, first + at
 
         a, b = steps[0], steps[1]
         low[a:b] = self.connections(before[h_of[a:b]], h_left[a:b])
@@ -271,9 +280,7 @@ class Kernel:
         if (~final).any():
             e = end[~final]
             pairs, size = spans(nodes.first[e], nodes.size[e]), nodes.size[e]
-            offset = np.cumsum(size) - size
-            key = (total[pairs] << bits) | (np.arange(len(pairs)) - np.repeat(offset, size))
-            now[~final] = nodes.first[e] + (np.minimum.reduceat(key, offset) & ((1 << bits) - 1))
+            now[~final] = nodes.first[e] + first_least(total[pairs], np.cumsum(size) - size, size, bits)[1]
         chosen = []
         while len(now):
             chosen.append(now)
