@@ -75,8 +75,10 @@ def compress(least: np.ndarray) -> np.ndarray:
 
 def registers(sets: list[np.ndarray]) -> np.ndarray:
     """One row of registers for each sorted, non-empty set of 64-bit hashes."""
+    if not sets:
+        return np.zeros((0, BUCKETS), np.uint16)
     size = np.array([len(s) for s in sets])
-    h = np.concatenate(sets) if sets else np.zeros(0, tv.U)
+    h = np.concatenate(sets)
     bucket = np.repeat(np.arange(len(sets)) * BUCKETS, size) + (h >> tv.U(64 - BUCKET_BITS)).astype(np.int64)
     # Sorted sets: the first hash of a bucket is its least.
     first = np.flatnonzero(np.diff(bucket, prepend=-1))
