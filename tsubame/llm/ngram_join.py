@@ -344,12 +344,12 @@ def _pivot_pairs(members: DataFrame, percent: int) -> DataFrame:
     return met.where(close).select(F.least("fx", "p.fx").alias("fx"), F.greatest("fx", "p.fx").alias("fy"))
 
 
-def _cross_pairs(members: DataFrame, percent: int) -> DataFrame:
+def _cross_pairs(members: DataFrame, percent: int, across: Callable = _across) -> DataFrame:
     """All pairs of a group whose components differ, in blocks of bounded size."""
     left = members.withColumn("nb", F.ceil(F.col("m") / BLOCK)).withColumn("blk", F.pmod(F.xxhash64("fx"), F.col("nb")))
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
     left = left.withColumns({"i": F.least("blk", "other"), "j": F.greatest("blk", "other")}).select("run", "i", "j", "blk", "fx", "nx", "px", "lab", *[c for c in members.columns if c == "sketch"])
-    return left.groupBy("run", "i", "j").applyInArrow(_across(percent), "fx long, fy long")
+    return left.groupBy("run", "i", "j").applyInArrow(across(percent), "fx long, fy long")
 
 
 def join_components(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
