@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -174,6 +175,20 @@ def test_results_do_not_depend_on_batches(monkeypatch):
     assert pickle.loads(pickle.dumps(k)).tokens(MIXED[0]) == once[0]
 
 
+def test_large_batches_are_answered_in_pieces(spark):
+    """What a worker holds follows the text at a time, not the rows of a batch."""
+    a = Analyzer(in_memory(spark, fx.entries(fx.LATIN)))
+    texts = pa.array([None, "", *["the one in. " * 2_000] * 40, "x" * 300_000, "on"])
+    for udf, whole in ((a.tokenize_udf(), a.kernel.token_array), (a.prefixes_udf(), a.kernel.prefix_array)):
+        got = list(udf.func(iter([texts, texts[:0], texts[5:7]])))
+        at = np.cumsum([0, *map(len, got)])
+        assert at[-1] == len(texts) + 2
+        for g, lo, hi in zip(got[:-1], at, at[1:]):
+            assert hi - lo == 1 or pc.sum(pc.binary_length(texts[lo:hi])).as_py() <= kernel_module.CHUNK_CHARS
+            assert g.equals(whole(texts[lo:hi]))
+        assert got[-1].equals(whole(texts[5:7]))
+
+
 @settings(max_examples=40, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.text("aあアー漢語1 。é🌋", max_size=14))
 def test_unknown_surfaces_equal_the_kernel(spark, text):
