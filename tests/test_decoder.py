@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tsubame.functions import readings, segment
 from tsubame.functions.charclass import Classifier
-from tsubame.operators import entries, unknown
+from tsubame.operators import entries, trie, unknown
 from tsubame.operators import kernel as kernel_module
 from tsubame.operators import lattice as lat
 from tsubame.operators.analyzer import Analyzer, in_memory
@@ -162,6 +162,51 @@ def test_trie_equals_plain_search():
     assert not len(entries.Entries.of([]).trie.matches(np.array([97], np.uint32), np.array([1]))[0])
 
 
+def test_totals_equal_those_of_the_tokens(spark):
+    a = Analyzer(in_memory(spark, fx.entries(fx.LATIN), (fx.SIZE, fx.SIZE, fx.LATIN_MATRIX)))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*MIXED, None, ""])], "id int, text string")
+    cost = F.aggregate("tokens", F.lit(0).cast("long"), lambda s, x: s + x["word_cost"])
+    want = a.tokenize_batch(df).select("id", "text", F.size("tokens").alias("n_tokens"), F.size(F.filter("tokens", lambda x: x["is_known"])).alias("n_known"), cost.alias("word_costs"))
+    got = a.totals(df)
+    assert got.dtypes == want.dtypes and sorted(got.collect(), key=lambda r: r["id"]) == sorted(want.collect(), key=lambda r: r["id"])
+
+
+def test_trie_of_parts_equals_the_whole(tmp_path):
+    """Parts that begin inside the last surface, with equal surfaces on both sides of a border, or without an own node."""
+    rng = random.Random(7)
+    words = sorted(("".join(rng.choice("ab日🌋") for _ in range(rng.randint(1, 6))) for _ in range(300)), key=str.encode)
+    whole = trie.Trie.of(pa.array(words)).arrays
+    for k, cuts in enumerate(([], [1, 2, 3], sorted(rng.sample(range(1, 300), 40)), list(range(1, 300)))):
+        (tmp_path / str(k)).mkdir()
+        joined = trie.Levels(str(tmp_path / str(k)))
+        for a, b in zip([0, *cuts], [*cuts, 300]):
+            joined.add(words[a], words[b - 1], b - a, [x.tobytes() for x in trie.levels(pa.array(words[a:b]))])
+        made = joined.all()
+        out = {f: np.zeros(n, t) for f, (n, t) in trie.shapes(sum(map(len, made))).items()}
+        trie.fill(out, made)
+        # The first row of a node where none ends tells nothing.
+        ends = [x["hi"] > x["lo"] for x in (whole, out)]
+        assert (ends[0] == ends[1]).all() and all((whole[f][ends[0]] == out[f][ends[0]]).all() for f in ("lo", "hi"))
+        assert all((whole[f] == out[f]).all() for f in ("first", "label", "kids"))
+
+
+def test_entries_in_a_file_equal_those_in_memory(spark, monkeypatch):
+    """Parts of a few entries, made by tasks and joined one by one, mapped without a copy."""
+    monkeypatch.setattr(entries, "PART_ENTRIES", 5)
+    rng = random.Random(9)
+    rows = [("".join(rng.choice("abc日") for _ in range(rng.randint(1, 3))), i % 7, i % 5, i - 30, f"p{i % 3}", None if i % 4 == 0 else "b" * (i % 3), "", "ン") for i in range(60)]
+    monkeypatch.setattr("pyspark.sql.DataFrame.toArrow", None)
+    for some in (rows, rows[:1], []):
+        a, k = Analyzer(in_memory(spark, some)), kernel(some)
+        assert [x.tolist() for x in (a.kernel.entries.ids, a.kernel.entries.left, a.kernel.entries.cost)] == [x.tolist() for x in (k.entries.ids, k.entries.left, k.entries.cost)]
+        assert a.kernel.entries.surfaces.to_pylist() == k.entries.surfaces.to_pylist()
+        if some:
+            assert a.kernel.entries.surfaces.buffers()[2].address == a.kernel.entries.arrays["surface"].ctypes.data
+        for text in ("abc日cab日日a", "x"):
+            assert a.kernel.prefix_array(pa.array([text])) == k.prefix_array(pa.array([text]))
+            assert [t[4] for t in a.kernel.tokens(text)] == [t[4] for t in k.tokens(text)]
+
+
 def test_results_do_not_depend_on_batches(monkeypatch):
     """Texts alone, together, in chunks of any size and from a slice have the same tokens."""
     k = kernel(fx.entries(fx.LATIN), np.array([[(r * 5 + c * 3) % 7 * 100 for c in range(6)] for r in range(6)]))
