@@ -1,5 +1,6 @@
 import pickle
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -162,6 +163,21 @@ def test_trie_equals_plain_search():
     assert not len(entries.Entries.of([]).trie.matches(np.array([97], np.uint32), np.array([1]))[0])
 
 
+def test_memory_follows_a_piece_not_the_batch(spark):
+    """Long pages in one batch: tokens cover each of them, and four times the pages take no more memory."""
+    page = "<p class=x>the one in 3 km.</p>\n" * 3_000
+    a = Analyzer(in_memory(spark, fx.entries(fx.LATIN)))
+    a.kernel.token_array(pa.array([page]))
+    peaks = []
+    for n in (8, 32):
+        tracemalloc.start()
+        for part in a.tokenize_udf().func(iter([pa.array([page] * n)])):
+            assert all("".join(x.field("surface").to_pylist()) == page for x in (s.values for s in part))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.5 * peaks[0]
+
+
 def test_totals_equal_those_of_the_tokens(spark):
     a = Analyzer(in_memory(spark, fx.entries(fx.LATIN), (fx.SIZE, fx.SIZE, fx.LATIN_MATRIX)))
     df = spark.createDataFrame([(i, t) for i, t in enumerate([*MIXED, None, ""])], "id int, text string")
